@@ -1 +1,59 @@
-STAGES = []
+"""A corpus pipeline: five stages from documents to token files.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame. ``run``
+applies them to ``documents``; between stages the rows are written as Parquet
+to the shared folder and read again, so a lost executor costs one stage at
+most and no plan grows with the number of stages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessella.llm import decontam, langid, mixing, simhash, tokenbin
+from tessella.sources.scratch import written
+from tessella.sources.tables import table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language is found go."""
+    return langid.keep_identified(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return simhash.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain an item of ``benchmark`` go."""
+    return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents come as often as the mixture of their sources takes them."""
+    return mixing.repeated(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of what is left, and where each document stands in them."""
+    return tokenbin.encoded(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("mixing", mix),
+    ("token_binary", write_tokens),
+]
+
+#: The models, hashes and file formats of the stages are beyond SQL; tests hold each against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
