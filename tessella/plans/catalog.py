@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("rfm",)
+FAMILIES = ("rfm", "segments", "value", "cohorts", "drift", "lookalike", "pricing")
 
 
 def load() -> None:
