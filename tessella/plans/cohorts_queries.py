@@ -71,9 +71,9 @@ def cohort_decay(spark, sf_dir):
     return cohorts.decay_rate(points(spark, sf_dir)).withColumn("decay_rate", F.round("decay_rate", 9))
 
 
-@query("cohort_revenue_per_retained", f"WITH {POINTS_SQL}, l AS (SELECT cohort_id, arg_max(retained_count, age) AS n FROM pts GROUP BY 1) SELECT cohort_id, round(revenue / n, 4) AS revenue_per_retained FROM co JOIN l USING (cohort_id)")
+@query("cohort_revenue_per_retained", f"WITH {POINTS_SQL}, l AS (SELECT cohort_id, arg_max(retained_count, age) AS n FROM pts GROUP BY 1) SELECT cohort_id, round(revenue / n, 6) AS revenue_per_retained FROM co JOIN l USING (cohort_id)")
 def cohort_revenue_per_retained(spark, sf_dir):
-    return cohorts.revenue_per_retained(points(spark, sf_dir), made(spark, sf_dir)).withColumn("revenue_per_retained", F.round("revenue_per_retained", 4))
+    return cohorts.revenue_per_retained(points(spark, sf_dir), made(spark, sf_dir)).withColumn("revenue_per_retained", F.round("revenue_per_retained", 6))
 
 
 @query("cohort_aggregate", f"WITH {CO_SQL} SELECT cohort_id, sum(size)::BIGINT AS total_size, round(sum(revenue), 2) AS total_revenue, round(avg(retention_rate_total), 9) AS avg_retention, count(*) AS cohort_count FROM co GROUP BY 1")
@@ -112,9 +112,9 @@ def _case(k: int) -> str:
     return "CASE current_stage " + " ".join(f"WHEN '{s}' THEN {v[k]}::DOUBLE" for s, v in cohorts.STAGES.items()) + " END"
 
 
-@query("lifecycle_stage", f"WITH {LIFE_SQL} SELECT customer_id, current_stage, {_case(0)} AS stage_confidence, {_case(1)} AS expansion_potential, round(retention_score, 9) AS retention_score, round(spent / purchases, 4) AS avg_order_value FROM life")
+@query("lifecycle_stage", f"WITH {LIFE_SQL} SELECT customer_id, current_stage, {_case(0)} AS stage_confidence, {_case(1)} AS expansion_potential, round(retention_score, 9) AS retention_score, round(spent / purchases, 6) AS avg_order_value FROM life")
 def lifecycle_stage(spark, sf_dir):
-    return lives(spark, sf_dir).select("customer_id", "current_stage", "stage_confidence", "expansion_potential", F.round("retention_score", 9).alias("retention_score"), F.round("avg_order_value", 4).alias("avg_order_value"))
+    return lives(spark, sf_dir).select("customer_id", "current_stage", "stage_confidence", "expansion_potential", F.round("retention_score", 9).alias("retention_score"), F.round("avg_order_value", 6).alias("avg_order_value"))
 
 
 @query("lifecycle_distribution", f"WITH {LIFE_SQL} SELECT current_stage AS stage, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM life), 6) AS percentage FROM life GROUP BY 1")
