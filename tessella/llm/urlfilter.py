@@ -64,7 +64,7 @@ def rule(host_: Column, path_: Column, rules=RULES) -> Column:
     """The longest rule that fits, as struct(rule, verdict); null where none does."""
     fits = lambda h, p: ((host_ == h) | host_.endswith("." + h)) & path_.startswith(p)
     longest = sorted(rules, key=lambda r: (-len(r[0] + r[1]), r))
-    return reduce(lambda done, r: done.when(fits(r[0], r[1]), F.struct(F.lit(r[0] + r[1]).alias("rule"), F.lit(r[2]).alias("verdict"))), longest, F).otherwise(F.lit(None)) if longest else F.lit(None)
+    return reduce(lambda done, r: done.when(fits(r[0], r[1]), F.struct(F.lit(r[0] + r[1]).alias("rule"), F.lit(r[2]).alias("verdict"))), longest, F).otherwise(F.lit(None)) if longest else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
 def _block(url: Column, blocks: Column) -> Column:
