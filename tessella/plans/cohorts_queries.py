@@ -132,7 +132,7 @@ def lifecycle_actions(spark, sf_dir):
     return cohorts.stage_actions(spark)
 
 
-J_SQL = """j AS (SELECT user_id, epoch(ts)::BIGINT AS t, event_id, CASE event_type WHEN 'signup' THEN 'prospect' WHEN 'purchase' THEN 'active' WHEN 'error' THEN 'at_risk' END AS own FROM events),
+J_SQL = """j AS (SELECT user_id, floor(epoch(ts))::BIGINT AS t, event_id, CASE event_type WHEN 'signup' THEN 'prospect' WHEN 'purchase' THEN 'active' WHEN 'error' THEN 'at_risk' END AS own FROM events),
   s AS (SELECT *, last_value(own IGNORE NULLS) OVER w AS st FROM j WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)),
   m AS (SELECT *, lag(st) OVER w AS fr, (t - lag(t) OVER w) // 86400 AS days FROM s WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
   g AS (SELECT fr AS from_stage, st AS to_stage, count(*) AS sample_count, sum(days) AS days FROM m WHERE fr IS NOT NULL AND fr <> st GROUP BY 1, 2),

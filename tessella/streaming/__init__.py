@@ -1 +1 @@
-
+"""Streams of customer events."""
