@@ -10,8 +10,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.sources.scratch import written
-
 #: Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -69,27 +67,6 @@ def _null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "lef
 null_safe_join = _null_safe
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """``node``, ``root`` for every end of ``edges`` (a, b): root is the smallest node that is reachable.
-
-    Each round takes the smallest label among a node's neighbours and then
-    that label's own label, so that the number of rounds follows the logarithm
-    of the longest path. Labels are written to the shared folder each round;
-    nothing but a count comes to the driver.
-    """
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        lower = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("root").alias("low_root"))
-        moved = written(lower.join(jump, "low").select("node", F.least("low", "low_root").alias("root"), (F.least("low", "low_root") < F.col("root")).alias("moved")), "labels")
-        labels = moved.select("node", "root")
-        if moved.where("moved").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-
-
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices starts[0], starts[0]+1, ... for each run of the given lengths."""
     total = int(lengths.sum())
