@@ -32,6 +32,16 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, at_most: int = 4 << 20,
         yield batch.slice(start)
 
 
+def packed_rows(df: DataFrame) -> DataFrame:
+    """The rows as one struct column ``_row``, so that no helper column can clash with theirs."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+
+
+def row_key(text: str = "text") -> list[Column]:
+    """What tells packed rows apart without null: ``_id`` from doc_id, ``_hash`` from the text."""
+    return [F.coalesce(F.col("_row.doc_id"), F.lit(-(2**63))).alias("_id"), F.xxhash64(f"_row.{text}").alias("_hash")]
+
+
 def running(df: DataFrame, group: list[str], order: list[str], value: Column, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of the group that come before.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import ragged, slices
+from tessella.llm.common import packed_rows, ragged, row_key, slices
 from tessella.sources.scratch import written
 from tessella.sources.tables import table
 
@@ -269,11 +269,11 @@ def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Rows are told by doc_id and a hash of the text, so null and repeated ids do no harm.
     """
-    key = [F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("_id"), F.xxhash64("text").alias("_hash")]
-    bad = contaminated(docs.select("text", *key), items, keep=("_id", "_hash")).select(F.col("_id").alias("_bad_id"), F.col("_hash").alias("_bad_hash")).distinct()
+    held = packed_rows(docs).select("_row", *row_key())
+    narrow = held.select(F.col("_row.text").alias("text"), "_id", "_hash")
+    bad = contaminated(narrow, items, keep=("_id", "_hash")).select(F.col("_id").alias("_bad_id"), F.col("_hash").alias("_bad_hash")).distinct()
     bad = written(bad, "leaks")
-    held = docs.withColumn("_id", key[0]).withColumn("_hash", key[1])
-    return held.join(bad, (F.col("_id") == F.col("_bad_id")) & (F.col("_hash") == F.col("_bad_hash")), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return held.join(bad, (F.col("_id") == F.col("_bad_id")) & (F.col("_hash") == F.col("_bad_hash")), "left_anti").select("_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORD, null_safe_join, running
+from tessella.llm.common import WORD, null_safe_join, packed_rows, running
 from tessella.sources.scratch import written
 from tessella.sources.tables import table
 
@@ -174,11 +174,11 @@ def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
     chance = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
     times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + chance)).cast("int")
     plan = taken.select("doc_id", "source", "size", times.alias("_times")).withColumnsRenamed({"doc_id": "_plan_id", "source": "_plan_source", "size": "_plan_size"})
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
-    rows = docs.withColumn("_size", size)
-    same = rows["doc_id"].eqNullSafe(plan["_plan_id"]) & rows["source"].eqNullSafe(plan["_plan_source"]) & (rows["_size"] == plan["_plan_size"])
+    size = F.coalesce(F.regexp_count(F.col(f"_row.{text}"), F.lit(WORD)), F.lit(0)).cast("bigint")
+    rows = packed_rows(docs).withColumn("_size", size)
+    same = F.col("_row.doc_id").eqNullSafe(F.col("_plan_id")) & F.col("_row.source").eqNullSafe(F.col("_plan_source")) & (F.col("_size") == F.col("_plan_size"))
     out = rows.join(plan, same).where("_times > 0")
-    return out.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -41,17 +41,20 @@ FEATURES = {
     "repeats": ("ln(1 + 100 * n_repeat_words / n_words)", 0.5),
 }
 NAMES = tuple(FEATURES)
+#: Columns that the operator makes.
+MADE = frozenset({"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept", "d2", "volume", *NAMES, *[f"{k}{i}" for k in "mz" for i in range(4)], *[f"{k}{i}{j}" for k in "cl" for i in range(4) for j in range(4)]})
 PAIRS = [(i, j) for i in range(len(NAMES)) for j in range(i + 1)]
 
 
 def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
 
-    A null text has none of anything. The 8-word windows are compared by
+    Columns that have a name of MADE, or begin with an underscore, are not
+    carried over. A null text has none of anything. The 8-word windows are compared by
     64-bit hashes. A word counts as repeated if it lies in a window that
     occurs twice or more in its text.
     """
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text and c not in MADE and not c.startswith("_")]
     out = docs.select(*rest, F.coalesce(F.col(text), F.lit("")).alias("_t"))
     out = out.withColumn("_words", F.array_remove(F.split("_t", r"[\x20\x09-\x0D]+"), ""))
     out = out.withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import slices
+from tessella.llm.common import packed_rows, row_key, slices
 from tessella.operators.graph import connected_components
 from tessella.sources.scratch import written
 from tessella.sources.tables import table
@@ -276,16 +276,16 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Of rows that agree in doc_id and text one stays. All columns stay as they are.
     """
-    key = [F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("_id"), F.xxhash64("text").alias("_hash")]
-    rows = written(fingerprints(docs.select("doc_id", "text", *key), keep=("doc_id", "_id", "_hash")), "fingerprints")
+    held = packed_rows(docs).select("_row", *row_key())
+    narrow = held.select(F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text"), "_id", "_hash")
+    rows = written(fingerprints(narrow, keep=("doc_id", "_id", "_hash")), "fingerprints")
     roots = components(rows.select("fp").distinct(), radius)
     of = rows.join(roots, "fp", "left").withColumn("_component", F.coalesce("root", "fp"))
     first = of.groupBy("_component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "_id", "_hash")).alias("first"))
     winners = first.select(F.col("first._id").alias("_win_id"), F.col("first._hash").alias("_win_hash")).distinct()
-    held = docs.withColumn("_id", key[0]).withColumn("_hash", key[1])
     held = held.join(winners, (F.col("_id") == F.col("_win_id")) & (F.col("_hash") == F.col("_win_hash")))
     one = Window.partitionBy("_id", "_hash").orderBy("_win_id")
-    return held.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select(*docs.columns)
+    return held.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select("_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -101,7 +101,8 @@ def judged(pages: DataFrame, listed: DataFrame, rules=RULES, column: str = "url"
 
     ``listed`` has url_key, canonical URLs. Without a rule, a page is blocked
     where its canonical URL is listed. A null URL, or one without ``://``, has
-    empty host and path and is allowed. Repeated rows stay; nothing is listed
+    empty host and path and is allowed. Columns of these names are replaced,
+    and those that begin with an underscore may be. Repeated rows stay; nothing is listed
     by an empty list.
     """
     keys = written(listed.select("url_key").where("url_key IS NOT NULL").distinct(), "listed")

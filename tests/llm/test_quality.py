@@ -46,7 +46,7 @@ def test_odd_rows(spark):
     words = ["ab", "c#", "dé", "\U0001f600", "<x>", "f", "g"]
     texts = [None, "", " \t\r\n", "x", "a\n\na\n a\na", " ".join(f"w{i % 3000}" for i in range(60_000))]
     texts += ["".join(chance.choice(words) + chance.choice([" ", " ", "\n", "\t", "\x0b", "\xa0", "  "]) for _ in range(n)) for n in (7, 8, 9, 16, 17, 100, 800)]
-    docs = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)] + [(3, "x", "de", "s")], "doc_id long, text string, lang string, source string").selectExpr("*", "5 AS volume")
+    docs = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)] + [(3, "x", "de", "s")], "doc_id long, text string, lang string, source string").selectExpr("*", "5 AS volume", "6 AS n_words", "7 AS _keys", "8 AS kept")
     got = quality.judged(docs).collect()
     assert len(got) == len(texts) + 1
     for r in got:

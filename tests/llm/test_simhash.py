@@ -55,9 +55,10 @@ def test_odd_rows(spark):
 
 def test_keep_one_keeps_one_of_each_component_and_all_columns(spark):
     rows = [(2, "a b c d", "x"), (1, "a b c d", "y"), (1, "a b c d", "z"), (4, None, None), (3, "", "q"), (None, "u v w x y", "n")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, _hash string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _hash string").selectExpr("*", "'mine' AS `a.b`", "7 AS _row")
     got = simhash.keep_one(docs).collect()
     assert simhash.keep_one(docs).columns == docs.columns
+    assert {r._hash for r in got} <= {"y", "z", "q", "n"} and {r["a.b"] for r in got} == {"mine"} and {r._row for r in got} == {7}
     assert sorted((str(r.doc_id), r.text) for r in got) == [("1", "a b c d"), ("3", ""), ("None", "u v w x y")]
 
 
