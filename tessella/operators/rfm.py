@@ -14,6 +14,8 @@ from tessella.functions.columns import clamp, epoch, whole_days
 from tessella.sources.scratch import written
 
 SCORE_TOP = {"quintile": 5, "decile": 10, "percentile": 100}
+#: Customers up to which one task orders them all, as dealing them out costs more than it saves.
+ONE_TASK = 1_000_000
 
 
 def base(tx: DataFrame, as_of: str) -> DataFrame:
@@ -76,17 +78,17 @@ def scored(frame: DataFrame, method: str = "quintile", orientation: str = "refer
     Ties keep the order of the dimension scored before, and in the end the
     customer id, as repeated stable sorts would.
     """
-    n = frame.agg(F.count("*").alias("_total"))
+    frame = written(frame, "customers")
+    n = frame.count()
     r = [F.col("recency").desc(), F.col("customer_id").asc()]
     f = [F.col("frequency").desc(), *r]
     m = [F.col("monetary").desc(), *f]
     out = frame
     for order, name in ((r, "_r"), (f, "_f"), (m, "_m")):
-        out = positions(out, order, name)
-    out = out.crossJoin(F.broadcast(n))  # one row
+        out = out.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1) if n <= ONE_TASK else positions(out, order, name)
     for name, to in (("_r", "recency_score"), ("_f", "frequency_score"), ("_m", "monetary_score")):
-        out = out.withColumn(to, score(F.col(name), F.col("_total"), method, orientation))
-    return out.drop("_r", "_f", "_m", "_total")
+        out = out.withColumn(to, score(F.col(name), F.lit(n), method, orientation))
+    return out.drop("_r", "_f", "_m")
 
 
 def segment8(r: Column, f: Column, m: Column) -> Column:

@@ -18,3 +18,11 @@ def test_customer_without_dates_gets_zeros(spark):
 def test_empty_input_is_empty(spark):
     tx = spark.createDataFrame([], "customer_id string, ts timestamp, amount double")
     assert rfm.scored(rfm.base(tx, "2020-01-01")).count() == 0
+
+
+def test_both_ways_of_ordering_agree(spark, monkeypatch):
+    tx = spark.range(3000).selectExpr("id % 400 AS customer_id", "timestamp_seconds(1600000000 + (id * 7919) % 90000000) AS ts", "double((id * 31) % 97) AS amount")
+    frame = rfm.base(tx, "2024-01-01")
+    one = sorted(map(tuple, rfm.scored(frame).collect()))
+    monkeypatch.setattr(rfm, "ONE_TASK", 0)
+    assert sorted(map(tuple, rfm.scored(frame).collect())) == one
