@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,13 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 SETTING = "spark.checkpoint.dir"
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one where that is unset, as in tests."""
+    """The folder named in ``spark.checkpoint.dir`` as a full URI; a temporary one where that is unset, as in tests."""
     found = spark.sparkContext.getConf().get(SETTING) or spark.conf.get(SETTING, None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tessella-')}"
-        spark.conf.set(SETTING, found)
-    return found.rstrip("/")
+        found = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="tessella-")
+        _OWN[spark.sparkContext.applicationId] = found
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/(?!/)", "file:///", full).rstrip("/")
 
 
 def fresh(spark: SparkSession, tag: str) -> str:
