@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from tessella.functions.columns import bands, clamp, ratio
 
@@ -65,7 +66,7 @@ def industry_fit(size: Column, growth: Column) -> Column:
 def hierarchy(companies: DataFrame) -> DataFrame:
     """Children of each of (company_id, parent_id), by one join; depth is 1, or 2 where anything has a parent."""
     kids = companies.where("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("company_id")).agg(F.array_sort(F.collect_list("company_id")).alias("subsidiaries"))
-    return companies.join(kids, "company_id", "left").withColumn("subsidiaries", F.coalesce("subsidiaries", F.array().cast(companies.schema["company_id"].dataType.simpleString().join(("array<", ">")))))
+    return companies.join(kids, "company_id", "left").withColumn("subsidiaries", F.coalesce("subsidiaries", F.array().cast(ArrayType(companies.schema["company_id"].dataType))))
 
 
 def committee(members: DataFrame) -> DataFrame:
@@ -228,3 +229,19 @@ def audit_numbers(events: DataFrame) -> DataFrame:
     """Adds evt_i ids in order of time, per segment."""
     at = F.row_number().over(Window.partitionBy("segment_id").orderBy("timestamp", "actor")) - 1
     return events.withColumn("event_id", F.concat(F.lit("evt_"), at.cast("string")))
+
+
+def hierarchy_summary(companies: DataFrame) -> DataFrame:
+    """Root (the first of (seq, company_id, parent_id)), nodes, subsidiaries and depth."""
+    n = F.count("*")
+    return companies.agg(F.min_by("company_id", "seq").alias("root_company"), n.alias("total_nodes"), F.greatest(n - 1, F.lit(0)).alias("subsidiaries_count"), F.when(F.count("parent_id") > 0, 2).otherwise(1).alias("max_depth"))
+
+
+def segment_contract(min_size: Column, max_churn: Column, min_quality: Column, size: Column, churn: Column, quality: Column) -> Column:
+    """Whether a segment keeps its contract of size, churn and quality."""
+    return F.when((size >= min_size) & (churn <= max_churn) & (quality >= min_quality), "active").otherwise("breached")
+
+
+def provenance(sources: Column, transformations: Column) -> Column:
+    """Reliability of a feature: a little less where it was transformed."""
+    return F.when((transformations > 0) | (sources == 0), 0.9).otherwise(0.98)

@@ -22,6 +22,18 @@ FORMATS: dict[str, tuple] = {
     "Custom": (),
 }
 PLATFORMS = tuple(NEEDS)
+# Where a platform would be reached, and how it is told who calls. Nothing here calls.
+ENDPOINTS = {
+    "Braze": "https://rest.iad-01.braze.com/users/track",
+    "Iterable": "https://api.iterable.com/api/users/bulkUpdate",
+    "Klaviyo": "https://a.klaviyo.com/api/v1/person",
+    "Segment": "https://api.segment.com/v1/batch",
+    "Salesforce": "https://instance.salesforce.com/services/data/v57.0/sobjects/Contact",
+    "HubSpot": "https://api.hubapi.com/crm/v3/objects/contacts",
+    "RudderStack": "https://api.rudderstack.com/v1/identify",
+    "Custom": "https://example.com/activate",
+}
+SCHEMES = {"Iterable": ("Api-Key", ""), "Klaviyo": ("Authorization", "Klaviyo-API-Key "), "Segment": ("Authorization", "Basic ")}
 EVENTS = ("SegmentAssignment", "SegmentRemoval", "PropertyUpdate", "ListAdd", "ListRemove")
 
 
@@ -88,6 +100,16 @@ def platform_fields(platform: str) -> Column:
     return out
 
 
+def auth_header(platform: str, key: str) -> tuple[str, str]:
+    name, prefix = SCHEMES.get(platform, ("Authorization", "Bearer "))
+    return name, prefix + key
+
+
+def retry_delays(tries: int, first_ms: int = 1_000, factor: float = 2.0) -> list[int]:
+    """Waits between tries, each longer by a factor."""
+    return [int(first_ms * factor**i) for i in range(tries)]
+
+
 def deduplicated(messages: DataFrame) -> DataFrame:
     """The first by seq of each customer, platform and event."""
     order = Window.partitionBy("customer_id", "platform", "event_type").orderBy("seq")
@@ -154,6 +176,32 @@ def batched(records: DataFrame, key: str, size: int = 500) -> DataFrame:
     return out.join(out.groupBy("batch").agg(digest.alias("idempotency_key")), "batch")
 
 
+#: Fields of the two record kinds: name, type, whether unique, whether nullable.
+FIELDS = {
+    "audienceSegments": (("segmentId", "TEXT", True, False), ("segmentType", "TEXT", False, False), ("memberCount", "NUMBER", False, False), ("definitionHash", "TEXT", False, True), ("generatedAt", "DATE_TIME", False, False), ("source", "TEXT", False, False), ("schemaVersion", "TEXT", False, False)),
+    "audienceSegmentMemberships": (("membershipId", "TEXT", True, False), ("segmentId", "TEXT", False, False), ("customerId", "TEXT", False, False), ("score", "NUMBER", False, True), ("rfmSegment", "TEXT", False, True), ("assignedAt", "DATE_TIME", False, False), ("source", "TEXT", False, False), ("schemaVersion", "TEXT", False, False)),
+}
+KEYS = {"audienceSegments": "segmentId", "audienceSegmentMemberships": "membershipId"}
+
+
+def manifest(spark: SparkSession) -> DataFrame:
+    rows = [(kind, *f) for kind, fields in FIELDS.items() for f in fields]
+    return spark.createDataFrame(rows, "object string, name string, type string, unique boolean, nullable boolean")
+
+
+def segment_records(segments: DataFrame, source: str = "tessella") -> DataFrame:
+    """Records of (segment, segment_type, member_count); a negative count is an error."""
+    count = F.when(F.col("member_count") < 0, F.raise_error(F.lit("member_count must be 0 or more")).cast("bigint")).otherwise(F.col("member_count").cast("bigint"))
+    return segments.select(F.trim("segment").alias("name"), stable_id("seg_", F.trim("segment"), F.col("segment_type"), F.lit("")).alias("segmentId"), F.col("segment_type").alias("segmentType"), count.alias("memberCount"), F.lit(source).alias("source"))
+
+
+def write_plan(records: DataFrame, kind: str, size: int = 500) -> DataFrame:
+    """The operations that would write the records: a lookup and an upsert per batch, told apart by its key. Nothing is called."""
+    key = KEYS[kind]
+    per = batched(records, key, size).groupBy("batch", "idempotency_key").agg(F.count("*").alias("records"))
+    return per.select(F.lit(kind).alias("object"), F.lit(key).alias("match_field"), F.lit(f"/rest/{kind}").alias("lookup_path"), F.lit(f"/rest/{kind}/upsert").alias("upsert_path"), "batch", "idempotency_key", "records")
+
+
 # Plugins.
 
 

@@ -152,3 +152,46 @@ def explained(importance: DataFrame) -> DataFrame:
 
 def shap_like(value: Column, base: Column) -> Column:
     return (value - base) * 0.1
+
+
+def whole_profile(rows: DataFrame) -> DataFrame:
+    """Per segment of long rows (segment, feature, x): size, health and its parts, actionability, traits and a description.
+
+    The first feature by name is the one that the description tells of.
+    """
+    stats = statistics(rows)
+    text = F.concat_ws(" ", trait(F.col("mean"), F.col("median"), F.col("std")), F.col("feature"))
+    traits = F.transform(F.slice(F.array_sort(F.collect_list(F.when(trait(F.col("mean"), F.col("median"), F.col("std")).isNotNull(), F.struct("feature", text.alias("t"))))), 1, 3), lambda x: x["t"])
+    per = stats.groupBy("segment").agg(F.max("n").alias("size"), traits.alias("_traits"), F.min_by("feature", "feature").alias("_f"), F.min_by("mean", "feature").alias("_m"))
+    out = per.join(cohesion(stats), "segment").join(separation(rows), "segment", "left").join(actionability(stats), "segment")
+    out = out.withColumn("separation", F.coalesce("separation", F.lit(0.0))).withColumn("stability", stability(F.col("size")))
+    word = bands(F.col("size"), [("<", 50, "Small"), ("<", 200, "Medium"), ("<", 1000, "Large")], "Very large")
+    return out.select(
+        "segment",
+        "size",
+        "stability",
+        "cohesion",
+        "separation",
+        clamp(health(F.col("stability"), F.col("cohesion"), F.col("separation")), 0.0, 100.0).alias("health_score"),
+        "actionability",
+        F.when(F.size("_traits") > 0, F.col("_traits")).otherwise(F.array(F.lit("Homogeneous"))).alias("characteristics"),
+        F.format_string("%s segment of %d members with mean %s %.2f", word, F.col("size"), F.col("_f"), F.col("_m")).alias("description"),
+    )
+
+
+def business_metrics(profiles: DataFrame, stats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Share of each segment's size with the means over all segments, and the mean importance of each feature over the segments."""
+    whole = Window.partitionBy()
+    sizes = profiles.select("segment", ratio(F.col("size") * 100.0, F.sum("size").over(whole)).alias("size_percentage"), F.avg("actionability").over(whole).alias("segment_diversity"), F.avg("health_score").over(whole).alias("overall_health"))
+    n = profiles.agg(F.count("*").alias("_k"))
+    importance = stats.groupBy("feature").agg(F.sum("importance").alias("_i")).crossJoin(F.broadcast(n)).select("feature", (F.col("_i") / F.col("_k")).alias("importance"))  # one row
+    return sizes, importance
+
+
+def contributions(importance: DataFrame) -> DataFrame:
+    """Top and bottom third of the features of (segment, member, feature, score), one to five each."""
+    w = Window.partitionBy("segment", "member")
+    at = importance.withColumn("_n", F.count("*").over(w)).withColumn("_d", F.row_number().over(w.orderBy(F.desc("score"), "feature"))).withColumn("_a", F.row_number().over(w.orderBy("score", F.desc("feature"))))
+    most = F.least(F.greatest(F.floor(F.col("_n") / 3), F.lit(1)), F.lit(5))
+    pick = lambda rank: F.transform(F.array_sort(F.collect_list(F.when(F.col(rank) <= most, F.struct(rank, "feature")))), lambda x: x["feature"])
+    return at.groupBy("segment", "member").agg(pick("_d").alias("top_features"), pick("_a").alias("bottom_features"))

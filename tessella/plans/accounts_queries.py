@@ -300,3 +300,15 @@ def preprocessed(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
     out = learning.Preprocessing(("c_acctbal",), ("c_mktsegment",)).fit_transform(rows)
     return out.select("c_custkey", F.transform("features", lambda x: F.round(x, 8)).alias("features"))
+
+
+@query("record_plan", None)
+def record_plan(spark, sf_dir):
+    per = customers(spark, sf_dir).groupBy("segment").agg(F.count("*").alias("member_count")).withColumn("segment_type", F.lit("rfm"))
+    return activation.write_plan(activation.segment_records(per), "audienceSegments")
+
+
+@query("hierarchy_summary", "SELECT min(s_suppkey) AS root_company, count(*) AS total_nodes, count(*) - 1 AS subsidiaries_count, 2 AS max_depth FROM supplier")
+def hierarchy_summary(spark, sf_dir):
+    k = F.col("s_suppkey")
+    return accounts.hierarchy_summary(table(spark, sf_dir, "supplier").select(k.alias("seq"), k.alias("company_id"), F.when(k > 10, k % 10).alias("parent_id")))

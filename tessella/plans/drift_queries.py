@@ -239,3 +239,39 @@ def segment_health(spark, sf_dir):
     pred = profiling.predictability(F.lit(0.0), churn)["predictability_score"]
     cols = profiling.segment_health(F.lit(0.6), pred, F.lit(0.25), F.col("b"))
     return halves(spark, sf_dir).select("segment", *[(F.round(c, 6) if n == "health_score" else c).alias(n) for n, c in cols.items()])
+
+
+@query(
+    "profile_health",
+    f"""WITH {PS_SQL}, i AS (SELECT segment, max(n) AS n, avg(CASE WHEN abs(mean) > 1e-10 THEN std / abs(mean) END) AS cv FROM ps GROUP BY 1) SELECT segment, n AS size, round(1 / (1 + exp(-n / 100.0::DOUBLE)), 8) AS stability, round(1 - least(coalesce(cv, 1) / 2, 1), 6) AS cohesion FROM i""",
+)
+def profile_health(spark, sf_dir):
+    out = profiling.whole_profile(long_rows(spark, sf_dir))
+    return out.select("segment", "size", F.round("stability", 8).alias("stability"), F.round("cohesion", 6).alias("cohesion"))
+
+
+@query("profile_importance", f"WITH {PS_SQL} SELECT feature, round(sum(std / (mx - mn + 1e-10)) / (SELECT count(DISTINCT segment) FROM ps), 6) AS importance FROM ps GROUP BY 1")
+def profile_importance(spark, sf_dir):
+    rows = long_rows(spark, sf_dir)
+    return profiling.business_metrics(profiling.whole_profile(rows), profiling.statistics(rows))[1].withColumn("importance", F.round("importance", 6))
+
+
+@query(
+    "segment_explained",
+    f"""WITH {PS_SQL}, g AS (SELECT feature, avg(x) AS gm FROM long GROUP BY 1), r AS (SELECT segment, feature, round(std / (mx - mn + 1e-10), 6) AS imp, mean, gm FROM ps JOIN g USING (feature)), k AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY imp DESC, feature)::INT AS rank, max(imp) OVER (PARTITION BY segment) AS top FROM r)
+    SELECT segment, feature, rank, 'primary' AS kind, round(imp / greatest(top, 0.001), 6) AS weight, CASE WHEN mean > gm THEN 'high' ELSE 'low' END AS direction FROM k""",
+)
+def segment_explained(spark, sf_dir):
+    rows = long_rows(spark, sf_dir)
+    means = rows.groupBy("feature").agg(F.avg("x").alias("mean"))
+    stats = profiling.statistics(rows).select("segment", "feature", F.round("importance", 6).alias("importance"), F.col("mean").alias("value"))
+    return profiling.explained(stats.join(means, "feature")).select("segment", "feature", "rank", "kind", F.round("weight", 6).alias("weight"), "direction")
+
+
+@query(
+    "segment_contributions",
+    f"""WITH {PS_SQL}, r AS (SELECT segment, feature, round(std / (mx - mn + 1e-10), 6) AS s FROM ps) SELECT segment, list(feature ORDER BY s DESC, feature)[1:1] AS top_features, list(feature ORDER BY s, feature DESC)[1:1] AS bottom_features FROM r GROUP BY 1""",
+)
+def segment_contributions(spark, sf_dir):
+    stats = profiling.statistics(long_rows(spark, sf_dir)).select("segment", F.lit("all").alias("member"), "feature", F.round("importance", 6).alias("score"))
+    return profiling.contributions(stats).drop("member")
