@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows that one task numbers at once.
-ROWS_PER_CHUNK = 20_000
+ROWS_PER_CHUNK = 5_000
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str, at_most: int = 4 << 20, rows: int = 2_000) -> Iterator[pa.RecordBatch]:

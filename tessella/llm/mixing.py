@@ -96,7 +96,7 @@ def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
     every = total.agg(F.greatest(F.lit(1), F.ceil(F.sum("slots") / shard_slots)).cast("bigint").alias("shards"))
     # A source's slots are dealt out in runs, so that no row grows with the source.
     runs = total.where("slots > 0").crossJoin(F.broadcast(every)).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("slots") - 1) / 4096).cast("bigint"))))
-    runs = runs.repartition("source", "_run")
+    runs = runs.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "_run")
     numbered = runs.withColumn("slot", F.explode(F.sequence(F.col("_run") * 4096, F.least(F.col("_run") * 4096 + 4095, F.col("slots") - 1))))
     out = numbered.withColumn("pass", F.floor(F.col("slot") / F.col("n")).cast("bigint")).withColumn("_at", F.col("slot") % F.col("n"))
     out = out.withColumn("block", permuted(F.col("_at"), F.col("n"), F.col("source"), F.col("pass")))
@@ -127,7 +127,7 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     Equal input gives equal output; an empty table gives none.
     """
     at, sources = _placed(written(docs.select("doc_id", "source", "size"), "sizes"), block)
-    drawn = slots(sources, block)
+    drawn = written(slots(sources, block), "slots")  # written, so that the planner knows how many they are
     # A block is drawn by up to MOST_PASSES + 1 slots, all with different takes at most.
     per = drawn.groupBy("source", "block").agg(F.sort_array(F.collect_list("take")).alias("takes"))
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
@@ -158,7 +158,7 @@ def blocks(docs: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame
     part = F.slice("_words", (low + 1).cast("int"), (high - low).cast("int"))
     filled = cut.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("start", part.alias("w")))).alias("parts"))
     filled = filled.select("source", "block", F.flatten(F.transform("parts", lambda p: p["w"])).alias("_block"))
-    out = null_safe_join(slots(sources, block), filled, ["source", "block"])
+    out = null_safe_join(written(slots(sources, block), "slots"), filled, ["source", "block"])
     return out.select("shard", "source", "slot", F.slice("_block", F.lit(1), F.col("take").cast("int")).alias("words"))
 
 
