@@ -28,7 +28,7 @@ from tessella.sources.tables import table
 #: Magic number of the skippable frame that holds a dictionary; a fixed value of the format.
 DICTIONARY_FRAME = 0x184D2A5D
 DICTIONARY_BYTES = 64 << 10
-#: Records, and bytes of each, that the dictionary is trained on at most.
+#: Records, and characters of each, that the dictionary is trained on: about so many, and twice as many at most.
 SAMPLE_RECORDS, SAMPLE_BYTES = 1_000, 16 << 10
 LEVEL = 6
 #: Payloads of so many bytes or more are written once.
@@ -98,8 +98,14 @@ def records(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def trained(pages: DataFrame) -> bytes:
-    """A dictionary from at most SAMPLE_RECORDS records, taken by a hash of their ids; empty where they are too few."""
-    some = pages.select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html"), F.xxhash64("page_id").alias("h")).orderBy("h").limit(SAMPLE_RECORDS).collect()
+    """A dictionary from about SAMPLE_RECORDS records, those of a hash below a share; empty where they are too few.
+
+    Twice as many come to the driver at most.
+    """
+    n = pages.count()
+    hashed = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30))
+    picked = pages.where(hashed < min(1.0, SAMPLE_RECORDS / max(1, n)) * (1 << 30))
+    some = picked.select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html")).limit(2 * SAMPLE_RECORDS).collect()
     samples = []
     for r in some:
         body = (r.html or "").encode("utf-8", "surrogatepass")
