@@ -14,6 +14,7 @@ index of its documents (doc, start, n_tokens), also an Arrow file.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -33,7 +34,7 @@ LENGTH = 2_048
 #: Sequences of a record batch.
 BATCH = 512
 #: Distinct pieces whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 
 _tokenizers: dict = {}
 
@@ -48,9 +49,11 @@ class Encoder:
     """Ids of texts, as little-endian bytes of ``dtype``, with a memory of pieces.
 
     A byte-level pre-tokenizer puts a single space before the token that
-    follows it, so where all white space of a text that touches a space is
-    that space alone, the text may be cut before each space and the pieces
-    encoded one by one; each different piece then goes through the tokenizer
+    follows it and keeps other white space, letters, digits and signs apart.
+    So where all white space of a text that touches a space is that space
+    alone, the text may be cut before each space; a piece may be cut around
+    line feeds that touch no other white space, and before a last sign that
+    follows a letter or digit. Each different part goes through the tokenizer
     once. Other texts go through it whole. Special tokens' strings in a text
     are ordinary text.
     """
@@ -62,29 +65,89 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-        self.cuttable = _is_gpt2_like(path)
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # of pieces without and with a space before them
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else -1
+        self.cuttable = self.feed >= 0 and _is_gpt2_like(path)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str], space: int) -> list[bytes]:
+        """Ids of pieces that neither begin nor end with white space and hold no line feed, many to a text.
+
+        A line feed between two such pieces is a token of its own, whether or
+        not a space follows it, and parts their ids.
+        """
+        out: list[bytes] = []
+        for at in range(0, len(pieces), 500):
+            some = pieces[at : at + 500]
+            text = "\n".join([" " + p for p in some] if space else some)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            ends = [*(np.flatnonzero(ids == self.feed) * self.dtype.itemsize).tolist(), ids.nbytes]
+            raw, start = ids.tobytes(), 0
+            for end in ends:
+                out.append(raw[start:end])
+                start = end + self.dtype.itemsize
+        if len(out) != len(pieces):
+            raise ValueError("the line feed is no token of its own in this vocabulary")
+        return out
+
+    def _learn(self, pieces: set[str], space: int) -> None:
+        """Puts the ids of the pieces into the memory."""
+        known = self.known
+        new = [p for p in pieces if p not in known[space]]
+        plain = [[], []]  # parts that may share a text
+        whole = [[], []]  # and those that may not
+        cut = []
+        plain[space] = [p for p in new if p.isalnum()]
+        for p in new:
+            if not p.isalnum():
+                ps = parts(p, space)
+                if len(ps) > 1:
+                    cut.append((p, ps))
+                for x, s in ps:
+                    (whole if not x or _EDGES.search(x) else plain)[s].append(x)
+        for k in (0, 1):
+            some = [x for x in dict.fromkeys(plain[k]) if x not in known[k]]
+            known[k].update(zip(some, self._pieces(some, k), strict=True))
+            rest = [x for x in dict.fromkeys(whole[k]) if x not in known[k]]
+            known[k].update(zip(rest, self._whole([" " + p for p in rest] if k else rest), strict=True))
+        for p, ps in cut:
+            known[space][p] = b"".join([known[s][x] for x, s in ps])
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") if self.cuttable and regular(t) else None for t in texts]
-        whole = [texts[i] for i, c in enumerate(cut) if c is None] + [c[0] for c in cut if c is not None]
+        first = {c[0] for c in cut if c is not None}
         after = set().union(*[c[1:] for c in cut if c is not None])
-        if len(self.known) + len(after) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        missing = [p for p in after if p not in known]
-        for at in range(0, len(missing), 10_000):
-            part = missing[at : at + 10_000]
-            known.update(zip(part, self._whole([" " + p for p in part]), strict=True))
-        rest = iter(self._whole(whole))
-        out = [next(rest) if c is None else b"" for c in cut]
-        for i, c in enumerate(cut):
-            if c is not None:
-                out[i] = b"".join([next(rest), *map(known.__getitem__, c[1:])])
-        return out
+        if sum(map(len, self.known)) + len(after) > REMEMBERED:
+            for known in self.known:
+                known.clear()
+        self._learn(first, 0)
+        self._learn(after, 1)
+        plain, spaced = self.known
+        rest = iter(self._whole([t for t, c in zip(texts, cut, strict=True) if c is None]))
+        return [next(rest) if c is None else b"".join([plain[c[0]], *map(spaced.__getitem__, c[1:])]) for c in cut]
+
+
+_DOUBLE = re.compile(r"\s\s|^\s|\s\Z")
+_EDGES = re.compile(r"\n|^\s|\s\Z")
+#: All white space besides the space.
+_OTHER_SPACE = [chr(c) for c in (*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def parts(piece: str, space: int) -> list[tuple[str, int]]:
+    """What a piece may be cut into, each with whether a space stands before it."""
+    out: list[tuple[str, int]] = []
+    for i, line in enumerate(piece.split("\n") if "\n" in piece and not _DOUBLE.search(piece) else [piece]):
+        if i:
+            out.append(("\n", 0))
+            space = 0
+        if len(line) > 1 and line[-1] in ".,;:!?" and (line[-2].isalpha() or line[-2].isdecimal()):
+            out += [(line[:-1], space), (line[-1], 0)]
+        else:
+            out.append((line, space))
+    return out
 
 
 def _is_gpt2_like(path: str) -> bool:
@@ -103,9 +166,9 @@ def regular(text: str) -> bool:
 
 
 def _beside_space(text: str) -> bool:
-    import re
-
-    return text[:1] == " " or text[-1:] == " " or re.search(r" \s|[^\S ] ", text) is not None
+    if text[:1] == " " or text[-1:] == " " or "  " in text:
+        return True
+    return any(w in text and (" " + w in text or w + " " in text) for w in _OTHER_SPACE)
 
 
 def encoder(path: str) -> Encoder:
