@@ -31,6 +31,8 @@ STEPS = 4
 LEAST_GROUP = 60
 #: Quantiles of the chi-square distribution with 4 degrees of freedom at 0.75 and 0.975.
 CHI_SHARE, CHI_REWEIGHT = 5.385, 11.143
+#: Groups up to which their estimates, some 200 bytes each, are broadcast.
+MOST_BROADCAST = 50_000
 #: Squared distance from which a document is rejected.
 CUTOFF = 60.0
 #: The transformed statistics, each with the least standard deviation that a group is taken to have.
@@ -121,6 +123,11 @@ def _group_keys(lang: str, source: str) -> Column:
     return F.array(key(2, named(lang), named(source)), key(1, named(lang), F.lit("")), key(0, F.lit(""), F.lit("")))
 
 
+def _joinable(groups: DataFrame) -> DataFrame:
+    """A table of groups, to be broadcast while its rows are few."""
+    return F.broadcast(groups) if groups.count() <= MOST_BROADCAST else groups
+
+
 def estimates(rows: DataFrame, lang: str = "lang", source: str = "source", steps: int = STEPS) -> DataFrame:
     """Robust centre and factor of every group of ``rows`` (FEATURES and the two keys) with documents enough."""
     spread = rows.select(*NAMES, F.explode(_group_keys(lang, source)).alias("_")).select(*NAMES, *[F.col(f"_.{c}").alias(c) for c in KEY])
@@ -136,13 +143,13 @@ def estimates(rows: DataFrame, lang: str = "lang", source: str = "source", steps
     groups = written(_factor(plain.unionByName(middle)), "quality")
     by = [*KEY, "start"]
     for step in range(steps + 1):
-        far = _distance(spread.join(groups, list(KEY)).select(*by, *NAMES, *[f"m{i}" for i in range(len(NAMES))], *[f"l{i}{j}" for i, j in PAIRS]))
+        far = _distance(spread.join(_joinable(groups), list(KEY)).select(*by, *NAMES, *[f"m{i}" for i in range(len(NAMES))], *[f"l{i}{j}" for i, j in PAIRS]))
         if step < steps:
             edge = written(far.groupBy(*by).agg(F.percentile_approx("d2", SHARE, 2_000).alias("edge")), "quality")
         else:  # the last step takes all that lie near by the concentrated estimate, made consistent
             edge = written(far.groupBy(*by).agg((F.percentile_approx("d2", SHARE, 2_000) / CHI_SHARE * CHI_REWEIGHT).alias("edge")), "quality")
             edge = edge.withColumn("edge", F.greatest("edge", F.lit(CHI_REWEIGHT)))
-        near = far.join(edge, by).where(F.col("d2") <= F.col("edge"))
+        near = far.join(_joinable(edge), by).where(F.col("d2") <= F.col("edge"))
         groups = written(_factor(near.groupBy(*by).agg(*_moments())), "quality")
     best = groups.groupBy(*KEY).agg(F.min_by(F.struct(*[f"m{i}" for i in range(len(NAMES))], *[f"l{i}{j}" for i, j in PAIRS]), F.struct("volume", "start")).alias("_"))
     return best.select(*KEY, "_.*")
@@ -161,10 +168,12 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     groups = estimates(sound.select(lang, source, *features), lang, source)
     known = written(groups, "quality")
     keyed = sound.select("*", *features).withColumn("_keys", _group_keys(lang, source))
+    few = known.count() <= MOST_BROADCAST
     fine = known.select(F.struct(*KEY).alias("_key"), F.struct(*[c for c in known.columns if c not in KEY]).alias("_fit"))
     out = keyed
     for k in range(3):
-        out = out.join(fine.withColumnsRenamed({"_key": f"_key{k}", "_fit": f"_fit{k}"}), F.col("_keys")[k] == F.col(f"_key{k}"), "left").drop(f"_key{k}")
+        side = fine.withColumnsRenamed({"_key": f"_key{k}", "_fit": f"_fit{k}"})
+        out = out.join(F.broadcast(side) if few else side, F.col("_keys")[k] == F.col(f"_key{k}"), "left").drop(f"_key{k}")
     out = out.withColumn("_fit", F.coalesce("_fit0", "_fit1", "_fit2"))
     columns = [c for c in stats.columns]
     far = _distance(out.select(*columns, *NAMES, "_fit.*")).withColumn("distance", F.round("d2", 6)).select(*columns, "distance")
