@@ -1,12 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Test items are taken in blocks of bounded size. For each block, a first pass
-counts in how many documents each of the block's n-grams occurs. The n-grams
-of an item that are rare by the measure of that item are its seeds; so an item
-that has leaked into a great part of the corpus keeps its seeds. A second pass
-joins the documents' n-grams to the seeds, and where one hits, aligns the
-words around it with the item's. Both sides of the join are hashes: seeds are
-a sorted array behind a bit map, documents are hashed whole texts at a time.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+Test items are taken in blocks of bounded size. Every n-gram of an item is a
+seed, however many documents have it, so an item that has leaked, whole, in
+part or edited, into much of the corpus is found in all of it. One pass joins
+the documents' n-grams to the seeds. Around the hits of an item, the most that
+an alignment could score is taken from which words the item has at all; where
+that is enough, the words are aligned with the item's. Both sides of the joins
+are hashes: seeds are a sorted array behind a bit map, documents are hashed
+whole texts at a time.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from tessella.sources.tables import table
 SEED_WORDS = 3
 #: Bytes of items that are taken at once; with their hashes they stay well under what is safe to broadcast.
 BLOCK_BYTES = 16 << 20
-#: An n-gram is rare for its item if it occurs in at most so many times the documents of the item's lower quartile.
-RARE_TIMES, RARE_MORE = 4, 2
+#: Hits, and words around them, that a task has in memory at once, but for single documents with more.
+PIECE = 1 << 21
 #: Alignment scores.
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 #: A document contains an item if the alignment scores this share of the item's words, or this many.
@@ -101,36 +102,42 @@ class Seeds:
         return some[hit], at[hit]
 
 
+def _of_item(item: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of (item, word)."""
+    out = (words ^ ((item.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+    return (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
 @dataclass
 class Items:
-    """A block of test items: ids, word hashes, and for each seed where it stands."""
+    """A block of test items: ids, word hashes, which item has which words, and for each seed its items and where it stands in them."""
 
     ids: list
     words: list[np.ndarray]
+    needed: np.ndarray
+    vocabulary: Seeds
     seeds: Seeds
-    first: np.ndarray  # of each seed, in item_of and place_of
+    first: np.ndarray  # of each seed, in the next three: one entry for each item that has it
     item_of: np.ndarray
-    place_of: np.ndarray
+    early: np.ndarray  # its first and last place in the item
+    late: np.ndarray
 
     @classmethod
-    def made(cls, ids: list, texts: list[str], n: int, rare: dict[int, int] | None) -> Items:
+    def made(cls, ids: list, texts: list[str], n: int) -> Items:
         words = Words(texts)
-        all_grams, out, found = words.grams(n), [], []
-        for i in range(len(ids)):
-            a, b = int(words.offsets[i]), int(words.offsets[i + 1])
-            out.append(words.hashes[a:b])
-            grams = all_grams[a : b - n + 1] if b - a >= n else all_grams[:0]
-            if rare is not None and len(grams):
-                df = np.array([rare.get(int(g), 0) for g in grams.view(np.int64)])
-                keep = df <= RARE_TIMES * np.percentile(df, 25, method="lower") + RARE_MORE
-            else:
-                keep = np.ones(len(grams), bool)
-            found += [(int(grams[p]), i, p) for p in np.flatnonzero(keep)]
-        found.sort()
-        seeds = Seeds(np.array([f[0] for f in found], np.uint64))
-        first = np.searchsorted(np.array([f[0] for f in found], np.uint64), seeds.sorted) if found else np.zeros(0, np.int64)
-        first = np.append(first, len(found))
-        return cls(ids, out, seeds, first, np.array([f[1] for f in found], np.int64), np.array([f[2] for f in found], np.int64))
+        own = [words.hashes[a:b] for a, b in zip(words.offsets[:-1], words.offsets[1:], strict=True)]
+        item = np.repeat(np.arange(len(ids)), words.counts)
+        vocabulary = Seeds(_of_item(item, words.hashes))
+        grams = words.grams(n)
+        at = np.flatnonzero(np.arange(len(grams)) + n <= words.offsets[1:][item[: len(grams)]])
+        order = np.lexsort((at, item[at], grams[at]))
+        at = at[order]
+        gram, who, place = grams[at], item[at], at - words.offsets[item[at]]
+        starts = np.flatnonzero((np.diff(gram, prepend=0) != 0) | (np.diff(who, prepend=-1) != 0)) if len(at) else at
+        ends = np.append(starts[1:], len(at)) - 1 if len(at) else at
+        seeds = Seeds(gram)
+        first = np.append(np.searchsorted(gram[starts], seeds.sorted), len(starts))
+        return cls(ids, own, np.array([needed(len(w)) for w in own]), vocabulary, seeds, first, who[starts], place[starts], place[ends])
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> float:
@@ -160,42 +167,83 @@ def needed(length: int) -> float:
     return min(SHARE * length, ENOUGH) if SHARE * length > SHORT_ITEM else float(SHORT_ITEM)
 
 
+def ceilings(items: Items, words: Words, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The most that an alignment of each item within the words low to high can score.
+
+    A word that the item has gains a match at best, any other costs the least
+    penalty; no alignment scores more than the best stretch of such gains.
+    """
+    out, ends, a = np.zeros(len(item)), np.cumsum(high - low), 0
+    while a < len(item):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PIECE, "right")))
+        length = high[a:b] - low[a:b]
+        place, who = ragged(low[a:b], length), np.repeat(np.arange(b - a), length)
+        gain = np.full(len(place), max(MISMATCH, GAP))
+        gain[items.vocabulary.find(_of_item(item[a:b][who], words.hashes[place]))[0]] = MATCH
+        after = np.cumsum(gain)
+        apart = who * (2.0 * len(place) + 2.0)  # so that the running least begins anew with each stretch
+        least = np.minimum.accumulate(after - gain - apart) + apart
+        out[a:b] = np.maximum.reduceat(after - least, np.cumsum(length) - length)
+        a = b
+    return out
+
+
 def matches(items: Items, texts: list[str], n: int) -> Iterator[tuple[int, int, float]]:
     """(text, item, score) for each item that a text contains."""
     words = Words(texts)
-    grams = words.grams(n)
-    at, seed = items.seeds.find(grams)
+    at, seed = items.seeds.find(words.grams(n))
     doc = np.searchsorted(words.offsets, at, "right") - 1
     inside = at + n <= words.offsets[doc + 1]
     at, seed, doc = at[inside], seed[inside], doc[inside]
-    if not len(at):
-        return
-    # One row per hit and item: the place where the item would begin in the text.
+    many = np.cumsum(items.first[seed + 1] - items.first[seed])
+    a = 0
+    while a < len(at):  # whole documents
+        b = int(np.searchsorted(many, (many[a - 1] if a else 0) + PIECE, "right"))
+        if b < len(at):
+            b = int(np.searchsorted(doc, doc[b], "left"))
+        if b <= a:
+            b = int(np.searchsorted(doc, doc[a], "right"))
+        yield from _aligned(items, words, at[a:b], seed[a:b], doc[a:b])
+        a = b
+
+
+def _aligned(items: Items, words: Words, at: np.ndarray, seed: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    # One row per hit and item: the words among which the item would stand.
     many = items.first[seed + 1] - items.first[seed]
     pick = ragged(items.first[seed], many)
-    at, doc = np.repeat(at, many), np.repeat(doc, many)
-    item, begin = items.item_of[pick], at - items.place_of[pick]
-    order = np.lexsort((begin, item, doc))
-    doc, item, begin = doc[order], item[order], begin[order]
-    cut = np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0)) + 1
-    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(doc)], strict=True):
+    at, doc, item = np.repeat(at, many), np.repeat(doc, many), items.item_of[pick]
+    size = np.array([len(w) for w in items.words])[item]
+    slack = (size * SLACK).astype(np.int64) + 2
+    low = np.maximum(words.offsets[doc], at - items.late[pick] - slack)
+    high = np.minimum(words.offsets[doc + 1], at - items.early[pick] + size + slack)
+    order = np.lexsort((high, low, item, doc))
+    doc, item, low, high = doc[order], item[order], low[order], high[order]
+    # Rows of one text and item that overlap are one stretch.
+    new = (np.diff(doc, prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0)
+    apart = np.cumsum(new) * (len(words.hashes) + 1)
+    reach = np.maximum.accumulate(high + apart)
+    new[1:] |= low[1:] + apart[1:] > reach[:-1]
+    starts = np.flatnonzero(new)
+    stops = np.append(starts[1:], len(new))
+    able = ceilings(items, words, item[starts], low[starts], (reach - apart)[stops - 1]) >= items.needed[item[starts]]
+    scores: dict[tuple[int, int], float] = {}
+    for a, b in zip(starts[able].tolist(), stops[able].tolist(), strict=True):
         d, k = int(doc[a]), int(item[a])
         own = items.words[k]
-        slack = int(len(own) * SLACK) + 2
-        low, high = int(words.offsets[d]), int(words.offsets[d + 1])
-        best, until = 0.0, -1
+        best, until = scores.get((d, k), 0.0), -1
         i = a
-        while i < b:  # hits whose windows overlap are aligned once
-            start = max(low, int(begin[i]) - slack)
-            end = min(high, int(begin[i]) + len(own) + slack)
-            while i + 1 < b and int(begin[i + 1]) - slack <= end and end - start < 4 * len(own) + 64:
+        while i < b:  # rows that overlap are aligned once
+            start, end = int(low[i]), int(high[i])
+            while i + 1 < b and int(low[i + 1]) <= end and end - start < 4 * len(own) + 64:
                 i += 1
-                end = min(high, int(begin[i]) + len(own) + slack)
+                end = max(end, int(high[i]))
             i += 1
             if end > until:
                 best, until = max(best, align(own, words.hashes[start:end])), end
-        if best >= needed(len(own)):
-            yield d, k, best / len(own)
+        scores[d, k] = best
+    for (d, k), best in scores.items():
+        if best >= items.needed[k]:
+            yield d, k, best / len(items.words[k])
 
 
 def _blocks(items: DataFrame) -> Iterator[tuple[list, list[str]]]:
@@ -209,27 +257,6 @@ def _blocks(items: DataFrame) -> Iterator[tuple[list, list[str]]]:
             yield [r.item_id for r in mine], [r.text for r in mine]
 
 
-def _document_counts(docs: DataFrame, grams: np.ndarray, n: int) -> dict[int, int]:
-    """In how many documents each of the block's n-grams occurs, over all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(Seeds(grams))  # bounded by BLOCK_BYTES
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = shared.value
-        total = np.zeros(len(seeds.sorted), np.int64)
-        for batch in slices(batches, "_text", 2 << 20):
-            words = Words(batch.column("_text").to_pylist())
-            at, seed = seeds.find(words.grams(n))
-            doc = np.searchsorted(words.offsets, at, "right") - 1
-            inside = at + n <= words.offsets[doc + 1]
-            once = np.unique(doc[inside] * len(seeds.sorted) + seed[inside])
-            total += np.bincount(once % len(seeds.sorted), minlength=len(total)) if len(once) else 0
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"gram": pa.array(seeds.sorted[some].view(np.int64)), "n": pa.array(total[some])})
-
-    found = docs.select("_text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    return dict(zip(found["gram"].to_pylist(), found["n"].to_pylist(), strict=True))
-
-
 def contaminated(docs: DataFrame, items: DataFrame, n: int = SEED_WORDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per document and item that it contains: the kept columns, item_id, score.
 
@@ -244,9 +271,7 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = SEED_WORDS, keep: t
     schema = narrow.select(*keep, F.lit(0).alias("_item"), F.lit(0.0).alias("score")).schema
     out = None
     for ids, texts in _blocks(items):
-        grams = Items.made(ids, texts, n, None).seeds.sorted
-        block = Items.made(ids, texts, n, _document_counts(narrow, grams, n) if len(grams) else {})
-        shared = spark.sparkContext.broadcast(block)  # bounded by BLOCK_BYTES
+        shared = spark.sparkContext.broadcast(Items.made(ids, texts, n))  # bounded by BLOCK_BYTES
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "_text", 2 << 20):

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from tessella.llm import decontam
 from tests.conftest import SMALL
@@ -74,3 +75,30 @@ def test_alignment_by_diagonals_is_alignment():
     for _ in range(40):
         a, b = ([chance.randrange(6) for _ in range(chance.randrange(1, 30))] for _ in range(2))
         assert decontam.align(np.array(a, np.uint64), np.array(b, np.uint64)) == align(a, b)
+
+
+@pytest.mark.parametrize("copies", [3, 1000])
+@pytest.mark.parametrize("kind", ["edited", "half", "three quarters", "whole and edited"])
+def test_repeated_partial_leaks_are_found_in_every_document(spark, kind, copies):
+    chance = random.Random(3)
+    vocabulary = ["".join(chance.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    text = lambda n: [chance.choice(vocabulary) for _ in range(n)]
+    item = text(40)
+    edited = [f"new{n}" if n in (3, 13, 23, 33) else w for n, w in enumerate(item)]
+    passage = {"edited": edited, "half": item[:24], "three quarters": item[:30], "whole and edited": edited}[kind]
+    docs = [(k, " ".join([*text(15), *passage, *text(15)])) for k in range(copies)]
+    docs += [(copies, " ".join([*text(15), *item, *text(15)]))] if kind == "whole and edited" else []
+    docs += [(10_000 + k, " ".join([*text(30), *item[9 * k : 9 * k + 9], *text(30)])) for k in range(4)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = decontam.contaminated(frame, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in got} == brute(docs, [(7, " ".join(item))])
+    assert {r.doc_id for r in got} >= set(range(copies))
+
+
+def test_no_alignment_scores_above_its_ceiling():
+    chance = random.Random(4)
+    for _ in range(60):
+        a, b = ([chance.choice("pqrstuvwxyz") for _ in range(chance.randrange(3, 30))] for _ in range(2))
+        items, words = decontam.Items.made([1, 2], ["other words here", " ".join(a)], 3), decontam.Words(["before", " ".join(b)])
+        top = decontam.ceilings(items, words, np.array([1, 0]), np.array([1, 1]), np.array([1 + len(b)] * 2))
+        assert max(0.0, top[0]) >= align(a, b) and top[1] <= 0  # a stretch has one word at least, which may be a penalty
