@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 import pyarrow.fs
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import null_safe_join, slices
@@ -115,12 +115,19 @@ def trained(pages: DataFrame) -> bytes:
     return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
 
 
+def _body() -> Column:
+    return F.coalesce(F.col("html"), F.lit("")).cast("binary")
+
+
+def _sha() -> Column:
+    return F.sha1(_body())
+
+
 def planned(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """page_id, refers_to for the pages whose payload one with a larger page_id has too."""
-    body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = written(pages.select("page_id", F.sha1(body).alias("sha"), F.octet_length(body).alias("n")), "digests")
+    """page_id, sha, refers_to for the pages whose payload, of that SHA-1, one with a larger page_id has too."""
+    rows = written(pages.select("page_id", _sha().alias("sha"), F.octet_length(_body()).alias("n")), "digests")
     most = rows.where(F.col("n") >= least).groupBy("sha").agg(F.max("page_id").alias("most"), F.count("*").alias("same")).where("same > 1").drop("same")
-    return written(rows.join(most, "sha").where("page_id < most").select("page_id", F.col("most").alias("refers_to")).distinct(), "revisits")
+    return written(rows.join(most, "sha").where("page_id < most").select("page_id", "sha", F.col("most").alias("refers_to")).distinct(), "revisits")
 
 
 def write(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) -> DataFrame:
@@ -132,7 +139,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) -> DataFram
     spark = pages.sparkSession
     raw = spark.sparkContext.broadcast(trained(pages))  # DICTIONARY_BYTES at most
     plan = planned(pages, least)
-    rows = null_safe_join(pages.select("page_id", "url", "html"), plan, ["page_id"]) if not plan.isEmpty() else pages.select("page_id", "url", "html", F.lit(None).cast("bigint").alias("refers_to"))
+    rows = null_safe_join(pages.select("page_id", "url", "html", _sha().alias("sha")), plan, ["page_id", "sha"]).drop("sha") if not plan.isEmpty() else pages.select("page_id", "url", "html", F.lit(None).cast("bigint").alias("refers_to"))
     rows = rows.withColumn("_part", F.spark_partition_id())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

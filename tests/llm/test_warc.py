@@ -50,3 +50,13 @@ def test_records_stand_alone_behind_the_dictionary(spark, tmp_path):
         assert one.decompress(data[start:]).startswith(b"WARC/1.1\r\n") and one.eof
         with pytest.raises(zstandard.ZstdError):
             zstandard.ZstdDecompressor().decompressobj().decompress(data[start:])
+
+
+def test_a_page_id_with_two_payloads_keeps_both(spark):
+    schema = "page_id long, url string, html string"
+    one_later = [(5, "u", "A"), (5, "u", "B"), (9, "u", "A")]
+    both_later = [(5, "u", "A"), (5, "u", "B"), (9, "u", "A"), (8, "u", "B"), (5, "u", "B")]
+    for pages in (one_later, both_later):
+        got = rows(warc.archived(spark.createDataFrame(pages, schema)))
+        assert got == sorted(want([(i, b) for i, _, b in pages]), key=repr)
+        assert {r[2] for r in got if r[3] == "response"} == {r[2] for r in got}
