@@ -69,3 +69,21 @@ def test_estimates_ignore_outliers(spark):
     assert np.abs(factor @ factor.T - least - np.diag([0.25] * 4)).max() < 0.1
     far = [float(((np.linalg.solve(factor, x - centre)) ** 2).sum()) for x in (good[0], bad[0])]
     assert far[0] < quality.CUTOFF < far[1]
+
+
+def test_moderate_outliers_of_each_statistic_alone_are_rejected(spark):
+    chance = random.Random(6)
+
+    def text(letters=5, symbols=0, lines=0, repeated=0):
+        words = ["".join(chance.choice("abcdefghij") for _ in range(chance.randrange(letters - 2, letters + 3))) for _ in range(100 - repeated)]
+        for i in range(symbols):
+            words[10 * i] += "#"
+        words += words[:repeated]
+        return " ".join(words) + "".join(f"\nsame {chance.random()} {chance.random()}\nmore" for _ in range(lines + bool(lines)))
+
+    odd = {"symbols": text(symbols=8), "dup_lines": text(lines=8), "word_length": text(letters=8), "repeats": text(repeated=24)}
+    fine = {"one symbol": text(symbols=1), "two lines": text(lines=2), "some repeats": text(repeated=12)}
+    docs = [(f"good {n}", text()) for n in range(300)] + [*odd.items(), *fine.items()]
+    got = quality.judged(spark.createDataFrame([(*d, "en", "s") for d in docs], "doc_id string, text string, lang string, source string")).collect()
+    assert {r.doc_id for r in got if not r.kept} == set(odd)
+    assert {r.doc_id for r in got if r.base_failed} == {"repeats"}  # the plain rule's, as good documents have up to its limit
