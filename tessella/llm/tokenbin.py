@@ -21,11 +21,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import slices
+from tessella.llm.common import ragged, slices
 from tessella.sources.scratch import fresh
 from tessella.sources.tables import table
 
@@ -33,8 +34,11 @@ END = 0
 LENGTH = 2_048
 #: Sequences of a record batch.
 BATCH = 512
-#: Distinct pieces whose ids a worker remembers.
-REMEMBERED = 600_000
+#: Bytes of pieces and their ids that a worker remembers, and what one takes besides its characters and ids.
+MEMORY_BYTES = 160 << 20
+ENTRY_BYTES = 190
+#: Bytes of text that are encoded at once.
+ENCODED_AT_ONCE = 6 << 20
 
 _tokenizers: dict = {}
 
@@ -46,7 +50,7 @@ def tokenizer_path() -> str:
 
 
 class Encoder:
-    """Ids of texts, as little-endian bytes of ``dtype``, with a memory of pieces.
+    """Ids of texts, with a memory of pieces.
 
     A byte-level pre-tokenizer puts a single space before the token that
     follows it and keeps other white space, letters, digits and signs apart.
@@ -54,8 +58,9 @@ class Encoder:
     alone, the text may be cut before each space; a piece may be cut around
     line feeds that touch no other white space, and before a last sign that
     follows a letter or digit. Each different part goes through the tokenizer
-    once. Other texts go through it whole. Special tokens' strings in a text
-    are ordinary text.
+    once, and a text's ids are gathered from those of its pieces. Other texts
+    go through it whole, as do those that hold a special token's string, which
+    the tokenizer turns into that token's id.
     """
 
     def __init__(self, path: str):
@@ -63,9 +68,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # of pieces without and with a space before them
+        self.size = 0  # bytes of the memory, about
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 else -1
         self.cuttable = self.feed >= 0 and _is_gpt2_like(path)
@@ -93,43 +99,80 @@ class Encoder:
             raise ValueError("the line feed is no token of its own in this vocabulary")
         return out
 
-    def _learn(self, pieces: set[str], space: int) -> None:
-        """Puts the ids of the pieces into the memory."""
+    def _remember(self, space: int, pieces: list[str], ids: list[bytes]) -> None:
+        self.known[space].update(zip(pieces, ids, strict=True))
+        self.size += sum(map(len, pieces)) + sum(map(len, ids)) + ENTRY_BYTES * len(pieces)
+
+    def _learn(self, new: list[str], space: int) -> None:
+        """Puts the ids of pieces that aren't known into the memory."""
         known = self.known
-        new = [p for p in pieces if p not in known[space]]
-        plain = [[], []]  # parts that may share a text
-        whole = [[], []]  # and those that may not
+        plain: tuple[list, list] = [], []  # parts that may share a text
+        whole: tuple[list, list] = [], []  # and those that may not
         cut = []
-        plain[space] = [p for p in new if p.isalnum()]
         for p in new:
-            if not p.isalnum():
-                ps = parts(p, space)
-                if len(ps) > 1:
-                    cut.append((p, ps))
-                for x, s in ps:
-                    (whole if not x or _EDGES.search(x) else plain)[s].append(x)
+            if p.isalnum():
+                plain[space].append(p)
+                continue
+            ps = parts(p, space)
+            if len(ps) > 1:
+                cut.append((p, ps))
+            for x, s in ps:
+                (whole if not x or _EDGES.search(x) else plain)[s].append(x)
         for k in (0, 1):
             some = [x for x in dict.fromkeys(plain[k]) if x not in known[k]]
-            known[k].update(zip(some, self._pieces(some, k), strict=True))
+            self._remember(k, some, self._pieces(some, k))
             rest = [x for x in dict.fromkeys(whole[k]) if x not in known[k]]
-            known[k].update(zip(rest, self._whole([" " + p for p in rest] if k else rest), strict=True))
-        for p, ps in cut:
-            known[space][p] = b"".join([known[s][x] for x, s in ps])
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") if self.cuttable and regular(t) else None for t in texts]
-        first = {c[0] for c in cut if c is not None}
-        after = set().union(*[c[1:] for c in cut if c is not None])
-        if sum(map(len, self.known)) + len(after) > REMEMBERED:
+            self._remember(k, rest, self._whole([" " + p for p in rest] if k else rest))
+        self._remember(space, [p for p, _ in cut], [b"".join([known[s][x] for x, s in ps]) for _, ps in cut])
+
+    def _ids(self, pieces: list[str], space: int) -> list[bytes]:
+        known = self.known[space]
+        found = [known.get(p) for p in pieces]
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            self._learn([pieces[i] for i in missing], space)
+            for i in missing:
+                found[i] = known[pieces[i]]
+        return found
+
+    def __call__(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each text's followed by ``end`` if given, and how many each has."""
+        if self.size > MEMORY_BYTES:
             for known in self.known:
                 known.clear()
-        self._learn(first, 0)
-        self._learn(after, 1)
-        plain, spaced = self.known
-        rest = iter(self._whole([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        return [next(rest) if c is None else b"".join([plain[c[0]], *map(spaced.__getitem__, c[1:])]) for c in cut]
-
-
+            self.size = 0
+        cut = [self.cuttable and regular(t) and GLUE not in t and not any(x in t for x in self.special) for t in texts]
+        glued = pa.array([_lines_apart(t) if c else "" for t, c in zip(texts, cut, strict=True)], pa.large_string())
+        coded = pc.split_pattern(pc.replace_substring_regex(glued, _LAST_SIGN, r"\1 " + GLUE + r"\2\3"), " ")
+        lists, coded = coded, coded.flatten().dictionary_encode()
+        spaced = coded.dictionary.to_pylist()
+        pick = coded.indices.to_numpy().astype(np.int64)
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        bounds = bounds - bounds[0]
+        # The first piece of a text has no space before it; a text that isn't cut is one piece.
+        starts, at = np.unique(pick[bounds[:-1]], return_inverse=True)
+        after_space = iter(self._ids([p for p in spaced if p[:1] != GLUE], 1))
+        after_glue = iter(self._ids([p[1:] for p in spaced if p[:1] == GLUE], 0))
+        table = [next(after_glue if p[:1] == GLUE else after_space) for p in spaced]
+        table += self._ids([spaced[i] for i in starts.tolist()], 0)
+        pick[bounds[:-1]] = len(spaced) + at
+        whole = [i for i, c in enumerate(cut) if not c]
+        pick[bounds[whole]] = len(table) + np.arange(len(whole))
+        table += self._whole([texts[i] for i in whole])
+        if end is not None:
+            pick = np.insert(pick, bounds[1:], len(table))
+            bounds = bounds + np.arange(len(bounds))
+            table.append(np.array([end], self.dtype).tobytes())
+        lengths = np.fromiter(map(len, table), np.int64, len(table)) // self.dtype.itemsize
+        first = np.cumsum(lengths) - lengths
+        ids = np.frombuffer(b"".join(table), self.dtype)[ragged(first[pick], lengths[pick])]
+        done = np.concatenate([[0], np.cumsum(lengths[pick])])
+        return ids, np.diff(done[bounds])
+
+
+#: Stands before a piece that no space precedes.
+GLUE = "\x01"
+_LAST_SIGN = r"([\p{L}\p{Nd}])([.,;:!?])( |\z)"
 _DOUBLE = re.compile(r"\s\s|^\s|\s\Z")
 _EDGES = re.compile(r"\n|^\s|\s\Z")
 #: All white space besides the space.
@@ -150,6 +193,13 @@ def parts(piece: str, space: int) -> list[tuple[str, int]]:
     return out
 
 
+def _lines_apart(text: str) -> str:
+    """The text with single line feeds parted from what stands beside them, if it has no other white space than spaces."""
+    if "\n" not in text or "\n\n" in text or text[0] == "\n" or text[-1] == "\n" or any(w in text for w in _OTHER_SPACE if w != "\n"):
+        return text
+    return text.replace("\n", f" {GLUE}\n {GLUE}")
+
+
 def _is_gpt2_like(path: str) -> bool:
     """Whether the file says byte-level pre-tokenizing with the usual pattern and no other step that looks at white space."""
     import json
@@ -191,20 +241,21 @@ class ShardWriter:
         self.schema = pa.schema([pa.field("ids", pa.list_(pa.field("id", kind, False), length), False), pa.field("mask", pa.list_(pa.field("real", pa.bool_(), False), length), False)])
         self.sink = self.fs.open_output_stream(f"{self.temporary}.arrow")
         self.out = pa.ipc.new_file(self.sink, self.schema)
-        self.rest, self.pending = [], 0
-        self.docs: list[tuple[list, np.ndarray]] = []
+        self.rest: list[np.ndarray] = []
+        self.pending = 0
+        self.docs: list[tuple[pa.Array, np.ndarray]] = []
         self.done = 0
 
-    def add(self, ids: list[bytes], docs: pa.Array) -> None:
-        sizes = np.array([len(x) // self.dtype.itemsize for x in ids], np.int64)
+    def add(self, ids: np.ndarray, sizes: np.ndarray, docs: pa.Array) -> None:
+        """``ids`` of several documents in a row, ``sizes`` of each."""
         self.docs.append((docs, sizes))
-        self.rest += ids
-        self.pending += int(sizes.sum())
+        self.rest.append(ids)
+        self.pending += len(ids)
         if self.pending >= self.length * BATCH:
             self._flush(False)
 
     def _flush(self, last: bool) -> None:
-        ids = np.frombuffer(b"".join(self.rest), self.dtype)
+        ids = np.concatenate(self.rest) if self.rest else np.zeros(0, self.dtype)
         step = self.length * BATCH
         for at in range(0, len(ids) if last else len(ids) - step + 1, step):
             part = ids[at : at + step]
@@ -216,7 +267,7 @@ class ShardWriter:
             values = [pa.Array.from_buffers(kinds[0].value_type, full, [None, pa.py_buffer(part.tobytes())]), pa.Array.from_buffers(pa.bool_(), full, [None, pa.py_buffer(mask.tobytes())])]
             self.out.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(v, type=k) for v, k in zip(values, kinds, strict=True)], schema=self.schema))
             self.done = at + step
-        self.rest, self.pending = ([], 0) if last else ([ids[self.done :].tobytes()], len(ids) - self.done)
+        self.rest, self.pending = ([], 0) if last else ([ids[self.done :].copy()], len(ids) - self.done)
         self.done = 0
 
     def close(self) -> None:
@@ -280,15 +331,14 @@ def write(docs: DataFrame, folder: str, path: str, text: str = "text", length: i
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, shard, n_docs, n_tokens = None, 0, 0, 0
         encode = encoder(path)
-        tail = np.array([end], encode.dtype).tobytes()
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", ENCODED_AT_ONCE, 20_000):
             if made is None:
                 shard = batch.column("_shard")[0].as_py()
                 made = ShardWriter(folder, shard, encode.dtype, length)
-            ids = [x + tail for x in encode(batch.column("_text").to_pylist())]
-            made.add(ids, batch.column("doc_id"))
-            n_docs += len(ids)
-            n_tokens += sum(map(len, ids)) // encode.dtype.itemsize
+            ids, sizes = encode(batch.column("_text").to_pylist(), end)
+            made.add(ids, sizes, batch.column("doc_id"))
+            n_docs += len(sizes)
+            n_tokens += len(ids)
         if made is not None:
             made.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": [n_docs], "n_tokens": [n_tokens]})

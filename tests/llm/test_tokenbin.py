@@ -13,7 +13,6 @@ from tests.conftest import SMALL
 @pytest.fixture(scope="module")
 def plain():
     made = Tokenizer.from_file(tokenbin.tokenizer_path())
-    made.encode_special_tokens = True
     return lambda text: [*made.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -43,14 +42,36 @@ def test_pieces_encode_as_whole_texts(plain):
     chance = random.Random(3)
     encode = tokenbin.encoder(tokenbin.tokenizer_path())
     texts = ["".join(chance.choice(["a", "B'll", " ", " ", "\n", "7", "-", "é", " ", "'s", "中", "word", ".", "\t"]) for _ in range(chance.randrange(40))) for _ in range(3000)]
-    for text, ids in zip(texts, encode(texts), strict=True):
-        assert np.frombuffer(ids, encode.dtype).tolist() == plain(text)[:-1], repr(text)
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "x\x01 y, z.", "a.\nb!\nc", "", "end."]
+    ids, sizes = encode(texts)
+    at = np.cumsum(sizes)
+    for text, end, n in zip(texts, at, sizes, strict=True):
+        assert ids[end - n : end].tolist() == plain(text)[:-1], repr(text)
+    ids, sizes = encode(texts, 0)
+    assert ids.tolist() == [i for t in texts for i in plain(t)] and sizes.tolist() == [len(plain(t)) for t in texts]
+
+
+def test_memory_is_bounded_in_bytes(plain, monkeypatch):
+    monkeypatch.setattr(tokenbin, "MEMORY_BYTES", 20_000)
+    encode = tokenbin.Encoder(tokenbin.tokenizer_path())
+    for k in range(30):
+        texts = [" ".join(f"w{k}x{i}," for i in range(100))]
+        assert encode(texts)[0].tolist() == plain(texts[0])[:-1]
+        assert encode.size < 20_000 + 60_000
+
+
+def test_null_and_repeated_ids(spark, plain):
+    rows = [(None, "one two"), (None, "three"), (4, "b"), (4, "a"), (4, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7L AS n_tokens", "'s' AS _text")
+    got = tokenbin.encoded(docs).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, 4, 4, 4]
+    assert sorted((r.doc_id is None, r.ids_crc32) for r in got) == sorted((d is None, zlib.crc32(np.array(plain(t), "<u4").tobytes())) for d, t in rows)
 
 
 def test_sequences_have_equal_length_and_masks(tmp_path):
     made = tokenbin.ShardWriter(f"file://{tmp_path}", 0, np.dtype("<u2"), 16)
     stream = np.arange(16 * tokenbin.BATCH * 2 + 21, dtype="<u2")
-    made.add([stream[:1000].tobytes(), stream[1000:].tobytes()], pa.array([4, 9]))
+    made.add(stream, np.array([1000, len(stream) - 1000]), pa.array([4, 9]))
     made.close()
     reader = tokenbin.ShardReader(f"file://{tmp_path}", 0)
     assert (reader.span(0, len(stream)) == stream).all()
