@@ -5,25 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.sources.scratch import written
+from tessella.sources.scratch import forget, written
+
+
+def _hooked(links: DataFrame) -> DataFrame:
+    """Every end of ``links`` (a, b, both ways round) and the smallest of it and its neighbours, as (a, low)."""
+    return links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node``, ``root`` for every end of ``edges`` (a, b): root is the smallest node that is reachable.
 
-    Each round takes the smallest label among a node's neighbours and then
-    that label's own label, so that the number of rounds follows the logarithm
-    of the longest path. Labels are written to the shared folder each round;
-    nothing but a count comes to the driver.
+    Two steps take turns until nothing changes. In the large step every node
+    ties its larger neighbours to the smallest node it knows; in the small
+    step it ties itself and its smaller neighbours to that. Components keep
+    together, the number of edges never grows, and long paths shrink by a
+    factor each round, so that the number of rounds follows the logarithm of
+    the longest path. Edges are written to the shared folder each round and
+    those of the round before deleted; nothing but a count comes to the
+    driver. Null ends and loops are no edges.
     """
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "labels")
+    now = written(edges.selectExpr("greatest(a, b) AS a", "least(a, b) AS b").where("a > b").distinct(), "edges")
+    ends = written(now.select("a").union(now.select("b")).distinct(), "ends")
     for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        lower = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("root").alias("low_root"))
-        moved = written(lower.join(jump, "low").select("node", F.least("low", "low_root").alias("root"), (F.least("low", "low_root") < F.col("root")).alias("moved")), "labels")
-        labels = moved.select("node", "root")
-        if moved.where("moved").isEmpty():
-            return labels
+        both = now.unionByName(now.selectExpr("b AS a", "a AS b"))
+        large = both.join(_hooked(both), "a").where("b > a").selectExpr("b AS a", "low AS b").distinct()
+        large = written(large, "edges")
+        # Every edge now points from the larger end to the smaller.
+        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        small = large.join(low, "a").where("b <> low").selectExpr("b AS a", "low AS b").unionByName(low.withColumnRenamed("low", "b")).distinct()
+        after = written(small, "edges")
+        sign = [F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("all"), F.expr("sum(cast(xxhash64(b, a) as decimal(38, 0)))").alias("sum")]
+        settled = now.agg(*sign).first() == after.agg(*sign).first()
+        forget(now)
+        forget(large)
+        now = after
+        if settled:
+            roots = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+            found = written(ends.withColumnRenamed("a", "node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "labels")
+            forget(now)
+            forget(ends)
+            return found
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -15,9 +15,16 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir`` as a full URI; a temporary one where that is unset, as in tests."""
+    """The folder named in ``spark.checkpoint.dir`` as a full URI.
+
+    Where that is unset, as in tests, a session in one process takes a
+    temporary folder; on a cluster no folder would be seen by all, so that is
+    an error.
+    """
     found = spark.sparkContext.getConf().get(SETTING) or spark.conf.get(SETTING, None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"{SETTING} must name a folder that driver and executors share")
         found = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="tessella-")
         _OWN[spark.sparkContext.applicationId] = found
     path = spark._jvm.org.apache.hadoop.fs.Path(found)
@@ -35,4 +42,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the table that ``written`` made, once nothing is to read it any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
