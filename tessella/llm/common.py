@@ -77,6 +77,23 @@ def _null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "lef
 null_safe_join = _null_safe
 
 
+#: A key with more than one row in so many of all is hot; there are at most as many hot keys.
+HOT_SHARE = 1_000
+
+
+def join_hot(rows: DataFrame, side: DataFrame, on: list[str], members: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``side``, which has one row per key and, in ``members``, how many rows the key has.
+
+    The side's rows of hot keys are HOT_SHARE at most; they are broadcast, so
+    the rows of a hot key stay where they are. All others meet by a shuffle,
+    in which no key has more than one row in HOT_SHARE. Keys aren't null.
+    """
+    hot = F.col(members) > total / HOT_SHARE
+    few = F.broadcast(side.where(hot).drop(members))
+    rest = rows.join(F.broadcast(side.where(hot).select(*on)), on, "left_anti")
+    return rows.join(few, on).unionByName(rest.join(side.where(~hot).drop(members), on))
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices starts[0], starts[0]+1, ... for each run of the given lengths."""
     total = int(lengths.sum())

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import packed_rows, row_key, slices
+from tessella.llm.common import join_hot, packed_rows, row_key, slices
 from tessella.operators.graph import connected_components
 from tessella.sources.scratch import written
 from tessella.sources.tables import table
@@ -263,12 +263,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     get their row; an empty table gives none.
     """
     rows = written(fingerprints(docs), "fingerprints")
-    least = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    least = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("members")), "distinct")
     roots = components(least.select("fp"), radius)
-    per = roots.join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    of = roots.join(per, "root").select("fp", "component_id")
-    to = least.join(of, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(to, "fp").select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+    per = roots.join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    of = join_hot(roots, per, ["root"], "members", roots.count()).select("fp", "component_id")
+    to = written(least.join(of, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "members"), "components")
+    return join_hot(rows, to, ["fp"], "members", rows.count()).select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -279,9 +279,11 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     held = packed_rows(docs).select("_row", *row_key())
     narrow = held.select(F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text"), "_id", "_hash")
     rows = written(fingerprints(narrow, keep=("doc_id", "_id", "_hash")), "fingerprints")
-    roots = components(rows.select("fp").distinct(), radius)
-    of = rows.join(roots, "fp", "left").withColumn("_component", F.coalesce("root", "fp"))
-    first = of.groupBy("_component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "_id", "_hash")).alias("first"))
+    # The first row of each fingerprint is all that the components need.
+    own = written(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "_id", "_hash")).alias("first")), "distinct")
+    roots = components(own.select("fp"), radius)
+    of = own.join(roots, "fp", "left").withColumn("_component", F.coalesce("root", "fp"))
+    first = of.groupBy("_component").agg(F.min("first").alias("first"))
     winners = first.select(F.col("first._id").alias("_win_id"), F.col("first._hash").alias("_win_hash")).distinct()
     held = held.join(winners, (F.col("_id") == F.col("_win_id")) & (F.col("_hash") == F.col("_win_hash")))
     one = Window.partitionBy("_id", "_hash").orderBy("_win_id")
