@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import null_safe_join, slices
+from tessella.llm.common import join_hot, null_safe_join, slices
 from tessella.sources.scratch import fresh, written
 from tessella.sources.tables import table
 
@@ -39,21 +39,30 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, sha: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One record. A revisit has the HTTP headers of the response but no payload."""
+def record_id(page_id: int | None, sha: str) -> str:
+    """Of a response: by page and payload, so that revisits can name it before it is written."""
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}/{sha}')}"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, sha: str, refers_to: int | None, revisit: bool, place: str = "") -> bytes:
+    """One record. A revisit has the HTTP headers of the response but no payload, and an id of its own by its ``place``.
+
+    The pages stand in fields of their own, as record ids are unique but page ids may not be.
+    """
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     uri = "".join(c if 32 < ord(c) else f"%{ord(c):02X}" for c in url) if url else f"urn:page:{page_id}"
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <{record_id(page_id, f'{sha}/{place}' if revisit else sha)}>",
+        f"Page-ID: {page_id}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {uri}",
         f"WARC-Payload-Digest: sha1:{sha}",
     ]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{record_id(refers_to, sha)}>", f"Refers-To-Page-ID: {refers_to}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -104,8 +113,9 @@ def trained(pages: DataFrame) -> bytes:
     """
     n = pages.count()
     hashed = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30))
-    picked = pages.where(hashed < min(1.0, SAMPLE_RECORDS / max(1, n)) * (1 << 30))
-    some = picked.select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html")).limit(2 * SAMPLE_RECORDS).collect()
+    picked = pages.where(hashed < min(1.0, SAMPLE_RECORDS / max(1, n)) * (1 << 30)).select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html"))
+    # Rows that agree in page and URL share their hash, so that there may be more of them than wanted.
+    some = picked.orderBy(F.xxhash64("page_id", "url", "html"), "page_id", "url", "html").limit(2 * SAMPLE_RECORDS).collect()
     samples = []
     for r in some:
         body = (r.html or "").encode("utf-8", "surrogatepass")
@@ -124,10 +134,11 @@ def _sha() -> Column:
 
 
 def planned(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """page_id, sha, refers_to for the pages whose payload, of that SHA-1, one with a larger page_id has too."""
+    """page_id, sha, refers_to for the pages whose payload, of that SHA-1, one with a larger page_id has too. No page_id is smaller than any."""
     rows = written(pages.select("page_id", _sha().alias("sha"), F.octet_length(_body()).alias("n")), "digests")
-    most = rows.where(F.col("n") >= least).groupBy("sha").agg(F.max("page_id").alias("most"), F.count("*").alias("same")).where("same > 1").drop("same")
-    return written(rows.join(most, "sha").where("page_id < most").select("page_id", "sha", F.col("most").alias("refers_to")).distinct(), "revisits")
+    most = rows.where(F.col("n") >= least).groupBy("sha").agg(F.max("page_id").alias("most"), F.count("*").alias("same")).where("same > 1 AND most IS NOT NULL")
+    found = join_hot(rows, most, ["sha"], "same", rows.count())
+    return written(found.where("page_id IS NULL OR page_id < most").select("page_id", "sha", F.col("most").alias("refers_to")).distinct(), "revisits")
 
 
 def write(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) -> DataFrame:
@@ -156,7 +167,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) -> DataFram
                 sink.write(dictionary_frame(raw.value))
             for page_id, url, html, to in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")], strict=True):
                 body = (html or "").encode("utf-8", "surrogatepass")
-                sink.write(compressor.compress(record(page_id, url, body, digest(body), to, to is not None)))
+                sink.write(compressor.compress(record(page_id, url, body, digest(body), to, to is not None, f"{final.rpartition('/')[2]}/{n}")))
                 n += 1
         if sink is not None:
             sink.close()
@@ -183,8 +194,7 @@ def read(spark: SparkSession, paths: DataFrame) -> DataFrame:
                     if fields["WARC-Type"] == "response" and (len(payload) != size or digest(payload) != sha):
                         raise ValueError(f"{path}: {fields['WARC-Record-ID']} has another payload than its header says")
                     number = lambda s: None if s in (None, "None") else int(s)
-                    page = lambda k: fields[k].removeprefix("<urn:page:").removesuffix(">") if k in fields else None  # noqa: B023, E731
-                    rows.append((number(page("WARC-Record-ID")), size, sha, fields["WARC-Type"], number(page("WARC-Refers-To"))))
+                    rows.append((number(fields["Page-ID"]), size, sha, fields["WARC-Type"], number(fields.get("Refers-To-Page-ID"))))
                     if len(rows) == 10_000:
                         yield _batch(rows)
                         rows = []
@@ -205,8 +215,9 @@ def archived(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """Writes ``pages`` as archives under the shared folder and reads them back; one row per page.
 
     A null html is an empty payload. Of records with equal payloads, those of
-    the largest page_id are responses; a page without page_id is always one.
-    Repeated rows are all written. An empty table writes no archive.
+    the largest page_id are responses; a page without page_id revisits where any
+    has one. Repeated rows are all written; those that agree in page_id and
+    payload and are responses have one record id. An empty table writes no archive.
     """
     spark = pages.sparkSession
     made = written(write(pages, fresh(spark, "warc"), least), "archives")
@@ -224,6 +235,6 @@ b AS (SELECT *, list_reduce(list_transform(range(1, 41), lambda i: substr('00000
 e AS (SELECT page_id, payload_bytes, list_reduce(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
   + 16 * (bits[5*k+1])::INT + 8 * (bits[5*k+2])::INT + 4 * (bits[5*k+3])::INT + 2 * (bits[5*k+4])::INT + (bits[5*k+5])::INT, 1)), lambda x, y: x || y) AS payload_digest FROM b),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS most FROM e)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = most THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id < most THEN most END AS refers_to FROM m
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM most THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM most THEN most END AS refers_to FROM m
 """

@@ -17,7 +17,7 @@ def want(pages):
     for i, body in pages:
         raw = (body or "").encode()
         top = most.get(body, i)
-        revisit = i is not None and i < top
+        revisit = i != top
         yield i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if revisit else "response", top if revisit else None
 
 
@@ -38,6 +38,16 @@ def test_odd_rows(spark):
     assert warc.archived(df.limit(0)).count() == 0
 
 
+def test_record_ids_are_unique_and_revisits_name_them(spark, tmp_path):
+    pages = [(5, "u", "A"), (5, "u", "B"), (9, "u", "A"), (3, "u", "A"), (None, "u", "B"), (3, "v", "A")]
+    warc.write(spark.createDataFrame(pages, "page_id long, url string, html string"), f"file://{tmp_path}").collect()
+    found = [fields for path in glob.glob(f"{tmp_path}/*.warc.zst") for fields, _ in warc.records(f"file://{path}")]
+    ids = [f["WARC-Record-ID"] for f in found]
+    assert len(set(ids)) == len(pages)
+    of = {f["WARC-Record-ID"]: f for f in found}
+    assert all(of[f["WARC-Refers-To"]]["WARC-Payload-Digest"] == f["WARC-Payload-Digest"] and of[f["WARC-Refers-To"]]["WARC-Type"] == "response" for f in found if f["WARC-Type"] == "revisit")
+
+
 def test_records_stand_alone_behind_the_dictionary(spark, tmp_path):
     pages = spark.range(400).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "concat(repeat(concat('<p>Paragraph of ', id, ' with common words</p>'), 40), uuid()) AS html")
     made = warc.write(pages.coalesce(2), f"file://{tmp_path}").collect()
