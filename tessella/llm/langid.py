@@ -5,21 +5,23 @@ words, with word ends). A document is a mixture: each word comes from one of
 its languages, in proportions that expectation-maximisation estimates from the
 words' n-gram likelihoods. The set of languages is the one whose likelihood,
 less half the logarithm of the number of words for each language after the
-first, is highest among the sets of the k likeliest languages.
+first, is highest: beginning with the likeliest single language, the set grows
+by the language that raises that most, until none does.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import ragged, slices
+from tessella.llm.common import packed_rows, ragged, slices
 from tessella.sources.tables import table
 
 UNDETERMINED = "und"
@@ -32,10 +34,8 @@ SMOOTHING = 0.2
 #: Share of a word's likelihood that any language gives it, for names and typing errors.
 BACKGROUND = 1e-6
 ROUNDS = 12
-#: Largest set of languages that a document is tried with.
-LARGEST_SET = 4
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _SEPARATOR = np.uint8(32)
 _BYTES = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], np.uint8)
 
@@ -154,20 +154,30 @@ def infer(model: Model, texts: list[str | None]) -> list[tuple[str, float, str]]
     score = alone.max(1)
     if n_langs > 1:
         cost = 0.5 * np.log(np.maximum(words, 2))
-        full, _, bound = _mixture(p, words, np.ones((len(some), n_langs)))
-        open_ = np.flatnonzero(bound - cost > score)
-        order = np.argsort(-full, axis=1, kind="stable")
-        if len(open_):
+        _, _, bound = _mixture(p, words, np.ones((len(some), n_langs)))
+        member = share > 0
+        open_ = np.flatnonzero(bound - cost > score)  # no set of two or more can be better for the others
+        for k in range(1, n_langs):
             rows = ragged(first[open_], words[open_])
-            q, w = p[rows], words[open_]
-            for k in range(2, min(n_langs, LARGEST_SET) + 1):
-                allowed = np.zeros((len(open_), n_langs))
-                np.put_along_axis(allowed, order[open_, :k], 1.0, 1)
-                mixed, log, _ = _mixture(q, w, allowed)
-                value = log - (k - 1) * cost[open_]
-                better = value > score[open_]
-                score[open_[better]] = value[better]
-                share[open_[better]] = mixed[better]
+            q, w, own = p[rows], words[open_], member[open_]
+            best_value, best_share, added = score[open_].copy(), share[open_].copy(), np.full(len(open_), -1)
+            for j in range(n_langs):
+                can = np.flatnonzero(~own[:, j] & (bound[open_] - k * cost[open_] > best_value))
+                if not len(can):
+                    continue
+                allowed = own[can].astype(float)
+                allowed[:, j] = 1.0
+                part = ragged((np.cumsum(w) - w)[can], w[can])
+                mixed, log, _ = _mixture(q[part], w[can], allowed)
+                value = log - k * cost[open_[can]]
+                better = value > best_value[can]
+                best_value[can[better]], best_share[can[better]], added[can[better]] = value[better], mixed[better], j
+            grown = np.flatnonzero(added >= 0)
+            open_, added = open_[grown], added[grown]
+            score[open_], share[open_] = best_value[grown], best_share[grown]
+            member[open_, added] = True
+            if not len(open_):
+                break
     for row, i in enumerate(some):
         top = int(share[row].argmax())
         parts = sorted(((v, model.languages[k]) for k, v in enumerate(share[row]) if v >= 0.005), key=lambda x: (-x[0], x[1]))
@@ -178,19 +188,24 @@ def infer(model: Model, texts: list[str | None]) -> list[tuple[str, float, str]]
 def identified(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and ``lang_pred``, ``score``, ``mixture`` of every row.
 
-    A null text, or one without a letter, is ``und`` with score 0, as is every
-    text if the model knows no language. Of equally likely languages the first
-    in code-point order is taken. Repeated rows stay; an empty table gives none.
+    ``text`` is a column, or the field ``_row.name`` of a kept struct. A null
+    text, or one without a letter, is ``und`` with score 0, as is every text
+    if the model knows no language. Of equally likely languages the first in
+    code-point order is taken. Repeated rows stay; an empty table gives none.
     """
-    narrow = docs.select(*keep, F.col(text).alias("_text"))
-    schema = narrow.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit("").alias("mixture")).schema
+    column, _, field = text.partition(".")
+    narrow = docs.select(*keep, *([] if field else [F.col(text).alias("_text")]))
+    schema = docs.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit("").alias("mixture")).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)  # TABLE floats a language
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", 1 << 20):
-            found = infer(shared.value, batch.column("_text").to_pylist())
-            lang, score, mixture = (list(x) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(mixture, pa.string())], names=[*keep, "lang_pred", "score", "mixture"])
+        for whole in batches:
+            texts = pc.struct_field(whole.column(column), field) if field else whole.column("_text")
+            told = pa.RecordBatch.from_arrays([*[whole.column(c) for c in keep], texts], names=[*keep, "_text"])
+            for batch in slices([told], "_text", 1 << 20):
+                found = infer(shared.value, batch.column("_text").to_pylist())
+                lang, score, mixture = (list(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(mixture, pa.string())], names=[*keep, "lang_pred", "score", "mixture"])
 
     return narrow.mapInArrow(run, schema)
 
@@ -209,9 +224,7 @@ def keep_identified(docs: DataFrame, text: str = "text") -> DataFrame:
     model = fit(docs, text)
     if not model.languages:
         return docs.where(F.col(text).rlike(r"\p{L}"))
-    columns = docs.columns
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col(text).alias("_language_text"))
-    found = identified(whole, model, "_language_text", ("_row",))
+    found = identified(packed_rows(docs), model, f"_row.{text}", ("_row",))
     return found.where(~rejected(F.col("lang_pred"))).select("_row.*")
 
 

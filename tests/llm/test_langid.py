@@ -36,11 +36,38 @@ def test_mixtures_are_found():
     assert found[1][:2] == ("de", 1.0) and found[2][:2] == ("en", 1.0)
 
 
+def test_a_mixture_may_have_all_languages_and_is_that_of_plain_em():
+    import numpy as np
+
+    words = {k: " ".join(a + b for a in part for b in part) for k, part in {"aa": ["bam", "dol", "gir", "kep"], "bb": ["xuq", "vyz", "jow", "zyx"], "cc": ["éla", "çon", "ôti", "ûre"], "dd": ["ßer", "ärn", "öhl", "üch"], "ee": ["ñat", "íco", "óba", "úga"]}.items()}
+    counts = {}
+    for lang, text in words.items():
+        grams, _, _ = langid.trigrams([text * 10])
+        counts[lang] = np.bincount(grams, minlength=langid.TABLE)
+    model = langid.Model.learned(counts)
+    text = " ".join(words[k] for k in "aa aa aa bb bb cc cc dd ee".split())
+    lang, score, mixture = langid.infer(model, [text])[0]
+    assert lang == "aa" and len(mixture.split()) == 5
+    # Plain expectation-maximisation, one word and language at a time.
+    grams, starts, _ = langid.trigrams([text])
+    logs = np.add.reduceat(model.table[grams], starts, axis=0).astype(float)
+    p = np.exp(logs - logs.max(1)[:, None]) * (1 - langid.BACKGROUND) + langid.BACKGROUND
+    share = [0.2] * 5
+    for _ in range(langid.ROUNDS):
+        total = [0.0] * 5
+        for word in p:
+            whole = sum(s * x for s, x in zip(share, word, strict=True))
+            for k in range(5):
+                total[k] += share[k] * word[k] / whole
+        share = [t / len(p) for t in total]
+    assert abs(share[0] - score) < 1e-6
+
+
 def test_odd_rows(spark):
-    rows = [(1, "das ist gut und schön", "de"), (2, None, "de"), (3, "", None), (4, "123 !? 45", "en"), (5, "the cat and the dog", "en"), (5, "the cat and the dog", "en"), (None, "und das ist", None), (8, "the and " * 100_000, "en"), (9, "…é…", None)]
+    rows = [(1, "das ist gut und schön", "de"), (2, None, "de"), (3, "", None), (4, "123 !? 45", "en"), (5, "the cat and the dog", "en"), (5, "the cat and the dog", "en"), (None, "und das ist", None), (8, "the and " * 100_000, "en"), (9, "…é…", None), (10, "² ½ ①", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS score", "'z' AS _row")
     got = langid.identified(docs, langid.fit(docs)).collect()
-    assert sorted(r.doc_id or 0 for r in got if r.lang_pred == "und") == [2, 3, 4]
+    assert sorted(r.doc_id or 0 for r in got if r.lang_pred == "und") == [2, 3, 4, 10]
     kept = langid.keep_identified(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 5, 5, 8, 9]
     nothing = langid.fit(docs.where("false"))
