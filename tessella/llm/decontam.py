@@ -141,20 +141,19 @@ class Items:
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> float:
-    """Smith-Waterman score of two sequences of word hashes, by anti-diagonals."""
+    """Smith-Waterman score of two sequences of word hashes, by anti-diagonals, of which three are in memory."""
     m, n = len(item), len(passage)
     if not m or not n:
         return 0.0
-    same = item[:, None] == passage[None, :]
-    if not same.any():
+    if not np.isin(item, passage).any():
         return 0.0
-    gain = np.where(same, MATCH, MISMATCH)
     before, last, best = np.zeros(m + 1), np.zeros(m + 1), 0.0
     for d in range(m + n - 1):
         low, high = max(0, d - n + 1), min(m - 1, d)
         i = np.arange(low, high + 1)
         here = np.zeros(m + 1)
-        here[i + 1] = np.maximum(0.0, np.maximum(before[i] + gain[i, d - i], np.maximum(last[i], last[i + 1]) + GAP))
+        gain = np.where(item[low : high + 1] == passage[d - high : d - low + 1][::-1], MATCH, MISMATCH)
+        here[i + 1] = np.maximum(0.0, np.maximum(before[i] + gain, np.maximum(last[i], last[i + 1]) + GAP))
         best = max(best, float(here[i + 1].max()))
         before, last = last, here
     return best

@@ -102,3 +102,16 @@ def test_no_alignment_scores_above_its_ceiling():
         items, words = decontam.Items.made([1, 2], ["other words here", " ".join(a)], 3), decontam.Words(["before", " ".join(b)])
         top = decontam.ceilings(items, words, np.array([1, 0]), np.array([1, 1]), np.array([1 + len(b)] * 2))
         assert max(0.0, top[0]) >= align(a, b) and top[1] <= 0  # a stretch has one word at least, which may be a penalty
+
+
+def test_alignment_of_long_sequences_takes_little_memory():
+    import tracemalloc
+
+    chance = np.random.default_rng(5)
+    item = chance.integers(0, 1 << 60, 20_000).astype(np.uint64)
+    passage = np.concatenate([item[:4_000], chance.integers(0, 1 << 60, 100).astype(np.uint64), item[4_000:5_000]])
+    tracemalloc.start()
+    score = decontam.align(item, passage)
+    assert tracemalloc.get_traced_memory()[1] < 50 << 20
+    tracemalloc.stop()
+    assert score == 5_000 - 50
