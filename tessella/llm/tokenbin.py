@@ -14,7 +14,6 @@ index of its documents (doc, start, n_tokens), also an Arrow file.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -26,7 +25,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import ragged, slices
+from tessella.llm.common import slices
 from tessella.sources.scratch import fresh
 from tessella.sources.tables import table
 
@@ -34,11 +33,10 @@ END = 0
 LENGTH = 2_048
 #: Sequences of a record batch.
 BATCH = 512
-#: Bytes of pieces and their ids that a worker remembers, and what one takes besides its characters and ids.
-MEMORY_BYTES = 160 << 20
-ENTRY_BYTES = 190
+#: Bytes of pieces and their ids that a worker remembers.
+MEMORY_BYTES = 96 << 20
 #: Bytes of text that are encoded at once.
-ENCODED_AT_ONCE = 6 << 20
+ENCODED_AT_ONCE = 10 << 20
 
 _tokenizers: dict = {}
 
@@ -55,9 +53,9 @@ class Encoder:
     A byte-level pre-tokenizer puts a single space before the token that
     follows it and keeps other white space, letters, digits and signs apart.
     So where all white space of a text that touches a space is that space
-    alone, the text may be cut before each space; a piece may be cut around
-    line feeds that touch no other white space, and before a last sign that
-    follows a letter or digit. Each different part goes through the tokenizer
+    alone, the text may be cut before each space, around line feeds if it has no
+    other white space, and before a last sign that follows a letter or digit.
+    Each different piece goes through the tokenizer
     once, and a text's ids are gathered from those of its pieces. Other texts
     go through it whole, as do those that hold a special token's string, which
     the tokenizer turns into that token's id.
@@ -69,128 +67,92 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # of pieces without and with a space before them
-        self.size = 0  # bytes of the memory, about
+        self.keys, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())  # pieces and their ids
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 else -1
         self.cuttable = self.feed >= 0 and _is_gpt2_like(path)
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _packed(self, ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64) * self.dtype.itemsize
+        return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.tobytes())])
 
-    def _pieces(self, pieces: list[str], space: int) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> pa.Array:
+        found = [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return self._packed(np.concatenate([np.zeros(0, self.dtype), *found]), np.array([len(x) for x in found], np.int64))
+
+    def _together(self, pieces: list[str], space: str) -> pa.Array:
         """Ids of pieces that neither begin nor end with white space and hold no line feed, many to a text.
 
         A line feed between two such pieces is a token of its own, whether or
         not a space follows it, and parts their ids.
         """
-        out: list[bytes] = []
+        found, lengths = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
         for at in range(0, len(pieces), 500):
-            some = pieces[at : at + 500]
-            text = "\n".join([" " + p for p in some] if space else some)
+            text = space + ("\n" + space).join(pieces[at : at + 500])
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
-            ends = [*(np.flatnonzero(ids == self.feed) * self.dtype.itemsize).tolist(), ids.nbytes]
-            raw, start = ids.tobytes(), 0
-            for end in ends:
-                out.append(raw[start:end])
-                start = end + self.dtype.itemsize
+            feeds = np.flatnonzero(ids == self.feed)
+            found.append(ids[ids != self.feed])
+            lengths.append(np.diff(feeds, prepend=-1, append=len(ids)) - 1)
+        out = self._packed(np.concatenate(found), np.concatenate(lengths))
         if len(out) != len(pieces):
             raise ValueError("the line feed is no token of its own in this vocabulary")
         return out
 
-    def _remember(self, space: int, pieces: list[str], ids: list[bytes]) -> None:
-        self.known[space].update(zip(pieces, ids, strict=True))
-        self.size += sum(map(len, pieces)) + sum(map(len, ids)) + ENTRY_BYTES * len(pieces)
-
-    def _learn(self, new: list[str], space: int) -> None:
-        """Puts the ids of pieces that aren't known into the memory."""
-        known = self.known
-        plain: tuple[list, list] = [], []  # parts that may share a text
-        whole: tuple[list, list] = [], []  # and those that may not
-        cut = []
-        for p in new:
-            if p.isalnum():
-                plain[space].append(p)
-                continue
-            ps = parts(p, space)
-            if len(ps) > 1:
-                cut.append((p, ps))
-            for x, s in ps:
-                (whole if not x or _EDGES.search(x) else plain)[s].append(x)
-        for k in (0, 1):
-            some = [x for x in dict.fromkeys(plain[k]) if x not in known[k]]
-            self._remember(k, some, self._pieces(some, k))
-            rest = [x for x in dict.fromkeys(whole[k]) if x not in known[k]]
-            self._remember(k, rest, self._whole([" " + p for p in rest] if k else rest))
-        self._remember(space, [p for p, _ in cut], [b"".join([known[s][x] for x, s in ps]) for _, ps in cut])
-
-    def _ids(self, pieces: list[str], space: int) -> list[bytes]:
-        known = self.known[space]
-        found = [known.get(p) for p in pieces]
-        missing = [i for i, x in enumerate(found) if x is None]
-        if missing:
-            self._learn([pieces[i] for i in missing], space)
-            for i in missing:
-                found[i] = known[pieces[i]]
-        return found
+    def _learn(self, keys: pa.Array) -> pa.Array:
+        """Ids of different pieces; those that no space precedes begin with GLUE."""
+        glued = pc.starts_with(keys, GLUE).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(keys, _ODD).to_numpy(zero_copy_only=False)
+        some = [np.flatnonzero(m) for m in (~glued & ~odd, glued & ~odd, ~glued & odd, glued & odd)]
+        spaced, bare, odd_spaced, odd_bare = [keys.take(pa.array(at)).to_pylist() for at in some]
+        made = [self._together(spaced, " "), self._together([p[1:] for p in bare], ""), self._whole([" " + p for p in odd_spaced]), self._whole([p[1:] for p in odd_bare])]
+        return pa.concat_arrays(made).take(pa.array(np.argsort(np.concatenate(some), kind="stable")))
+
+    def _places(self, keys: pa.Array) -> np.ndarray:
+        """Where each of different pieces is in the memory; those that aren't yet are put there."""
+        if self.keys.nbytes + self.ids.nbytes > MEMORY_BYTES:
+            self.keys, self.ids = self.keys[:0], self.ids[:0]
+        places = pc.index_in(keys, self.keys)
+        new = keys.filter(places.is_null())
+        if len(new):
+            known = len(self.keys)
+            self.ids = pa.concat_arrays([self.ids, self._learn(new)])
+            self.keys = pa.concat_arrays([self.keys, new])
+            out = places.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            out[out < 0] = known + np.arange(len(new))
+            return out
+        return places.to_numpy().astype(np.int64)
 
     def __call__(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each text's followed by ``end`` if given, and how many each has."""
-        if self.size > MEMORY_BYTES:
-            for known in self.known:
-                known.clear()
-            self.size = 0
         cut = [self.cuttable and regular(t) and GLUE not in t and not any(x in t for x in self.special) for t in texts]
-        glued = pa.array([_lines_apart(t) if c else "" for t, c in zip(texts, cut, strict=True)], pa.large_string())
-        coded = pc.split_pattern(pc.replace_substring_regex(glued, _LAST_SIGN, r"\1 " + GLUE + r"\2\3"), " ")
-        lists, coded = coded, coded.flatten().dictionary_encode()
-        spaced = coded.dictionary.to_pylist()
-        pick = coded.indices.to_numpy().astype(np.int64)
+        glued = pa.array([GLUE + _lines_apart(t) if c else GLUE for t, c in zip(texts, cut, strict=True)], pa.large_string())
+        lists = pc.split_pattern(pc.replace_substring_regex(glued, _LAST_SIGN, r"\1 " + GLUE + r"\2\3"), " ")
+        pieces = lists.flatten().dictionary_encode()
+        pick = self._places(pieces.dictionary)[pieces.indices.to_numpy()]
         bounds = lists.offsets.to_numpy().astype(np.int64)
         bounds = bounds - bounds[0]
-        # The first piece of a text has no space before it; a text that isn't cut is one piece.
-        starts, at = np.unique(pick[bounds[:-1]], return_inverse=True)
-        after_space = iter(self._ids([p for p in spaced if p[:1] != GLUE], 1))
-        after_glue = iter(self._ids([p[1:] for p in spaced if p[:1] == GLUE], 0))
-        table = [next(after_glue if p[:1] == GLUE else after_space) for p in spaced]
-        table += self._ids([spaced[i] for i in starts.tolist()], 0)
-        pick[bounds[:-1]] = len(spaced) + at
+        # A text that isn't cut is one piece.
         whole = [i for i, c in enumerate(cut) if not c]
-        pick[bounds[whole]] = len(table) + np.arange(len(whole))
-        table += self._whole([texts[i] for i in whole])
+        pick[bounds[whole]] = len(self.ids) + np.arange(len(whole))
+        table = pa.concat_arrays([self.ids, self._whole([texts[i] for i in whole]), self._packed(np.array([end or 0], self.dtype), np.ones(1, np.int64))])
         if end is not None:
-            pick = np.insert(pick, bounds[1:], len(table))
+            pick = np.insert(pick, bounds[1:], len(table) - 1)
             bounds = bounds + np.arange(len(bounds))
-            table.append(np.array([end], self.dtype).tobytes())
-        lengths = np.fromiter(map(len, table), np.int64, len(table)) // self.dtype.itemsize
-        first = np.cumsum(lengths) - lengths
-        ids = np.frombuffer(b"".join(table), self.dtype)[ragged(first[pick], lengths[pick])]
-        done = np.concatenate([[0], np.cumsum(lengths[pick])])
-        return ids, np.diff(done[bounds])
+        joined = table.take(pa.array(pick))
+        done = np.frombuffer(joined.buffers()[1], np.int64)[: len(joined) + 1] // self.dtype.itemsize
+        return np.frombuffer(joined.buffers()[2] or b"", self.dtype)[: done[-1]], np.diff(done[bounds])
 
 
 #: Stands before a piece that no space precedes.
 GLUE = "\x01"
 _LAST_SIGN = r"([\p{L}\p{Nd}])([.,;:!?])( |\z)"
-_DOUBLE = re.compile(r"\s\s|^\s|\s\Z")
-_EDGES = re.compile(r"\n|^\s|\s\Z")
 #: All white space besides the space.
 _OTHER_SPACE = [chr(c) for c in (*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
 
-def parts(piece: str, space: int) -> list[tuple[str, int]]:
-    """What a piece may be cut into, each with whether a space stands before it."""
-    out: list[tuple[str, int]] = []
-    for i, line in enumerate(piece.split("\n") if "\n" in piece and not _DOUBLE.search(piece) else [piece]):
-        if i:
-            out.append(("\n", 0))
-            space = 0
-        if len(line) > 1 and line[-1] in ".,;:!?" and (line[-2].isalpha() or line[-2].isdecimal()):
-            out += [(line[:-1], space), (line[-1], 0)]
-        else:
-            out.append((line, space))
-    return out
+#: Pieces that hold a line feed, or begin or end with white space, and the empty one.
+_ODD = "\n|^{0}?[{1}]|[{1}]$|^{0}?$".format(GLUE, "".join(_OTHER_SPACE))
 
 
 def _lines_apart(text: str) -> str:

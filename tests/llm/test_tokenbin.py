@@ -52,12 +52,12 @@ def test_pieces_encode_as_whole_texts(plain):
 
 
 def test_memory_is_bounded_in_bytes(plain, monkeypatch):
-    monkeypatch.setattr(tokenbin, "MEMORY_BYTES", 20_000)
+    monkeypatch.setattr(tokenbin, "MEMORY_BYTES", 4_000)
     encode = tokenbin.Encoder(tokenbin.tokenizer_path())
     for k in range(30):
         texts = [" ".join(f"w{k}x{i}," for i in range(100))]
         assert encode(texts)[0].tolist() == plain(texts[0])[:-1]
-        assert encode.size < 20_000 + 60_000
+        assert encode.keys.nbytes + encode.ids.nbytes < 4_000 + 5_000
 
 
 def test_null_and_repeated_ids(spark, plain):
