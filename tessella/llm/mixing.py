@@ -7,8 +7,10 @@ the blocks in a pseudorandom order of its own (swap-or-not, a permutation of
 0..n-1 for any n that needs no table), so slot j of a source is a block
 number, and slots join blocks by source and number. Output shards draw how
 many slots they take of each source from the multinomial law conditioned on
-the targets: every slot of a source falls into a shard by an independent hash,
-given which the counts of a shard are multinomial and the totals exact.
+the targets: every slot of a source is a trial that falls into one of the
+shards by an independent hash. A shard then takes, of each source's slots in
+order, the next as many as it drew, so that the draw decides which blocks it
+has. All counts are those of the slots that join.
 """
 
 from __future__ import annotations
@@ -28,14 +30,16 @@ SHARD_SLOTS = 4_096
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_PASSES = 2
+#: Trials that one row of a draw stands for.
+TRIALS = 4_096
 #: Rounds of the permutation.
 ROUNDS = 30
 SEED = 20_240_701
 
 
 def sized(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, source, size of every row; a null text has size 0."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
+    """doc_id, source, size, key of every row; a null text has size 0. The key is a hash of the text."""
+    return docs.select("doc_id", "source", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), F.xxhash64(text).alias("key"))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_PASSES) -> DataFrame:
@@ -76,6 +80,24 @@ def permuted(x: Column, n: Column, *key: Column, rounds: int = ROUNDS, inverse:
     return F.aggregate(order, x.cast("bigint"), swap)
 
 
+def draws(plan: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """source, shard, drawn, first for (source, slots): how many slots each shard draws of each source, and where they begin.
+
+    Shards have ``shard_slots`` slots in the mean. A source's trials are dealt
+    out in runs, so that no row grows with the source, and counted before they
+    are shuffled.
+    """
+    spark = plan.sparkSession
+    every = plan.agg(F.greatest(F.lit(1), F.ceil(F.sum("slots") / shard_slots)).cast("bigint").alias("shards"))
+    runs = plan.where("slots > 0").crossJoin(F.broadcast(every)).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("slots") - 1) / TRIALS).cast("bigint"))))  # one row
+    runs = runs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source", "_run")
+    trials = runs.select("source", "shards", F.explode(F.sequence(F.col("_run") * TRIALS, F.least(F.col("_run") * TRIALS + (TRIALS - 1), F.col("slots") - 1))).alias("_trial"))
+    shard = F.pmod(F.xxhash64(F.lit("shard"), F.lit(SEED), "source", "_trial"), F.col("shards")).cast("bigint")
+    drawn = trials.groupBy("source", shard.alias("shard")).agg(F.count("*").alias("drawn"))
+    before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return drawn.withColumn("first", F.coalesce(F.sum("drawn").over(before), F.lit(0)).cast("bigint"))
+
+
 def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """source, slot, pass, block, take, shard for every slot of (source, source_size, target).
 
@@ -93,23 +115,23 @@ def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
     late = F.ceil((F.col("rest") + F.col("missing")) / block)
     plan = plan.withColumn("extra", F.when(F.col("rest") == 0, 0).when(early <= F.col("short_at"), early).otherwise(F.least(late, F.col("n"))).cast("bigint"))
     total = written(plan.withColumn("slots", F.col("passes") * F.col("n") + F.col("extra")), "sources")
-    every = total.agg(F.greatest(F.lit(1), F.ceil(F.sum("slots") / shard_slots)).cast("bigint").alias("shards"))
-    # A source's slots are dealt out in runs, so that no row grows with the source.
-    runs = total.where("slots > 0").crossJoin(F.broadcast(every)).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("slots") - 1) / 4096).cast("bigint"))))
-    runs = runs.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "_run")
-    numbered = runs.withColumn("slot", F.explode(F.sequence(F.col("_run") * 4096, F.least(F.col("_run") * 4096 + 4095, F.col("slots") - 1))))
+    drawn = null_safe_join(written(draws(total.select("source", "slots"), shard_slots), "draws"), total, ["source"], "inner")
+    numbered = drawn.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("drawn") - 1)))
     out = numbered.withColumn("pass", F.floor(F.col("slot") / F.col("n")).cast("bigint")).withColumn("_at", F.col("slot") % F.col("n"))
     out = out.withColumn("block", permuted(F.col("_at"), F.col("n"), F.col("source"), F.col("pass")))
     long = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
     before = F.col("_at") * block - F.when(F.col("short_at") < F.col("_at"), F.col("missing")).otherwise(0)
     take = F.when(F.col("pass") < F.col("passes"), long).otherwise(F.least(long, F.col("rest") - before))
-    shard = F.pmod(F.xxhash64(F.lit("shard"), "source", "slot"), F.col("shards")).cast("bigint")
-    return out.select("source", "slot", "pass", "block", take.cast("bigint").alias("take"), shard.alias("shard"))
+    return out.select("source", "slot", "pass", "block", take.cast("bigint").alias("take"), "shard")
+
+
+#: What orders the documents of a source's stream; rows that agree in it have equal words.
+STREAM = ["doc_id", "key"]
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """Adds ``start``: where the document's words begin in its source's stream, for (doc_id, source, size)."""
-    return running(docs, ["source"], ["doc_id", "size"], F.col("size"), "start")
+    """Adds ``start``: where the document's words begin in its source's stream, for (doc_id, source, size, key)."""
+    return running(docs, ["source"], STREAM, F.col("size"), "start")
 
 
 def _placed(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
@@ -120,13 +142,13 @@ def _placed(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
 
 
 def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, source, size, source_size, weight, target, taken for rows of (doc_id, source, size).
+    """doc_id, source, size, key, source_size, weight, target, taken for rows of (doc_id, source, size, key).
 
     Null sources are one source; documents without words are taken 0 times.
     Repeated rows count one by one, each with its own place in the stream.
     Equal input gives equal output; an empty table gives none.
     """
-    at, sources = _placed(written(docs.select("doc_id", "source", "size"), "sizes"), block)
+    at, sources = _placed(written(docs.select("doc_id", "source", "size", "key"), "sizes"), block)
     drawn = written(slots(sources, block), "slots")  # written, so that the planner knows how many they are
     # A block is drawn by up to MOST_PASSES + 1 slots, all with different takes at most.
     per = drawn.groupBy("source", "block").agg(F.sort_array(F.collect_list("take")).alias("takes"))
@@ -136,7 +158,7 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     high = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
     pieces = null_safe_join(pieces.withColumn("_low", low).withColumn("_high", high), per, ["source", "block"])
     words = F.aggregate(F.coalesce("takes", F.array().cast("array<bigint>")), F.lit(0).cast("bigint"), lambda a, t: a + F.greatest(F.least(t, F.col("_high")) - F.col("_low"), F.lit(0)))
-    columns = ["doc_id", "source", "size", "source_size", "weight", "target"]
+    columns = ["doc_id", "source", "size", "key", "source_size", "weight", "target"]
     some = pieces.groupBy(*columns, "start").agg(F.sum(words).cast("bigint").alias("taken")).select(*columns, "taken")
     return some.unionByName(at.where("size = 0").select(*columns, F.lit(0).cast("bigint").alias("taken")))
 
@@ -147,9 +169,9 @@ def blocks(docs: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame
     Slots join packed blocks by source and block number. A block's words come
     in the order of the stream.
     """
-    rows = docs.select("doc_id", "source", F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("_words"))
-    rows = rows.withColumn("size", F.size("_words").cast("bigint"))
-    at = running(rows, ["source"], ["doc_id", "size", "_words"], F.col("size"), "start")
+    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "source", words.alias("_words"), F.xxhash64(text).alias("key")).withColumn("size", F.size("_words").cast("bigint"))
+    at = packed(rows)
     sources = written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "sources")
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     cut = at.where("size > 0").withColumn("block", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))))
@@ -165,19 +187,20 @@ def blocks(docs: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame
 def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` as often as the mixture takes them, with the columns they had.
 
-    A document of which the mixture takes t words out of n comes ⌊t/n⌋ times,
-    and once more with the chance of the remainder, decided by a hash of its
-    doc_id. Rows that agree in doc_id, source and size share their words.
-    Documents without words stay once.
+    Documents stay whole: one of which the slots take t words out of n comes
+    ⌊t/n⌋ times, and once more with the chance of the remainder, decided by a
+    hash of its doc_id, its text and its place in the input. Rows that agree
+    in doc_id, source and text share their words. Documents without words stay
+    once. Nulls are values of their own, no column's name matters, and an
+    empty table gives none.
     """
-    taken = mixed(sized(docs, text)).groupBy("doc_id", "source", "size").agg(F.avg("taken").alias("taken"))
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
-    times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + chance)).cast("int")
-    plan = taken.select("doc_id", "source", "size", times.alias("_times")).withColumnsRenamed({"doc_id": "_plan_id", "source": "_plan_source", "size": "_plan_size"})
-    size = F.coalesce(F.regexp_count(F.col(f"_row.{text}"), F.lit(WORD)), F.lit(0)).cast("bigint")
-    rows = packed_rows(docs).withColumn("_size", size)
-    same = F.col("_row.doc_id").eqNullSafe(F.col("_plan_id")) & F.col("_row.source").eqNullSafe(F.col("_plan_source")) & (F.col("_size") == F.col("_plan_size"))
-    out = rows.join(plan, same).where("_times > 0")
+    taken = mixed(sized(docs, text)).groupBy("doc_id", "source", "key", "size").agg(F.avg("taken").alias("_taken"))
+    plan = taken.select(*[F.col(c).alias(f"_plan_{c}") for c in ("doc_id", "source", "key")], "size", "_taken")
+    rows = packed_rows(docs).withColumn("_key", F.xxhash64(f"_row.{text}")).withColumn("_place", F.monotonically_increasing_id())
+    same = F.col("_row.doc_id").eqNullSafe(F.col("_plan_doc_id")) & F.col("_row.source").eqNullSafe(F.col("_plan_source")) & (F.col("_key") == F.col("_plan_key"))
+    chance = F.pmod(F.xxhash64("_plan_doc_id", "_key", "_place", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
+    times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("_taken") / F.col("size") + chance)).cast("int")
+    out = rows.join(plan, same).withColumn("_times", times).where("_times > 0")
     return out.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
 
 

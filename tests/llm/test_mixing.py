@@ -75,6 +75,34 @@ def test_blocks_hold_the_words_that_are_counted(spark):
         for w in r.words:
             made[int(w[1 : w.index("w")])] += 1
     want = {r.doc_id: r.taken for r in mixing.mixed(mixing.sized(docs), block=16).collect()}
-    sources = {r.doc_id: r.source for r in docs.collect()}
-    for s in "ab":
-        assert sum(n for d, n in made.items() if sources[d] == s) == sum(n for d, n in want.items() if sources[d] == s)
+    assert {d: made[d] for d in want} == want
+
+
+def test_shards_take_the_slots_that_they_drew(spark):
+    sources = spark.createDataFrame([("a", 4_000, 6_000.0), ("b", 9_000, 9_500.0), (None, 100, 200.0)], "source string, source_size long, target double")
+    got = mixing.slots(sources, block=16, shard_slots=64).collect()
+    shards, of = defaultdict(Counter), defaultdict(list)
+    for r in got:
+        shards[r.shard][r.source] += 1
+        of[r.source].append(r)
+    assert len(shards) == -(-len(got) // 64)
+    for source, rows in of.items():
+        rows.sort(key=lambda r: r.slot)
+        assert [r.slot for r in rows] == list(range(len(rows)))
+        assert [r.shard for r in rows] == sorted(r.shard for r in rows)
+        goal = {"a": 6_000, "b": 9_500, None: 200}[source]
+        assert sum(r.take for r in rows) == goal
+        n = max(r.block for r in rows) + 1
+        assert sorted(r.block for r in rows[:n]) == list(range(n))  # a pass takes every block once
+        # The counts of the shards scatter as those of independent trials do.
+        if source is not None:
+            mean = len(rows) / len(shards)
+            chi = sum((c[source] - mean) ** 2 / mean for c in shards.values())
+            assert 0.1 * len(shards) < chi < 2.5 * len(shards)
+
+
+def test_rows_without_ids_are_drawn_one_by_one(spark):
+    docs = spark.range(4_000).selectExpr("CAST(NULL AS long) AS doc_id", "'one two three four' AS text", "IF(id < 3000, 'a', 'b') AS source", "id AS own")
+    want = {r.source: r.target / r.source_size for r in mixing.targets(spark.createDataFrame([("a", 12_000), ("b", 4_000)], "source string, source_size long")).collect()}
+    got = Counter(r.source for r in mixing.repeated(docs).collect())
+    assert abs(got["a"] / 3_000 - want["a"]) < 0.1 and abs(got["b"] / 1_000 - want["b"]) < 0.1
