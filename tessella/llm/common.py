@@ -42,13 +42,13 @@ def row_key(text: str = "text") -> list[Column]:
     return [F.coalesce(F.col("_row.doc_id"), F.lit(-(2**63))).alias("_id"), F.xxhash64(f"_row.{text}").alias("_hash")]
 
 
-def running(df: DataFrame, group: list[str], order: list[str], value: Column, out: str) -> DataFrame:
+def running(df: DataFrame, group: list[str], order: list[str], value: Column, out: str, tie: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of the group that come before.
 
     Within a group, rows are in the order of a hash of ``order``, then of
     ``order`` itself. A hot group is cut into chunks of about ROWS_PER_CHUNK
     rows by that hash; the offsets are one row per chunk. Rows that agree in
-    all of ``order`` may swap places. Groups and order columns may be null.
+    all of ``order`` are in the order of ``tie``, or may swap places. Groups and order columns may be null.
     """
     hashed = F.xxhash64(*[F.col(c) for c in order])
     sizes = df.groupBy(*group).agg(F.ceil(F.count("*") / ROWS_PER_CHUNK).alias("_chunks")) if group else df.agg(F.ceil(F.count("*") / ROWS_PER_CHUNK).alias("_chunks"))
@@ -57,7 +57,7 @@ def running(df: DataFrame, group: list[str], order: list[str], value: Column, ou
     per = cut.groupBy(*group, "_chunk").agg(F.sum("_v").alias("_sum"))
     before = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    inside = Window.partitionBy(*group, "_chunk").orderBy("_h", *order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*group, "_chunk").orderBy("_h", *order, *tie).rowsBetween(Window.unboundedPreceding, -1)
     local = cut.withColumn("_local", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
     joined = _null_safe(local, per, [*group, "_chunk"])
     return joined.withColumn(out, (F.col("_base") + F.col("_local")).cast("bigint")).drop("_h", "_v", "_chunk", "_base", "_local")

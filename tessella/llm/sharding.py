@@ -13,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import running
-from tessella.sources.scratch import written
+from tessella.llm.common import join_hot, running
+from tessella.sources.scratch import forget, written
 from tessella.sources.tables import table
 
 SHARDS = 8
@@ -32,27 +32,34 @@ GROUP = ["g1", "g2", "g3"]
 
 
 def propagate(linked: DataFrame, room: int, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """Shards of linked rows (key, g1, g2, g3): at most ``room`` rows in each; shard is null for those that find no place.
+    """Shards of linked rows (key, spot, g1, g2, g3): at most ``room`` rows in each; shard is null for those that find no place.
 
     Each round is one aggregate by group and shard, one join back to the rows,
     and an aggregate over shards x BINS. The driver sees a number per shard
     and bin.
     """
-    at = written(linked.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(shards)).cast("int")), "labels")
+    at = written(linked.withColumn("shard", F.pmod(F.xxhash64("spot", F.lit(7)), F.lit(shards)).cast("int")), "labels")
+    total = at.count()
     for _ in range(rounds):
-        held = at.where("shard IS NOT NULL").groupBy(*GROUP, "shard").agg(F.count("*").alias("n"))
-        wanted = held.groupBy(*GROUP).agg(F.max_by("shard", F.struct("n", -F.col("shard"))).alias("want"))
-        asks = at.join(wanted, GROUP, "left").withColumn("want", F.coalesce("want", F.pmod(F.xxhash64(*GROUP), F.lit(shards)).cast("int")))
+        held = at.groupBy(*GROUP, "shard").agg(F.count("*").alias("n"))
+        most = F.max_by("shard", F.when(F.col("shard").isNotNull(), F.struct("n", -F.col("shard"))))
+        wanted = held.groupBy(*GROUP).agg(most.alias("want"), F.sum("n").alias("members"))
+        wanted = written(wanted.withColumn("want", F.coalesce("want", F.pmod(F.xxhash64(*GROUP), F.lit(shards)).cast("int"))), "wanted")
+        asks = join_hot(at, wanted, GROUP, "members", total)
         # Requests are granted by group, so that what cannot all move at least moves together.
         asks = asks.withColumn("bin", F.pmod(F.xxhash64(*GROUP, F.lit(11)), F.lit(BINS)).cast("int"))
-        asks = asks.withColumn("sub", F.pmod(F.xxhash64("key", F.lit(13)), F.lit(BINS)).cast("int"))
+        asks = asks.withColumn("sub", F.pmod(F.xxhash64("spot", F.lit(13)), F.lit(BINS)).cast("int"))
         asks = written(asks, "labels")
+        forget(at)
+        forget(wanted)
         limits = _granted(asks, room, shards)
         moved = asks.join(F.broadcast(limits), "want", "left")  # one row per shard
         stays = F.col("shard") == F.col("want")
         goes = (F.col("bin") < F.col("edge")) | ((F.col("bin") == F.col("edge")) & (F.col("sub") < F.col("sub_edge")))
-        moved = written(moved.select("key", *GROUP, F.when(goes | stays, F.col("want")).otherwise(F.col("shard")).alias("shard"), (goes & ~F.coalesce(stays, F.lit(False))).alias("moved")), "labels")
+        moved = written(moved.select("key", "spot", *GROUP, F.when(goes | stays, F.col("want")).otherwise(F.col("shard")).alias("shard"), (goes & ~F.coalesce(stays, F.lit(False))).alias("moved")), "labels")
+        forget(asks)
         at = moved.drop("moved")
+        at._written_to = moved._written_to
         if moved.where("moved").isEmpty():
             break
     return _evicted(at, room, shards)
@@ -99,7 +106,7 @@ def _evicted(at: DataFrame, room: int, shards: int) -> DataFrame:
     over = [r.shard for r in at.groupBy("shard").agg(F.count("*").alias("n")).collect() if r.shard is not None and r.n > room]
     if not over:
         return at
-    full = running(at.where(F.col("shard").isin(over)), ["shard"], [*GROUP, "key"], F.lit(1), "_place")
+    full = running(at.where(F.col("shard").isin(over)), ["shard"], [*GROUP, "spot"], F.lit(1), "_place", ("key",))
     cut = full.withColumn("shard", F.when(F.col("_place") < room, F.col("shard"))).drop("_place")
     return at.where(F.col("shard").isNull() | ~F.col("shard").isin(over)).unionByName(cut)
 
@@ -110,20 +117,21 @@ def sharded(docs: DataFrame, shards: int = SHARDS, text: str = "text") -> DataFr
     Law ``rows``: the counts of the shards are at most one apart. Equal texts
     go to one shard as far as its quota allows; a larger group takes up
     several. A null text has size 1 and checksum 0. Repeated rows count one by
-    one. Slots are gapless from 0 in each shard; an empty table gives none.
+    one; where rows go doesn't depend on how the input is dealt out, but that
+    rows with equal doc_id and text may change places. Slots are gapless from 0 in each shard; an empty table gives none.
     """
     body = F.col(text)
-    # The key tells rows apart; the rows are written once, so it stays as it is.
+    # The key tells rows apart; the rows are written once, so it stays as it is. What orders them is the spot.
     rows = docs.select("doc_id", (F.coalesce(F.octet_length(body), F.lit(0)) + 1).cast("bigint").alias("size"), F.coalesce(F.crc32(body.cast("binary")), F.lit(0)).cast("bigint").alias("text_crc32"), *_group(body), F.monotonically_increasing_id().alias("key"))
-    rows = written(rows, "rows")
+    rows = written(rows.withColumn("spot", F.xxhash64("doc_id", *GROUP)), "rows")
     n = rows.count()
     sizes = rows.groupBy(*GROUP).agg(F.count("*").alias("members")).where("members > 1")
-    linked = rows.select("key", *GROUP).join(sizes.select(*GROUP), GROUP)
-    placed = written(propagate(linked, n // shards, shards).where("shard IS NOT NULL").select("key", "shard"), "placed")
-    placed = written(running(placed, ["shard"], ["key"], F.lit(1), "slot"), "placed")
+    linked = join_hot(rows.select("key", "spot", *GROUP), written(sizes, "groups"), GROUP, "members", n)
+    placed = written(propagate(linked, n // shards, shards).where("shard IS NOT NULL").select("key", "spot", "shard"), "placed")
+    placed = written(running(placed, ["shard"], ["spot"], F.lit(1), "slot", ("key",)), "placed")
     load = {r.shard: r.n for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     quota = [n // shards + (s < n % shards) for s in range(shards)]
-    rest = running(rows.join(placed.select("key"), "key", "left_anti").select("key"), [], ["key"], F.lit(1), "_place")
+    rest = running(rows.join(placed.select("key"), "key", "left_anti").select("key", "spot"), [], ["spot"], F.lit(1), "_place", ("key",))
     # The remaining rows, in hash order, fill one shard after the other.
     shard, slot, before = F.lit(None).cast("int"), F.lit(None).cast("bigint"), 0
     for s in range(shards):

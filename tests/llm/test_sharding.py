@@ -42,6 +42,13 @@ def test_a_group_larger_than_a_shard_is_cut_as_little_as_it_can_be(spark):
     assert sum(len(s) > 1 for t, s in shards.items() if t.startswith("pair")) <= 8
 
 
+def test_where_rows_go_does_not_depend_on_how_they_are_dealt(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    a = {(r.doc_id, r.shard, r.slot) for r in sharding.sharded(docs).collect()}
+    b = {(r.doc_id, r.shard, r.slot) for r in sharding.sharded(docs.repartition(7)).collect()}
+    assert a == b
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, None), (3, ""), (3, ""), (None, "x"), (5, "long " * 50_000), (6, "ä"), (7, "same"), (8, "same")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS shard", "2 AS slot", "3 AS key")
