@@ -28,8 +28,8 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Site names whose pages make up the query's list.
-LISTED_SITES = ("ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+#: The query's list is made of the pages of hosts that have one of these names as a whole label. Fixed values.
+LISTED_SITES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
 _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -117,18 +117,18 @@ def judged(pages: DataFrame, listed: DataFrame, rules=RULES, column: str = "url"
     hit = reduce(Column.__and__, [F.col(f"_w{i}").bitwiseAND(F.col(f"_b{i}")) == F.col(f"_b{i}") for i in range(WORDS)])
     probed = probed.withColumn("possible", F.coalesce(hit & F.col("_key").isNotNull(), F.lit(False)))
     probed = probed.drop("_block", "_of_block", *[f"_{k}{i}" for k in "bw" for i in range(WORDS)])
-    # The key is null where the filter says no, so only possible hits meet the list.
-    exact = probed.withColumn("_probe", F.when(F.col("possible"), F.col("_key")))
-    exact = exact.join(keys.select(F.col("url_key").alias("_listed")), F.col("_probe") == F.col("_listed"), "left")
-    exact = exact.withColumn("listed", F.col("_listed").isNotNull()).drop("_key", "_probe", "_listed")
+    # Only possible hits meet the list.
+    maybe = probed.where("possible").join(keys.select(F.col("url_key").alias("_listed")), F.col("_key") == F.col("_listed"), "left")
+    sure = probed.where("NOT possible").withColumn("_listed", F.lit(None).cast("string"))
+    exact = maybe.unionByName(sure).withColumn("listed", F.col("_listed").isNotNull()).drop("_key", "_listed")
     found = exact.withColumn("host", host(url)).withColumn("path", path(url)).withColumn("_rule", rule(F.col("host"), F.col("path"), rules))
     method = F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
     return found.withColumn("rule", F.col("_rule.rule")).withColumn("verdict", F.coalesce(F.col("_rule.verdict"), method)).drop("_rule")
 
 
 def sites(url: Column, names: tuple[str, ...] = LISTED_SITES) -> Column:
-    """Whether the URL's host is under one of the named sites."""
-    return F.regexp_replace(host(url), r"^(www|m|blog)\.", "").rlike("^(" + "|".join(names) + r")\.")
+    """Whether one of the names is a whole label of the URL's host."""
+    return F.concat(F.lit("."), host(url), F.lit(".")).rlike(r"\.(" + "|".join(names) + r")\.")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -144,7 +144,7 @@ parts AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '(?s)^[^/?#]*'
   list_filter(string_split(coalesce(regexp_extract(rest, '(?s)^[^?#]*\?([^#]*)', 1), ''), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|gclid|fbclid)(=|$)')) AS kept, rest FROM cut),
 keyed AS (SELECT page_id, host, path, CASE WHEN rest IS NOT NULL THEN regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '')
   || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(list_sort(kept), '&') ELSE '' END END AS key FROM parts),
-listed AS (SELECT DISTINCT key FROM keyed WHERE regexp_matches(regexp_replace(host, '^(www|m|blog)\.', ''), '^(ads-track|casino-win|cheap-pills|free-bets|spam-farm)\.')),
+listed AS (SELECT DISTINCT key FROM keyed WHERE regexp_matches('.' || host || '.', '\.(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\.')),
 ruled AS (SELECT page_id, host, path, key, CASE
   WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
   WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'

@@ -31,7 +31,7 @@ def test_query_equals_plain_rules(spark):
 
 def test_odd_urls(spark):
     urls = [None, "", "no scheme", "HTTP://A.Example.COM", "http://com/x", "http://x.com?q=/a", "http://www.example.com/en/1#f", "ftp://EXAMPLE.com/en/ab/", "a://b.net/fr/", "http://é.org/Ä?B", "http://xcom/", "http://net/es/", "x://y://z/w", "http://u.com/" + "p" * 50_000, "http://l.org/\n/a"]
-    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(3, urls[3])], "page_id long, url string").selectExpr("*", "1 AS host", "2 AS listed") .select("page_id", "url")
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(3, urls[3])], "page_id long, url string").selectExpr("*", "1 AS host", "2 AS listed", "3 AS _key", "4 AS block")
     listed = urlfilter.listed_urls(spark.createDataFrame([("http://www.l.org/x/?b=2&a=1&utm_source=z",), (None,), ("junk",)], "url string"))
     got = urlfilter.judged(pages, listed).collect()
     assert len(got) == len(urls) + 1
