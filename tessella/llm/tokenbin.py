@@ -34,9 +34,9 @@ LENGTH = 2_048
 #: Sequences of a record batch.
 BATCH = 512
 #: Bytes of pieces and their ids that a worker remembers.
-MEMORY_BYTES = 96 << 20
+MEMORY_BYTES = 24 << 20
 #: Bytes of text that are encoded at once.
-ENCODED_AT_ONCE = 10 << 20
+ENCODED_AT_ONCE = 3 << 20
 
 _tokenizers: dict = {}
 
