@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.rfm import positions
+
 # Platforms with the customer's fields that they need, and the
 # fields of a formatted record: (name, column), or a prefix for all attributes.
 NEEDS = {"Braze": ("email", "external_id"), "Iterable": ("email",), "Klaviyo": ("email",), "Salesforce": ("email",), "HubSpot": ("email",), "Segment": (), "RudderStack": (), "Custom": ()}
@@ -163,16 +165,16 @@ def membership_records(members: DataFrame, source: str = "tessella") -> tuple[Da
 
 
 def batched(records: DataFrame, key: str, size: int = 500) -> DataFrame:
-    """Adds ``batch`` and an idempotency key for each batch, which follows from its records alone.
+    """Adds ``batch``, numbered from 0 in order of the key, and an idempotency key for each batch, which follows from its records alone.
 
-    Batches are even cuts of hash buckets, so that no task orders all records.
+    All batches but the last are full. Positions come from ranges, so that no
+    task orders all records.
     """
     if not 1 <= size <= 5000:
         raise ValueError("a batch has 1 to 5000 records")
-    bucket = F.pmod(F.xxhash64(key), F.lit(256))
-    nth = F.row_number().over(Window.partitionBy("_bucket").orderBy(key)) - 1
-    out = records.withColumn("_bucket", bucket).withColumn("batch", F.concat_ws("-", F.lpad(F.col("_bucket").cast("string"), 3, "0"), F.floor(nth / size).cast("string"))).drop("_bucket")
-    digest = F.sha2(F.array_join(F.array_sort(F.collect_list(F.to_json(F.struct(*records.columns)))), ","), 256)
+    out = positions(records, [F.col(key).asc()], "_at").withColumn("batch", F.floor(F.col("_at") / size).cast("bigint")).drop("_at")
+    whole = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(records.columns)])
+    digest = F.sha2(F.array_join(F.array_sort(F.collect_list(whole)), "\x1e"), 256)  # of ``size`` records at most
     return out.join(out.groupBy("batch").agg(digest.alias("idempotency_key")), "batch")
 
 

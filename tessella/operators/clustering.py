@@ -113,6 +113,7 @@ def lloyd(points: DataFrame, centres: list[list[float]], max_iter: int = 300, me
     ends where the inertia of the new centres changes by less, and an empty
     cluster i takes the point at place 7i mod n in order of id.
     """
+    points = written(points.select("id", "features"), "points")  # each round reads it
     width = _width(points)
     cells = _cells(width)
     last, inertia, history = None, math.inf, []
@@ -123,9 +124,9 @@ def lloyd(points: DataFrame, centres: list[list[float]], max_iter: int = 300, me
         new = [[rows[j][f"x{i}"] for i in range(width)] if j in rows else None for j in range(len(centres))]
         empty = [j for j, c in enumerate(new) if c is None]
         if empty and tolerance is None:
-            far = points.agg(F.max_by("features", gap).alias("c")).first().c
-            for j in empty:
-                new[j] = [float(v) for v in far]
+            for j, r in zip(empty, points.orderBy(gap.desc(), "id").limit(len(empty)).collect(), strict=False):  # the farthest, one for each
+                new[j] = [float(v) for v in r.features]
+            new = [c if c is not None else centres[j] for j, c in enumerate(new)]
         elif empty:
             n = sum(r.n for r in rows.values())
             for j, c in zip(empty, _at(points, [7 * j % n for j in empty]), strict=True):
@@ -297,22 +298,23 @@ def agglomerated(points: DataFrame, by: list[str], k: int) -> DataFrame:
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id").reset_index(drop=True)
-        groups = [[i] for i in range(len(frame))]
-        centres = [np.array(f, float) for f in frame["features"]]
-        while len(groups) > k:
-            best, pair = math.inf, (0, 1)
-            for i in range(len(groups)):
-                for j in range(i + 1, len(groups)):
-                    gap = float(np.linalg.norm(centres[i] - centres[j]))
-                    if gap < best:
-                        best, pair = gap, (i, j)
-            i, j = pair
-            n, m = len(groups[i]), len(groups[j])
-            centres[i] = (centres[i] * n + centres[j] * m) / (n + m)
-            groups[i] += groups.pop(j)
-            centres.pop(j)
-        label = {row: g for g, rows in enumerate(groups) for row in rows}
-        return frame[[*by, "id"]].assign(cluster=[label[i] for i in range(len(frame))]).astype({"cluster": "int32"})
+        centres = np.array(frame["features"].tolist(), float).reshape(len(frame), -1)
+        weight, owner = np.ones(len(frame)), np.arange(len(frame))
+        # Distances of live clusters; a merge renews one row and column. A merged cluster counts as the last.
+        gaps = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(2))
+        np.fill_diagonal(gaps, np.inf)
+        live = list(range(len(frame)))
+        while len(live) > k:
+            among = gaps[np.ix_(live, live)]
+            a, b = sorted(live[i] for i in np.unravel_index(np.argmin(among), among.shape))
+            centres[a] = (centres[a] * weight[a] + centres[b] * weight[b]) / (weight[a] + weight[b])
+            weight[a] += weight[b]
+            owner[owner == b] = a
+            live = [c for c in live if c not in (a, b)] + [a]
+            gaps[a] = gaps[:, a] = np.sqrt(((centres - centres[a]) ** 2).sum(1))
+            gaps[a, a] = np.inf
+        label = {c: i for i, c in enumerate(live)}
+        return frame[[*by, "id"]].assign(cluster=[label[c] for c in owner]).astype({"cluster": "int32"})
 
     schema = points.select(*by, "id").withColumn("cluster", F.lit(0)).schema
     return points.select(*by, "id", "features").groupBy(*by).applyInPandas(merge, schema)
@@ -324,6 +326,7 @@ def soft_clusters(points: DataFrame, k: int, iterations: int = 100) -> tuple[Dat
     Returns the points with ``probabilities`` and ``cluster``, the last of
     equal memberships, and the centres. One aggregation per iteration.
     """
+    given, points = points, written(points.select("id", "features"), "points")
     width = _width(points)
     cells = _cells(width)
     centres = strided_centres(points, k)
@@ -340,7 +343,7 @@ def soft_clusters(points: DataFrame, k: int, iterations: int = 100) -> tuple[Dat
         if new == centres:
             break
         centres = new
-    out = points.withColumn("probabilities", F.array(*memberships(centres)))
+    out = given.withColumn("probabilities", F.array(*memberships(centres)))
     at = F.array_max(F.transform("probabilities", lambda p, i: F.struct(p.alias("p"), i.alias("i"))))
     return out.withColumn("cluster", at["i"]), centres
 
@@ -436,12 +439,17 @@ def elbow(inertias: list[tuple[int, float]]) -> tuple[int, float]:
     return best, 1.0 / (1.0 + len(inertias) ** 0.25)
 
 
-def estimate_k(points: DataFrame, low: int, high: int, methods: tuple[str, ...] = ("elbow", "gap_statistic", "silhouette")) -> DataFrame:
+def estimate_k(points: DataFrame, low: int, high: int, methods: tuple[str, ...] = ("elbow", "gap_statistic", "silhouette"), exact: bool = False) -> DataFrame:
     """method, k, confidence by each method and by their vote; of equal votes the smallest k.
 
-    One deterministic fit per k serves all methods.
+    One deterministic fit per k serves all methods. The silhouette is that of
+    squared distances, which needs only sums per cluster, or with ``exact``
+    that of all pairs.
     """
+    if not 0 < low <= high:
+        raise ValueError(f"k is to be from {low} to {high}")
     spark = points.sparkSession
+    points = written(points.select("id", "features"), "points")
     width = _width(points)
     cells = _cells(width)
     ends = points.agg(F.count("*").alias("n"), *[F.min(c).alias(f"a{i}") for i, c in enumerate(cells)], *[F.max(c).alias(f"b{i}") for i, c in enumerate(cells)]).first()
@@ -454,7 +462,8 @@ def estimate_k(points: DataFrame, low: int, high: int, methods: tuple[str, ...]
             gap = nearest(cells, model.centres, "euclidean")[1]
             gaps.append((k, reference - math.log2(points.agg(F.avg(gap).alias("g")).first().g)))
         if "silhouette" in methods:
-            silhouettes.append((k, silhouette(model.transform(points), alone=0.0).first().silhouette))
+            labelled = model.transform(points)
+            silhouettes.append((k, silhouette(labelled, alone=0.0).first().silhouette if exact else fast_silhouette(labelled)))
     found = {}
     if "elbow" in methods:
         found["elbow"] = elbow(inertias)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import bands, ratio
+from tessella.functions.ranges import cumulative
 
 SEVERITIES = ("none", "low", "medium", "high", "critical")
 
@@ -24,20 +25,22 @@ def statistics(values: DataFrame, by: list[str]) -> DataFrame:
     The quarter values are elements of the sorted values, not interpolated;
     the median is. Skewness and excess kurtosis are 0 for constant values.
     """
-    w = Window.partitionBy(*by)
-    at = values.where("x IS NOT NULL").withColumn("_i", F.row_number().over(w.orderBy("x")) - 1).withColumn("_n", F.count("*").over(w))
-    pick = lambda q: F.max(F.when(F.col("_i") == F.least(F.floor(F.col("_n") * q), F.col("_n") - 1), F.col("x")))
-    return at.groupBy(*by).agg(
+    rows = values.where("x IS NOT NULL")
+    moments = rows.groupBy(*by).agg(
+        F.count("*").alias("_n"),
         F.avg("x").alias("mean"),
         F.stddev_pop("x").alias("std_dev"),
         F.min("x").alias("min"),
         F.max("x").alias("max"),
-        F.median("x").alias("median"),
-        pick(0.25).alias("p25"),
-        pick(0.75).alias("p75"),
         F.coalesce(F.skewness("x"), F.lit(0.0)).alias("skewness"),
         F.coalesce(F.kurtosis("x"), F.lit(0.0)).alias("kurtosis"),
     )
+    at = cumulative(rows.groupBy(*by, "x").agg(F.count("*").alias("_k")), by, [F.col("x").asc()], {"_upto": "_k"}).join(moments.select(*by, "_n"), by)
+    element = lambda i: F.max(F.when((F.col("_upto") - F.col("_k") <= i) & (i < F.col("_upto")), F.col("x")))
+    place = lambda q: F.least(F.floor(F.col("_n") * q), F.col("_n") - 1)
+    middle = (element(F.floor((F.col("_n") - 1) / 2)) + element(F.floor(F.col("_n") / 2))) / 2.0
+    quarters = at.groupBy(*by).agg(middle.alias("median"), element(place(0.25)).alias("p25"), element(place(0.75)).alias("p75"))
+    return moments.join(quarters, by).select(*by, "mean", "std_dev", "min", "max", "median", "p25", "p75", "skewness", "kurtosis")
 
 
 def kolmogorov_smirnov(samples: DataFrame, by: list[str]) -> DataFrame:
@@ -45,10 +48,9 @@ def kolmogorov_smirnov(samples: DataFrame, by: list[str]) -> DataFrame:
 
     Values are counted first; the running sums are over distinct values.
     """
-    per = samples.groupBy(*by, "x").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
-    upto = Window.partitionBy(*by).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy(*by)
-    at = per.select(*by, F.sum("a").over(upto).alias("ca"), F.sum("b").over(upto).alias("cb"), F.sum("a").over(total).alias("na"), F.sum("b").over(total).alias("nb"))
+    sides = lambda: [F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b")]
+    total = samples.groupBy(*by).agg(*sides()).withColumnsRenamed({"a": "na", "b": "nb"})
+    at = cumulative(samples.groupBy(*by, "x").agg(*sides()), by, [F.col("x").asc()], {"ca": "a", "cb": "b"}).join(total, by)
     gap = F.when((F.col("na") > 0) & (F.col("nb") > 0), F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))).otherwise(0.0)
     return at.groupBy(*by).agg(F.max(gap).alias("drift_score"))
 
@@ -65,8 +67,8 @@ def hellinger(samples: DataFrame, by: list[str]) -> DataFrame:
 def chi_square(samples: DataFrame, by: list[str]) -> DataFrame:
     """Mean over the baseline's categories of (observed - expected)^2 / expected, for (side, category)."""
     per = samples.groupBy(*by, "category").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
-    total = Window.partitionBy(*by)
-    at = per.withColumn("na", F.sum("a").over(total)).withColumn("nb", F.sum("b").over(total)).where("a > 0")
+    total = per.groupBy(*by).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    at = per.join(total, by).where("a > 0")
     expected = F.col("a") / F.col("na") * F.col("nb")
     return at.groupBy(*by).agg(F.avg(F.when(expected > 0, (F.col("b") - expected) * (F.col("b") - expected) / expected)).alias("drift_score"))
 

@@ -7,6 +7,7 @@ bounded training set.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -224,3 +225,29 @@ class Preprocessing:
 
     def fit_transform(self, rows: DataFrame) -> DataFrame:
         return self.fit(rows).transform(rows)
+
+
+@dataclass
+class PreprocessedSegmenter:
+    """A preprocessor and a clustering that is fitted to what it makes of the rows.
+
+    ``cluster`` takes rows of (id, features) and gives a model with ``transform``.
+    """
+
+    preprocessing: Preprocessing
+    cluster: Callable[[DataFrame], object]
+    model: object = None
+
+    def fit(self, rows: DataFrame) -> PreprocessedSegmenter:
+        self.model = self.cluster(self.preprocessing.fit_transform(rows))
+        return self
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        if self.model is None:
+            raise RuntimeError("predict comes after fit")
+        return self.model.transform(self.preprocessing.transform(rows))
+
+
+def fit_with_preprocessing(rows: DataFrame, cluster: Callable[[DataFrame], object], numeric: tuple[str, ...] = (), categorical: tuple[str, ...] = ()) -> PreprocessedSegmenter:
+    """Builds a preprocessor, fits it, then fits the clustering."""
+    return PreprocessedSegmenter(Preprocessing(numeric, categorical), cluster).fit(rows)

@@ -99,5 +99,21 @@ def causal_drivers(importance: DataFrame) -> DataFrame:
     )
 
 
+def micro_communities(found: DataFrame) -> DataFrame:
+    """Of (community_id, characteristics, cohesion, engagement, growth): members by characteristics, each with the cohesion as score."""
+    shared = F.transform("characteristics", lambda c: F.struct(c.alias("name"), F.col("cohesion").alias("score")))
+    return found.select("community_id", F.size("characteristics").alias("member_count"), F.col("cohesion").alias("cohesion_score"), shared.alias("shared_characteristics"), F.col("growth").alias("growth_rate"), F.col("engagement").alias("engagement_level"), is_vibrant(F.col("cohesion"), F.col("engagement")).alias("vibrant"))
+
+
+def tribes(found: DataFrame) -> DataFrame:
+    """Of (tribe_id, tribe_name, size, values, influence)."""
+    return found.select("tribe_id", "tribe_name", F.col("size").alias("member_count"), F.col("values").alias("core_values"), F.col("influence").alias("influence_score"), F.lit("mainstream").alias("market_relevance"))
+
+
+def lifecycle_stages(found: DataFrame) -> DataFrame:
+    """Of (stage_name, percentage, tenure, behaviors, transition)."""
+    return found.select("stage_name", F.col("percentage").alias("percentage_of_base"), F.col("tenure").alias("avg_tenure_days"), F.col("behaviors").alias("key_behaviors"), F.col("transition").alias("transition_rate_to_next"))
+
+
 def is_vibrant(cohesion: Column, engagement: Column) -> Column:
     return (cohesion > 0.7) & (engagement > 0.6)

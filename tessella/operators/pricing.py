@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import bands, clamp, ratio, trunc
+from tessella.functions.ranges import cumulative
 
 
 def elasticity(points: DataFrame) -> DataFrame:
@@ -99,16 +100,18 @@ def price_change(change: Column, e: Column) -> dict[str, Column]:
     return {"projected_volume_change": volume * 100.0, "projected_revenue_change": revenue, "churn_risk_increase": F.greatest(-volume, F.lit(0.0)) * 50.0, "recommendation": F.when(revenue > 5, "Price increase justified by revenue growth").when(revenue < -5, "Price increase will damage revenue; not recommended").otherwise("Minimal revenue impact; proceed with caution")}
 
 
-def top_share(revenues: DataFrame, by: str, share: float, out: str) -> DataFrame:
-    """Share of the total of ``x`` that the top part of the members has, one member at least.
+def _ranked(revenues: DataFrame, by: str, ascending: bool = False) -> DataFrame:
+    """Different values of ``x`` per key with how many members have them (k), how many have them or come before (upto), and all (n, total)."""
+    per = revenues.where("x IS NOT NULL").groupBy(by, "x").agg(F.count("*").alias("_k"))
+    total = per.groupBy(by).agg(F.sum("_k").alias("_n"), F.sum(F.col("x") * F.col("_k")).alias("_total"))
+    return cumulative(per, [by], [F.asc("x") if ascending else F.desc("x")], {"_upto": "_k"}).join(total, by)
 
-    Ranks are per segment; a segment of many members is sorted by one task,
-    spilling, as a rank needs its order.
-    """
-    w = Window.partitionBy(by)
-    at = revenues.withColumn("_i", F.row_number().over(w.orderBy(F.desc("x")))).withColumn("_n", F.count("*").over(w))
-    keep = F.col("_i") <= F.greatest(F.floor(F.col("_n") * share + 1e-9), F.lit(1))
-    return at.groupBy(by).agg(ratio(F.sum(F.when(keep, F.col("x"))), F.sum("x")).alias(out))
+
+def top_share(revenues: DataFrame, by: str, share: float, out: str) -> DataFrame:
+    """Share of the total of ``x`` that the top part of the members has, one member at least. Null values are no members."""
+    top = F.greatest(F.floor(F.col("_n") * share + 1e-9), F.lit(1))
+    kept = F.greatest(F.least(F.col("_upto"), top) - (F.col("_upto") - F.col("_k")), F.lit(0))
+    return _ranked(revenues, by).groupBy(by).agg(ratio(F.sum(F.col("x") * kept), F.max("_total")).alias(out))
 
 
 def segment_revenue(revenues: DataFrame, by: str) -> DataFrame:
@@ -123,10 +126,12 @@ def concentration(revenues: DataFrame, by: str, corrected: bool = False) -> Data
     The original Gini ranks in descending order and is 0 for any unequal
     values; ``corrected`` ranks in ascending order.
     """
-    w = Window.partitionBy(by)
-    at = revenues.withColumn("_s", F.col("x") / F.sum("x").over(w)).withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy(F.asc("x") if corrected else F.desc("x"))))
-    gini = F.greatest(F.sum((2.0 * F.col("_i") - F.col("_n") - 1.0) * F.col("x")) / (F.max("_n") * F.sum("x")), F.lit(0.0))
-    out = at.groupBy(by).agg(F.sum(F.col("_s") * F.col("_s")).alias("hhi"), gini.alias("gini"))
+    at = _ranked(revenues, by, corrected)
+    # The ranks of equal values, summed: each is twice its place less the number of members less one.
+    ranks = F.col("_k") * (2.0 * (F.col("_upto") - F.col("_k")) + F.col("_k") - F.col("_n"))
+    gini = F.greatest(F.sum(ranks * F.col("x")) / (F.max("_n") * F.max("_total")), F.lit(0.0))
+    own = F.col("x") / F.col("_total")
+    out = at.groupBy(by).agg(F.sum(own * own * F.col("_k")).alias("hhi"), gini.alias("gini"))
     return out.join(top_share(revenues, by, 0.1, "top_share"), by).withColumn("risk", bands(F.col("hhi"), [(">", 0.5, "critical"), (">", 0.25, "high"), (">", 0.21, "medium")], "low"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import bands, clamp, ratio
+from tessella.functions.ranges import cumulative
 
 RISK_BANDS = [("<", 0.1, "very_low"), ("<", 0.25, "low"), ("<", 0.5, "medium"), ("<", 0.75, "high")]
 
@@ -84,9 +85,8 @@ def auc_roc(scored: DataFrame) -> DataFrame:
     per distinct score.
     """
     per = scored.groupBy("p").agg(F.count_if("actual").alias("pos"), F.count_if(~F.col("actual")).alias("neg"))
-    above = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("pos").over(above), F.lit(0))
-    area = per.select("pos", "neg", (F.col("neg") * (before + F.col("pos") / 2.0)).alias("part"))
+    before = F.col("_upto") - F.col("pos")
+    area = cumulative(per, [], [F.desc("p")], {"_upto": "pos"}).select("pos", "neg", (F.col("neg") * (before + F.col("pos") / 2.0)).alias("part"))
     total = area.agg(F.sum("part").alias("s"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return total.select(F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("s") / (F.col("pos") * F.col("neg"))).otherwise(0.5).alias("auc_roc"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import accounts, activation, learning
+from tessella.operators import accounts, activation, clustering, learning
 from tessella.plans.registry import query
 from tessella.plans.rfm_queries import AS_OF
 from tessella.plans.segments_queries import CUSTOMERS_SQL, customers
@@ -211,6 +211,7 @@ def activation_payloads(spark, sf_dir):
 
 
 SEP = "chr(31)"
+QUOTED_ONE, QUOTED_SOURCE = "'1.0'", "'tessella'"
 
 
 @query(
@@ -222,7 +223,15 @@ def stable_ids(spark, sf_dir):
     return activation.membership_records(rows)[0].select("name", "membershipId", "segmentId", "customerId")
 
 
-@query("record_batches", None)
+def _batches_sql(rows: str, key: str, columns: list[str], size: int) -> str:
+    text = f" || {SEP} || ".join(f"coalesce({c}::VARCHAR, '')" for c in columns)
+    return f"b AS (SELECT (row_number() OVER (ORDER BY {key}) - 1) // {size} AS batch, {text} AS t FROM {rows}), g AS (SELECT batch, sha256(array_to_string(list_sort(list(t)), chr(30))) AS idempotency_key, count(*) AS records FROM b GROUP BY 1)"
+
+
+M_SQL = f"s AS (SELECT customer_id::VARCHAR AS c, 'seg_' || substr(sha256(segment || {SEP} || 'rfm' || {SEP} || ''), 1, 24) AS sid FROM customers), m AS (SELECT sid || ':' || c AS name, 'mem_' || substr(sha256(sid || {SEP} || c), 1, 24) AS mid, sid, c FROM s)"
+
+
+@query("record_batches", f"WITH {CUSTOMERS_SQL}, {M_SQL}, {_batches_sql('m', 'mid', ['c', 'mid', 'name', QUOTED_ONE, 'sid', QUOTED_SOURCE], 100)} SELECT * FROM g")
 def record_batches(spark, sf_dir):
     rows = customers(spark, sf_dir).select("segment", F.lit("rfm").alias("segment_type"), "customer_id", F.lit(1.0).alias("score"))
     return activation.batched(activation.membership_records(rows)[0], "membershipId", 100).groupBy("batch", "idempotency_key").agg(F.count("*").alias("records"))
@@ -302,7 +311,10 @@ def preprocessed(spark, sf_dir):
     return out.select("c_custkey", F.transform("features", lambda x: F.round(x, 8)).alias("features"))
 
 
-@query("record_plan", None)
+G_SQL = f"s AS (SELECT trim(segment) AS name, 'seg_' || substr(sha256(segment || {SEP} || 'rfm' || {SEP} || ''), 1, 24) AS sid, count(*) AS n FROM customers GROUP BY 1, 2)"
+
+
+@query("record_plan", f"WITH {CUSTOMERS_SQL}, {G_SQL}, {_batches_sql('s', 'sid', ['n', 'name', 'sid', chr(39) + 'rfm' + chr(39), QUOTED_SOURCE], 500)} SELECT 'audienceSegments' AS object, 'segmentId' AS match_field, '/rest/audienceSegments' AS lookup_path, '/rest/audienceSegments/upsert' AS upsert_path, batch, idempotency_key, records FROM g")
 def record_plan(spark, sf_dir):
     per = customers(spark, sf_dir).groupBy("segment").agg(F.count("*").alias("member_count")).withColumn("segment_type", F.lit("rfm"))
     return activation.write_plan(activation.segment_records(per), "audienceSegments")
@@ -312,3 +324,40 @@ def record_plan(spark, sf_dir):
 def hierarchy_summary(spark, sf_dir):
     k = F.col("s_suppkey")
     return accounts.hierarchy_summary(table(spark, sf_dir, "supplier").select(k.alias("seq"), k.alias("company_id"), F.when(k > 10, k % 10).alias("parent_id")))
+
+
+@query("preprocessed_clusters", "WITH m AS (SELECT avg(s_acctbal) AS m, stddev_pop(s_acctbal) AS s FROM supplier) SELECT s_suppkey AS id, CASE WHEN abs((s_acctbal - m) / s + 1) <= abs((s_acctbal - m) / s - 1) THEN 0 ELSE 1 END AS cluster FROM supplier, m")
+def preprocessed_clusters(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), "s_acctbal")
+    fitted = learning.fit_with_preprocessing(rows, lambda points: clustering.Model([[-1.0], [1.0]], 0.0, 0), ("s_acctbal",))
+    return fitted.predict(rows).select("id", "cluster")
+
+
+@query("manifest", "SELECT * FROM (VALUES ('audienceSegments', 7::BIGINT, 1::BIGINT, 1::BIGINT), ('audienceSegmentMemberships', 8, 1, 2)) t(object, fields, keys, nullable)")
+def manifest(spark, sf_dir):
+    return activation.manifest(spark).groupBy("object").agg(F.count("*").alias("fields"), F.count_if("unique").alias("keys"), F.count_if("nullable").alias("nullable"))
+
+
+@query("activation_platform_fields", f"WITH {R_SQL} SELECT customer_id, coalesce(email, '') AS iterable_email, segment AS iterable_list, coalesce(email, '') AS klaviyo_email, segment AS klaviyo_list, email AS salesforce_email, segment AS salesforce_segment, segment AS hubspot_status, customer_id AS segment_user, customer_id AS rudder_user, customer_id AS braze_id, email IS NOT NULL OR external_id IS NOT NULL AS valid FROM r")
+def activation_platform_fields(spark, sf_dir):
+    f = lambda platform, name: activation.platform_fields(platform)[name]
+    r = records(spark, sf_dir)
+    return r.select("customer_id", f("Iterable", "email").alias("iterable_email"), f("Iterable", "listId").alias("iterable_list"), f("Klaviyo", "email").alias("klaviyo_email"), f("Klaviyo", "list_id").alias("klaviyo_list"), f("Salesforce", "Email").alias("salesforce_email"), f("Salesforce", "Segment__c").alias("salesforce_segment"), f("HubSpot", "hs_lead_status").alias("hubspot_status"), f("Segment", "userId").alias("segment_user"), f("RudderStack", "anonymousId").alias("rudder_user"), f("Braze", "external_id").alias("braze_id"), activation.valid_for(F.lit("Braze")).alias("valid"))
+
+
+@query("webhook_triggers", "SELECT event_id, event_type FROM events WHERE value > 50 AND event_type = 'purchase'")
+def webhook_triggers(spark, sf_dir):
+    hooks = table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("value") > 50).alias("active"))
+    return activation.triggers(hooks, "purchase").select("event_id", "event_type")
+
+
+@query("audit_events", "SELECT user_id AS segment_id, event_id AS actor, ts AS timestamp, 'evt_' || (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) AS event_id FROM events")
+def audit_events(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("segment_id"), F.col("event_id").alias("actor"), F.col("ts").alias("timestamp"))
+    return accounts.audit_numbers(rows)
+
+
+@query("segment_contracts", f"WITH {D_SQL} SELECT segment, CASE WHEN customers >= 50 AND 1 - retention <= 0.9 AND retention >= 0.2 THEN 'active' ELSE 'breached' END AS contract, CASE WHEN customers > 100 OR customers = 0 THEN 0.9::DOUBLE ELSE 0.98::DOUBLE END AS reliability FROM d")
+def segment_contracts(spark, sf_dir):
+    kept = accounts.segment_contract(F.lit(50), F.lit(0.9), F.lit(0.2), F.col("customers"), 1 - F.col("retention"), F.col("retention"))
+    return cards(spark, sf_dir).select("segment", kept.alias("contract"), accounts.provenance(F.col("customers"), F.greatest(F.col("customers") - 100, F.lit(0))).alias("reliability"))

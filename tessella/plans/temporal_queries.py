@@ -261,3 +261,28 @@ def causal_drivers(spark, sf_dir):
     one = table(spark, sf_dir, "lineitem").agg(*[F.corr(c, "l_extendedprice").alias(c) for c in weights])
     rows = one.unpivot([], list(weights), "feature", "correlation").withColumn("importance", F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("feature")))
     return patterns.causal_drivers(rows)
+
+
+@query("micro_communities", "SELECT c_nationkey::BIGINT AS community_id, count(DISTINCT c_mktsegment) AS member_count, round(count(*) FILTER (c_acctbal > 0)::DOUBLE / count(*), 9) AS cohesion_score, list_transform(list_sort(list(DISTINCT c_mktsegment)), lambda s: s) AS characteristics, count(*) FILTER (c_acctbal > 0)::DOUBLE / count(*) > 0.7 AS vibrant FROM customer GROUP BY 1")
+def micro_communities(spark, sf_dir):
+    cohesion = (F.count_if(F.col("c_acctbal") > 0) / F.count("*")).alias("cohesion")
+    rows = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("bigint").alias("community_id")).agg(F.array_sort(F.collect_set("c_mktsegment")).alias("characteristics"), cohesion)
+    found = patterns.micro_communities(rows.withColumns({"engagement": F.lit(0.7), "growth": F.lit(0.0)}))
+    return found.select("community_id", F.col("member_count").cast("bigint").alias("member_count"), F.round("cohesion_score", 9).alias("cohesion_score"), F.transform("shared_characteristics", lambda s: s["name"]).alias("characteristics"), "vibrant")
+
+
+@query("tribes", "SELECT n_regionkey::BIGINT AS tribe_id, 'region ' || n_regionkey AS tribe_name, count(*) AS member_count, list_sort(list(n_name)) AS core_values, round(count(*) / 25.0::DOUBLE, 9) AS influence_score, 'mainstream' AS market_relevance FROM nation GROUP BY 1, 2")
+def tribes(spark, sf_dir):
+    key = F.col("n_regionkey").cast("bigint")
+    rows = table(spark, sf_dir, "nation").groupBy(key.alias("tribe_id")).agg(F.count("*").alias("size"), F.array_sort(F.collect_list("n_name")).alias("values"))
+    return patterns.tribes(rows.withColumns({"tribe_name": F.concat(F.lit("region "), F.col("tribe_id").cast("string")), "influence": F.round(F.col("size") / 25.0, 9)}))
+
+
+@query("lifecycle_stages", "SELECT o_orderstatus AS stage_name, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM orders), 6) AS percentage_of_base, round(avg(date_diff('day', o_orderdate::DATE, DATE '2001-08-02')), 6) AS avg_tenure_days, list_sort(list(DISTINCT o_orderpriority)) AS key_behaviors, 0.5::DOUBLE AS transition_rate_to_next FROM orders GROUP BY 1")
+def lifecycle_stages(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    days = F.datediff(F.lit("2001-08-02").cast("date"), F.col("o_orderdate").cast("date"))
+    rows = orders.groupBy(F.col("o_orderstatus").alias("stage_name")).agg(F.count("*").alias("n"), F.round(F.avg(days), 6).alias("tenure"), F.array_sort(F.collect_set("o_orderpriority")).alias("behaviors"))
+    total = rows.agg(F.sum("n").alias("total"))
+    rows = rows.crossJoin(F.broadcast(total)).withColumn("percentage", F.round(F.col("n") * 100.0 / F.col("total"), 6))  # one row
+    return patterns.lifecycle_stages(rows.withColumn("transition", F.lit(0.5)))
