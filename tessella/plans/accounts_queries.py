@@ -108,11 +108,11 @@ def governance_scores(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_size").alias("n")).distinct().select("n", F.round(accounts.lineage_quality(n), 9).alias("lineage_quality"), accounts.stewardship(n % 3).alias("stewardship"), F.round(accounts.policy_compliance(n), 9).alias("compliance"), accounts.access_level(n % 9).alias("access_level"), F.round(accounts.change_velocity(n), 9).alias("velocity"))
 
 
-@query("scenario_feasibility", "WITH c AS (SELECT p_brand AS k, list_sort(list(DISTINCT CASE WHEN p_size % 4 = 0 THEN 'budget' WHEN p_size % 4 = 1 THEN 'timeline' WHEN p_size % 4 = 2 THEN 'technical debt' ELSE 'other' END)) AS c FROM part WHERE p_size < 6 GROUP BY 1), f AS (SELECT k, list_product(list_transform(c, lambda t: CASE WHEN contains(t, 'budget') THEN 0.8::DOUBLE WHEN contains(t, 'timeline') THEN 0.9::DOUBLE WHEN contains(t, 'technical') THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END)) AS f FROM c) SELECT k, round(f, 9) AS feasibility, CASE WHEN f > 0.8 THEN '1-2 weeks' WHEN f > 0.5 THEN '2-4 weeks' ELSE '1-3 months' END AS rollout FROM f")
+@query("scenario_feasibility", "WITH c AS (SELECT p_brand || ' ' || p_type AS k, list_sort(list(DISTINCT CASE WHEN p_size % 4 = 0 THEN 'budget' WHEN p_size % 4 = 1 THEN 'timeline' WHEN p_size % 4 = 2 THEN 'technical debt' ELSE 'other' END)) AS c FROM part GROUP BY 1), f AS (SELECT k, list_product(list_transform(c, lambda t: CASE WHEN contains(t, 'budget') THEN 0.8::DOUBLE WHEN contains(t, 'timeline') THEN 0.9::DOUBLE WHEN contains(t, 'technical') THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END)) AS f FROM c) SELECT k, round(f, 9) AS feasibility, CASE WHEN f > 0.8 THEN '1-2 weeks' WHEN f > 0.5 THEN '2-4 weeks' ELSE '1-3 months' END AS rollout FROM f")
 def scenario_feasibility(spark, sf_dir):
     s = F.col("p_size") % 4
     kind = F.when(s == 0, "budget").when(s == 1, "timeline").when(s == 2, "technical debt").otherwise("other")
-    c = table(spark, sf_dir, "part").where("p_size < 6").groupBy(F.col("p_brand").alias("k")).agg(accounts.feasibility(F.array_sort(F.collect_set(kind))).alias("f"))
+    c = table(spark, sf_dir, "part").groupBy(F.concat_ws(" ", "p_brand", "p_type").alias("k")).agg(accounts.feasibility(F.array_sort(F.collect_set(kind))).alias("f"))
     return c.select("k", F.round("f", 9).alias("feasibility"), accounts.rollout_time(F.col("f")).alias("rollout"))
 
 

@@ -109,7 +109,7 @@ def kmeans_fit(spark, sf_dir):
 
 @query("kprototypes_fit", None)
 def kprototypes_fit(spark, sf_dir):
-    p = points(spark, sf_dir).withColumn("categories", F.array((F.col("id") % 3).cast("int")))
+    p = points(spark, sf_dir).withColumn("categories", F.array(F.col("features")[1].cast("int")))
     centres, modes, gamma = clustering.fit_prototypes(p, 3, max_iter=10)
     return clustering.assign_prototypes(p, centres, modes, gamma).select("id", "cluster")
 
