@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows that one task numbers at once.
-ROWS_PER_CHUNK = 5_000
+#: Rows that one task numbers at once, and chunks of a group; very large groups have larger chunks.
+ROWS_PER_CHUNK, MOST_CHUNKS = 1_000, 65_536
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str, at_most: int = 4 << 20, rows: int = 2_000) -> Iterator[pa.RecordBatch]:
@@ -51,7 +51,8 @@ def running(df: DataFrame, group: list[str], order: list[str], value: Column, ou
     all of ``order`` are in the order of ``tie``, or may swap places. Groups and order columns may be null.
     """
     hashed = F.xxhash64(*[F.col(c) for c in order])
-    sizes = df.groupBy(*group).agg(F.ceil(F.count("*") / ROWS_PER_CHUNK).alias("_chunks")) if group else df.agg(F.ceil(F.count("*") / ROWS_PER_CHUNK).alias("_chunks"))
+    chunks = F.least(F.ceil(F.count("*") / ROWS_PER_CHUNK), F.lit(MOST_CHUNKS)).alias("_chunks")
+    sizes = df.groupBy(*group).agg(chunks) if group else df.agg(chunks)
     cut = _null_safe(df, sizes, group) if group else df.crossJoin(F.broadcast(sizes))  # one row
     cut = cut.withColumn("_h", hashed).withColumn("_v", value.cast("bigint")).withColumn("_chunk", F.pmod("_h", F.greatest("_chunks", F.lit(1)))).drop("_chunks")
     per = cut.groupBy(*group, "_chunk").agg(F.sum("_v").alias("_sum"))
