@@ -18,8 +18,10 @@ from tessella.functions.columns import dot
 from tessella.operators.graph import connected_components
 from tessella.sources.scratch import written
 
-#: Points up to which the exact silhouette, which compares all pairs, is worked out.
-MOST_PAIRED = 20_000
+#: Numbers that a block of the exact silhouette, which compares all pairs, holds, and pairs of blocks that a task takes.
+PAIRED_NUMBERS, PAIRED_A_TASK = 8_000, 200
+#: Pairs of points of two boxes that are compared one by one, and how often larger boxes are halved before.
+COMPARED, MOST_HALVED = 10_000, 30
 
 
 def _width(points: DataFrame) -> int:
@@ -248,43 +250,152 @@ class MiniBatch:
 # Density, agglomeration, soft assignment.
 
 
-def near_pairs(points: DataFrame, eps: float) -> DataFrame:
-    """Pairs (a, b) of points within eps, each with itself too.
+def _sum_squares(gaps: list[Column]) -> Column:
+    return sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])
 
-    Points meet by grid cells of width eps, each with the neighbouring cells,
-    so only near points are compared.
+
+def _apart(a: str, b: str, width: int) -> Column:
+    return F.sqrt(_sum_squares([F.col(a)[i] - F.col(b)[i] for i in range(width)]))
+
+
+def _boxes(points: DataFrame, by: list[str], width: int) -> DataFrame:
+    """Of each group: its points, corners of the box around them, and its smallest id."""
+    cells = _cells(width)
+    return points.groupBy(*by).agg(F.count("*").alias("n"), F.array(*[F.min(c) for c in cells]).alias("lo"), F.array(*[F.max(c) for c in cells]).alias("hi"), F.min("id").alias("node"))
+
+
+def _nearest_gap(width: int) -> Column:
+    return F.sqrt(_sum_squares([F.greatest(F.col("lo2")[i] - F.col("hi")[i], F.col("lo")[i] - F.col("hi2")[i], F.lit(0.0)) for i in range(width)]))
+
+
+def _farthest_gap(width: int) -> Column:
+    return F.sqrt(_sum_squares([F.greatest(F.col("hi2")[i] - F.col("lo")[i], F.col("hi")[i] - F.col("lo2")[i]) for i in range(width)]))
+
+
+def _renamed(boxes: DataFrame) -> DataFrame:
+    return boxes.withColumnsRenamed({c: f"{c}2" for c in boxes.columns})
+
+
+def _touching(boxes: DataFrame, width: int, eps: float) -> DataFrame:
+    """Pairs of different cells with points that may be within eps; ``far`` says that all of them are.
+
+    Cells meet by blocks wider than eps, each with the neighbouring blocks; a
+    block holds a bounded number of cells.
     """
-    width = _width(points)
-    own = points.select("id", "features", F.array(*[F.floor(c / eps).cast("bigint") for c in _cells(width)]).alias("_cell"))
+    block = math.isqrt(width) + 1
+    own = boxes.withColumn("_at", F.transform("cell", lambda v: F.floor(v / block).cast("bigint")))
     around = F.array(F.array().cast("array<bigint>"))
     for _ in range(width):
         around = F.flatten(F.transform(around, lambda p: F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.array_append(p, d.cast("bigint")))))
-    spread = own.withColumn("_d", F.explode(around)).select(F.col("id").alias("b"), F.col("features").alias("fb"), F.zip_with("_cell", "_d", lambda x, y: x + y).alias("_cell"))
-    gap = F.aggregate(F.zip_with("features", "fb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-    return own.join(spread, "_cell").where(F.sqrt(gap) <= eps).select(F.col("id").alias("a"), "b")
+    spread = own.withColumn("_d", F.explode(around)).withColumn("_at", F.zip_with("_at", "_d", lambda x, y: x + y)).drop("_d")
+    met = own.join(_renamed(spread).withColumnRenamed("_at2", "_at"), "_at").where(F.col("cell") != F.col("cell2"))
+    return met.where(_nearest_gap(width) <= eps).withColumn("far", _farthest_gap(width) <= eps).drop("_at")
+
+
+@dataclass
+class _Density:
+    points: DataFrame  # id, features, cell
+    touching: DataFrame  # pairs of cells
+    rare: DataFrame  # points of cells whose counts alone don't make them core points
+    core: DataFrame  # id, features, cell
+    width: int
+    side: float
+
+
+def _density(points: DataFrame, eps: float, least: int) -> _Density:
+    """Core points by a grid whose cells are so small that all points of one are within eps.
+
+    Where a cell and the cells that lie within eps as a whole hold ``least``
+    points, all of its points are core points by counts alone. Only points of
+    other cells, under ``least`` a cell, are compared with points around them,
+    so the comparisons grow with the points and not with a cell's square.
+    """
+    if not eps > 0:
+        raise ValueError("eps must be positive")
+    width = _width(points)
+    side = eps / math.sqrt(width) * (1 - 1e-12)
+    rows = written(points.select("id", F.col("features").cast("array<double>").alias("features"), F.array(*[F.floor(c / side).cast("bigint") for c in _cells(width)]).alias("cell")), "points")
+    boxes = written(_boxes(rows, ["cell"], width), "cells")
+    touching = written(_touching(boxes, width, eps), "touching")
+    whole = touching.groupBy("cell").agg(F.sum(F.when(F.col("far"), F.col("n2")).otherwise(0)).alias("_whole"))
+    known = boxes.join(whole, "cell", "left").select("cell", (F.col("n") + F.coalesce("_whole", F.lit(0))).alias("known"))
+    rare = written(rows.join(known.where(F.col("known") < least), "cell"), "rare")
+    near = _met(rare, touching, rows.select(F.col("cell").alias("cell2"), F.col("features").alias("_other")), width, eps).groupBy("id").agg(F.count("*").alias("_near"))
+    few = rare.join(near, "id", "left").where(F.col("known") + F.coalesce("_near", F.lit(0)) >= least).select("id", "features", "cell")
+    many = rows.join(known.where(F.col("known") >= least), "cell").select("id", "features", "cell")
+    return _Density(rows, touching, rare, written(many.unionByName(few), "core"), width, side)
+
+
+def _met(rare: DataFrame, touching: DataFrame, others: DataFrame, width: int, eps: float) -> DataFrame:
+    """Rows of ``rare`` with those of ``others`` (cell2, _other) within eps in cells that are only partly so."""
+    asked = rare.join(touching.where(~F.col("far")).select("cell", "cell2"), "cell")
+    return asked.join(others, "cell2").where(_apart("features", "_other", width) <= eps)
+
+
+def core_points(points: DataFrame, eps: float, least: int) -> DataFrame:
+    """``id`` of points with ``least`` points within eps, themselves included. Ids are unique."""
+    return _density(points, eps, least).core.select("id")
+
 
+def _cell_links(core: DataFrame, width: int, side: float, eps: float) -> DataFrame:
+    """Pairs (a, b) of cells, by their smallest core points, with two core points within eps.
 
-def core_points(near: DataFrame, least: int) -> DataFrame:
-    return near.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= least).select("id")
+    Boxes around the points decide most pairs. Undecided boxes are halved
+    along each axis until they are decided or hold few enough points to
+    compare; a pair of cells is done with its first pair of points.
+    """
+    cells = written(_boxes(core, ["cell"], width), "cells")
+    pairs = written(_touching(cells, width, eps).where("node < node2"), "pairs")
+    links = pairs.where("far").select("node", "node2")
+    placed = written(core.join(cells.select("cell", "node"), "cell"), "placed")
+    open_ = written(pairs.where(~F.col("far")).select("node", "node2", F.col("cell").alias("sub"), F.col("cell2").alias("sub2"), "n", "n2"), "open")
+    for level in range(MOST_HALVED + 1):
+        at = lambda halved: F.array(*[F.floor(c / (side / 2**halved)).cast("bigint") for c in _cells(width)])
+        small = open_.where(F.col("n") * F.col("n2") <= COMPARED) if level < MOST_HALVED else open_
+        here = placed.select("node", at(level).alias("sub"), "features")
+        there = here.select(F.col("node").alias("node2"), F.col("sub").alias("sub2"), F.col("features").alias("_other"))
+        near = small.join(here, ["node", "sub"]).join(there, ["node2", "sub2"]).where(_apart("features", "_other", width) <= eps)
+        found = written(near.select("node", "node2").distinct(), "found")
+        links = links.unionByName(found)
+        if level == MOST_HALVED:
+            break
+        large = written(open_.where(F.col("n") * F.col("n2") > COMPARED).join(found, ["node", "node2"], "left_anti"), "open")
+        if large.isEmpty():
+            break
+        held = placed.join(large.select("node").union(large.select("node2")).distinct(), "node", "left_semi")
+        halves = _boxes(held.withColumn("sub", at(level)).withColumn("half", at(level + 1)).withColumnRenamed("node", "_node"), ["_node", "sub", "half"], width).drop("node").withColumnRenamed("_node", "node")
+        halves = written(halves, "halves")
+        met = large.select("node", "node2", "sub", "sub2").join(halves, ["node", "sub"]).join(_renamed(halves), ["node2", "sub2"]).where(_nearest_gap(width) <= eps).withColumn("far", _farthest_gap(width) <= eps)
+        met = written(met.select("node", "node2", F.col("half").alias("sub"), F.col("half2").alias("sub2"), "n", "n2", "far"), "met")
+        whole = met.where("far").select("node", "node2").distinct()
+        links = links.unionByName(whole)
+        open_ = written(met.where(~F.col("far")).join(whole, ["node", "node2"], "left_anti").drop("far"), "open")
+    return links.select(F.col("node").alias("a"), F.col("node2").alias("b"))
 
 
 def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
     """id, cluster: density clusters numbered from 1 in order of their smallest core point; null is noise.
 
     A border point goes to the cluster with the lowest number among its core
-    neighbours.
+    neighbours. Core points of one cell are one node of the graph, so that a
+    dense cell costs its points and not their pairs. Ids are unique.
     """
-    rows = written(points.select("id", "features"), "points")
-    near = written(near_pairs(rows, eps), "near")
-    core = written(core_points(near, least), "core")
-    links = near.join(core.withColumnRenamed("id", "a"), "a").join(core.withColumnRenamed("id", "b"), "b").select("a", "b")
-    roots = connected_components(links).withColumnsRenamed({"node": "id"})
-    rooted = core.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-    numbers = rooted.select("root").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("root")))  # one row per cluster
-    rooted = rooted.join(numbers, "root").select(F.col("id").alias("b"), "cluster")
-    found = near.join(rooted, "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("cluster"))
-    own_cluster = rooted.withColumnRenamed("b", "id").withColumnRenamed("cluster", "_own")
-    return rows.select("id").join(found, "id", "left").join(own_cluster, "id", "left").select("id", F.coalesce("_own", "cluster").alias("cluster"))
+    from tessella.operators.rfm import positions
+
+    made = _density(points, eps, least)
+    cells = made.core.groupBy("cell").agg(F.min("id").alias("node"))
+    roots = connected_components(_cell_links(made.core, made.width, made.side, eps))
+    rooted = written(cells.join(roots, "node", "left").select("cell", F.coalesce("root", "node").alias("root")), "rooted")
+    numbers = positions(rooted.select("root").distinct(), [F.col("root").asc()], "_i").select("root", (F.col("_i") + 1).cast("int").alias("cluster"))
+    clusters = written(rooted.join(numbers, "root").select("cell", "cluster"), "clusters")
+    inner = made.core.join(clusters, "cell").select("id", "features", "cell", "cluster")
+    border = made.rare.join(made.core.select("id"), "id", "left_anti")
+    other = clusters.withColumnRenamed("cell", "cell2")
+    own = border.join(clusters, "cell").select("id", "cluster")
+    whole = border.join(made.touching.where("far").select("cell", "cell2"), "cell").join(other, "cell2").select("id", "cluster")
+    part = _met(border, made.touching, inner.select(F.col("cell").alias("cell2"), F.col("features").alias("_other"), "cluster"), made.width, eps).select("id", "cluster")
+    found = inner.select("id", "cluster").unionByName(own.unionByName(whole).unionByName(part).groupBy("id").agg(F.min("cluster").alias("cluster")))
+    return made.points.select("id").join(found, "id", "left")
 
 
 def agglomerated(points: DataFrame, by: list[str], k: int) -> DataFrame:
@@ -381,22 +492,61 @@ def calinski_harabasz(points: DataFrame) -> DataFrame:
 def silhouette(points: DataFrame, alone: float | None = None) -> DataFrame:
     """Exact mean silhouette of (id, features, cluster), plain Euclidean.
 
-    It is defined over all pairs, so there is a limit of MOST_PAIRED points;
-    ``fast_silhouette`` has none. ``alone`` is what the nearest other cluster's
-    distance is where there is no other; None makes the score 1.
+    It is defined over all pairs, so the comparisons grow with the square of
+    the points; ``fast_silhouette`` needs only sums. Points are dealt into
+    blocks of about PAIRED_NUMBERS, every block meets every other as one row of
+    a join, and what leaves a pair of blocks is one sum per point and cluster.
+    ``alone`` is what the nearest other cluster's distance is where there is
+    no other; None makes the score 1. Points with equal ids aren't compared;
+    points without a cluster don't count.
     """
-    if points.count() > MOST_PAIRED:
-        raise ValueError(f"the exact silhouette is for {MOST_PAIRED} points at most; use fast_silhouette")
-    other = points.select(F.col("id").alias("o"), F.col("features").alias("of"), F.col("cluster").alias("oc"))
-    gap = F.sqrt(F.aggregate(F.zip_with("features", "of", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
-    pairs = points.join(other, F.col("id") != F.col("o"), "left").groupBy("id", "cluster", "oc").agg(F.avg(gap).alias("d"))
+    rows = points.select("id", F.col("features").cast("array<double>").alias("features"), F.col("cluster").cast("bigint").alias("cluster")).where(F.col("cluster").isNotNull())
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("features")).alias("width")).first()
+    blocks = max(1, -(-size.n * (3 + (size.width or 0)) // PAIRED_NUMBERS))
+    tasks = min(blocks * blocks, max(4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks * blocks // PAIRED_A_TASK))
+    packed = written(rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block").agg(F.collect_list(F.struct("id", "features", "cluster")).alias("own")), "blocks")
+    asked = packed.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("with").cast("bigint").alias("block"), F.col("own").alias("asked"))
+    met = packed.join(asked, "block").select("asked", "own").repartition(tasks)
+    kind = rows.schema["id"].dataType.simpleString()
+    sums = met.mapInArrow(_block_sums, f"id {kind}, cluster bigint, oc bigint, n bigint, d double")
+    pairs = sums.groupBy("id", "cluster", "oc").agg((F.sum("d") / F.sum("n")).alias("d"))
     same = F.col("oc") == F.col("cluster")
     per = pairs.groupBy("id", "cluster").agg(F.coalesce(F.max(F.when(same, F.col("d"))), F.lit(0.0)).alias("a"), F.min(F.when(~same, F.col("d"))).alias("b"))
+    # A single point has no pair, and the score of one that has neither distance.
+    per = rows.select("id", "cluster").distinct().join(per, ["id", "cluster"], "left").select(F.coalesce("a", F.lit(0.0)).alias("a"), "b")
     b = F.coalesce("b", F.lit(1.7976931348623157e308 if alone is None else alone))
     top = F.greatest(F.col("a"), b)
     return per.agg(F.avg(F.when(top > 1e-10, (b - F.col("a")) / top).otherwise(0.0)).alias("silhouette"))
 
 
+def _block_sums(batches):
+    """Of each pair of blocks: for every asked point and every cluster of the other block, how many points and the sum of their distances."""
+    import numpy as np
+    import pyarrow as pa
+
+    def parts(column, i):
+        s = column[i].values
+        ids, clusters = s.field("id"), s.field("cluster").to_numpy(zero_copy_only=False)
+        return ids, np.array(s.field("features").to_pylist(), float).reshape(len(s), -1), clusters
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            ids, x, own = parts(batch.column("asked"), i)
+            others, y, kinds = parts(batch.column("own"), i)
+            labels, code = np.unique(kinds, return_inverse=True)
+            order = np.argsort(code, kind="stable")
+            starts = np.searchsorted(code[order], np.arange(len(labels)))
+            at, there = ids.to_numpy(zero_copy_only=False), others.to_numpy(zero_copy_only=False)[order]
+            for low in range(0, len(x), 256):  # so many points at once bound the matrix
+                some = slice(low, low + 256)
+                gaps = np.sqrt(sum((x[some, j, None] - y[order, j]) ** 2 for j in range(x.shape[1])))
+                counted = (at[some, None] != there).astype(np.int64)
+                d, n = np.add.reduceat(gaps * counted, starts, axis=1), np.add.reduceat(counted, starts, axis=1)
+                row, kind = np.nonzero(n)
+                columns = [ids.take(pa.array(low + row)), pa.array(own[some][row]), pa.array(labels[kind]), pa.array(n[row, kind]), pa.array(d[row, kind])]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "cluster", "oc", "n", "d"])
+
+
 def fast_silhouette(points: DataFrame) -> float:
     """Silhouette by squared distances, which need only sums per cluster."""
     from pyspark.ml.evaluation import ClusteringEvaluator

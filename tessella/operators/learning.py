@@ -1,13 +1,13 @@
 """Small networks, autoencoders, recurrent layers, feature engineering and preprocessing.
 
 Prediction broadcasts the few weights into one Arrow-batched function.
-Training is sample by sample in a given order, so it is one task's work on a
-bounded training set.
+Training is sample by sample in a given order, so stretches of the training
+set are taken one after another, each by one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,9 +15,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.sources.scratch import written
+
 ACTIVATIONS = {"relu": lambda x: np.maximum(x, 0.0), "sigmoid": lambda x: 1.0 / (1.0 + np.exp(-x)), "tanh": np.tanh, "linear": lambda x: x}
-#: Training rows up to which a network is trained here.
-MOST_TRAINED = 200_000
+#: Training rows that one task takes at a time.
+STRETCH = 50_000
 
 
 @dataclass
@@ -73,15 +75,37 @@ class Network:
         return loss
 
     def train(self, rows: DataFrame, order: str = "seq") -> dict:
-        """Passes over (seq, x, y) in order; the loss is that of the last pass."""
-        taken = rows.select(order, "x", "y").orderBy(order).limit(MOST_TRAINED + 1).toPandas()
-        if not 0 < len(taken) <= MOST_TRAINED:
-            raise ValueError(f"training takes 1 to {MOST_TRAINED} rows")
-        xs, ys = np.stack(taken["x"]), np.stack(taken["y"])
+        """Passes over (seq, x, y) in order; the loss is that of the last pass.
+
+        Each step needs the weights of the one before, so stretches of STRETCH
+        rows go one after another, each one task that takes the weights and
+        gives the next ones; only those come to the driver. Equal places in
+        the order follow a hash of x and y.
+        """
+        from tessella.operators.rfm import positions
+
+        placed = positions(rows.select(order, "x", "y"), [F.col(order).asc(), F.xxhash64("x", "y").asc()], "_i")
+        placed = written(placed.withColumn("_stretch", F.floor(F.col("_i") / STRETCH)).repartition("_stretch").sortWithinPartitions("_stretch", "_i"), "training")
+        n = placed.count()
+        if not n:
+            raise ValueError("there are no training rows")
         loss = 0.0
         for _ in range(self.epochs):
-            loss = sum(self.step(x, y) for x, y in zip(xs, ys, strict=True)) / len(xs)
-        return {"epochs": self.epochs, "final_loss": loss, "samples_trained": len(xs)}
+            loss = 0.0
+            for i in range(-(-n // STRETCH)):
+                part = placed.where(F.col("_stretch") == i).select("_i", "x", "y").coalesce(1)
+                made = part.mapInPandas(_stepped(self), "loss double, weights array<double>").first()
+                loss += made.loss
+                self._take(np.array(made.weights))
+        return {"epochs": self.epochs, "final_loss": loss / n, "samples_trained": n}
+
+    def _given(self) -> np.ndarray:
+        return np.concatenate([v.ravel() for layer in self.layers for v in (layer.weights, layer.biases)])
+
+    def _take(self, values: np.ndarray) -> None:
+        for layer in self.layers:
+            w, b = layer.weights.size, layer.biases.size
+            layer.weights, layer.biases, values = values[:w].reshape(layer.weights.shape), values[w : w + b], values[w + b :]
 
     def predict(self, rows: DataFrame, column: str = "x") -> DataFrame:
         """Adds ``prediction``."""
@@ -91,6 +115,16 @@ class Network:
         return [f"Input: {self.inputs}", *[f"Layer {i}: {n.weights.shape[1]} → {n.weights.shape[0]} [{n.activation}]" for i, n in enumerate(self.layers)]]
 
 
+def _stepped(net: Network) -> Callable:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = [f for f in frames if len(f)]
+        rows = pd.concat(found).sort_values("_i")  # STRETCH rows at most
+        loss = sum(net.step(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(rows["x"], rows["y"], strict=True))
+        yield pd.DataFrame({"loss": [loss], "weights": [net._given()]})
+
+    return run
+
+
 def _applied(f, column: str) -> Column:
     @F.pandas_udf("array<double>")
     def run(xs: pd.Series) -> pd.Series:

@@ -81,7 +81,7 @@ def adjusted_rand(spark, sf_dir):
     f"WITH {P_SQL}, n AS (SELECT a.id, count(*) AS n FROM p a JOIN p b ON sqrt((a.x - b.x)**2 + (a.y - b.y)**2) <= 1.5 GROUP BY 1) SELECT id FROM n WHERE n >= 4",
 )
 def dbscan_core_points(spark, sf_dir):
-    return clustering.core_points(clustering.near_pairs(points(spark, sf_dir), 1.5), 4)
+    return clustering.core_points(points(spark, sf_dir), 1.5, 4)
 
 
 @query(
