@@ -298,10 +298,15 @@ def autoencoder_scores(spark, sf_dir):
     return learning.Autoencoder(2, 1).anomaly_scores(_xy(spark, sf_dir)).select("seq", F.round("anomaly_score", 8).alias("anomaly_score"))
 
 
-@query("recurrent_states", None)
+@query(
+    "recurrent_states",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id AS seq, value / 100 AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+    r(user_id, seq, i, h) AS (SELECT user_id, seq, i, tanh(0.1::DOUBLE * x) FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.seq, e.i, tanh(0.1::DOUBLE * e.x + 0.1::DOUBLE * (3 * r.h)) FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+    SELECT user_id, seq, [round(h, 8), round(h, 8), round(h, 8)] AS h FROM r""",
+)
 def recurrent_states(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), F.array(F.col("value") / 100).alias("x"))
-    return learning.recurrent_states(rows, "user_id", 3)
+    return learning.recurrent_states(rows, "user_id", 3).withColumn("h", F.transform("h", lambda v: F.round(v, 8)))
 
 
 @query("preprocessed", "WITH m AS (SELECT avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS s FROM customer), v AS (SELECT list_sort(list(DISTINCT c_mktsegment)) AS v FROM customer) SELECT c_custkey, list_concat([round((c_acctbal - m) / s, 8)], list_transform(v, lambda k: (k = c_mktsegment)::INT::DOUBLE)) AS features FROM customer, m, v")

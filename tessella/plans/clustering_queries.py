@@ -17,7 +17,8 @@ def points(spark, sf_dir):
 
 
 # Unrolled rounds: nearest of the last centres, then means.
-L_SQL = f"{P_SQL}, c0 AS (SELECT (i // ((SELECT count(*) FROM p) // {K}))::INT AS k, x, y FROM (SELECT *, row_number() OVER (ORDER BY id) - 1 AS i FROM p) WHERE i % ((SELECT count(*) FROM p) // {K}) = 0 AND i // ((SELECT count(*) FROM p) // {K}) < {K})"
+C_SQL = f"{P_SQL}, c0 AS (SELECT (i // ((SELECT count(*) FROM p) // {K}))::INT AS k, x, y FROM (SELECT *, row_number() OVER (ORDER BY id) - 1 AS i FROM p) WHERE i % ((SELECT count(*) FROM p) // {K}) = 0 AND i // ((SELECT count(*) FROM p) // {K}) < {K})"
+L_SQL = C_SQL
 for _r in range(1, ROUNDS + 1):
     L_SQL += f", a{_r} AS (SELECT id, p.x, p.y, arg_min(k, {{'d': (p.x - c.x)**2 + (p.y - c.y)**2, 'k': k}}) AS cluster FROM p, c{_r - 1} c GROUP BY id, p.x, p.y), c{_r} AS (SELECT cluster AS k, avg(x) AS x, avg(y) AS y FROM a{_r} GROUP BY 1)"
 A_SQL = f"{L_SQL}, a AS (SELECT id, p.x, p.y, arg_min(k, {{'d': (p.x - c.x)**2 + (p.y - c.y)**2, 'k': k}}) AS cluster FROM p, c{ROUNDS} c GROUP BY id, p.x, p.y)"
@@ -119,9 +120,17 @@ def k_estimates(spark, sf_dir):
     return clustering.estimate_k(points(spark, sf_dir), 2, 4)
 
 
-@query("soft_clusters", None)
+# Unrolled rounds: memberships in the last centres, then weighted means.
+SOFT_ROUNDS = 10
+SOFT_SQL = C_SQL
+for _r in range(1, SOFT_ROUNDS + 2):
+    SOFT_SQL += f", e{_r} AS (SELECT p.*, c.k, c.x AS cx, c.y AS cy, exp(-((p.x - c.x)**2 + (p.y - c.y)**2)) AS e FROM p, c{_r - 1} c), m{_r} AS (SELECT *, CASE WHEN sum(e) OVER (PARTITION BY id) > 0 THEN e / sum(e) OVER (PARTITION BY id) ELSE 1 / {K}::DOUBLE END AS m FROM e{_r})"
+    SOFT_SQL += f", c{_r} AS (SELECT k, CASE WHEN sum(m) > 1e-10 THEN sum(m * x) / sum(m) ELSE any_value(cx) END AS x, CASE WHEN sum(m) > 1e-10 THEN sum(m * y) / sum(m) ELSE any_value(cy) END AS y FROM m{_r} GROUP BY k)"
+
+
+@query("soft_clusters", f"WITH {SOFT_SQL} SELECT id, arg_max(k, {{'m': m, 'k': k}})::INT AS cluster FROM m{SOFT_ROUNDS + 1} GROUP BY id")
 def soft_clusters(spark, sf_dir):
-    return clustering.soft_clusters(points(spark, sf_dir), 3, 10)[0].select("id", "cluster")
+    return clustering.soft_clusters(points(spark, sf_dir), K, SOFT_ROUNDS)[0].select("id", "cluster")
 
 
 @query("agglomerated", None)
