@@ -133,7 +133,14 @@ def soft_clusters(spark, sf_dir):
     return clustering.soft_clusters(points(spark, sf_dir), K, SOFT_ROUNDS)[0].select("id", "cluster")
 
 
-@query("agglomerated", None)
+# Unrolled merges; there are 25 brands at most, so 21 lead to four clusters. A merged cluster is the last.
+MERGED_SQL = "b AS (SELECT p_brand AS id, avg(p_retailprice) AS x, avg(p_size) * 20 AS y FROM part GROUP BY 1), g0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY id) AS o, x, y, 1::DOUBLE AS w, [id] AS ids FROM b)"
+for _r in range(1, 22):
+    MERGED_SQL += f", t{_r} AS MATERIALIZED (SELECT unnest([p.o, q.o]) AS o FROM (SELECT a.o AS i, b.o AS j FROM g{_r - 1} a JOIN g{_r - 1} b ON a.o < b.o WHERE (SELECT count(*) FROM g{_r - 1}) > 4 ORDER BY sqrt((a.x - b.x)**2 + (a.y - b.y)**2), a.o, b.o LIMIT 1) n JOIN g{_r - 1} p ON p.o = n.i JOIN g{_r - 1} q ON q.o = n.j)"
+    MERGED_SQL += f", g{_r} AS MATERIALIZED (SELECT * FROM g{_r - 1} WHERE o NOT IN (SELECT o FROM t{_r}) UNION ALL SELECT (SELECT max(o) + 1 FROM g{_r - 1}), sum(x * w) / sum(w), sum(y * w) / sum(w), sum(w), flatten(list(ids)) FROM g{_r - 1} WHERE o IN (SELECT o FROM t{_r}) HAVING count(*) > 0)"
+
+
+@query("agglomerated", f"WITH {MERGED_SQL} SELECT 'brands' AS of, unnest(ids) AS id, (row_number() OVER (ORDER BY o) - 1)::INT AS cluster FROM g21")
 def agglomerated(spark, sf_dir):
     """Brands by mean price and size."""
     b = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("id")).agg(F.array(F.avg("p_retailprice"), F.avg("p_size") * 20).alias("features"))
