@@ -30,9 +30,18 @@ def health(engagement_: Column, trend: Column, churn: Column) -> dict[str, Colum
     return {"overall_health": F.least(0.4 * engagement_ + 0.35 * (1.0 - churn) + 0.25 * F.greatest(trend, F.lit(0.0)), F.lit(1.0)), "expansion_readiness": engagement_ + F.greatest(trend / 2.0, F.lit(0.0)), "churn_risk": churn, "growth_trajectory": trend}
 
 
+# What to do about each kind of opportunity.
+NEXT_STEPS = {
+    "feature_training": ("Schedule training webinar", "Send feature guides"),
+    "cross_sell": ("Schedule product review", "Propose add-on modules"),
+    "user_seat_upsell": ("Propose team expansion", "Show ROI calculation"),
+}
+
+
 def opportunities(accounts: DataFrame) -> DataFrame:
     """One row per opportunity of (account_id, adoption, trend, users, arr)."""
-    one = lambda holds, kind, mrr, gap: F.when(holds, F.struct(F.lit(kind).alias("opportunity_type"), mrr.alias("estimated_mrr"), gap.alias("adoption_gap")))
+    steps = lambda kind: F.array(*[F.lit(s) for s in NEXT_STEPS[kind]]).alias("recommended_actions")
+    one = lambda holds, kind, mrr, gap: F.when(holds, F.struct(F.lit(kind).alias("opportunity_type"), mrr.alias("estimated_mrr"), gap.alias("adoption_gap"), steps(kind)))
     a, u = F.col("adoption"), F.col("users")
     found = F.array_compact(
         F.array(

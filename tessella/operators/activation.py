@@ -102,6 +102,11 @@ def platform_fields(platform: str) -> Column:
     return out
 
 
+def endpoint(platform: Column) -> Column:
+    """Where a message for the platform would go; null for one that isn't known."""
+    return F.create_map(*[F.lit(x) for pair in ENDPOINTS.items() for x in pair])[platform]
+
+
 def auth_header(platform: str, key: str) -> tuple[str, str]:
     name, prefix = SCHEMES.get(platform, ("Authorization", "Bearer "))
     return name, prefix + key

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.checks import finite
 from tessella.functions.columns import dot
 from tessella.operators.graph import connected_components
 from tessella.sources.scratch import written
@@ -154,7 +155,7 @@ def lloyd(points: DataFrame, centres: list[list[float]], max_iter: int = 300, me
 def fit_kmeans(points: DataFrame, k: int, seed: int = 42, max_iter: int = 300) -> Model:
     """k-means with k-means++ seeding. Points without ``id`` are told apart by their features."""
     rows = points if "id" in points.columns else points.withColumn("id", F.xxhash64("features"))
-    rows = written(rows.select("id", "features"), "points")
+    rows = written(rows.select("id", finite(F.col("features")).alias("features")), "points")
     if not 0 < k <= rows.count():
         raise ValueError(f"k is {k} for {rows.count()} points")
     return lloyd(rows, spread_centres(rows, k, seed), max_iter)
@@ -572,8 +573,21 @@ def agreement(labels: DataFrame) -> DataFrame:
 
 
 def quality_score(silhouette_: Column, davies_bouldin_: Column, calinski_harabasz_: Column) -> Column:
-    """Mean of the three measures on scales of a hundred."""
-    return ((silhouette_ + 1.0) / 2.0 * 100.0 + (1.0 - F.least(davies_bouldin_ / 10.0, F.lit(1.0))) * 100.0 + F.least(calinski_harabasz_, F.lit(100.0))) / 3.0
+    """Mean of the three measures on scales of a hundred; the ratio of spreads reaches its hundred at 10,000."""
+    return ((silhouette_ + 1.0) / 2.0 * 100.0 + (1.0 - F.least(davies_bouldin_ / 10.0, F.lit(1.0))) * 100.0 + F.least(calinski_harabasz_ / 100.0, F.lit(100.0))) / 3.0
+
+
+def quality_report(points: DataFrame, centres: list[list[float]]) -> DataFrame:
+    """One row on (id, features, cluster): the three measures, inertia about the given centres, clusters, overall score."""
+    rows = written(points.select("id", "features", "cluster"), "assigned")
+    cells = _cells(_width(rows))
+    own = None
+    for k, centre in enumerate(centres):
+        d = distance(cells, centre)
+        own = F.when(F.col("cluster") == k, d) if own is None else own.when(F.col("cluster") == k, d)
+    sums = rows.agg(F.sum(own).alias("inertia"), (F.max("cluster") + 1).cast("bigint").alias("n_clusters"))
+    one = silhouette(rows).crossJoin(davies_bouldin(rows)).crossJoin(calinski_harabasz(rows)).crossJoin(sums)  # one row each
+    return one.withColumn("overall_score", quality_score(F.col("silhouette"), F.col("davies_bouldin"), F.col("calinski_harabasz")))
 
 
 # Choice of k.

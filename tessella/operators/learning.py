@@ -18,6 +18,13 @@ from pyspark.sql import functions as F
 from tessella.sources.scratch import written
 
 ACTIVATIONS = {"relu": lambda x: np.maximum(x, 0.0), "sigmoid": lambda x: 1.0 / (1.0 + np.exp(-x)), "tanh": np.tanh, "linear": lambda x: x}
+#: Their slopes, at the same argument.
+SLOPES = {
+    "relu": lambda x: (x > 0.0).astype(float),
+    "sigmoid": lambda x: ACTIVATIONS["sigmoid"](x) * (1.0 - ACTIVATIONS["sigmoid"](x)),
+    "tanh": lambda x: 1.0 - np.tanh(x) ** 2,
+    "linear": np.ones_like,
+}
 #: Training rows that one task takes at a time.
 STRETCH = 50_000
 

@@ -150,6 +150,16 @@ def explained(importance: DataFrame) -> DataFrame:
     return at.select("segment", "feature", "rank", F.when(first, "primary").otherwise("secondary").alias("kind"), share.alias("weight"), F.when(F.col("value") > F.col("mean"), "high").otherwise("low").alias("direction"), F.least(F.when(first, share).otherwise(share * 0.7), F.lit(1.0)).alias("prevalence"))
 
 
+def summaries(drivers: DataFrame) -> DataFrame:
+    """A sentence per segment of ``explained`` rows: its strongest driver, or that it has none."""
+    first = F.max_by(F.struct("feature", "direction", "weight", "prevalence"), -F.col("rank"))
+    d = drivers.groupBy("segment").agg(first.alias("d")).select("segment", "d.*")
+    side = F.when(F.col("direction") == "high", "elevated").otherwise("depressed")
+    percent = lambda c: F.format_string("%d", c.cast("bigint"))
+    text = F.concat(F.lit("Segment "), F.col("segment"), F.lit(" is primarily characterized by "), side, F.lit(" "), F.col("feature"), F.lit(" (importance: "), percent(F.bround(F.col("weight") * 100)), F.lit("%, "), percent(F.floor(F.col("prevalence") * 100)), F.lit(" of members affected)."))
+    return d.select("segment", F.when(F.col("feature").isNull(), F.concat(F.lit("Segment "), F.col("segment"), F.lit(" has no primary drivers identified."))).otherwise(text).alias("summary"))
+
+
 def shap_like(value: Column, base: Column) -> Column:
     return (value - base) * 0.1
 

@@ -38,8 +38,8 @@ def account_health(spark, sf_dir):
 
 @query(
     "account_opportunities",
-    f"""WITH {A_SQL} SELECT account_id, 'feature_training' AS opportunity_type, round(arr / 12 * 0.2::DOUBLE, 4) AS estimated_mrr, round(1 - adoption, 8) AS adoption_gap FROM e WHERE adoption < 0.5
-    UNION ALL SELECT account_id, 'cross_sell', round(arr / 12 * 0.15::DOUBLE, 4), 0.2::DOUBLE FROM e WHERE trend > 0.3 UNION ALL SELECT account_id, 'user_seat_upsell', users * 100.0::DOUBLE, 0.0::DOUBLE FROM e WHERE adoption > 0.8 AND users < 10""",
+    f"""WITH {A_SQL} SELECT account_id, 'feature_training' AS opportunity_type, round(arr / 12 * 0.2::DOUBLE, 4) AS estimated_mrr, round(1 - adoption, 8) AS adoption_gap, ['Schedule training webinar', 'Send feature guides'] AS recommended_actions FROM e WHERE adoption < 0.5
+    UNION ALL SELECT account_id, 'cross_sell', round(arr / 12 * 0.15::DOUBLE, 4), 0.2::DOUBLE, ['Schedule product review', 'Propose add-on modules'] FROM e WHERE trend > 0.3 UNION ALL SELECT account_id, 'user_seat_upsell', users * 100.0::DOUBLE, 0.0::DOUBLE, ['Propose team expansion', 'Show ROI calculation'] FROM e WHERE adoption > 0.8 AND users < 10""",
 )
 def account_opportunities(spark, sf_dir):
     return accounts.opportunities(profiles(spark, sf_dir)).withColumns({"estimated_mrr": F.round("estimated_mrr", 4), "adoption_gap": F.round("adoption_gap", 8)})

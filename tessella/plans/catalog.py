@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("rfm", "segments", "value", "cohorts", "drift", "lookalike", "pricing", "temporal", "rules", "clustering", "accounts")
+FAMILIES = ("rfm", "segments", "value", "cohorts", "drift", "lookalike", "pricing", "temporal", "rules", "clustering", "accounts", "operations")
 
 
 def load() -> None:
