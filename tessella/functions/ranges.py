@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from tessella.sources.scratch import written
 
 
+def same_keys(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Inner join on keys that may be null; the right side has one row per key, and with no keys one row."""
+    if not by:
+        return left.crossJoin(F.broadcast(right))
+    named = {c: f"_key_{c}" for c in by}
+    right = right.withColumnsRenamed(named)
+    return left.join(right, reduce(Column.__and__, [left[c].eqNullSafe(right[n]) for c, n in named.items()])).drop(*named.values())
+
+
 def cumulative(rows: DataFrame, by: list[str], order: list[Column], sums: dict[str, str]) -> DataFrame:
     """Adds, for each ``out: column`` of ``sums``, the sum of the column up to and with the row, in the order, per key.
 
@@ -26,3 +35,19 @@ def cumulative(rows: DataFrame, by: list[str], order: list[Column], sums: dict[s
     per = per.select(*[F.col(c).alias(f"_of_{c}") for c in ("_range", *by)], *[F.coalesce(F.sum(f"_sum_{out}").over(before), F.lit(0)).alias(f"_before_{out}") for out in sums])
     same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by], F.col("_range") == F.col("_of__range"))
     return local.join(per, same).select(*rows.columns, *[(F.col(f"_in_{out}") + F.col(f"_before_{out}")).alias(out) for out in sums])
+
+
+def quarters(values: DataFrame, by: list[str]) -> DataFrame:
+    """Per key of rows with ``x``: n, median, p25, p75. Null values don't count.
+
+    The quarter values are the elements at places ⌊n/4⌋ and ⌊3n/4⌋ of the
+    sorted values; the median is the mean of the middle two. Values are counted
+    first, so that no task orders all values of a key.
+    """
+    counted = values.where("x IS NOT NULL").groupBy(*by, "x").agg(F.count("*").alias("_k"))
+    at = cumulative(counted, by, [F.col("x").asc()], {"_upto": "_k"})
+    at = same_keys(at, at.groupBy(*by).agg(F.max("_upto").alias("_n")), by)
+    element = lambda i: F.max(F.when((F.col("_upto") - F.col("_k") <= i) & (i < F.col("_upto")), F.col("x")))
+    place = lambda q: F.least(F.floor(F.col("_n") * q), F.col("_n") - 1)
+    middle = (element(F.floor((F.col("_n") - 1) / 2)) + element(F.floor(F.col("_n") / 2))) / 2.0
+    return at.groupBy(*by).agg(F.max("_n").alias("n"), middle.alias("median"), element(place(0.25)).alias("p25"), element(place(0.75)).alias("p75"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import bands, ratio
-from tessella.functions.ranges import cumulative
+from tessella.functions.ranges import cumulative, quarters, same_keys
 
 SEVERITIES = ("none", "low", "medium", "high", "critical")
 
@@ -25,9 +25,7 @@ def statistics(values: DataFrame, by: list[str]) -> DataFrame:
     The quarter values are elements of the sorted values, not interpolated;
     the median is. Skewness and excess kurtosis are 0 for constant values.
     """
-    rows = values.where("x IS NOT NULL")
-    moments = rows.groupBy(*by).agg(
-        F.count("*").alias("_n"),
+    moments = values.where("x IS NOT NULL").groupBy(*by).agg(
         F.avg("x").alias("mean"),
         F.stddev_pop("x").alias("std_dev"),
         F.min("x").alias("min"),
@@ -35,12 +33,7 @@ def statistics(values: DataFrame, by: list[str]) -> DataFrame:
         F.coalesce(F.skewness("x"), F.lit(0.0)).alias("skewness"),
         F.coalesce(F.kurtosis("x"), F.lit(0.0)).alias("kurtosis"),
     )
-    at = cumulative(rows.groupBy(*by, "x").agg(F.count("*").alias("_k")), by, [F.col("x").asc()], {"_upto": "_k"}).join(moments.select(*by, "_n"), by)
-    element = lambda i: F.max(F.when((F.col("_upto") - F.col("_k") <= i) & (i < F.col("_upto")), F.col("x")))
-    place = lambda q: F.least(F.floor(F.col("_n") * q), F.col("_n") - 1)
-    middle = (element(F.floor((F.col("_n") - 1) / 2)) + element(F.floor(F.col("_n") / 2))) / 2.0
-    quarters = at.groupBy(*by).agg(middle.alias("median"), element(place(0.25)).alias("p25"), element(place(0.75)).alias("p75"))
-    return moments.join(quarters, by).select(*by, "mean", "std_dev", "min", "max", "median", "p25", "p75", "skewness", "kurtosis")
+    return same_keys(moments, quarters(values, by), by).select(*by, "mean", "std_dev", "min", "max", "median", "p25", "p75", "skewness", "kurtosis")
 
 
 def kolmogorov_smirnov(samples: DataFrame, by: list[str]) -> DataFrame:
@@ -48,9 +41,9 @@ def kolmogorov_smirnov(samples: DataFrame, by: list[str]) -> DataFrame:
 
     Values are counted first; the running sums are over distinct values.
     """
-    sides = lambda: [F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b")]
-    total = samples.groupBy(*by).agg(*sides()).withColumnsRenamed({"a": "na", "b": "nb"})
-    at = cumulative(samples.groupBy(*by, "x").agg(*sides()), by, [F.col("x").asc()], {"ca": "a", "cb": "b"}).join(total, by)
+    counted = samples.groupBy(*by, "x").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+    at = cumulative(counted, by, [F.col("x").asc()], {"ca": "a", "cb": "b"})
+    at = same_keys(at, at.groupBy(*by).agg(F.max("ca").alias("na"), F.max("cb").alias("nb")), by)
     gap = F.when((F.col("na") > 0) & (F.col("nb") > 0), F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))).otherwise(0.0)
     return at.groupBy(*by).agg(F.max(gap).alias("drift_score"))
 

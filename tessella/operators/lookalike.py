@@ -58,8 +58,8 @@ def audience(candidates: DataFrame, seeds: DataFrame, metric: str, percentile: f
     """
     rows = scored(candidates, seeds, metric).withColumn("similarity_score", F.round("similarity_score", 12))
     counts = rows.groupBy("similarity_score").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("_all"))
-    ranked = cumulative(counts, [], [F.desc("similarity_score")], {"_upto": "n"}).crossJoin(F.broadcast(total))  # one row
+    ranked = cumulative(counts, [], [F.desc("similarity_score")], {"_upto": "n"})
+    ranked = ranked.crossJoin(F.broadcast(ranked.agg(F.max("_upto").alias("_all"))))  # one row
     place = F.floor(F.lit(1.0 - percentile) * F.col("_all") + 1e-9)
     limit = ranked.where(F.col("_upto") > place).agg(F.coalesce(F.max("similarity_score"), F.lit(0.0)).alias("_limit"))
     out = rows.crossJoin(F.broadcast(limit)).where((F.col("similarity_score") > 0) & (F.col("similarity_score") >= F.col("_limit"))).drop("_limit")  # one row

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import bands, clamp, ratio, trunc
-from tessella.functions.ranges import cumulative
+from tessella.functions.ranges import cumulative, same_keys
 
 
 def elasticity(points: DataFrame) -> DataFrame:
@@ -103,8 +103,8 @@ def price_change(change: Column, e: Column) -> dict[str, Column]:
 def _ranked(revenues: DataFrame, by: str, ascending: bool = False) -> DataFrame:
     """Different values of ``x`` per key with how many members have them (k), how many have them or come before (upto), and all (n, total)."""
     per = revenues.where("x IS NOT NULL").groupBy(by, "x").agg(F.count("*").alias("_k"))
-    total = per.groupBy(by).agg(F.sum("_k").alias("_n"), F.sum(F.col("x") * F.col("_k")).alias("_total"))
-    return cumulative(per, [by], [F.asc("x") if ascending else F.desc("x")], {"_upto": "_k"}).join(total, by)
+    at = cumulative(per, [by], [F.asc("x") if ascending else F.desc("x")], {"_upto": "_k"})
+    return same_keys(at, at.groupBy(by).agg(F.sum("_k").alias("_n"), F.sum(F.col("x") * F.col("_k")).alias("_total")), [by])
 
 
 def top_share(revenues: DataFrame, by: str, share: float, out: str) -> DataFrame:

@@ -6,23 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import bands, clamp, dot, ratio
+from tessella.functions.ranges import quarters, same_keys
 
 
 def statistics(rows: DataFrame) -> DataFrame:
-    """Per (segment, feature) of long rows (segment, feature, x): mean, median, deviation, ends, quarter values, importance."""
-    w = Window.partitionBy("segment", "feature")
-    at = rows.withColumn("_i", F.row_number().over(w.orderBy("x")) - 1).withColumn("_n", F.count("*").over(w))
-    pick = lambda at_: F.max(F.when(F.col("_i") == at_, F.col("x")))
-    out = at.groupBy("segment", "feature").agg(
-        F.count("*").alias("n"),
-        F.avg("x").alias("mean"),
-        F.median("x").alias("median"),
-        F.stddev_pop("x").alias("std"),
-        F.min("x").alias("min"),
-        F.max("x").alias("max"),
-        pick(F.floor(F.col("_n") / 4)).alias("q25"),
-        pick(F.floor(F.col("_n") * 3 / 4)).alias("q75"),
-    )
+    """Per (segment, feature) of long rows (segment, feature, x): mean, median, deviation, ends, quarter values, importance.
+
+    Null values don't count; a segment of any size is ordered in ranges.
+    """
+    by = ["segment", "feature"]
+    plain = rows.groupBy(*by).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    out = same_keys(plain, quarters(rows, by), by).select(*by, "n", "mean", "median", "std", "min", "max", F.col("p25").alias("q25"), F.col("p75").alias("q75"))
     return out.withColumn("importance", F.col("std") / (F.col("max") - F.col("min") + 1e-10))
 
 
