@@ -204,7 +204,14 @@ def activation_dedup(spark, sf_dir):
     return activation.deduplicated(m)
 
 
-@query("activation_payloads", None)
+# Maps as JSON, in the order in which their fields are put.
+_FIELD = lambda name, value: f"""coalesce('"{name}":"' || {value} || '",', '')"""
+_JSON = lambda *fields: "'{' || rtrim(" + " || ".join(_FIELD(n, v) for n, v in fields) + ", ',') || '}'"
+PAYLOAD_SQL = _JSON(("customer_id", "customer_id"), ("event_type", "'SegmentAssignment'"), ("platform", "'Salesforce'"), ("timestamp", "'0'"), ("email", "email"), ("segment", "segment"), ("as_of", f"'{AS_OF}'"))
+SALESFORCE_SQL = _JSON(("Email", "email"), ("External_Id__c", "customer_id"), ("Segment__c", "segment"), ("nation", "nation"))
+
+
+@query("activation_payloads", f"WITH {R_SQL} SELECT customer_id, {PAYLOAD_SQL} AS generic, {SALESFORCE_SQL} AS salesforce FROM r JOIN (SELECT c_custkey::VARCHAR AS customer_id, c_nationkey::VARCHAR AS nation FROM customer) USING (customer_id)")
 def activation_payloads(spark, sf_dir):
     r = activation.messages(records(spark, sf_dir), ["Salesforce"]).withColumn("timestamp", F.lit(0)).withColumn("properties", F.create_map(F.lit("as_of"), F.lit(AS_OF)))
     return r.select("customer_id", F.to_json(activation.payload()).alias("generic"), F.to_json(activation.platform_fields("Salesforce")).alias("salesforce"))
@@ -285,7 +292,15 @@ def _xy(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seq"), F.array(F.col("s_acctbal") / 10_000, F.col("s_nationkey") / 25.0).alias("x"), F.array(F.col("s_acctbal") / 20_000).alias("y"))
 
 
-@query("network_predictions", None)
+@query(
+    "network_predictions",
+    # The four hidden units begin with equal weights and so stay equal: w1, w2 and b are any one's, v is its weight in the output.
+    """WITH RECURSIVE t AS (SELECT s_suppkey AS seq, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n, s_acctbal / 10000 AS x1, s_nationkey / 25.0::DOUBLE AS x2, s_acctbal / 20000 AS y FROM supplier),
+    r(step, w1, w2, b, v, c) AS (SELECT 0::BIGINT, 0.1::DOUBLE, 0.1::DOUBLE, 0.0::DOUBLE, 0.1::DOUBLE, 0.0::DOUBLE
+      UNION ALL SELECT step + 1, w1 - 0.01::DOUBLE * dh * x1, w2 - 0.01::DOUBLE * dh * x2, b - 0.01::DOUBLE * dh, nv, c - 0.01::DOUBLE * d FROM (
+        SELECT *, nv * d AS dh FROM (SELECT *, v - 0.01::DOUBLE * d * h AS nv FROM (SELECT *, 2 * (4 * v * h + c - y) AS d FROM (SELECT r.*, t.x1, t.x2, t.y, greatest(w1 * x1 + w2 * x2 + b, 0) AS h FROM r JOIN t ON t.i = r.step % t.n WHERE r.step < 3 * t.n))))),
+    f AS (SELECT * FROM r ORDER BY step DESC LIMIT 1) SELECT seq, round(4 * v * greatest(w1 * x1 + w2 * x2 + b, 0) + c, 6) AS prediction FROM t, f""",
+)
 def network_predictions(spark, sf_dir):
     rows = _xy(spark, sf_dir)
     net = learning.Network(2, 1, (4,), epochs=3)
