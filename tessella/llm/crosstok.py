@@ -41,12 +41,13 @@ from tessella.sources.scratch import written
 from tessella.sources.tables import table
 
 #: Pieces that a worker remembers, and characters of them.
-MEMORY_PIECES, MEMORY_CHARS = 150_000, 4 << 20
+MEMORY_PIECES, MEMORY_CHARS = 300_000, 8 << 20
 #: Bytes of texts in a chunk, and documents.
-CHUNK_BYTES, CHUNK_ROWS = 6 << 20, 4_000
+CHUNK_BYTES, CHUNK_ROWS = 3 << 20, 4_000
 #: Links of a group that are laid out at once; the ids of larger groups are counted first.
 LAID_OUT = 256
 
+_LATER_SPACE = re.compile(r"[\s᠎​﻿]")
 _CUT = re.compile(r"(?<=[^\s᠎​﻿])(?=[ \n][^\s᠎​﻿])")
 _ODD = re.compile(r"[\s᠎​﻿]{2}|[^\S \n]|[᠎​﻿]|^\s|\s$")
 
@@ -85,6 +86,7 @@ class Vocabularies:
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.length_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.length_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        self.table_a, self.table_b = pa.array(self.bytes_a, pa.large_binary()), pa.array(self.bytes_b, pa.large_binary())
         if any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(len(self.bytes_b))):
             raise ValueError("a piece of B has a space mark behind another character, so texts can't be cut at spaces")
 
@@ -92,11 +94,50 @@ class Vocabularies:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, raws: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of texts that each begin with a space, or with a line feed before which B's space mark goes."""
-        a = [e.ids for e in self.a.encode_batch_fast(raws, add_special_tokens=False)]
-        b = self.b.encode([r[1:] if r[0] == " " else r for r in raws], num_threads=1)
-        return a, [ids if r[0] == " " else ids[1:] for ids, r in zip(b, raws, strict=True)]
+    def encode_a(self, raws: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of texts that each begin with a space or a line feed, all in a row, and how many each has.
+
+        Where white space stands at the start alone, many texts go in one, with
+        a line feed before each; it is a token of its own there.
+        """
+        feed = self.a.encode("\n", add_special_tokens=False).ids
+        single = np.array([len(feed) == 1 and not _LATER_SPACE.search(r, 1) for r in raws], bool)
+        ids, lengths = [], np.zeros(len(raws), np.int64)
+        order = [np.flatnonzero(single), np.flatnonzero(~single)]
+        for at in range(0, len(order[0]), 500):
+            some = order[0][at : at + 500]
+            text = "".join(raws[i] if raws[i][0] == "\n" else "\n" + raws[i] for i in some)
+            found = np.array(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+            feeds = np.flatnonzero(found == feed[0])
+            if len(feeds) != len(some):
+                raise ValueError("the line feed is no token of its own in this vocabulary")
+            spaced = np.array([raws[i][0] == " " for i in some])
+            lengths[some] = np.diff(feeds, append=len(found)) - spaced
+            ids.append(np.delete(found, feeds[spaced]))
+        rest = [e.ids for e in self.a.encode_batch_fast([raws[i] for i in order[1]], add_special_tokens=False)]
+        lengths[order[1]] = [len(x) for x in rest]
+        flat = np.concatenate([np.zeros(0, np.int64), *ids, *[np.array(x, np.int64) for x in rest]])
+        if len(rest) == 0:
+            return flat, lengths
+        placed = np.concatenate(order)
+        starts = np.empty(len(raws), np.int64)
+        starts[placed] = np.cumsum(lengths[placed]) - lengths[placed]
+        return flat[ragged(starts, lengths)], lengths
+
+    def encode_b(self, raws: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """B's ids likewise. Before a line feed, B puts its space mark, which goes."""
+        found = self.b.encode([r[1:] if r[0] == " " else r for r in raws], num_threads=1)
+        return _runs([ids if r[0] == " " else ids[1:] for ids, r in zip(found, raws, strict=True)])
+
+
+def _gives_back(ids: np.ndarray, counts: np.ndarray, table: pa.Array, lengths: np.ndarray, raws: list[bytes]) -> np.ndarray:
+    """Of each text, whether its tokens' bytes are its own."""
+    upto = np.concatenate([[0], np.cumsum(lengths[ids])])[np.concatenate([[0], np.cumsum(counts)])]
+    got = table.take(pa.array(ids)).buffers()[2] if len(ids) else None
+    got, size = bytes(got or b"")[: upto[-1]], np.fromiter(map(len, raws), np.int64, len(raws))
+    if got == b"".join(raws) and (np.diff(upto) == size).all():
+        return np.ones(len(raws), bool)
+    return np.array([got[a:b] == r for a, b, r in zip(upto[:-1], upto[1:], raws, strict=True)], bool)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -151,12 +192,11 @@ class Aligner:
 
     def learn(self, new: list[str]) -> None:
         raws = [_raw(n) for n in new]
-        of_a, of_b = self.words.encode(raws)
-        ids_a, n_a = _runs(of_a)
-        ids_b, n_b = _runs(of_b)
+        ids_a, n_a = self.words.encode_a(raws)
+        ids_b, n_b = self.words.encode_b(raws)
         raw_bytes = [r.encode() for r in raws]
         size = np.fromiter(map(len, raw_bytes), np.int64, len(raws))
-        good = self._same(of_a, self.words.bytes_a, raw_bytes) & self._same(of_b, self.words.bytes_b, raw_bytes)
+        good = _gives_back(ids_a, n_a, self.words.table_a, self.words.length_a, raw_bytes) & _gives_back(ids_b, n_b, self.words.table_b, self.words.length_b, raw_bytes)
         if not good.all():  # what doesn't give the text's bytes has no tokens
             keep_a, keep_b = np.repeat(good, n_a), np.repeat(good, n_b)
             ids_a, ids_b = ids_a[keep_a], ids_b[keep_b]
@@ -180,14 +220,6 @@ class Aligner:
         self.keys, self.links = np.concatenate([self.keys, keys]), np.concatenate([self.links, links])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.bincount(owner, minlength=len(new)))])
 
-    @staticmethod
-    def _same(ids: list[list[int]], table: list[bytes], raws: list[bytes]) -> np.ndarray:
-        if b"".join(table[i] for x in ids for i in x) == b"".join(raws):
-            lengths = [sum(len(table[i]) for i in x) == len(r) for x, r in zip(ids, raws, strict=True)]
-            if all(lengths):
-                return np.ones(len(raws), bool)
-        return np.array([b"".join(table[i] for i in x) == r for x, r in zip(ids, raws, strict=True)])
-
     @staticmethod
     def _pairs(ids_a, from_a, in_a, ids_b, from_b, in_b, owner):
         """Piece, id pair and number of links of all groups, in the order of pieces; small groups are laid out, large ones counted by id first."""
