@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from tessella.llm import decontam, html, langid, mixing, quality, sharding, simhash, tokenbin, urlfilter, warc
+from tessella.llm import crosstok, decontam, html, langid, mixing, quality, secrets, sharding, simhash, spelling, tokenbin, urlfilter, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,9 @@ def queries() -> dict:
         "op8_url_filter": urlfilter.query,
         "op9_quality_rules": quality.query,
         "op10_warc_dictionary": warc.query,
+        "op11_secret_novelty": secrets.query,
+        "op12_spelling_variants": spelling.query,
+        "op13_token_groups": crosstok.query,
         "pipeline": corpus_pipeline.run,
     }
 
