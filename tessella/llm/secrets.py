@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import slices
+from tessella.sources.scratch import forget, written
 from tessella.sources.tables import table
 
 # The base patterns and the least lengths of what they find.
@@ -154,8 +155,21 @@ def identifiers(docs: DataFrame) -> DataFrame:
 
 
 def dictionary(docs: DataFrame, most: int = IDENTIFIERS, at_least: int = IDENTIFIER_DOCS) -> bytes:
-    """The identifiers of most documents (ties by letters), the most frequent last."""
-    top = identifiers(docs).where(F.col("n") >= at_least).orderBy(F.col("n").desc(), "word").limit(most).collect()
+    """The identifiers of most documents (ties by letters), the most frequent last.
+
+    First, the words are counted by eighths of powers of two of their
+    frequency, a few hundred rows; only words from the range on that the last
+    identifier falls in are ordered, so a task sends few to the driver.
+    """
+    counted = written(identifiers(docs).where(F.col("n") >= at_least), "identifiers")
+    level = F.floor(F.log2("n") * 8)
+    least, held = 0, 0
+    for row in counted.groupBy(level.alias("level")).count().orderBy(F.col("level").desc()).collect():
+        least, held = row.level, held + row["count"]
+        if held >= most:
+            break
+    top = counted.where(level >= least).orderBy(F.col("n").desc(), "word").limit(most).collect()
+    forget(counted)
     kept, size = [], 0
     for row in top:
         size += len(row.word) + 1
