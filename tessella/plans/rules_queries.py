@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tessella.operators.rules import Condition, Rule, Segment, Segmenter
 from tessella.plans.registry import query
 from tessella.plans.value_queries import C_SQL, customers
-from tessella.sources.tables import table
+from tessella.sources.scratch import fresh
+from tessella.sources.tables import event_stream, table
+from tessella.streaming import keyed
 from tessella.streaming import state as stream
 
 SEGMENTER = Segmenter(
@@ -115,3 +117,36 @@ def stream_sessions(spark, sf_dir):
 )
 def stream_updates(spark, sf_dir):
     return stream.updates(events(spark, sf_dir), NOW)
+
+
+PARTS = 3
+_PART_SQL = f"least(event_id * {PARTS} // (SELECT max(event_id) + 1 FROM events), {PARTS - 1})"
+
+
+def parts(spark, sf_dir):
+    """The events with the number of the part, by ranges of seq, in which they arrive."""
+    given = events(spark, sf_dir)
+    most = given.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("_most"))
+    return given.crossJoin(F.broadcast(most)).withColumn("part", F.least(F.floor(F.col("seq") * PARTS / (F.col("_most") + 1)), F.lit(PARTS - 1)).cast("int")).drop("_most")  # one row
+
+
+def arriving(spark, sf_dir, sink, change=keyed.updates):
+    """Writes the parts one after another into a folder that a stream reads; the stream ends after each and starts again from its checkpoint."""
+    given, folder, checkpoint = parts(spark, sf_dir), fresh(spark, "arriving"), fresh(spark, "stream")
+    for k in range(PARTS):
+        given.where(F.col("part") == k).drop("part").write.mode("append").parquet(folder)
+        rows = event_stream(spark, folder, given.drop("part").schema, 1_000)
+        keyed.start(change(rows, NOW), checkpoint, sink).awaitTermination()
+
+
+@query(
+    "stream_keyed_updates",
+    f"""WITH u AS (SELECT user_id AS customer_id, event_id AS seq, 100 - least(trunc((epoch(TIMESTAMP '{NOW}') - floor(epoch(ts))::BIGINT) / 86400), 100)::DOUBLE AS rs, least(count(*) OVER w, 100)::DOUBLE AS fs, least(sum(value) OVER w / 1000, 100)::DOUBLE AS ms, count(*) OVER w AS frequency,
+      coalesce(floor(epoch(ts)) < max(floor(epoch(ts))) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 3600, false) AS late FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
+    s AS (SELECT customer_id, seq, frequency, late, {SEG_SQL} AS new_segment FROM u) SELECT *, lag(new_segment) OVER (PARTITION BY customer_id ORDER BY seq) AS previous_segment, coalesce(lag(new_segment) OVER (PARTITION BY customer_id ORDER BY seq) <> new_segment, true) AS changed, 0.85::DOUBLE AS confidence FROM s""",
+)
+def stream_keyed_updates(spark, sf_dir):
+    """Each event's update by keyed state, over runs that start from a checkpoint."""
+    out = fresh(spark, "updates")
+    arriving(spark, sf_dir, out)
+    return spark.read.parquet(out).select("customer_id", "seq", "frequency", "late", "new_segment", "previous_segment", "changed", "confidence")
