@@ -275,3 +275,31 @@ def segment_explained(spark, sf_dir):
 def segment_contributions(spark, sf_dir):
     stats = profiling.statistics(long_rows(spark, sf_dir)).select("segment", F.lit("all").alias("member"), "feature", F.round("importance", 6).alias("score"))
     return profiling.contributions(stats).drop("member")
+
+
+def _bins_sql(bins: int) -> str:
+    """Counts a, b of both sides per feature and bin, as ``c``; bins share side 0 equally."""
+    return f"""{U_SQL}, sorted AS (SELECT feature, list(x ORDER BY x) FILTER (side = 0) AS xs FROM u GROUP BY 1),
+    edges AS (SELECT feature, list_distinct(list_transform(range(1, {bins}), lambda i: xs[len(xs) * i // {bins} + 1])) AS es FROM sorted),
+    c AS (SELECT feature, len(list_filter(es, lambda e: e <= x)) AS bin, count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b FROM u JOIN edges USING (feature) GROUP BY 1, 2)"""
+
+
+@query(
+    "drift_kl",
+    f"""WITH {_bins_sql(10)}, p AS (SELECT feature, (a + 0.5::DOUBLE) / (sum(a) OVER w + 0.5::DOUBLE * count(*) OVER w) AS p, (b + 0.5::DOUBLE) / (sum(b) OVER w + 0.5::DOUBLE * count(*) OVER w) AS q FROM c WINDOW w AS (PARTITION BY feature)),
+    d AS (SELECT feature, sum(p * ln(p / q)) AS d FROM p GROUP BY 1) SELECT feature, round(d, 9) AS divergence, round(sqrt(1 - exp(-d)), 9) AS drift_score FROM d""",
+)
+def drift_kl(spark, sf_dir):
+    return drift.kullback_leibler(samples(spark, sf_dir), ["feature"]).select("feature", F.round("divergence", 9).alias("divergence"), F.round("drift_score", 9).alias("drift_score"))
+
+
+@query(
+    "drift_chi_square_numbers",
+    f"""WITH {_bins_sql(11)}, t AS (SELECT *, sum(a) OVER w AS na, sum(b) OVER w AS nb, count(*) OVER w AS k FROM c WINDOW w AS (PARTITION BY feature)),
+    s AS (SELECT feature, any_value(k) AS k, any_value(na + nb) AS n, sum(pow(a - (a + b) * na::DOUBLE / (na + nb), 2) / ((a + b) * na::DOUBLE / (na + nb)) + pow(b - (a + b) * nb::DOUBLE / (na + nb), 2) / ((a + b) * nb::DOUBLE / (na + nb))) AS s FROM t GROUP BY 1)
+    SELECT feature, round(s, 6) AS statistic, (k - 1)::INT AS freedom, CASE WHEN k = 11 THEN round(exp(-s / 2) * (1 + s / 2 + pow(s / 2, 2) / 2 + pow(s / 2, 3) / 6 + pow(s / 2, 4) / 24), 9) ELSE -1 END AS p_value, round(sqrt(s / n), 9) AS drift_score FROM s""",
+)
+def drift_chi_square_numbers(spark, sf_dir):
+    """Ten degrees of freedom have a closed form, which the SQL takes; features with fewer bins have no p-value there."""
+    found = drift.chi_square_numbers(samples(spark, sf_dir), ["feature"])
+    return found.select("feature", F.round("statistic", 6).alias("statistic"), "freedom", F.when(F.col("freedom") == 10, F.round("p_value", 9)).otherwise(-1.0).alias("p_value"), F.round("drift_score", 9).alias("drift_score"))

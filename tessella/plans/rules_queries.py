@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tessella.operators.rules import Condition, Rule, Segment, Segmenter
@@ -9,7 +10,7 @@ from tessella.plans.registry import query
 from tessella.plans.value_queries import C_SQL, customers
 from tessella.sources.scratch import fresh
 from tessella.sources.tables import event_stream, table
-from tessella.streaming import keyed
+from tessella.streaming import drifting, keyed
 from tessella.streaming import state as stream
 
 SEGMENTER = Segmenter(
@@ -150,3 +151,32 @@ def stream_keyed_updates(spark, sf_dir):
     out = fresh(spark, "updates")
     arriving(spark, sf_dir, out)
     return spark.read.parquet(out).select("customer_id", "seq", "frequency", "late", "new_segment", "previous_segment", "changed", "confidence")
+
+
+_PAIRS_SQL = f"""ev AS (SELECT *, {_PART_SQL} AS part FROM events),
+    st AS (SELECT j, user_id, count(*)::DOUBLE AS frequency, sum(value) AS monetary, trunc((epoch(TIMESTAMP '{NOW}') - arg_max(floor(epoch(ts))::BIGINT, event_id)) / 86400) AS recency FROM ev, (SELECT unnest(range(0, {PARTS})) AS j) WHERE part <= j GROUP BY 1, 2),
+    ij AS (SELECT x.j AS i, y.j AS j FROM (SELECT DISTINCT j FROM st) x, (SELECT DISTINCT j FROM st) y WHERE x.j < y.j),
+    u AS (SELECT i, ij.j, 'recency' AS feature, (st.j = ij.j)::INT AS side, recency AS x FROM ij JOIN st ON st.j IN (ij.i, ij.j) UNION ALL SELECT i, ij.j, 'frequency', (st.j = ij.j)::INT, frequency FROM ij JOIN st ON st.j IN (ij.i, ij.j)),
+    per AS (SELECT i, j, feature, x, count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b FROM u GROUP BY 1, 2, 3, 4),
+    ks AS (SELECT i, j, feature, max(gap) AS d FROM (SELECT i, j, feature, abs((sum(a) OVER w)::DOUBLE / (sum(a) OVER v) - (sum(b) OVER w)::DOUBLE / (sum(b) OVER v)) AS gap FROM per WINDOW w AS (PARTITION BY i, j, feature ORDER BY x ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY i, j, feature)) GROUP BY 1, 2, 3),
+    m AS (SELECT i, ij.j, avg(monetary) FILTER (st.j = i) AS m0, avg(monetary) FILTER (st.j = ij.j) AS m1, greatest(var_pop(monetary) FILTER (st.j = i), 1e-9) AS v0, greatest(var_pop(monetary) FILTER (st.j = ij.j), 1e-9) AS v1 FROM ij JOIN st ON st.j IN (ij.i, ij.j) GROUP BY 1, 2),
+    al AS (SELECT i, j, feature, d FROM ks UNION ALL SELECT i, j, 'monetary', least(sqrt(greatest(1 - exp(-((m0 - m1) * (m0 - m1) / (4 * (v0 + v1)) + 0.5::DOUBLE * ln((v0 + v1) / (2 * sqrt(v0 * v1))))), 0)), 1) FROM m),
+    f AS (SELECT i, j, max(d) >= 0.35 AS fired FROM al GROUP BY 1, 2),
+    b AS (SELECT 1 AS j, 0 AS i UNION ALL SELECT 2, CASE WHEN (SELECT fired FROM f WHERE i = 0 AND j = 1) THEN 1 ELSE 0 END)"""
+
+
+@query(
+    "stream_recluster",
+    f"""WITH {_PAIRS_SQL} SELECT al.j::INT AS batch, feature, round(d, 6) AS drift_score, CASE WHEN d < 0.1 THEN 'none' WHEN d < 0.2 THEN 'low' WHEN d < 0.35 THEN 'medium' WHEN d < 0.5 THEN 'high' ELSE 'critical' END AS severity, fired, al.i::INT AS baseline,
+    (SELECT count(*) FROM st WHERE st.j = al.j) AS customers, CASE WHEN fired THEN (SELECT count(*) FROM st WHERE st.j = al.j) ELSE 0 END AS relabelled FROM al JOIN b USING (i, j) JOIN f USING (i, j)""",
+)
+def stream_recluster(spark, sf_dir):
+    """Checks and new clusters of a stream in three batches, with restarts between them; drift comes from sketches."""
+    watch = drifting.Watch(spark, fresh(spark, "watch"), NOW)
+    arriving(spark, sf_dir, watch)
+    log = watch.table("log").where("feature <> ''")
+    try:
+        labels = watch.table("labels").groupBy("batch").agg(F.count("*").alias("relabelled"))
+    except AnalysisException:  # no batch drifted enough
+        labels = spark.createDataFrame([], "batch int, relabelled bigint")
+    return log.join(F.broadcast(labels), "batch", "left").select("batch", "feature", F.round("drift_score", 6).alias("drift_score"), "severity", "fired", "baseline", "customers", F.coalesce("relabelled", F.lit(0)).alias("relabelled"))  # a row per batch
