@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import lookalike, privacy
+from tessella.operators import lookalike, neighbours, privacy
 from tessella.plans.registry import query
 from tessella.sources.tables import table
 
@@ -81,3 +81,14 @@ def noise_laplace(spark, sf_dir):
 @query("noise_gaussian", None)
 def noise_gaussian(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", privacy.gaussian(F.col("c_acctbal"), 1.0, 1e-5, 10.0, 7).alias("noisy"))
+
+
+@query(
+    "similar_all",
+    """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS similarity FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+    SELECT query_id, id, similarity, (row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id))::INT AS place FROM s QUALIFY place <= 10""",
+)
+def similar_all(spark, sf_dir):
+    """The ten nearest of every row whose id is divisible by 100, among all rows."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
+    return neighbours.top_n(rows.where(F.col("id") % 100 == 0), rows, 10)
