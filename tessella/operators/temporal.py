@@ -71,6 +71,38 @@ def replayed(events: DataFrame, target: str) -> DataFrame:
     return since.groupBy("segment", "member").agg(F.min("seq").alias("since"))
 
 
+def validity(events: DataFrame) -> DataFrame:
+    """Intervals of membership from (segment, seq, date, kind added/removed, member): segment, member, since (seq), begin, end.
+
+    Events of a member are in the order of date, then seq. An interval begins
+    with the first addition after a removal and ends where the next removal's
+    date begins; the end of an open one is null. An interval that ends on the
+    day that it begins is none.
+    """
+    order = Window.partitionBy("segment", "member").orderBy("date", "seq")
+    turns = events.where(F.col("kind").isin("added", "removed")).withColumn("_before", F.lag("kind").over(order))
+    turns = turns.where(F.coalesce(F.col("_before") != F.col("kind"), F.col("kind") == "added"))
+    ends = turns.withColumn("end", F.lead("date").over(order)).where("kind = 'added'")
+    return ends.select("segment", "member", F.col("seq").alias("since"), F.col("date").alias("begin"), "end").where("end IS NULL OR end > begin")
+
+
+def replayed_at(intervals: DataFrame, dates: DataFrame) -> DataFrame:
+    """date, segment, member, since of all members at each of ``dates`` (date).
+
+    Intervals are split by month and meet the dates of that month in an equi-join, so
+    that neither a long interval nor a frequent date is compared with all of
+    the other side. Nothing is split beyond the last date.
+    """
+    month = lambda c: F.trunc(F.col(c).cast("date"), "month")
+    last = dates.agg(F.max(F.col("date").cast("date")).alias("_last"))
+    open_ = intervals.crossJoin(F.broadcast(last)).where(F.col("begin").cast("date") <= F.col("_last"))  # one row
+    stop = F.least(F.coalesce(F.col("end").cast("date"), F.col("_last")), F.col("_last"))
+    split = open_.withColumn("_month", F.explode(F.sequence(month("begin"), F.trunc(stop, "month"), F.expr("INTERVAL 1 MONTH"))))
+    given = dates.select(F.col("date").cast("date").alias("date")).distinct().withColumn("_month", month("date"))
+    inside = (F.col("begin").cast("date") <= F.col("date")) & (F.col("end").isNull() | (F.col("date") < F.col("end").cast("date")))
+    return split.join(given, "_month").where(inside).select("date", "segment", "member", "since")
+
+
 def composition_timeline(events: DataFrame, start: str, end: str) -> DataFrame:
     inside = events.where(F.col("date").between(start, end) & F.col("kind").isin("added", "removed"))
     added = F.col("kind") == "added"

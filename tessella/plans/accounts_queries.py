@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import accounts, activation, clustering, learning
+from tessella.operators import accounts, activation, clustering, graph, learning
 from tessella.plans.registry import query
 from tessella.plans.rfm_queries import AS_OF
 from tessella.plans.segments_queries import CUSTOMERS_SQL, customers
@@ -381,3 +381,19 @@ def audit_events(spark, sf_dir):
 def segment_contracts(spark, sf_dir):
     kept = accounts.segment_contract(F.lit(50), F.lit(0.9), F.lit(0.2), F.col("customers"), 1 - F.col("retention"), F.col("retention"))
     return cards(spark, sf_dir).select("segment", kept.alias("contract"), accounts.provenance(F.col("customers"), F.greatest(F.col("customers") - 100, F.lit(0))).alias("reliability"))
+
+
+_TREE = "CASE WHEN c_custkey % 97 = 1 THEN c_custkey + 1 WHEN c_custkey % 97 = 2 THEN c_custkey - 1 WHEN c_custkey % 50 = 0 OR c_custkey < 5 THEN NULL ELSE c_custkey * 9 DIV 10 END"
+
+
+@query(
+    "account_forest",
+    f"""WITH RECURSIVE t AS (SELECT c_custkey AS node, {_TREE.replace(" DIV ", " // ")} AS parent, c_acctbal AS value FROM customer),
+    a AS (SELECT node, node AS above, 0 AS d, false AS gone FROM t UNION ALL SELECT a.node, t.parent, d + 1, t.parent NOT IN (SELECT node FROM t) FROM a JOIN t ON t.node = a.above WHERE t.parent IS NOT NULL AND d < 300),
+    m AS (SELECT node, max(d) AS depth, arg_max(above, d) AS root FROM a GROUP BY 1), s AS (SELECT above AS node, sum(t.value) AS total FROM a JOIN t ON t.node = a.node GROUP BY 1)
+    SELECT node, CASE WHEN depth < 300 THEN root END AS root, CASE WHEN depth < 300 THEN depth END::BIGINT AS depth, CASE WHEN depth < 300 THEN round(total, 2) END AS total, depth = 300 AS cyclic FROM m JOIN s USING (node)""",
+)
+def account_forest(spark, sf_dir):
+    """Customers as a forest with deep trees and some circles: root, depth and the balance of all below."""
+    links = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), F.expr(_TREE).alias("parent"), F.col("c_acctbal").alias("value"))
+    return graph.forest(links).withColumn("total", F.round("total", 2))

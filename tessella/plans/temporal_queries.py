@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import patterns, temporal
+from tessella.operators import baskets, patterns, temporal
 from tessella.plans.registry import query
 from tessella.plans.value_queries import M_SQL, monthly
 from tessella.sources.tables import table
@@ -286,3 +286,35 @@ def lifecycle_stages(spark, sf_dir):
     total = rows.agg(F.sum("n").alias("total"))
     rows = rows.crossJoin(F.broadcast(total)).withColumn("percentage", F.round(F.col("n") * 100.0 / F.col("total"), 6))  # one row
     return patterns.lifecycle_stages(rows.withColumn("transition", F.lit(0.5)))
+
+
+_MOVES = """moves AS (SELECT o_orderpriority AS segment, o_orderkey AS seq, o_orderdate::DATE AS date, CASE WHEN o_orderkey % 3 = 0 THEN 'removed' ELSE 'added' END AS kind, o_custkey AS member FROM orders)"""
+
+
+@query(
+    "history_months",
+    f"""WITH {_MOVES}, d AS (SELECT DISTINCT last_day(o_orderdate) AS date FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY segment, member ORDER BY date, seq) AS i FROM moves),
+    p AS (SELECT d.date, segment, member, max(i) FILTER (kind = 'removed') AS gone, max(i) AS last FROM d JOIN r ON r.date <= d.date GROUP BY 1, 2, 3),
+    m AS (SELECT p.date, p.segment, p.member, arg_min(r.seq, r.i) AS since FROM p JOIN r ON r.segment = p.segment AND r.member = p.member AND r.i > coalesce(p.gone, 0) AND r.i <= p.last AND r.kind = 'added' WHERE p.last > coalesce(p.gone, 0) GROUP BY 1, 2, 3)
+    SELECT date::VARCHAR AS date, segment, count(*) AS members, sum(member)::BIGINT AS member_sum, sum(since)::BIGINT AS since_sum FROM m GROUP BY 1, 2""",
+)
+def history_months(spark, sf_dir):
+    """Members of each segment at every month's end."""
+    o = table(spark, sf_dir, "orders")
+    kind = F.when(F.col("o_orderkey") % 3 == 0, "removed").otherwise("added")
+    moves = o.select(F.col("o_orderpriority").alias("segment"), F.col("o_orderkey").alias("seq"), F.col("o_orderdate").cast("date").alias("date"), kind.alias("kind"), F.col("o_custkey").alias("member"))
+    ends = o.select(F.last_day(F.col("o_orderdate").cast("date")).alias("date")).distinct()
+    at = temporal.replayed_at(temporal.validity(moves), ends)
+    return at.groupBy(F.col("date").cast("string").alias("date"), "segment").agg(F.count("*").alias("members"), F.sum("member").alias("member_sum"), F.sum("since").alias("since_sum"))
+
+
+@query(
+    "basket_affinity",
+    """WITH i AS (SELECT DISTINCT l_orderkey AS basket, l_partkey AS item FROM lineitem), n AS (SELECT item, count(*) AS n FROM i GROUP BY 1),
+    p AS (SELECT x.item AS a, y.item AS b, count(*) AS together FROM i x JOIN i y ON x.basket = y.basket AND x.item < y.item GROUP BY 1, 2)
+    SELECT a, b, together, na.n AS n_a, nb.n AS n_b, round(together::DOUBLE / (na.n + nb.n - together), 9) AS similarity FROM p JOIN n na ON na.item = a JOIN n nb ON nb.item = b WHERE together::DOUBLE / (na.n + nb.n - together) >= 0.04""",
+)
+def basket_affinity(spark, sf_dir):
+    """All pairs of parts that share at least a twenty-fifth of their orders."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("basket"), F.col("l_partkey").alias("item"))
+    return baskets.alike(items, 0.04).withColumn("similarity", F.round("similarity", 9))
