@@ -30,11 +30,16 @@ SEED_WORDS = 3
 BLOCK_BYTES = 16 << 20
 #: Hits, and words around them, that a task has in memory at once, but for single documents with more.
 PIECE = 1 << 21
+#: Cells of a row of alignments, over all passages of a batch, and passages' words that wait for alignment at once.
+CELLS, WAITING = 1 << 18, 1 << 21
+#: Words of a segment of a document whose hits are of so many items that those that can't be there are left out first.
+SEGMENT = 512
 #: Alignment scores.
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
-#: A document contains an item if the alignment scores this share of the item's words, or this many.
+#: A document contains an item if the alignment scores this share of the item's words, or this many: a passage of over 50 words is a
+#: leak however long its item is. This is part of what "contains" means, as is the next.
 SHARE, ENOUGH = 0.5, 50.0
-#: Items of up to so many words must be there whole.
+#: Items of up to so many words must be there whole, as half of so few words is chance.
 SHORT_ITEM = 8
 #: Words around a window, as a share of the item's.
 SLACK = 0.25
@@ -116,6 +121,10 @@ class Items:
     words: list[np.ndarray]
     needed: np.ndarray
     vocabulary: Seeds
+    times: np.ndarray  # of each (item, word) of the vocabulary: how often the item has the word
+    owner: np.ndarray  # its item
+    word_of: np.ndarray  # and its word, as a place in ``known``
+    known: Seeds  # all words of items
     seeds: Seeds
     first: np.ndarray  # of each seed, in the next three: one entry for each item that has it
     item_of: np.ndarray
@@ -128,6 +137,10 @@ class Items:
         own = [words.hashes[a:b] for a, b in zip(words.offsets[:-1], words.offsets[1:], strict=True)]
         item = np.repeat(np.arange(len(ids)), words.counts)
         vocabulary = Seeds(_of_item(item, words.hashes))
+        entry = vocabulary.find(_of_item(item, words.hashes))[1] if len(item) else np.zeros(0, np.int64)
+        times = np.bincount(entry, minlength=len(vocabulary.sorted))
+        owner, word_of, known = np.zeros(len(times), np.int64), np.zeros(len(times), np.int64), Seeds(words.hashes)
+        owner[entry], word_of[entry] = item, np.searchsorted(known.sorted, words.hashes)
         grams = words.grams(n)
         at = np.flatnonzero(np.arange(len(grams)) + n <= words.offsets[1:][item[: len(grams)]])
         order = np.lexsort((at, item[at], grams[at]))
@@ -137,26 +150,53 @@ class Items:
         ends = np.append(starts[1:], len(at)) - 1 if len(at) else at
         seeds = Seeds(gram)
         first = np.append(np.searchsorted(gram[starts], seeds.sorted), len(starts))
-        return cls(ids, own, np.array([needed(len(w)) for w in own]), vocabulary, seeds, first, who[starts], place[starts], place[ends])
+        return cls(ids, own, np.array([needed(len(w)) for w in own]), vocabulary, times, owner, word_of, known, seeds, first, who[starts], place[starts], place[ends])
+
+    def able(self, words: np.ndarray) -> np.ndarray:
+        """Of each item, whether a passage of these words could contain it: counting each word as often as both have it."""
+        at, word = self.known.find(words)
+        held = np.bincount(word, minlength=len(self.known.sorted)) if len(at) else np.zeros(len(self.known.sorted), np.int64)
+        shared = np.minimum(self.times, held[self.word_of])
+        return np.bincount(self.owner, shared, len(self.ids)) * MATCH >= self.needed
+
+
+def align_all(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Smith-Waterman scores of pairs of word sequences (item, passage), many at a time.
+
+    Item words are taken one after another, for all passages of a batch; a run
+    of gaps along a passage is a running maximum. Two rows are in memory.
+    """
+    out = np.zeros(len(pairs))
+    order = sorted((k for k, (a, b) in enumerate(pairs) if len(a) and len(b)), key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
+    at = 0
+    while at < len(order):
+        wide, end = 0, at
+        while end < len(order) and (end == at or max(wide, len(pairs[order[end]][1])) * (end - at + 1) <= CELLS and len(pairs[order[end]][0]) <= 2 * len(pairs[order[at]][0])):
+            wide = max(wide, len(pairs[order[end]][1]))
+            end += 1
+        some = order[at:end]
+        at, long = end, max(len(pairs[k][0]) for k in some)
+        # Places past an end hold what no other place does, so they match nothing.
+        item, passage = np.zeros((len(some), long), np.uint64), np.zeros((len(some), wide), np.uint64)
+        real_item, real = np.zeros((len(some), long), bool), np.zeros((len(some), wide), bool)
+        for row, k in enumerate(some):
+            a, b = pairs[k]
+            item[row, : len(a)], real_item[row, : len(a)] = a, True
+            passage[row, : len(b)], real[row, : len(b)] = b, True
+        slope = np.arange(wide, dtype=np.float32) * np.float32(-GAP)
+        last, best = np.zeros((len(some), wide + 1), np.float32), np.zeros(len(some), np.float32)
+        for i in range(long):
+            gain = np.where((passage == item[:, i : i + 1]) & real & real_item[:, i : i + 1], np.float32(MATCH), np.float32(MISMATCH))
+            here = np.maximum(np.maximum(last[:, :-1] + gain, last[:, 1:] + np.float32(GAP)), np.float32(0.0))
+            last[:, 1:] = np.maximum.accumulate(here + slope, axis=1) - slope
+            np.maximum(best, last.max(axis=1), out=best)
+        out[some] = best
+    return out
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> float:
-    """Smith-Waterman score of two sequences of word hashes, by anti-diagonals, of which three are in memory."""
-    m, n = len(item), len(passage)
-    if not m or not n:
-        return 0.0
-    if not np.isin(item, passage).any():
-        return 0.0
-    before, last, best = np.zeros(m + 1), np.zeros(m + 1), 0.0
-    for d in range(m + n - 1):
-        low, high = max(0, d - n + 1), min(m - 1, d)
-        i = np.arange(low, high + 1)
-        here = np.zeros(m + 1)
-        gain = np.where(item[low : high + 1] == passage[d - high : d - low + 1][::-1], MATCH, MISMATCH)
-        here[i + 1] = np.maximum(0.0, np.maximum(before[i] + gain, np.maximum(last[i], last[i + 1]) + GAP))
-        best = max(best, float(here[i + 1].max()))
-        before, last = last, here
-    return best
+    """Smith-Waterman score of two sequences of word hashes."""
+    return float(align_all([(item, passage)])[0])
 
 
 def needed(length: int) -> float:
@@ -170,7 +210,8 @@ def ceilings(items: Items, words: Words, item: np.ndarray, low: np.ndarray, high
     """The most that an alignment of each item within the words low to high can score.
 
     A word that the item has gains a match at best, any other costs the least
-    penalty; no alignment scores more than the best stretch of such gains.
+    penalty; no alignment scores more than the best stretch of such gains, nor
+    more than all words counted as often as both sides have them.
     """
     out, ends, a = np.zeros(len(item)), np.cumsum(high - low), 0
     while a < len(item):
@@ -178,11 +219,14 @@ def ceilings(items: Items, words: Words, item: np.ndarray, low: np.ndarray, high
         length = high[a:b] - low[a:b]
         place, who = ragged(low[a:b], length), np.repeat(np.arange(b - a), length)
         gain = np.full(len(place), max(MISMATCH, GAP))
-        gain[items.vocabulary.find(_of_item(item[a:b][who], words.hashes[place]))[0]] = MATCH
+        hit, entry = items.vocabulary.find(_of_item(item[a:b][who], words.hashes[place]))
+        gain[hit] = MATCH
+        both, held = np.unique(who[hit] * len(items.times) + entry, return_counts=True)
+        shared = np.bincount(both // max(len(items.times), 1), np.minimum(held, items.times[both % max(len(items.times), 1)]), b - a)
         after = np.cumsum(gain)
         apart = who * (2.0 * len(place) + 2.0)  # so that the running least begins anew with each stretch
         least = np.minimum.accumulate(after - gain - apart) + apart
-        out[a:b] = np.maximum.reduceat(after - least, np.cumsum(length) - length)
+        out[a:b] = np.minimum(np.maximum.reduceat(after - least, np.cumsum(length) - length), shared * MATCH)
         a = b
     return out
 
@@ -202,14 +246,50 @@ def matches(items: Items, texts: list[str], n: int) -> Iterator[tuple[int, int,
             b = int(np.searchsorted(doc, doc[b], "left"))
         if b <= a:
             b = int(np.searchsorted(doc, doc[a], "right"))
-        yield from _aligned(items, words, at[a:b], seed[a:b], doc[a:b])
+        if b - a > 1 and many[b - 1] - (many[a - 1] if a else 0) > PIECE:
+            yield from _by_segments(items, words, at[a:b], seed[a:b], int(doc[a]))
+        else:
+            yield from _aligned(items, words, at[a:b], seed[a:b], doc[a:b])
         a = b
 
 
-def _aligned(items: Items, words: Words, at: np.ndarray, seed: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, float]]:
+def _by_segments(items: Items, words: Words, at: np.ndarray, seed: np.ndarray, doc: int) -> Iterator[tuple[int, int, float]]:
+    """One document whose hits have more items than a task holds at once: a segment at a time, with the items that its words allow.
+
+    A segment's words reach as far around its hits as any item's alignment does, so no item that is there is left out.
+    """
+    longest = max(map(len, items.words))
+    reach = longest + int(longest * SLACK) + 2
+    best: dict[int, float] = {}
+    begin, stop = int(words.offsets[doc]), int(words.offsets[doc + 1])
+    for low in range(begin, stop, SEGMENT):
+        a, b = np.searchsorted(at, [low, low + SEGMENT])
+        if a == b:
+            continue
+        able = items.able(words.hashes[max(begin, low - reach) : min(stop, low + SEGMENT + reach)])
+        while a < b:  # hits of bounded numbers of able items, or one hit
+            held = np.concatenate([[0], np.cumsum(able[items.item_of])])
+            more = np.cumsum(held[items.first[seed[a:b] + 1]] - held[items.first[seed[a:b]]])
+            end = a + max(1, int(np.searchsorted(more, PIECE, "right")))
+            for _, item, score in _aligned(items, words, at[a:end], seed[a:end], np.full(end - a, doc), able):
+                best[item] = max(score, best.get(item, 0.0))
+            a = end
+    for item, score in best.items():
+        yield doc, item, score
+
+
+def _aligned(items: Items, words: Words, at: np.ndarray, seed: np.ndarray, doc: np.ndarray, able_items: np.ndarray | None = None) -> Iterator[tuple[int, int, float]]:
     # One row per hit and item: the words among which the item would stand.
-    many = items.first[seed + 1] - items.first[seed]
-    pick = ragged(items.first[seed], many)
+    if able_items is None:
+        many = items.first[seed + 1] - items.first[seed]
+        pick = ragged(items.first[seed], many)
+    else:
+        kept = np.flatnonzero(able_items[items.item_of])
+        low = np.searchsorted(kept, items.first[seed])
+        many = np.searchsorted(kept, items.first[seed + 1]) - low
+        pick = kept[ragged(low, many)]
+    if not len(pick):
+        return
     at, doc, item = np.repeat(at, many), np.repeat(doc, many), items.item_of[pick]
     size = np.array([len(w) for w in items.words])[item]
     slack = (size * SLACK).astype(np.int64) + 2
@@ -226,10 +306,20 @@ def _aligned(items: Items, words: Words, at: np.ndarray, seed: np.ndarray, doc:
     stops = np.append(starts[1:], len(new))
     able = ceilings(items, words, item[starts], low[starts], (reach - apart)[stops - 1]) >= items.needed[item[starts]]
     scores: dict[tuple[int, int], float] = {}
+    waiting: list[tuple[int, int]] = []
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def settle() -> None:
+        for key, score in zip(waiting, align_all(pairs).tolist(), strict=True):
+            scores[key] = max(score, scores.get(key, 0.0))
+        waiting.clear()
+        pairs.clear()
+
     for a, b in zip(starts[able].tolist(), stops[able].tolist(), strict=True):
         d, k = int(doc[a]), int(item[a])
         own = items.words[k]
-        best, until = scores.get((d, k), 0.0), -1
+        until = -1
         i = a
         while i < b:  # rows that overlap are aligned once
             start, end = int(low[i]), int(high[i])
@@ -238,8 +328,13 @@ def _aligned(items: Items, words: Words, at: np.ndarray, seed: np.ndarray, doc:
                 end = max(end, int(high[i]))
             i += 1
             if end > until:
-                best, until = max(best, align(own, words.hashes[start:end])), end
-        scores[d, k] = best
+                waiting.append((d, k))
+                pairs.append((own, words.hashes[start:end]))
+                until, held = end, held + end - start
+                if held > WAITING:
+                    settle()
+                    held = 0
+    settle()
     for (d, k), best in scores.items():
         if best >= items.needed[k]:
             yield d, k, best / len(items.words[k])

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -115,3 +116,56 @@ def test_alignment_of_long_sequences_takes_little_memory():
     assert tracemalloc.get_traced_memory()[1] < 50 << 20
     tracemalloc.stop()
     assert score == 5_000 - 50
+
+
+def test_alignments_in_batches_equal_plain_ones():
+    chance = random.Random(7)
+    pairs = [([chance.randrange(6) for _ in range(chance.randrange(30))], [chance.randrange(6) for _ in range(chance.randrange(60))]) for _ in range(400)]
+    got = decontam.align_all([(np.array(a, np.uint64), np.array(b, np.uint64)) for a, b in pairs])
+    assert got.tolist() == [align(a, b) for a, b in pairs]
+
+
+def templated(chance, n):
+    vocabulary = ["".join(chance.choice("abcdefghij") for _ in range(6)) for _ in range(20_000)]
+    head = "which of the following is number".split()
+    items = [[*head, *[chance.choice(vocabulary) for _ in range(14)]] for _ in range(n)]
+    return head, items, vocabulary
+
+
+def test_a_phrase_that_many_items_share_costs_little_and_hides_nothing(monkeypatch):
+    chance = random.Random(2)
+    head, items, vocabulary = templated(chance, 60_000)
+    made = decontam.Items.made(list(range(len(items))), [" ".join(i) for i in items], decontam.SEED_WORDS)
+    dense = " ".join(w for _ in range(60) for w in [*head, chance.choice(vocabulary)])
+    leak = [w if n % 4 else chance.choice(vocabulary) for n, w in enumerate(items[777])]
+    began = time.process_time()
+    assert list(decontam.matches(made, [dense] * 3, decontam.SEED_WORDS)) == []
+    assert {k for _, k, _ in decontam.matches(made, [dense + " " + " ".join(leak) + " " + dense], decontam.SEED_WORDS)} == {777}
+    assert time.process_time() - began < 10
+
+
+def test_segments_find_what_whole_documents_do(monkeypatch):
+    chance = random.Random(4)
+    head, items, vocabulary = templated(chance, 50)
+    made = decontam.Items.made(list(range(50)), [" ".join(i) for i in items], decontam.SEED_WORDS)
+    texts = []
+    for k in range(30):
+        body = [chance.choice(vocabulary) for _ in range(chance.randrange(1500))] + head * chance.randrange(5)
+        for i in chance.sample(range(50), 3):
+            at = chance.randrange(len(body) + 1)
+            body[at:at] = [w if chance.random() > 0.2 else "x" for w in items[i]]
+        texts.append(" ".join(body))
+    want = sorted(decontam.matches(made, texts, decontam.SEED_WORDS))
+    monkeypatch.setattr(decontam, "PIECE", 20)
+    monkeypatch.setattr(decontam, "SEGMENT", 64)
+    assert sorted(decontam.matches(made, texts, decontam.SEED_WORDS)) == want and len(want) > 40
+
+
+@pytest.mark.parametrize(("every", "least"), [(3, 0.0), (4, 0.99), (5, 0.99)])
+def test_recall_of_copies_with_every_nth_word_changed(every, least):
+    chance = random.Random(every)
+    _, items, vocabulary = templated(chance, 200)
+    made = decontam.Items.made(list(range(200)), [" ".join(i) for i in items], decontam.SEED_WORDS)
+    texts = [" ".join([*[chance.choice(vocabulary) for _ in range(50)], *[w if n % every != every - 1 else chance.choice(vocabulary) for n, w in enumerate(i)], *[chance.choice(vocabulary) for _ in range(50)]]) for i in items]
+    found = {(d, k) for d, k, _ in decontam.matches(made, texts, decontam.SEED_WORDS)}
+    assert len(found & {(k, k) for k in range(200)}) / 200 >= least
