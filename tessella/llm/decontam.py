@@ -1,7 +1,7 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Test items are taken in blocks of bounded size. Every n-gram of an item is a
-seed, however many documents have it, so an item that has leaked, whole, in
+seed, with its words in a row or with a gap before the last, however many documents have it, so an item that has leaked, whole, in
 part or edited, into much of the corpus is found in all of it. One pass joins
 the documents' n-grams to the seeds. Around the hits of an item, the most that
 an alignment could score is taken from which words the item has at all; where
@@ -81,16 +81,21 @@ class Words:
         self.counts = np.diff(np.searchsorted(starts, doc_ends, "right"), prepend=0) if parts else np.zeros(0, np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.counts)])
 
-    def grams(self, n: int) -> np.ndarray:
-        """Hash of the n words from each word on, across all texts."""
-        h = self.hashes
-        out = np.zeros(max(0, len(h) - n + 1), np.uint64)
-        for k in range(n):
+    def grams(self, pattern: tuple[int, ...]) -> np.ndarray:
+        """Hash of the words at the pattern's places from each word on, across all texts."""
+        h, n = self.hashes, pattern[-1] + 1
+        out = np.full(max(0, len(h) - n + 1), n, np.uint64)
+        for k in pattern:
             out = (out + h[k : len(h) - n + 1 + k]) * np.uint64(0xD6E8FEB86659FD93)
             out ^= out >> np.uint64(32)
         return out
 
 
+def patterns(n: int) -> list[tuple[int, ...]]:
+    """Places of the words of seeds: n in a row, and n of which the last but one is left out, which finds copies with every n-th word changed."""
+    return [tuple(range(n)), (*range(n - 1), n)]
+
+
 class Seeds:
     """Which hashes are in a set: a bit map, then a search in the sorted set."""
 
@@ -141,11 +146,15 @@ class Items:
         times = np.bincount(entry, minlength=len(vocabulary.sorted))
         owner, word_of, known = np.zeros(len(times), np.int64), np.zeros(len(times), np.int64), Seeds(words.hashes)
         owner[entry], word_of[entry] = item, np.searchsorted(known.sorted, words.hashes)
-        grams = words.grams(n)
-        at = np.flatnonzero(np.arange(len(grams)) + n <= words.offsets[1:][item[: len(grams)]])
-        order = np.lexsort((at, item[at], grams[at]))
-        at = at[order]
-        gram, who, place = grams[at], item[at], at - words.offsets[item[at]]
+        found = []
+        for pattern in patterns(n):
+            grams = words.grams(pattern)
+            at = np.flatnonzero(np.arange(len(grams)) + pattern[-1] < words.offsets[1:][item[: len(grams)]])
+            found.append((grams[at], item[at], at - words.offsets[item[at]]))
+        gram, who, place = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((place, who, gram))
+        gram, who, place = gram[order], who[order], place[order]
+        at = order
         starts = np.flatnonzero((np.diff(gram, prepend=0) != 0) | (np.diff(who, prepend=-1) != 0)) if len(at) else at
         ends = np.append(starts[1:], len(at)) - 1 if len(at) else at
         seeds = Seeds(gram)
@@ -234,10 +243,15 @@ def ceilings(items: Items, words: Words, item: np.ndarray, low: np.ndarray, high
 def matches(items: Items, texts: list[str], n: int) -> Iterator[tuple[int, int, float]]:
     """(text, item, score) for each item that a text contains."""
     words = Words(texts)
-    at, seed = items.seeds.find(words.grams(n))
-    doc = np.searchsorted(words.offsets, at, "right") - 1
-    inside = at + n <= words.offsets[doc + 1]
-    at, seed, doc = at[inside], seed[inside], doc[inside]
+    found = []
+    for pattern in patterns(n):
+        at, seed = items.seeds.find(words.grams(pattern))
+        doc = np.searchsorted(words.offsets, at, "right") - 1
+        inside = at + pattern[-1] < words.offsets[doc + 1]
+        found.append((at[inside], seed[inside], doc[inside]))
+    at, seed, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(at, kind="stable")
+    at, seed, doc = at[order], seed[order], doc[order]
     many = np.cumsum(items.first[seed + 1] - items.first[seed])
     a = 0
     while a < len(at):  # whole documents
