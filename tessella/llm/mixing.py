@@ -80,9 +80,11 @@ def permuted(x: Column, n: Column, *key: Column, rounds: int = ROUNDS, inverse:
     return F.aggregate(order, x.cast("bigint"), swap)
 
 
-def draws(plan: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+def draws(plan: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """source, shard, drawn, first for (source, slots): how many slots each shard draws of each source, and where they begin.
 
+    Another ``seed`` draws other counts; the targets are met by any.
+
     Shards have ``shard_slots`` slots in the mean. A source's trials are dealt
     out in runs, so that no row grows with the source, and counted before they
     are shuffled.
@@ -92,13 +94,13 @@ def draws(plan: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     runs = plan.where("slots > 0").crossJoin(F.broadcast(every)).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("slots") - 1) / TRIALS).cast("bigint"))))  # one row
     runs = runs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source", "_run")
     trials = runs.select("source", "shards", F.explode(F.sequence(F.col("_run") * TRIALS, F.least(F.col("_run") * TRIALS + (TRIALS - 1), F.col("slots") - 1))).alias("_trial"))
-    shard = F.pmod(F.xxhash64(F.lit("shard"), F.lit(SEED), "source", "_trial"), F.col("shards")).cast("bigint")
+    shard = F.pmod(F.xxhash64(F.lit("shard"), F.lit(seed), "source", "_trial"), F.col("shards")).cast("bigint")
     drawn = trials.groupBy("source", shard.alias("shard")).agg(F.count("*").alias("drawn"))
     before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return drawn.withColumn("first", F.coalesce(F.sum("drawn").over(before), F.lit(0)).cast("bigint"))
 
 
-def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """source, slot, pass, block, take, shard for every slot of (source, source_size, target).
 
     ``take`` is how many words of the block the slot takes: all, but for the
@@ -115,7 +117,7 @@ def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
     late = F.ceil((F.col("rest") + F.col("missing")) / block)
     plan = plan.withColumn("extra", F.when(F.col("rest") == 0, 0).when(early <= F.col("short_at"), early).otherwise(F.least(late, F.col("n"))).cast("bigint"))
     total = written(plan.withColumn("slots", F.col("passes") * F.col("n") + F.col("extra")), "sources")
-    drawn = null_safe_join(written(draws(total.select("source", "slots"), shard_slots), "draws"), total, ["source"], "inner")
+    drawn = null_safe_join(written(draws(total.select("source", "slots"), shard_slots, seed), "draws"), total, ["source"], "inner")
     numbered = drawn.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("drawn") - 1)))
     out = numbered.withColumn("pass", F.floor(F.col("slot") / F.col("n")).cast("bigint")).withColumn("_at", F.col("slot") % F.col("n"))
     out = out.withColumn("block", permuted(F.col("_at"), F.col("n"), F.col("source"), F.col("pass")))
@@ -141,29 +143,35 @@ def _placed(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     return written(null_safe_join(at, sources, ["source"]), "packed"), sources
 
 
-def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, source, size, key, source_size, weight, target, taken for rows of (doc_id, source, size, key).
+def mixed(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """doc_id, source, size, key, source_size, weight, target, taken, first_shard, last_shard for rows of (doc_id, source, size, key).
+
+    The shards' draws decide in which shards a document's words stand, of
+    which the first and the last are given (null if the mix takes none of its words).
 
     Null sources are one source; documents without words are taken 0 times.
     Repeated rows count one by one, each with its own place in the stream.
     Equal input gives equal output; an empty table gives none.
     """
     at, sources = _placed(written(docs.select("doc_id", "source", "size", "key"), "sizes"), block)
-    drawn = written(slots(sources, block), "slots")  # written, so that the planner knows how many they are
+    drawn = written(slots(sources, block, shard_slots, seed), "slots")  # written, so that the planner knows how many they are
     # A block is drawn by up to MOST_PASSES + 1 slots, all with different takes at most.
-    per = drawn.groupBy("source", "block").agg(F.sort_array(F.collect_list("take")).alias("takes"))
+    per = drawn.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("take", "shard"))).alias("takes"))
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     pieces = at.where("size > 0").withColumn("block", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))))
     low = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
     high = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
     pieces = null_safe_join(pieces.withColumn("_low", low).withColumn("_high", high), per, ["source", "block"])
-    words = F.aggregate(F.coalesce("takes", F.array().cast("array<bigint>")), F.lit(0).cast("bigint"), lambda a, t: a + F.greatest(F.least(t, F.col("_high")) - F.col("_low"), F.lit(0)))
+    held = F.transform(F.filter("takes", lambda t: t["take"] > F.col("_low")), lambda t: t["shard"])
+    words = F.aggregate("takes", F.lit(0).cast("bigint"), lambda a, t: a + F.greatest(F.least(t["take"], F.col("_high")) - F.col("_low"), F.lit(0)))
     columns = ["doc_id", "source", "size", "key", "source_size", "weight", "target"]
-    some = pieces.groupBy(*columns, "start").agg(F.sum(words).cast("bigint").alias("taken")).select(*columns, "taken")
-    return some.unionByName(at.where("size = 0").select(*columns, F.lit(0).cast("bigint").alias("taken")))
+    ends = [F.min(F.array_min(held)).alias("first_shard"), F.max(F.array_max(held)).alias("last_shard")]
+    some = pieces.groupBy(*columns, "start").agg(F.coalesce(F.sum(words), F.lit(0)).cast("bigint").alias("taken"), *ends).select(*columns, "taken", "first_shard", "last_shard")
+    none = F.lit(None).cast("bigint")
+    return some.unionByName(at.where("size = 0").select(*columns, F.lit(0).cast("bigint").alias("taken"), none.alias("first_shard"), none.alias("last_shard")))
 
 
-def blocks(docs: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
+def blocks(docs: DataFrame, text: str = "text", block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """The mixture itself: shard, source, slot, and ``words``, the words that the slot takes of its block.
 
     Slots join packed blocks by source and block number. A block's words come
@@ -180,7 +188,7 @@ def blocks(docs: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame
     part = F.slice("_words", (low + 1).cast("int"), (high - low).cast("int"))
     filled = cut.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("start", part.alias("w")))).alias("parts"))
     filled = filled.select("source", "block", F.flatten(F.transform("parts", lambda p: p["w"])).alias("_block"))
-    out = null_safe_join(written(slots(sources, block), "slots"), filled, ["source", "block"])
+    out = null_safe_join(written(slots(sources, block, shard_slots, seed), "slots"), filled, ["source", "block"])
     return out.select("shard", "source", "slot", F.slice("_block", F.lit(1), F.col("take").cast("int")).alias("words"))
 
 
@@ -206,4 +214,4 @@ def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return mixed(sized(docs)).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mixed(sized(docs)).select("doc_id", "size", "source_size", "target", "taken", "source", "first_shard", "last_shard")

@@ -106,3 +106,21 @@ def test_rows_without_ids_are_drawn_one_by_one(spark):
     want = {r.source: r.target / r.source_size for r in mixing.targets(spark.createDataFrame([("a", 12_000), ("b", 4_000)], "source string, source_size long")).collect()}
     got = Counter(r.source for r in mixing.repeated(docs).collect())
     assert abs(got["a"] / 3_000 - want["a"]) < 0.1 and abs(got["b"] / 1_000 - want["b"]) < 0.1
+
+
+def test_another_draw_changes_the_shards_and_not_the_totals(spark):
+    docs = spark.createDataFrame([(i, " ".join(["w"] * (5 + i % 40)), "abc"[i % 3]) for i in range(300)], "doc_id long, text string, source string")
+    made = [{r.doc_id: (r.taken, (r.first_shard, r.last_shard)) for r in mixing.mixed(mixing.sized(docs), 16, 32, seed).collect()} for seed in (1, 1, 2)]
+    assert made[0] == made[1]
+    assert {d: t for d, (t, _) in made[0].items()} == {d: t for d, (t, _) in made[2].items()}
+    assert sum(made[0][d][1] != made[2][d][1] for d in made[0]) > 50
+
+
+def test_shards_are_those_that_hold_the_words(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"d{i}w{k}" for k in range(3 + 17 * i)), "ab"[i % 2]) for i in range(12)], "doc_id long, text string, source string")
+    held = defaultdict(set)
+    for r in mixing.blocks(docs, block=16, shard_slots=8).collect():
+        for w in r.words:
+            held[int(w[1 : w.index("w")])].add(r.shard)
+    got = {r.doc_id: (r.first_shard, r.last_shard) for r in mixing.mixed(mixing.sized(docs), 16, 8).collect()}
+    assert got == {d: (min(held[d]), max(held[d])) if held[d] else (None, None) for d in got} and len(set(got.values())) > 4
