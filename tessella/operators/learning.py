@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.ranges import quarters
 from tessella.sources.scratch import written
 
 ACTIVATIONS = {"relu": lambda x: np.maximum(x, 0.0), "sigmoid": lambda x: 1.0 / (1.0 + np.exp(-x)), "tanh": np.tanh, "linear": lambda x: x}
@@ -221,6 +222,10 @@ def heuristic_prediction(columns: list[str], importance: list[float]) -> Column:
     return F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0))
 
 
+#: Different values of a categorical column that are coded.
+MOST_VALUES = 10_000
+
+
 @dataclass
 class Preprocessing:
     """Median imputing and scaling of numbers, most frequent imputing and one-hot coding of categories."""
@@ -237,15 +242,25 @@ class Preprocessing:
             raise ValueError("there are neither numeric nor categorical features")
 
     def fit(self, rows: DataFrame) -> Preprocessing:
-        """One row of medians and moments, and one of modes and values, come to the driver."""
-        middle = rows.agg(*[F.median(c).alias(c) for c in self.numeric]).first().asDict() if self.numeric else {}
+        """A median a column, one row of moments, and the modes and values of categories come to the driver.
+
+        Medians come from ranges of counted values. A categorical column with
+        more than MOST_VALUES different values is an error, as each would be a place of the vector.
+        """
+        middle = dict.fromkeys(self.numeric)
+        if self.numeric:
+            long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x")) for c in self.numeric])).alias("_")).select("_.*")
+            middle |= {r.c: r["median"] for r in quarters(long, ["c"]).select("c", "median").collect()}
         filled = [(F.coalesce(F.col(c), F.lit(middle[c])) if self.impute else F.col(c)).cast("double") for c in self.numeric]
         moments = rows.agg(*[f(x).alias(f"{k}_{c}") for c, x in zip(self.numeric, filled, strict=True) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first().asDict() if self.numeric else {}
         modes, values = {}, {}
         for c in self.categorical:
             per = rows.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).agg(F.count("*").alias("n"))
-            r = per.agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("mode"), F.array_sort(F.collect_list("v")).alias("values")).first()
-            modes[c], values[c] = r["mode"], list(r["values"])
+            found = per.limit(MOST_VALUES + 1).collect()
+            if len(found) > MOST_VALUES:
+                raise ValueError(f"{c} has more than {MOST_VALUES} values")
+            modes[c] = min(found, key=lambda r: (-r.n, r.v)).v if found else None
+            values[c] = sorted(r.v for r in found)
         self.fitted = {"middle": middle, "moments": moments, "modes": modes, "values": values}
         return self
 

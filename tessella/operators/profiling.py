@@ -78,7 +78,9 @@ def aging(tenure: DataFrame, churn: Column) -> DataFrame:
     """Tenure of (segment, days) and the stage of life that it and the churn rate give."""
     mean = F.avg("days")
     life = F.when((mean < 30) & (churn < 0.1), "emerging").when((mean < 180) & (churn < 0.15), "growth").when(churn < 0.2, "mature").otherwise("declining")
-    return tenure.groupBy("segment").agg(mean.alias("avg_member_tenure_days"), F.median("days").alias("median_member_tenure_days"), F.min("days").alias("newest_member_days_ago"), F.max("days").alias("oldest_member_days_ago"), life.alias("segment_lifespan_stage"))
+    found = tenure.groupBy("segment").agg(mean.alias("avg_member_tenure_days"), F.min("days").alias("newest_member_days_ago"), F.max("days").alias("oldest_member_days_ago"), life.alias("segment_lifespan_stage"))
+    middle = quarters(tenure.select("segment", F.col("days").alias("x")), ["segment"]).select("segment", F.col("median").alias("median_member_tenure_days"))
+    return same_keys(found, middle, ["segment"])
 
 
 def cosine(a: Column, b: Column) -> Column:

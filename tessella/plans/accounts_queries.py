@@ -8,6 +8,8 @@ from tessella.operators import accounts, activation, clustering, graph, learning
 from tessella.plans.registry import query
 from tessella.plans.rfm_queries import AS_OF
 from tessella.plans.segments_queries import CUSTOMERS_SQL, customers
+from tessella.sources.records import KEY, NAME, register
+from tessella.sources.scratch import fresh, written
 from tessella.sources.tables import table
 
 A_SQL = """a AS (SELECT s_suppkey AS account_id, n_name AS industry, (count(*) % 700)::BIGINT AS employees, sum(l_extendedprice) / 100 AS arr, (count(*) % 120)::BIGINT AS users, avg(l_discount) * 10 AS adoption, (count(*) * 3 % 1500)::BIGINT AS calls, (count(*) % 60)::BIGINT AS tickets, avg(l_tax) * 20 - 0.6 AS trend FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1, 2),
@@ -353,9 +355,14 @@ def preprocessed_clusters(spark, sf_dir):
     return fitted.predict(rows).select("id", "cluster")
 
 
-@query("manifest", "SELECT * FROM (VALUES ('audienceSegments', 7::BIGINT, 1::BIGINT, 1::BIGINT), ('audienceSegmentMemberships', 8, 1, 2)) t(object, fields, keys, nullable)")
+@query("manifest", f"WITH {CUSTOMERS_SQL}, t(object, fields, keys, nullable) AS (VALUES ('audienceSegments', 7::BIGINT, 1::BIGINT, 1::BIGINT), ('audienceSegmentMemberships', 8, 1, 2)) SELECT *, CASE object WHEN 'audienceSegments' THEN (SELECT count(DISTINCT segment) FROM customers) ELSE (SELECT count(*) FROM customers) END AS records FROM t")
 def manifest(spark, sf_dir):
-    return activation.manifest(spark).groupBy("object").agg(F.count("*").alias("fields"), F.count_if("unique").alias("keys"), F.count_if("nullable").alias("nullable"))
+    """The fields of both kinds of records, and how many records the customers give."""
+    members = customers(spark, sf_dir).select("segment", F.lit("rfm").alias("segment_type"), "customer_id", F.lit(1.0).alias("score"))
+    of = activation.membership_records(members)[0].agg(F.count_distinct("segmentId").alias("audienceSegments"), F.count("*").alias("audienceSegmentMemberships"))
+    records = of.unpivot([], of.columns, "object", "records")
+    fields = activation.manifest(spark).groupBy("object").agg(F.count("*").alias("fields"), F.count_if("unique").alias("keys"), F.count_if("nullable").alias("nullable"))
+    return fields.join(records, "object")
 
 
 @query("activation_platform_fields", f"WITH {R_SQL} SELECT customer_id, coalesce(email, '') AS iterable_email, segment AS iterable_list, coalesce(email, '') AS klaviyo_email, segment AS klaviyo_list, email AS salesforce_email, segment AS salesforce_segment, segment AS hubspot_status, customer_id AS segment_user, customer_id AS rudder_user, customer_id AS braze_id, email IS NOT NULL OR external_id IS NOT NULL AS valid FROM r")
@@ -397,3 +404,15 @@ def account_forest(spark, sf_dir):
     """Customers as a forest with deep trees and some circles: root, depth and the balance of all below."""
     links = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), F.expr(_TREE).alias("parent"), F.col("c_acctbal").alias("value"))
     return graph.forest(links).withColumn("total", F.round("total", 2))
+
+
+@query("record_sink", f"WITH {CUSTOMERS_SQL}, {M_SQL}, {_batches_sql('m', 'mid', ['c', 'mid', 'name', QUOTED_ONE, 'sid', QUOTED_SOURCE], 100)} SELECT * FROM g")
+def record_sink(spark, sf_dir):
+    """Records through the sink: first some batches, then all of them again; each is read back once."""
+    register(spark)
+    rows = customers(spark, sf_dir).select("segment", F.lit("rfm").alias("segment_type"), "customer_id", F.lit(1.0).alias("score"))
+    made = written(activation.batched(activation.membership_records(rows)[0], "membershipId", 100), "records")
+    folder = fresh(spark, "sink")
+    for part in (made.where("batch % 2 = 0"), made):
+        part.write.format(NAME).option("path", folder).mode("append").save()
+    return spark.read.format(NAME).option("path", folder).load().groupBy("batch", KEY).agg(F.count("*").alias("records"))

@@ -127,9 +127,11 @@ def vip_at_risk(spark, sf_dir):
     return cohorts.at_risk_vips(lives(spark, sf_dir), 500_000.0).select("customer_id", "current_stage", F.round("total_value", 2).alias("total_value"))
 
 
-@query("lifecycle_actions", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {list(v[2])!r})" for k, v in cohorts.STAGES.items()) + ") t(stage, actions)")
+@query("lifecycle_actions", f"WITH {LIFE_SQL}, t(stage, actions) AS (VALUES " + ", ".join(f"('{k}', {list(v[2])!r})" for k, v in cohorts.STAGES.items()) + ") SELECT stage, any_value(actions) AS actions, count(*) AS customers FROM life JOIN t ON stage = current_stage GROUP BY 1")
 def lifecycle_actions(spark, sf_dir):
-    return cohorts.stage_actions(spark)
+    """What to do for the stages that customers are in, and for how many."""
+    per = lives(spark, sf_dir).groupBy(F.col("current_stage").alias("stage")).agg(F.count("*").alias("customers"))
+    return per.join(F.broadcast(cohorts.stage_actions(spark)), "stage").select("stage", "actions", "customers")  # a row per stage
 
 
 J_SQL = """j AS (SELECT user_id, floor(epoch(ts))::BIGINT AS t, event_id, CASE event_type WHEN 'signup' THEN 'prospect' WHEN 'purchase' THEN 'active' WHEN 'error' THEN 'at_risk' END AS own FROM events),

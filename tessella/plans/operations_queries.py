@@ -217,9 +217,16 @@ def mini_batches(spark, sf_dir):
 # Small models.
 
 
-@query("network_layers", "SELECT * FROM (VALUES (0, 'Input: 3'), (1, 'Layer 0: 3 → 4 [tanh]'), (2, 'Layer 1: 4 → 2 [tanh]'), (3, 'Layer 2: 2 → 1 [linear]')) t(place, layer)")
+@query(
+    "network_layers",
+    """WITH n AS (SELECT n_regionkey::BIGINT AS region, count(*) AS k FROM nation GROUP BY 1), l AS (SELECT region, k, unnest([0, 1, 2, 3]) AS place FROM n)
+    SELECT region, place::INT AS place, CASE place WHEN 0 THEN 'Input: ' || k WHEN 1 THEN 'Layer 0: ' || k || ' → 4 [tanh]' WHEN 2 THEN 'Layer 1: 4 → 2 [tanh]' ELSE 'Layer 2: 2 → 1 [linear]' END AS layer FROM l""",
+)
 def network_layers(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(learning.Network(3, 1, (4, 2), "tanh").info())), "place int, layer string")
+    """Of a network for each region, with an input for each of its nations."""
+    regions = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("bigint").alias("region")).count().collect()
+    rows = [(r.region, i, text) for r in regions for i, text in enumerate(learning.Network(r["count"], 1, (4, 2), "tanh").info())]
+    return spark.createDataFrame(rows, "region bigint, place int, layer string")
 
 
 @query("autoencoder_latent", "WITH x AS (SELECT s_suppkey AS seq, s_acctbal / 10000 AS a, s_nationkey / 25.0::DOUBLE AS b FROM supplier) SELECT seq, round(greatest(0.1::DOUBLE * a + 0.1::DOUBLE * b, 0), 8) AS latent FROM x")

@@ -85,14 +85,14 @@ _PATTERNS_SQL = "p(segment, i, r, f, m) AS (VALUES " + ", ".join(f"('{n}', {i},
 
 @query(
     "sql_export_texts",
-    f"""WITH {_PATTERNS_SQL}, d(dialect) AS (VALUES {", ".join(f"('{k}')" for k in segments.DIALECTS)}), g AS (SELECT segment, r, f, min(i) AS i, list(m ORDER BY i) AS ms FROM p GROUP BY 1, 2, 3),
+    f"""WITH {CUSTOMERS_SQL}, {_PATTERNS_SQL}, d(dialect) AS (VALUES {", ".join(f"('{k}')" for k in segments.DIALECTS)}), g AS (SELECT segment, r, f, min(i) AS i, list(m ORDER BY i) AS ms FROM p GROUP BY 1, 2, 3),
     joined AS (SELECT segment, string_agg('(recency_score = ' || r || ' AND frequency_score = ' || f || ' AND monetary_score ' || CASE WHEN len(ms) = 1 THEN '= ' || ms[1] ELSE 'IN (' || array_to_string(ms, ', ') || ')' END || ')', ' OR ' ORDER BY i) AS w FROM g GROUP BY 1),
     one AS (SELECT segment, e, string_agg('(recency_score' || e || r || ' AND frequency_score' || e || f || ' AND monetary_score' || e || m || ')', ' OR ' ORDER BY i) AS w FROM p, (VALUES ('='), (' = ')) s(e) GROUP BY 1, 2)
     SELECT segment, dialect, 'SELECT customer_id' || CASE WHEN dialect = 'bigquery' THEN ' AS customer_id' ELSE '' END || ', ' || chr(39) || segment || chr(39) || ' AS segment' || chr(10) || 'FROM customers' || chr(10) || 'WHERE '
       || CASE WHEN dialect IN ('redshift', 'postgresql', 'sqlserver') THEN joined.w ELSE one.w END || ';' AS sql
-    FROM d, joined JOIN one USING (segment) WHERE one.e = CASE WHEN dialect = 'oracle' THEN '=' ELSE ' = ' END""",
+    FROM d, joined JOIN one USING (segment) WHERE segment IN (SELECT segment FROM customers) AND one.e = CASE WHEN dialect = 'oracle' THEN '=' ELSE ' = ' END""",
 )
 def sql_export_texts(spark, sf_dir):
-    """Every segment's text in every dialect."""
+    """The text in every dialect of every segment that customers are in."""
     rows = [(n, d, segments.export_sql(n, d, "customers")) for n in segments.PATTERNS for d in segments.DIALECTS]
-    return spark.createDataFrame(rows, "segment string, dialect string, sql string")
+    return customers(spark, sf_dir).select("segment").distinct().join(F.broadcast(spark.createDataFrame(rows, "segment string, dialect string, sql string")), "segment")  # a text per segment and dialect

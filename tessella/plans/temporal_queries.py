@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.operators import baskets, patterns, temporal
@@ -132,16 +133,24 @@ def churn_forecast(spark, sf_dir):
     return temporal.churn_forecast(h, ["k"], 6).drop("projected_churn_rates").withColumns({"current_churn_rate": F.round("current_churn_rate", 8), "confidence": F.round("confidence", 6)})
 
 
-MATRIX = [("prospect", "onboarding", 0.5), ("prospect", "churn", 0.5), ("onboarding", "growth", 0.75), ("onboarding", "churn", 0.25), ("growth", "mature", 0.5), ("growth", "growth", 0.25), ("growth", "declining", 0.25), ("mature", "mature", 0.5), ("mature", "declining", 0.5), ("declining", "churn", 0.75), ("declining", "growth", 0.25), ("churn", "churn", 1.0)]
+#: The stage that a kind of event stands for.
+STAGE_OF = {"signup": "prospect", "view": "onboarding", "click": "growth", "purchase": "mature", "error": "declining"}
 _ST = "(VALUES ('prospect', 0), ('onboarding', 1), ('growth', 2), ('mature', 3), ('declining', 4), ('churn', 5)) s(stage, place)"
-MK_SQL = "mx(f, t, q) AS (VALUES " + ", ".join(f"('{a}', '{b}', {p}::DOUBLE)" for a, b, p in MATRIX) + f"), p0 AS (SELECT stage, place, CASE WHEN stage = 'growth' THEN 1.0 ELSE 0.0 END::DOUBLE AS p FROM {_ST})"
+MK_SQL = (
+    "st AS (SELECT user_id, ts, event_id, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STAGE_OF.items()) + " END AS stage FROM events), nx AS (SELECT stage AS f, lead(stage) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM st),"
+    f" mx AS (SELECT f, t, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY f) AS q FROM nx WHERE f IS NOT NULL AND t IS NOT NULL GROUP BY 1, 2), p0 AS (SELECT stage, place, CASE WHEN stage = 'growth' THEN 1.0 ELSE 0.0 END::DOUBLE AS p FROM {_ST})"
+)
 for _i in range(1, 4):
     MK_SQL += f", p{_i} AS (SELECT s.stage, s.place, coalesce((SELECT sum(a.p * m.q) FROM p{_i - 1} a JOIN mx m ON m.f = a.stage WHERE m.t = s.stage), 0) AS p FROM {_ST})"
 
 
 @query("lifecycle_forecast", f"WITH {MK_SQL}, e AS (SELECT stage FROM p3 ORDER BY p, place DESC LIMIT 1), a AS (SELECT 1 AS period, stage, p FROM p1 UNION ALL SELECT 2, stage, p FROM p2 UNION ALL SELECT 3, stage, p FROM p3) SELECT period::INT AS period, a.stage, round(p, 9) AS p, e.stage AS expected_next_stage FROM a, e")
 def lifecycle_forecast(spark, sf_dir):
-    matrix = spark.createDataFrame(MATRIX, "from_stage string, to_stage string, p double")
+    """The chances of one stage after another, as customers' events follow each other."""
+    stage = F.element_at(F.create_map(*[F.lit(x) for k in STAGE_OF.items() for x in k]), F.col("event_type"))
+    after = F.lead("from_stage").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    pairs = table(spark, sf_dir, "events").withColumn("from_stage", stage).withColumn("to_stage", after).where("from_stage IS NOT NULL AND to_stage IS NOT NULL").groupBy("from_stage", "to_stage").agg(F.count("*").alias("n"))
+    matrix = pairs.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("from_stage")))
     return temporal.stage_forecast(matrix, "growth", 3).withColumn("p", F.round("p", 9))
 
 
