@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import checks
-from tessella.operators import accounts, activation, clustering, drift, learning, lookalike, patterns, privacy, profiling, rfm, segments
+from tessella.operators import accounts, activation, clustering, drift, learning, ledger, lookalike, patterns, privacy, profiling, rfm, segments
 from tessella.plans.accounts_queries import R_SQL as RECORDS_SQL
 from tessella.plans.accounts_queries import _xy, records
 from tessella.plans.clustering_queries import P_SQL, S_SQL, model, points
@@ -17,7 +17,7 @@ from tessella.plans.registry import query
 from tessella.plans.rfm_queries import base, scores_sql
 from tessella.plans.rules_queries import E_SQL, NOW, SEG_SQL, SEGMENTER, events
 from tessella.plans.value_queries import C_SQL, customers
-from tessella.sources.scratch import fresh
+from tessella.sources.scratch import fresh, written
 from tessella.sources.tables import table
 from tessella.streaming import state as stream
 
@@ -79,6 +79,39 @@ def privacy_budget(spark, sf_dir):
     return n.join(F.broadcast(asked), "region").select("region", "granted", F.when(F.col("granted"), F.col("n")).alias("customers"), F.round("percentage", 6).alias("percentage"), "exhausted")  # five rows
 
 
+@query(
+    "privacy_ledger",
+    """WITH n AS (SELECT n_nationkey::BIGINT AS nation, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY nation) AS i FROM n),
+    s AS (SELECT i, least(i * 0.1::DOUBLE, (SELECT min(o.i * least(0.1::DOUBLE, a * 0.005::DOUBLE) + ln(1e6::DOUBLE) / (a - 1)) FROM range(2, 65) t(a))) AS e FROM o), g AS (SELECT max(i) AS last FROM s WHERE e <= 1.5 + 1e-9)
+    SELECT nation, i <= last AS granted, CASE WHEN i <= last THEN n END AS customers, round((SELECT e FROM s WHERE s.i = least(o.i, last)), 9) AS spent FROM o, g""",
+)
+def privacy_ledger(spark, sf_dir):
+    """Each nation's count of customers costs 0.1 of 1.5; two askers take turns at one ledger."""
+    folder = fresh(spark, "ledger")
+    askers = [ledger.Ledger(spark, folder, 1.5) for _ in range(2)]
+    steps = []
+    for r in table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("nation")).orderBy("nation").collect():  # a dimension table
+        granted = askers[r.nation % 2].reserve(ledger.pure(f"customers of {r.nation}", 0.1))
+        steps.append((r.nation, granted, askers[1].spent))
+    asked = spark.createDataFrame(steps, "nation bigint, granted boolean, spent double")
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_nationkey").cast("bigint").alias("nation")).agg(F.count("c_custkey").alias("n"))
+    return n.join(F.broadcast(asked), "nation").select("nation", "granted", F.when(F.col("granted"), F.col("n")).alias("customers"), F.round("spent", 9).alias("spent"))  # a row per nation
+
+
+@query(
+    "k_anonymity_cuts",
+    """WITH g AS (SELECT c_nationkey, round(c_acctbal) AS b, count(*) AS n FROM customer GROUP BY 1, 2)
+    SELECT (SELECT count(*) FROM customer) AS rows, (SELECT sum(c_custkey) FROM customer)::BIGINT AS key_sum, true AS every_group_has_k, (SELECT sum(n) FILTER (n < 10)::DOUBLE / sum(n) FROM g) > 0.25 AS loss_is_less""",
+)
+def k_anonymity_cuts(spark, sf_dir):
+    """Groups of ten customers or more by nation and balance; the loss against that of suppressing what the rounded values leave in small groups."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    cut = written(privacy.median_cuts(rows, ["c_nationkey", "c_acctbal"], 10), "cut")
+    lost = rows.groupBy("c_nationkey", F.round("c_acctbal")).agg(F.count("*").alias("n")).agg((F.sum(F.when(F.col("n") < 10, F.col("n"))) / F.sum("n")).alias("suppressed"))
+    whole = cut.agg(F.count("*").alias("rows"), F.sum("c_custkey").alias("key_sum"))
+    return whole.crossJoin(privacy.cut_loss(cut, ["c_nationkey", "c_acctbal"])).crossJoin(lost).select("rows", "key_sum", (F.col("least_rows") >= 10).alias("every_group_has_k"), ((F.col("loss") < F.col("suppressed")) & (F.col("loss") < 0.25)).alias("loss_is_less"))  # one row each
+
+
 # Streams in batches.
 
 
