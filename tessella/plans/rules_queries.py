@@ -10,7 +10,7 @@ from tessella.plans.registry import query
 from tessella.plans.value_queries import C_SQL, customers
 from tessella.sources.scratch import fresh
 from tessella.sources.tables import event_stream, table
-from tessella.streaming import drifting, keyed
+from tessella.streaming import drifting, keyed, minibatch
 from tessella.streaming import state as stream
 
 SEGMENTER = Segmenter(
@@ -180,3 +180,28 @@ def stream_recluster(spark, sf_dir):
     except AnalysisException:  # no batch drifted enough
         labels = spark.createDataFrame([], "batch int, relabelled bigint")
     return log.join(F.broadcast(labels), "batch", "left").select("batch", "feature", F.round("drift_score", 6).alias("drift_score"), "severity", "fired", "baseline", "customers", F.coalesce("relabelled", F.lit(0)).alias("relabelled"))  # a row per batch
+
+
+def _assigned(part: int, centres: str) -> str:
+    return f"SELECT v, h, arg_min(k, (v - x) * (v - x) + (h - y) * (h - y)) AS k FROM pt, {centres} WHERE part = {part} GROUP BY event_id, v, h"
+
+
+_MODEL_SQL = f"pt AS (SELECT event_id, value AS v, (floor(epoch(ts))::BIGINT % 86400) / 3600.0::DOUBLE AS h, {_PART_SQL} AS part FROM events), c0(k, x, y) AS (VALUES (0, 5.0::DOUBLE, 6.0::DOUBLE), (1, 20.0::DOUBLE, 18.0::DOUBLE), (2, 60.0::DOUBLE, 12.0::DOUBLE))"
+for _i in range(PARTS):
+    _seen = " UNION ALL ".join(f"SELECT * FROM a{j}" for j in range(1, _i + 2))
+    _MODEL_SQL += f", a{_i + 1} AS ({_assigned(_i, f'c{_i}')}), c{_i + 1} AS (SELECT c.k, coalesce(avg(v), any_value(c.x)) AS x, coalesce(avg(h), any_value(c.y)) AS y, count(v) AS n FROM c{_i} c LEFT JOIN ({_seen}) b ON b.k = c.k GROUP BY 1)"
+
+
+@query("stream_mini_batches", f"WITH {_MODEL_SQL} " + " UNION ALL ".join(f"SELECT {i} AS batch, k::INT AS cluster, n, round(x, 6) AS x, round(y, 6) AS y FROM c{i + 1}" for i in range(PARTS)))
+def stream_mini_batches(spark, sf_dir):
+    """The versions of a model of value and hour that a stream in three batches leaves, the second of which runs twice."""
+    sink = minibatch.VersionedMiniBatch(spark, fresh(spark, "model"), 3, [[5.0, 6.0], [20.0, 18.0], [60.0, 12.0]])
+    points = lambda rows, _: rows.select(F.array(F.col("value"), F.unix_timestamp("ts") % 86_400 / 3_600.0).alias("features"))
+
+    def twice(batch, number):
+        for _ in range(1 + (number == 1)):
+            sink(batch, number)
+
+    arriving(spark, sf_dir, twice, points)
+    centre = lambda i: F.round(F.col("centre")[i], 6)
+    return sink.versions().select("batch", "cluster", "n", centre(0).alias("x"), centre(1).alias("y"))
