@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.columns import bands, ratio
 from tessella.functions.gamma import upper_gamma
+from tessella.functions.names import known
 from tessella.functions.ranges import cumulative, quarters, same_keys
 
 SEVERITIES = ("none", "low", "medium", "high", "critical")
@@ -119,7 +120,7 @@ def chi_square_numbers(samples: DataFrame, by: list[str], bins: int = 11) -> Dat
     return found.select(*by, "statistic", (F.col("_k") - 1).cast("int").alias("freedom"), p.alias("p_value"), F.sqrt(F.col("statistic") / F.col("_all")).alias("drift_score"))
 
 
-METHODS = ("ks", "hellinger", "kl", "chi_square")
+METHODS = ("ks", "hellinger", "kl", "chi_square")  # and their other spellings
 
 
 def feature_drift(samples: DataFrame, by: list[str], method: str, stand_ins: bool = False) -> DataFrame:
@@ -128,8 +129,7 @@ def feature_drift(samples: DataFrame, by: list[str], method: str, stand_ins: boo
     As in the original, with ``stand_ins`` the divergence is Hellinger's distance and
     chi-square is Kolmogorov-Smirnov's; without it they are what they are called.
     """
-    if method not in METHODS:
-        raise ValueError(f"unknown method {method}")
+    method = known("drift method", method)
     if stand_ins:
         method = {"kl": "hellinger", "chi_square": "ks"}.get(method, method)
     found = {"ks": kolmogorov_smirnov, "hellinger": hellinger, "kl": kullback_leibler, "chi_square": chi_square_numbers}[method](samples, by)

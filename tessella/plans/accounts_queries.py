@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessella.functions import checks
 from tessella.operators import accounts, activation, clustering, graph, learning
 from tessella.plans.registry import query
 from tessella.plans.rfm_queries import AS_OF
@@ -416,3 +417,18 @@ def record_sink(spark, sf_dir):
     for part in (made.where("batch % 2 = 0"), made):
         part.write.format(NAME).option("path", folder).mode("append").save()
     return spark.read.format(NAME).option("path", folder).load().groupBy("batch", KEY).agg(F.count("*").alias("records"))
+
+
+@query("feature_provenance", "SELECT p_brand AS feature, count(DISTINCT l_suppkey) AS sources, count(*) FILTER (l_returnflag = 'R') AS transformations, CASE WHEN count(*) FILTER (l_returnflag = 'R') > 0 OR count(DISTINCT l_suppkey) = 0 THEN 0.9 ELSE 0.98 END::DOUBLE AS reliability FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
+def feature_provenance(spark, sf_dir):
+    """How far a brand's figures can be relied on: its suppliers are the sources, its returned lines the changes."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag", F.col("l_partkey").alias("p_partkey"))
+    per = lines.join(table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("feature")), "p_partkey").groupBy("feature").agg(F.count_distinct("l_suppkey").alias("sources"), F.count_if(F.col("l_returnflag") == "R").alias("transformations"))
+    return per.withColumn("reliability", accounts.provenance(F.col("sources"), F.col("transformations")))
+
+
+@query("checked_balances", "SELECT c_custkey, round(c_acctbal, 2) AS balance FROM customer WHERE c_acctbal BETWEEN -10000 AND 100000")
+def checked_balances(spark, sf_dir):
+    """Balances under a check of their bounds, with settings that are checked first; a value outside would end the query."""
+    checks.settings(clusters=5, recency_window=90)
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(checks.within(F.col("c_acctbal"), -10_000.0, 100_000.0, "the balance"), 2).alias("balance"))

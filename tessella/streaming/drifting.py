@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import whole_days
+from tessella.functions.names import known
 from tessella.operators import drift
 from tessella.operators.clustering import fit_kmeans
 
@@ -107,7 +108,7 @@ class Watch:
 
     def __init__(self, spark: SparkSession, folder: str, as_of: str, k: int = 5, least_customers: int = 10, least_severity: str = "high", seed: int = 42):
         self.spark, self.folder, self.as_of = spark, folder, as_of
-        self.k, self.least, self.severity, self.seed = k, least_customers, least_severity, seed
+        self.k, self.least, self.severity, self.seed = k, least_customers, known("drift severity", least_severity), seed
 
     def _write(self, rows: DataFrame, kind: str, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.folder}/{kind}/batch={number}")

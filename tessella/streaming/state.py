@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import epoch, ratio, whole_days
+from tessella.functions.names import known
 
 WINDOWS = {"minute": "1 minute", "hour": "1 hour", "day": "1 day", "week": "7 days"}
 
@@ -50,7 +51,7 @@ def distribution(segments: DataFrame) -> DataFrame:
 def window_stats(events: DataFrame, kind: str, late: str | None = None) -> DataFrame:
     """Sum, count, mean, ends of the values in each tumbling window; ``late`` is the watermark of a stream."""
     rows = events.withWatermark("ts", late) if late else events
-    out = rows.groupBy(F.window("ts", WINDOWS[kind]).alias("_w")).agg(F.sum("value").alias("total"), F.count("*").alias("count"), F.avg("value").alias("average"), F.max("value").alias("max"), F.min("value").alias("min"))
+    out = rows.groupBy(F.window("ts", WINDOWS[known("window", kind)]).alias("_w")).agg(F.sum("value").alias("total"), F.count("*").alias("count"), F.avg("value").alias("average"), F.max("value").alias("max"), F.min("value").alias("min"))
     return out.select(F.col("_w.start").alias("window_start"), "total", "count", "average", "max", "min")
 
 
@@ -119,7 +120,7 @@ class Recluster:
     """
 
     def __init__(self, states: Callable[[], DataFrame], k: int = 5, least_customers: int = 10, severity: str = "high"):
-        self.states, self.k, self.least, self.severity = states, k, least_customers, severity
+        self.states, self.k, self.least, self.severity = states, k, least_customers, known("drift severity", severity)
         self.baseline: DataFrame | None = None
         self.history: list[dict] = []
 

@@ -62,3 +62,11 @@ def test_slopes_are_those_of_the_functions():
     x = np.array([-2.0, -0.3, 0.4, 1.7])
     for name, f in learning.ACTIVATIONS.items():
         assert np.allclose(learning.SLOPES[name](x), (f(x + 1e-6) - f(x - 1e-6)) / 2e-6, atol=1e-6), name
+
+
+def test_names_in_other_spellings():
+    from tessella.functions.names import known
+
+    assert [known(*x) for x in (("event type", "Page_View"), ("drift method", "CHI2"), ("lifecycle stage", "AtRisk"), ("window", "Hour"), ("logical operator", "or"))] == ["pageview", "chi_square", "at_risk", "hour", "OR"]
+    with pytest.raises(ValueError, match="there are minute, hour"):
+        known("window", "year")
