@@ -343,7 +343,7 @@ def record_plan(spark, sf_dir):
     return activation.write_plan(activation.segment_records(per), "audienceSegments")
 
 
-@query("hierarchy_summary", "SELECT min(s_suppkey) AS root_company, count(*) AS total_nodes, count(*) - 1 AS subsidiaries_count, 2 AS max_depth FROM supplier")
+@query("hierarchy_summary", "SELECT min(s_suppkey) AS root_company, count(*) AS total_nodes, count(*) - 1 AS subsidiaries_count, CASE WHEN max(s_suppkey) > 10 THEN 2 ELSE 1 END AS max_depth FROM supplier")
 def hierarchy_summary(spark, sf_dir):
     k = F.col("s_suppkey")
     return accounts.hierarchy_summary(table(spark, sf_dir, "supplier").select(k.alias("seq"), k.alias("company_id"), F.when(k > 10, k % 10).alias("parent_id")))
