@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.checks import finite
 from tessella.functions.columns import dot
+from tessella.functions.draws import uniform
 from tessella.operators.graph import connected_components
 from tessella.sources.scratch import written
 
@@ -23,6 +24,10 @@ from tessella.sources.scratch import written
 PAIRED_NUMBERS, PAIRED_A_TASK = 8_000, 200
 #: Pairs of points of two boxes that are compared one by one, and how often larger boxes are halved before.
 COMPARED, MOST_HALVED = 10_000, 30
+#: Axes up to which distances are spelled out as one generated sum.
+SPELLED = 16
+#: Axes up to which cells meet by neighbouring blocks; with more, by a tree of boxes whose leaves hold about LEAF cells and that is read LEVELS at a time.
+BLOCK_AXES, LEAF, LEVELS = 3, 64, 3
 
 
 def _width(points: DataFrame) -> int:
@@ -76,14 +81,14 @@ class Model:
 def spread_centres(points: DataFrame, k: int, seed: int) -> list[list[float]]:
     """k-means++ seeding: each further centre with a chance that grows with the squared distance from those there are.
 
-    A weighted draw is the largest of ln(u)/w over the rows, u a hash of the
+    A weighted draw is the largest of ln(u)/w over the rows, u drawn by the
     row's id, so it is one aggregation.
     """
     width = _width(points)
     cells = _cells(width)
     centres: list[list[float]] = []
     for i in range(k):
-        u = (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(i)), F.lit(1 << 52)) + 1) / float(1 << 52)
+        u = uniform(F.col("id"), seed, i)
         weight = nearest(cells, centres)[1] if centres else F.lit(1.0)
         found = points.agg(F.max_by("features", F.when(weight > 0, F.ln(u) / weight)).alias("c")).first().c
         if found is None:  # all points lie on centres
@@ -189,7 +194,7 @@ def assign_prototypes(points: DataFrame, centres: list[list[float]], modes: list
 
 def fit_prototypes(points: DataFrame, k: int, seed: int = 42, max_iter: int = 300) -> tuple[list[list[float]], list[list[int]], float]:
     """k-prototypes of (id, features, categories): means, modes (the largest of equals) and the weight."""
-    points = written(points, "points")
+    points = written(points.withColumn("features", finite(F.col("features"))), "points")
     width, n_kinds = _width(points), points.select(F.size("categories").alias("n")).first().n
     gamma = prototype_gamma(points)
     centres = spread_centres(points, k, seed)
@@ -255,7 +260,14 @@ def _sum_squares(gaps: list[Column]) -> Column:
     return sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])
 
 
+def _folded(gaps: Column) -> Column:
+    """Root of the sum of squares of an array, for vectors too wide to spell out."""
+    return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda total, gap: total + gap * gap))
+
+
 def _apart(a: str, b: str, width: int) -> Column:
+    if width > SPELLED:
+        return _folded(F.zip_with(a, b, lambda x, y: x - y))
     return F.sqrt(_sum_squares([F.col(a)[i] - F.col(b)[i] for i in range(width)]))
 
 
@@ -266,10 +278,15 @@ def _boxes(points: DataFrame, by: list[str], width: int) -> DataFrame:
 
 
 def _nearest_gap(width: int) -> Column:
+    if width > SPELLED:
+        above, below = F.zip_with("lo2", "hi", lambda x, y: x - y), F.zip_with("lo", "hi2", lambda x, y: x - y)
+        return _folded(F.zip_with(above, below, lambda x, y: F.greatest(x, y, F.lit(0.0))))
     return F.sqrt(_sum_squares([F.greatest(F.col("lo2")[i] - F.col("hi")[i], F.col("lo")[i] - F.col("hi2")[i], F.lit(0.0)) for i in range(width)]))
 
 
 def _farthest_gap(width: int) -> Column:
+    if width > SPELLED:
+        return _folded(F.zip_with(F.zip_with("hi2", "lo", lambda x, y: x - y), F.zip_with("hi", "lo2", lambda x, y: x - y), lambda x, y: F.greatest(x, y)))
     return F.sqrt(_sum_squares([F.greatest(F.col("hi2")[i] - F.col("lo")[i], F.col("hi")[i] - F.col("lo2")[i]) for i in range(width)]))
 
 
@@ -278,19 +295,60 @@ def _renamed(boxes: DataFrame) -> DataFrame:
 
 
 def _touching(boxes: DataFrame, width: int, eps: float) -> DataFrame:
-    """Pairs of different cells with points that may be within eps; ``far`` says that all of them are.
+    """Pairs of different cells with points that may be within eps; ``far`` says that all of them are."""
+    met = (_by_blocks if width <= BLOCK_AXES else _by_tree)(boxes, width, eps).where(F.col("cell") != F.col("cell2"))
+    return met.where(_nearest_gap(width) <= eps).withColumn("far", _farthest_gap(width) <= eps)
 
-    Cells meet by blocks wider than eps, each with the neighbouring blocks; a
-    block holds a bounded number of cells.
-    """
+
+def _by_blocks(boxes: DataFrame, width: int, eps: float) -> DataFrame:
+    """Cells meet by blocks wider than eps, each with the 3^width neighbouring blocks; a block holds a bounded number of cells."""
     block = math.isqrt(width) + 1
     own = boxes.withColumn("_at", F.transform("cell", lambda v: F.floor(v / block).cast("bigint")))
     around = F.array(F.array().cast("array<bigint>"))
     for _ in range(width):
         around = F.flatten(F.transform(around, lambda p: F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.array_append(p, d.cast("bigint")))))
     spread = own.withColumn("_d", F.explode(around)).withColumn("_at", F.zip_with("_at", "_d", lambda x, y: x + y)).drop("_d")
-    met = own.join(_renamed(spread).withColumnRenamed("_at2", "_at"), "_at").where(F.col("cell") != F.col("cell2"))
-    return met.where(_nearest_gap(width) <= eps).withColumn("far", _farthest_gap(width) <= eps).drop("_at")
+    return own.join(_renamed(spread).withColumnRenamed("_at2", "_at"), "_at").drop("_at")
+
+
+def _by_tree(boxes: DataFrame, width: int, eps: float) -> DataFrame:
+    """Cells meet by a tree of boxes that is descended against itself.
+
+    A level of the tree halves by one axis, at quantiles, the widest axes
+    first; a node's box is what its cells fill. Only pairs of nodes whose
+    boxes are within eps are followed, so the pairs that are held are those
+    that touch, whatever the number of axes. Where the points fill many axes
+    evenly, all boxes touch, and then all cells meet, leaf by leaf.
+    """
+    levels = max(0, math.ceil(math.log2(max(boxes.count(), 1) / LEAF)))
+    if not levels:
+        marked = boxes.withColumn("_code", F.lit(0).cast("bigint"))
+    else:
+        most = -(-levels // width)
+        starts = boxes.select(*[F.col("lo")[i].alias(f"x{i}") for i in range(width)])
+        cuts = starts.approxQuantile(starts.columns, [j / (1 << most) for j in range((1 << most) + 1)], 0.002)
+        axes = sorted(range(width), key=lambda i: (cuts[i][0] - cuts[i][-1], i))
+        place = [F.lit(0)] * width
+        for i in range(width):
+            inner = cuts[i][1:-1]
+            place[i] = sum((F.when(F.col("lo")[i] >= c, 1).otherwise(0) for c in inner[1:]), F.when(F.col("lo")[i] >= inner[0], 1).otherwise(0))
+        code = F.lit(0).cast("bigint")
+        for t in range(levels):
+            bit = F.shiftright(place[axes[t % width]], most - 1 - t // width).bitwiseAND(F.lit(1))
+            code = code * 2 + bit
+        marked = written(boxes.withColumn("_code", code.cast("bigint")), "marked")
+    pairs = boxes.sparkSession.createDataFrame([(0, 0)], "a bigint, b bigint")
+    at = 0
+    while at < levels:
+        below = min(at + LEVELS, levels)
+        node = F.shiftright("_code", levels - below)
+        sides = [F.array(*[f(F.col(c)[i]) for i in range(width)]).alias(c) for c, f in (("lo", F.min), ("hi", F.max))]
+        nodes = written(marked.groupBy(node.alias("node")).agg(*sides).withColumn("_in", F.shiftright("node", below - at)), "nodes")
+        met = pairs.join(nodes.withColumnRenamed("_in", "a"), "a").join(_renamed(nodes).withColumnRenamed("_in2", "b"), "b")
+        pairs = written(met.where("node <= node2").where(_nearest_gap(width) <= eps).select(F.col("node").alias("a"), F.col("node2").alias("b")), "pairs")
+        at = below
+    both = pairs.unionByName(pairs.where("a < b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return both.join(marked.withColumnRenamed("_code", "a"), "a").join(_renamed(marked).withColumnRenamed("_code2", "b"), "b").drop("a", "b")
 
 
 @dataclass
@@ -315,7 +373,7 @@ def _density(points: DataFrame, eps: float, least: int) -> _Density:
         raise ValueError("eps must be positive")
     width = _width(points)
     side = eps / math.sqrt(width) * (1 - 1e-12)
-    rows = written(points.select("id", F.col("features").cast("array<double>").alias("features"), F.array(*[F.floor(c / side).cast("bigint") for c in _cells(width)]).alias("cell")), "points")
+    rows = written(points.select("id", finite(F.col("features")).alias("features"), F.array(*[F.floor(c / side).cast("bigint") for c in _cells(width)]).alias("cell")), "points")
     boxes = written(_boxes(rows, ["cell"], width), "cells")
     touching = written(_touching(boxes, width, eps), "touching")
     whole = touching.groupBy("cell").agg(F.sum(F.when(F.col("far"), F.col("n2")).otherwise(0)).alias("_whole"))
@@ -438,7 +496,7 @@ def soft_clusters(points: DataFrame, k: int, iterations: int = 100) -> tuple[Dat
     Returns the points with ``probabilities`` and ``cluster``, the last of
     equal memberships, and the centres. One aggregation per iteration.
     """
-    given, points = points, written(points.select("id", "features"), "points")
+    given, points = points, written(points.select("id", finite(F.col("features")).alias("features")), "points")
     width = _width(points)
     cells = _cells(width)
     centres = strided_centres(points, k)
@@ -577,8 +635,12 @@ def quality_score(silhouette_: Column, davies_bouldin_: Column, calinski_harabas
     return ((silhouette_ + 1.0) / 2.0 * 100.0 + (1.0 - F.least(davies_bouldin_ / 10.0, F.lit(1.0))) * 100.0 + F.least(calinski_harabasz_ / 100.0, F.lit(100.0))) / 3.0
 
 
-def quality_report(points: DataFrame, centres: list[list[float]]) -> DataFrame:
-    """One row on (id, features, cluster): the three measures, inertia about the given centres, clusters, overall score."""
+def quality_report(points: DataFrame, centres: list[list[float]], exact: bool = False) -> DataFrame:
+    """One row on (id, features, cluster): the three measures, inertia about the given centres, clusters, overall score.
+
+    The silhouette is that of squared distances, which needs only sums per
+    cluster, or with ``exact`` that of all pairs.
+    """
     rows = written(points.select("id", "features", "cluster"), "assigned")
     cells = _cells(_width(rows))
     own = None
@@ -586,7 +648,8 @@ def quality_report(points: DataFrame, centres: list[list[float]]) -> DataFrame:
         d = distance(cells, centre)
         own = F.when(F.col("cluster") == k, d) if own is None else own.when(F.col("cluster") == k, d)
     sums = rows.agg(F.sum(own).alias("inertia"), (F.max("cluster") + 1).cast("bigint").alias("n_clusters"))
-    one = silhouette(rows).crossJoin(davies_bouldin(rows)).crossJoin(calinski_harabasz(rows)).crossJoin(sums)  # one row each
+    score = silhouette(rows) if exact else rows.sparkSession.range(1).select(F.lit(fast_silhouette(rows)).alias("silhouette"))
+    one = score.crossJoin(davies_bouldin(rows)).crossJoin(calinski_harabasz(rows)).crossJoin(sums)  # one row each
     return one.withColumn("overall_score", quality_score(F.col("silhouette"), F.col("davies_bouldin"), F.col("calinski_harabasz")))
 
 
@@ -613,7 +676,7 @@ def estimate_k(points: DataFrame, low: int, high: int, methods: tuple[str, ...]
     if not 0 < low <= high:
         raise ValueError(f"k is to be from {low} to {high}")
     spark = points.sparkSession
-    points = written(points.select("id", "features"), "points")
+    points = written(points.select("id", finite(F.col("features")).alias("features")), "points")
     width = _width(points)
     cells = _cells(width)
     ends = points.agg(F.count("*").alias("n"), *[F.min(c).alias(f"a{i}") for i, c in enumerate(cells)], *[F.max(c).alias(f"b{i}") for i, c in enumerate(cells)]).first()

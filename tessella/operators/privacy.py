@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.draws import uniform
 from tessella.functions.ranges import cumulative
 from tessella.sources.scratch import written
 
@@ -39,16 +40,25 @@ class Budget:
         return (self.epsilon - self.remaining) / self.epsilon * 100.0
 
 
-def laplace(x: Column, epsilon: float, sensitivity: float, seed: int) -> Column:
-    """x with Laplace noise, 0 at least."""
-    b, u = sensitivity / epsilon, F.greatest(F.rand(seed), F.lit(1e-300))
+def laplace(x: Column, epsilon: float, sensitivity: float, seed: int, key: Column | None = None) -> Column:
+    """x with Laplace noise, 0 at least.
+
+    With ``key`` the noise depends on seed and key alone, so a task that runs
+    again or rows dealt differently release the same number; without, on the
+    place of the row. Noise hides nothing from those who know the seed, and two
+    releases under one seed and key differ by no noise: keep it secret and take
+    a new one for each release.
+    """
+    b, u = sensitivity / epsilon, F.greatest(F.rand(seed), F.lit(1e-300)) if key is None else uniform(key, seed)
     noise = F.when(u < 0.5, b * F.log(2.0 * u)).otherwise(-b * F.log(2.0 * (1.0 - u)))
     return F.greatest(x + noise, F.lit(0.0))
 
 
-def gaussian(x: Column, epsilon: float, delta: float, sensitivity: float, seed: int) -> Column:
+def gaussian(x: Column, epsilon: float, delta: float, sensitivity: float, seed: int, key: Column | None = None) -> Column:
+    """x with Gaussian noise, 0 at least; ``key`` as in ``laplace``."""
     sigma = sensitivity * math.sqrt(2.0 * math.log(1.25 / delta)) / epsilon
-    return F.greatest(x + F.randn(seed) * sigma, F.lit(0.0))
+    noise = F.randn(seed) if key is None else F.sqrt(-2.0 * F.ln(uniform(key, seed, 0))) * F.cos(2.0 * math.pi * uniform(key, seed, 1))
+    return F.greatest(x + noise * sigma, F.lit(0.0))
 
 
 def query_cost(sensitivity: float, accuracy: float) -> float:

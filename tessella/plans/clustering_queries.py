@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.operators import clustering
-from tessella.plans.registry import query
+from tessella.plans.registry import query, uniform_sql
 from tessella.sources.tables import table
 
 K, ROUNDS = 3, 4
@@ -102,22 +102,74 @@ def kprototypes_assign(spark, sf_dir):
     return clustering.assign_prototypes(rows, [[0.0], [5.0], [9.0]], [[3], [7], [11]], 2.0).select("id", "cluster")
 
 
-@query("kmeans_fit", None)
+# Seeds: the largest of ln(u)/w, w the squared distance from the seeds there are.
+SEED_SQL = f"{P_SQL}, seed0 AS MATERIALIZED (SELECT 0 AS k, x, y FROM p ORDER BY ln({uniform_sql('id', 42, 0)}) DESC LIMIT 1)"
+for _i in range(1, 5):
+    SEED_SQL += f", seed{_i} AS MATERIALIZED (SELECT {_i} AS k, x, y FROM (SELECT p.id, p.x, p.y, min((p.x - s.x)**2 + (p.y - s.y)**2) AS w FROM p, ({' UNION ALL '.join(f'FROM seed{_j}' for _j in range(_i))}) s GROUP BY 1, 2, 3) WHERE w > 0 ORDER BY ln({uniform_sql('id', 42, _i)}) / w DESC LIMIT 1)"
+
+# Rounds carry all centres as a list and end where it stays as it is.
+FIT_SQL = f"""{SEED_SQL}, r(step, cs, was) AS (SELECT 0, list({{'k': k, 'x': x, 'y': y}} ORDER BY k), NULL::STRUCT(k INT, x DOUBLE, y DOUBLE)[] FROM ({' UNION ALL '.join(f'FROM seed{_j}' for _j in range(5))})
+    UNION ALL SELECT step + 1, list({{'k': k, 'x': x, 'y': y}} ORDER BY k), any_value(cs) FROM (SELECT step, cs, k, avg(x) AS x, avg(y) AS y FROM (
+      SELECT step, cs, p.id, p.x, p.y, arg_min(c.k, {{'d': (p.x - c.x)**2 + (p.y - c.y)**2, 'k': c.k}}) AS k FROM (SELECT *, unnest(cs) AS c FROM r WHERE step < 300 AND cs IS DISTINCT FROM was), p GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3) GROUP BY step)"""
+
+
+@query("kmeans_fit", f"WITH RECURSIVE {FIT_SQL} SELECT id, arg_min(c.k, {{'d': (p.x - c.x)**2 + (p.y - c.y)**2, 'k': c.k}})::INT AS cluster FROM p, (SELECT unnest(cs) AS c FROM (FROM r ORDER BY step DESC LIMIT 1)) GROUP BY id")
 def kmeans_fit(spark, sf_dir):
     p = points(spark, sf_dir)
     return clustering.fit_kmeans(p, 5).transform(p).select("id", "cluster")
 
 
-@query("kprototypes_fit", None)
+_MIXED_SQL = "arg_min(c.k, {'d': (p.x - c.x)**2 + (p.y - c.y)**2 + (SELECT g FROM gamma) * (p.y::INT <> c.g)::INT, 'k': c.k})"
+# A mode is the most frequent category, the largest of equals; the first is that of the nearest point.
+MIXED_SQL = f"""{SEED_SQL}, gamma AS MATERIALIZED (SELECT greatest(sqrt((var_pop(x) + var_pop(y)) / 2), 1e-9) AS g FROM p), near AS (SELECT p.id, p.y::INT AS g, arg_min(s.k, {{'d': (p.x - s.x)**2 + (p.y - s.y)**2, 'k': s.k}}) AS k, min((p.x - s.x)**2 + (p.y - s.y)**2) AS d FROM p, (FROM seed0 UNION ALL FROM seed1 UNION ALL FROM seed2) s GROUP BY 1, 2),
+    first AS (SELECT s.k, s.x, s.y, arg_min(n.g, n.d) AS g FROM (FROM seed0 UNION ALL FROM seed1 UNION ALL FROM seed2) s JOIN near n USING (k) GROUP BY 1, 2, 3),
+    r(step, cs, was) AS (SELECT 0, list({{'k': k, 'x': x, 'y': y, 'g': g}} ORDER BY k), NULL::STRUCT(k INT, x DOUBLE, y DOUBLE, g INT)[] FROM first
+    UNION ALL SELECT step + 1, list({{'k': k, 'x': x, 'y': y, 'g': g}} ORDER BY k), any_value(cs) FROM (SELECT step, cs, k, sum(sx) / sum(n) AS x, sum(sy) / sum(n) AS y, arg_max(g, {{'n': n, 'g': g}}) AS g FROM (SELECT step, cs, k, g, count(*) AS n, sum(x) AS sx, sum(y) AS sy FROM (
+      SELECT step, cs, p.id, p.x, p.y, p.y::INT AS g, {_MIXED_SQL} AS k FROM (SELECT *, unnest(cs) AS c FROM r WHERE step < 10 AND cs IS DISTINCT FROM was), p GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) GROUP BY step)"""
+
+
+@query("kprototypes_fit", f"WITH RECURSIVE {MIXED_SQL} SELECT id, {_MIXED_SQL}::INT AS cluster FROM p, (SELECT unnest(cs) AS c FROM (FROM r ORDER BY step DESC LIMIT 1)) GROUP BY id")
 def kprototypes_fit(spark, sf_dir):
     p = points(spark, sf_dir).withColumn("categories", F.array(F.col("features")[1].cast("int")))
     centres, modes, gamma = clustering.fit_prototypes(p, 3, max_iter=10)
     return clustering.assign_prototypes(p, centres, modes, gamma).select("id", "cluster")
 
 
-@query("k_estimates", None)
+# One fit for each k, each ending by its inertia, which is taken about the new centres.
+K_SQL = f"{P_SQL}, i AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM p)"
+for _k in range(2, 5):
+    K_SQL += f""", r{_k}(step, cs, inertia, last) AS (SELECT 0, list({{'k': i // (n // {_k}), 'x': x, 'y': y}} ORDER BY i), 'inf'::DOUBLE, NULL::DOUBLE FROM i WHERE i % (n // {_k}) = 0 AND i // (n // {_k}) < {_k}
+    UNION ALL SELECT step + 1, list_sort(list(DISTINCT {{'k': k, 'x': mx, 'y': my}})), sum((x - mx)**2 + (y - my)**2), any_value(inertia) FROM (SELECT *, avg(x) OVER (PARTITION BY step, k) AS mx, avg(y) OVER (PARTITION BY step, k) AS my FROM (
+      SELECT step, inertia, p.id, p.x, p.y, arg_min(c.k, {{'d': (p.x - c.x)**2 + (p.y - c.y)**2, 'k': c.k}}) AS k FROM (SELECT *, unnest(cs) AS c FROM r{_k} WHERE step < 100 AND (step < 2 OR abs(last - inertia) >= 1e-6)), p GROUP BY 1, 2, 3, 4, 5)) GROUP BY step),
+    m{_k} AS MATERIALIZED (FROM r{_k} ORDER BY step DESC LIMIT 1), a{_k} AS MATERIALIZED (SELECT id, p.x, p.y, arg_min(c.k, {{'d': (p.x - c.x)**2 + (p.y - c.y)**2, 'k': c.k}}) AS k, min(sqrt((p.x - c.x)**2 + (p.y - c.y)**2)) AS d FROM p, (SELECT unnest(cs) AS c FROM m{_k}) GROUP BY 1, 2, 3),
+    q{_k} AS (SELECT a.id, a.k, b.k AS o, sum((a.x - b.x)**2 + (a.y - b.y)**2) / (count(*) - (a.k = b.k)::INT) AS d, count(*) AS n FROM a{_k} a, a{_k} b GROUP BY 1, 2, 3),
+    v{_k} AS (SELECT id, max(d) FILTER (k = o) AS ai, max(n) FILTER (k = o) AS n, min(d) FILTER (k <> o) AS bi FROM q{_k} GROUP BY id),
+    e{_k} AS (SELECT {_k} AS k, (SELECT inertia FROM m{_k}) AS inertia, (SELECT log2(((max(x) - min(x))**2 + (max(y) - min(y))**2) / 12 * count(*)) FROM p) - (SELECT log2(avg(d)) FROM a{_k}) AS gap, (SELECT avg(CASE WHEN n = 1 THEN 0 ELSE (bi - ai) / greatest(ai, bi) END) FROM v{_k}) AS sil)"""
+K_SQL += """, e AS (FROM e2 UNION ALL FROM e3 UNION ALL FROM e4), f AS (SELECT 'elbow' AS method, CASE WHEN abs(max(inertia) FILTER (k = 2) - 2 * max(inertia) FILTER (k = 3) + max(inertia) FILTER (k = 4)) > 0 THEN 3 ELSE 2 END AS k, 1 / (1 + 3**0.25) AS confidence FROM e
+    UNION ALL SELECT 'gap_statistic', arg_max(k, {'s': gap, 'k': k}), least(greatest(max(gap) / 10, 0), 1) FROM e UNION ALL SELECT 'silhouette', arg_max(k, {'s': sil, 'k': k}), max(sil) FROM e),
+    w AS (SELECT k, count(*) AS n FROM f GROUP BY k)"""
+
+
+@query("k_estimates", f"WITH RECURSIVE {K_SQL} SELECT method, k::INT AS k, round(confidence, 8) AS confidence FROM (FROM f UNION ALL SELECT 'combined', min(k), any_value(n) / 3::DOUBLE FROM w WHERE n = (SELECT max(n) FROM w))")
 def k_estimates(spark, sf_dir):
-    return clustering.estimate_k(points(spark, sf_dir), 2, 4)
+    return clustering.estimate_k(points(spark, sf_dir), 2, 4).withColumn("confidence", F.round("confidence", 8))
+
+
+_WIDE_SQL = "p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), nb AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON list_distance(a.v, b.v) <= EPS)"
+WIDE_EPS, WIDE_LEAST = 1.2, 6
+
+
+@query(
+    "dbscan_wide",
+    f"""WITH RECURSIVE {_WIDE_SQL.replace("EPS", str(WIDE_EPS))}, core AS MATERIALIZED (SELECT a AS id FROM nb GROUP BY 1 HAVING count(*) >= {WIDE_LEAST}),
+    ce AS MATERIALIZED (SELECT nb.a, nb.b FROM nb JOIN core c ON c.id = nb.a JOIN core d ON d.id = nb.b), r(id, root) AS (SELECT id, id FROM core UNION SELECT ce.b, r.root FROM r JOIN ce ON ce.a = r.id), m AS MATERIALIZED (SELECT id, min(root) AS root FROM r GROUP BY 1),
+    k AS (SELECT root, row_number() OVER (ORDER BY root) AS cluster FROM (SELECT DISTINCT root FROM m)), cl AS MATERIALIZED (SELECT m.id, cluster::INT AS cluster FROM m JOIN k USING (root)), bo AS (SELECT nb.a AS id, min(cluster) AS cluster FROM nb JOIN cl ON cl.id = nb.b GROUP BY 1)
+    SELECT p.id, coalesce(cl.cluster, bo.cluster) AS cluster FROM p LEFT JOIN cl ON cl.id = p.id LEFT JOIN bo ON bo.id = p.id""",
+)
+def dbscan_wide(spark, sf_dir):
+    """Density clusters of the embeddings, whose many axes cells meet on by a tree of boxes."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
+    return clustering.dbscan(rows, WIDE_EPS, WIDE_LEAST)
 
 
 # Unrolled rounds: memberships in the last centres, then weighted means.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.operators import lookalike, neighbours, privacy
-from tessella.plans.registry import query
+from tessella.plans.registry import query, uniform_sql
 from tessella.sources.tables import table
 
 E_SQL = """v AS (SELECT vec_id AS customer_id, label, embedding::DOUBLE[] AS e FROM embeddings),
@@ -73,14 +73,14 @@ def information_loss(spark, sf_dir):
     return privacy.information_loss(table(spark, sf_dir, "customer").select("c_acctbal"), "c_acctbal", 10).withColumn("information_loss", F.round("information_loss", 9))
 
 
-@query("noise_laplace", None)
+@query("noise_laplace", f"WITH u AS (SELECT c_custkey, c_acctbal, {uniform_sql('c_custkey', 7)} AS u FROM customer) SELECT c_custkey, round(greatest(c_acctbal + CASE WHEN u < 0.5 THEN 10 * ln(2 * u) ELSE -10 * ln(2 * (1 - u)) END, 0), 6) AS noisy FROM u")
 def noise_laplace(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", privacy.laplace(F.col("c_acctbal"), 1.0, 10.0, 7).alias("noisy"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(privacy.laplace(F.col("c_acctbal"), 1.0, 10.0, 7, F.col("c_custkey")), 6).alias("noisy"))
 
 
-@query("noise_gaussian", None)
+@query("noise_gaussian", f"SELECT c_custkey, round(greatest(c_acctbal + 10 * sqrt(2 * ln(1.25::DOUBLE / 1e-5)) * sqrt(-2 * ln({uniform_sql('c_custkey', 7, 0)})) * cos(2 * pi() * {uniform_sql('c_custkey', 7, 1)}), 0), 6) AS noisy FROM customer")
 def noise_gaussian(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", privacy.gaussian(F.col("c_acctbal"), 1.0, 1e-5, 10.0, 7).alias("noisy"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(privacy.gaussian(F.col("c_acctbal"), 1.0, 1e-5, 10.0, 7, F.col("c_custkey")), 6).alias("noisy"))
 
 
 @query(

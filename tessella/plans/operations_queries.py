@@ -225,7 +225,7 @@ def segment_summaries(spark, sf_dir):
 )
 def quality_report(spark, sf_dir):
     fitted = model(spark, sf_dir)
-    out = clustering.quality_report(fitted.transform(points(spark, sf_dir)), fitted.centres)
+    out = clustering.quality_report(fitted.transform(points(spark, sf_dir)), fitted.centres, exact=True)
     return out.select(*[F.round(c, 6).alias(c) for c in ("silhouette", "davies_bouldin")], *[F.round(c, 4).alias(c) for c in ("calinski_harabasz", "inertia")], "n_clusters", F.round("overall_score", 5).alias("overall_score"))
 
 

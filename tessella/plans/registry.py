@@ -26,6 +26,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def uniform_sql(key: str, *salt: int) -> str:
+    """DuckDB's text for ``functions.draws.uniform`` of an integer key."""
+    return f"(('0x' || left(md5('{''.join(f'{s}:' for s in salt)}' || {key}), 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE"
+
+
 def _load() -> None:
     from tessella.plans import catalog
 

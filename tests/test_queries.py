@@ -9,7 +9,7 @@ import __spark_entry__
 from tests.conftest import SMALL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ("rfm_segment8", "segment13_profiles", "churn_predictions", "clv_simple", "cohort_retention_points", "lifecycle_transitions", "drift_ks", "profile_statistics", "lookalike_cosine", "k_anonymity_check_5", "price_elasticity", "revenue_concentration", "size_forecast", "history_replay", "rules_classify_all", "stream_hourly_stats", "kmeans_assign", "dbscan_clusters", "tam", "stable_ids", "stream_batches", "mini_batches", "rules_sql_export", "activation_payloads", "stream_keyed_updates", "stream_recluster", "drift_kl", "drift_chi_square_numbers", "similar_all", "account_forest", "history_months", "basket_affinity", "record_sink", "privacy_ledger", "stream_mini_batches", "feature_provenance")
+SOME = ("rfm_segment8", "segment13_profiles", "churn_predictions", "clv_simple", "cohort_retention_points", "lifecycle_transitions", "drift_ks", "profile_statistics", "lookalike_cosine", "k_anonymity_check_5", "price_elasticity", "revenue_concentration", "size_forecast", "history_replay", "rules_classify_all", "stream_hourly_stats", "kmeans_assign", "dbscan_clusters", "tam", "stable_ids", "stream_batches", "mini_batches", "rules_sql_export", "activation_payloads", "stream_keyed_updates", "stream_recluster", "drift_kl", "drift_chi_square_numbers", "similar_all", "account_forest", "history_months", "basket_affinity", "record_sink", "privacy_ledger", "stream_mini_batches", "feature_provenance", "noise_laplace", "noise_gaussian", "kmeans_fit", "kprototypes_fit", "k_estimates", "stream_updates")
 
 
 @pytest.fixture(scope="module")
