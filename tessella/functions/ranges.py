@@ -37,6 +37,23 @@ def cumulative(rows: DataFrame, by: list[str], order: list[Column], sums: dict[s
     return local.join(per, same).select(*rows.columns, *[(F.col(f"_in_{out}") + F.col(f"_before_{out}")).alias(out) for out in sums])
 
 
+def preceding(rows: DataFrame, by: list[str], order: str, values: dict[str, str]) -> DataFrame:
+    """Adds, for each ``out: column`` of ``values``, the column's value on the row before, in the order, per key; null on the first.
+
+    Dealt as in ``cumulative``: a range's first row of a key takes the last of
+    the ranges before it, of which there is one row per range and key.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(rows.repartitionByRange(n, *by, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("_range", *by).orderBy(order)
+    local = dealt.withColumn("_in", F.lag(F.struct(*values.values())).over(inside))
+    per = dealt.groupBy("_range", *by).agg(F.max_by(F.struct(*values.values()), order).alias("_last"))
+    per = per.select(*[F.col(c).alias(f"_of_{c}") for c in ("_range", *by)], F.lag("_last").over(Window.partitionBy(*by).orderBy("_range")).alias("_before"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by], F.col("_range") == F.col("_of__range"))
+    found = local.join(per, same).withColumn("_in", F.coalesce("_in", "_before"))
+    return found.select(*rows.columns, *[F.col("_in")[c].alias(out) for out, c in values.items()])
+
+
 def quarters(values: DataFrame, by: list[str]) -> DataFrame:
     """Per key of rows with ``x``: n, median, p25, p75. Null values don't count.
 

@@ -168,18 +168,26 @@ class Autoencoder:
 
 
 def recurrent_states(rows: DataFrame, key: str, hidden: int) -> DataFrame:
-    """Hidden states of tanh(Wx + Uh) with all weights 0.1, over each key's (seq, x) in order."""
+    """Hidden states of tanh(Wx + Uh) with all weights 0.1, over each key's (seq, x) in order.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("seq")
-        h, out = np.zeros(hidden), []
-        for x in frame["x"]:
-            h = np.tanh(np.full(hidden, 0.1 * np.sum(x)) + 0.1 * h.sum())
-            out.append(h)
-        return frame[[key, "seq"]].assign(h=out)
+    Each state needs the one before it, so one task walks a key's rows; they
+    come sorted in batches, and only the last state is held between them.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, h = None, None
+        for frame in frames:
+            out = []
+            for k, x in zip(frame["_key"], frame["x"], strict=True):
+                if k != last:
+                    last, h = k, np.zeros(hidden)
+                h = np.tanh(np.full(hidden, 0.1 * np.sum(x)) + 0.1 * h.sum())
+                out.append(h)
+            yield frame[[key, "seq"]].assign(h=out)
 
     schema = rows.select(key, "seq").withColumn("h", F.lit(None).cast("array<double>")).schema
-    return rows.select(key, "seq", "x").groupBy(key).applyInPandas(run, schema)
+    told = F.to_json(F.struct(F.col(key)))  # told apart in Python, null too
+    return rows.select(key, "seq", "x", told.alias("_key")).repartition("_key").sortWithinPartitions("_key", "seq").mapInPandas(run, schema)
 
 
 # Feature engineering over columns.

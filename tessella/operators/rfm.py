@@ -15,7 +15,7 @@ from tessella.sources.scratch import written
 
 SCORE_TOP = {"quintile": 5, "decile": 10, "percentile": 100}
 #: Customers up to which one task orders them all, as dealing them out costs more than it saves.
-ONE_TASK = 1_000_000
+ONE_TASK = 100_000
 
 
 def base(tx: DataFrame, as_of: str) -> DataFrame:

@@ -94,3 +94,36 @@ def test_training_in_stretches_equals_training_at_once(spark, monkeypatch):
     assert all(np.allclose(a.weights, b.weights, rtol=1e-12) and np.allclose(a.biases, b.biases, rtol=1e-12) for a, b in zip(net.layers, plain.layers, strict=True))
     with pytest.raises(ValueError):
         net.train(rows.where("seq < 0"))
+
+
+def test_density_clusters_over_many_axes(spark, monkeypatch):
+    """By a tree of boxes with small leaves as by comparing all pairs; repeated points, equal coordinates and odd scales too."""
+    monkeypatch.setattr(clustering, "LEAF", 4)
+    monkeypatch.setattr(clustering, "LEVELS", 2)
+    chance = random.Random(11)
+    width, eps, least = 7, 1.1, 4
+    points = [[chance.gauss(4 * (i % 3), 0.35) if j < 5 else (float(i % 2) if j == 5 else 100.0) for j in range(width)] for i in range(120)]
+    points += [list(points[0])] * 5 + [[chance.uniform(-20, 20) for _ in range(width)] for _ in range(20)]
+    rows = list(enumerate(points))
+    want = plain_dbscan(rows, eps, least)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert {1, 2, None} <= set(want.values())
+    for spelled in (16, 4):
+        monkeypatch.setattr(clustering, "SPELLED", spelled)
+        assert {r.id: r.cluster for r in clustering.dbscan(frame, eps, least).collect()} == want
+
+
+def test_points_that_are_no_numbers_are_refused(spark):
+    for bad in ([1.0, float("nan")], [None, 1.0]):
+        rows = spark.createDataFrame([(1, [0.0, 0.0]), (2, bad)], "id int, features array<double>")
+        for run in (lambda r: clustering.dbscan(r, 1.0, 1), lambda r: clustering.estimate_k(r, 1, 2), lambda r: clustering.soft_clusters(r, 1, 1)):
+            with pytest.raises(Exception, match="finite numbers"):
+                run(rows)
+
+
+def test_report_by_sums_or_by_all_pairs(spark):
+    rows = spark.createDataFrame([(i, [float(i % 2) * 10 + i * 0.1, 0.0], i % 2) for i in range(12)], "id int, features array<double>, cluster int")
+    centres = [[0.5, 0.0], [10.6, 0.0]]
+    fast, exact = (clustering.quality_report(rows, centres, exact=e).first() for e in (False, True))
+    assert fast.silhouette > exact.silhouette == pytest.approx(clustering.silhouette(rows).first().silhouette)
+    assert (fast.inertia, fast.n_clusters, fast.davies_bouldin) == (exact.inertia, exact.n_clusters, exact.davies_bouldin)
