@@ -109,7 +109,10 @@ def judged(pages: DataFrame, listed: DataFrame, rules=RULES, column: str = "url"
     filter_ = written(bloom(keys), "bloom")
     blocks = max(1, -(-keys.count() * BITS_PER_URL // BLOCK_BITS))
     url = F.col(f"`{column}`")
-    out = pages.withColumn("_key", canonical(url)).withColumn("_block", _block(F.col("_key"), F.lit(blocks)))
+    # Rows without a key meet no block; they are dealt over negative numbers, as they may be many.
+    parts = [F.col(f"`{c}`") for c, kind in pages.dtypes if "map<" not in kind and "variant" not in kind]
+    nowhere = -1 - F.pmod(F.xxhash64(*parts), F.lit(1 << 20))
+    out = pages.withColumn("_key", canonical(url)).withColumn("_block", F.when(F.col("_key").isNotNull(), _block(F.col("_key"), F.lit(blocks))).otherwise(nowhere))
     for i, b in enumerate(_bits(F.col("_key"))):
         out = out.withColumn(f"_b{i}", b)
     of = filter_.select(F.col("block").alias("_of_block"), *[F.col(f"w{i}").alias(f"_w{i}") for i in range(WORDS)])

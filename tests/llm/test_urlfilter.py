@@ -51,3 +51,12 @@ def test_bloom_has_no_false_negative_and_the_join_no_false_positive(spark):
     assert all(r.possible for r in got if r.listed)
     assert sum(r.possible for r in got) < 3000 + 6000 * 0.1
     assert all((r.verdict == "block") == r.listed for r in got)
+
+
+def test_most_urls_without_a_key(spark):
+    """Null URLs and ones without a scheme, most of them repeated, beside a listed one and a column of maps."""
+    pages = spark.range(3000).selectExpr("id % 7 AS page_id", "CASE WHEN id = 5 THEN 'http://l.org/a' WHEN id % 2 = 0 THEN 'junk' END AS url", "map('a', id) AS m")
+    listed = urlfilter.listed_urls(spark.createDataFrame([("http://l.org/a",)], "url string"))
+    got = urlfilter.judged(pages, listed, rules=())
+    counts = {(r.verdict, r.listed, r.possible): r.n for r in got.groupBy("verdict", "listed", "possible").count().withColumnRenamed("count", "n").collect()}
+    assert counts == {("block", True, True): 1, ("allow", False, False): 2999}
