@@ -45,6 +45,7 @@ def growth_forecast(series: DataFrame, by: list[str], periods: int) -> DataFrame
 
 def intents(signals: DataFrame, by: str) -> DataFrame:
     """Intent of each key from (signal, strength): whether signs of leaving or of growing weigh more."""
+    # Names of signals and intents.
     of = lambda *names: F.sum(F.when(F.col("signal").isin(*names), F.col("strength")).otherwise(0.0))
     leave, grow = of("engagement_declining", "low_recency"), of("engagement_increasing", "high_frequency") + 0.5 * of("high_ltv")
     return signals.groupBy(by).agg(F.when(leave > grow, "high_churn_risk").when(grow > leave, "growth_opportunity").otherwise("stable_engagement").alias("intent_type"), F.avg("strength").alias("confidence"))
@@ -52,6 +53,7 @@ def intents(signals: DataFrame, by: str) -> DataFrame:
 
 def personas(traits: DataFrame, by: str) -> DataFrame:
     """Name and impact of each key's persona from (trait, score); a trait counts for the first family it fits."""
+    # Names of personas and the text about them.
     t = F.col("trait")
     family = F.when(t.rlike("churn|risk"), "churn").when(t.rlike("growth|opportunity"), "growth").when(t.rlike("value|ltv|premium"), "value")
     of = lambda k: F.sum(F.when(F.col("_f") == k, F.col("score")).otherwise(0.0))

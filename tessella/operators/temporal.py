@@ -174,6 +174,7 @@ def churn_forecast(history: DataFrame, by: list[str], months: int) -> DataFrame:
     return out.select(*by, "current_churn_rate", "projected_churn_rates", "at_risk_members", trunc(F.col("at_risk_members") * 0.3).alias("intervention_opportunities"), (F.col("at_risk_members") * F.col("_value")).alias("estimated_revenue_at_risk"), (0.65 + F.least(F.col("_n") * 0.05, F.lit(0.25))).alias("confidence"))
 
 
+# Names of the stages in order.
 STAGES = ("prospect", "onboarding", "growth", "mature", "declining", "churn")
 
 

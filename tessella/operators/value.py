@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions.columns import bands, clamp, ratio
 from tessella.functions.ranges import cumulative
 
+# Bounds and names of the risks.
 RISK_BANDS = [("<", 0.1, "very_low"), ("<", 0.25, "low"), ("<", 0.5, "medium"), ("<", 0.75, "high")]
 
 
@@ -40,6 +41,7 @@ def days_until_churn(p: Column, recency: Column) -> Column:
 
 def importances(recency: Column, frequency: Column, monetary: Column) -> Column:
     """Weight of each feature, larger where the feature is out of line."""
+    # Bounds and weights.
     return F.struct(
         F.when(recency > 60, 0.45).otherwise(0.35).alias("recency"),
         F.when(frequency < 2, 0.35).otherwise(0.25).alias("frequency"),
@@ -50,6 +52,7 @@ def importances(recency: Column, frequency: Column, monetary: Column) -> Column:
 
 def retention_action(p: Column, monetary: Column, engagement: Column) -> Column:
     """What to do about a customer at risk, with the chance that it helps."""
+    # Kinds of action and texts of offers.
     kind = F.when(engagement < 0.3, "email_campaign").when(monetary < 100, "discount").otherwise("vip_support")
     level = risk_level(p)
     offer = F.when(level == "critical", "20% discount + priority support").when(level == "high", "15% discount").when(level == "medium", "10% discount")
