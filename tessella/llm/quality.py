@@ -14,6 +14,8 @@ sketches are pre-aggregated before any shuffle, so a hot group is no hot task.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,7 @@ FEATURES = {
     "repeats": ("ln(1 + 100 * n_repeat_words / n_words)", 1.0),
 }
 NAMES = tuple(FEATURES)
+LEAST = {name: least for name, (_, least) in FEATURES.items()}
 #: Columns that the operator makes.
 MADE = frozenset({"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept", "d2", "volume", *NAMES, *[f"{k}{i}" for k in "mz" for i in range(4)], *[f"{k}{i}{j}" for k in "cl" for i in range(4) for j in range(4)]})
 PAIRS = [(i, j) for i in range(len(NAMES)) for j in range(i + 1)]
@@ -85,16 +88,15 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
-def _factor(groups: DataFrame) -> DataFrame:
-    """Cholesky factor of each group's covariance, no deviation being less than its least."""
+def _factor(groups: DataFrame, least: Mapping[str, float]) -> DataFrame:
+    """Cholesky factor of each group's covariance, no deviation being less than its ``least``."""
     out = groups
     for i, name in enumerate(NAMES):
         for j in range(i + 1):
             left = F.coalesce(F.col(f"c{i}{j}"), F.lit(0.0))
             for k in range(j):
                 left = left - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            least = FEATURES[name][1] ** 2
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(left, F.lit(0.0)) + least) if i == j else left / F.col(f"l{j}{j}"))
+            out = out.withColumn(f"l{i}{j}", F.greatest(F.sqrt(F.greatest(left, F.lit(0.0))), F.lit(float(least[name]))) if i == j else left / F.col(f"l{j}{j}"))
     volume = sum((F.log(f"l{i}{i}") for i in range(len(NAMES))), F.lit(0.0))
     return out.withColumn("volume", volume).drop(*[f"c{i}{j}" for i, j in PAIRS])
 
@@ -130,7 +132,7 @@ def _joinable(groups: DataFrame) -> DataFrame:
     return F.broadcast(groups) if groups.count() <= MOST_BROADCAST else groups
 
 
-def estimates(rows: DataFrame, lang: str = "lang", source: str = "source", steps: int = STEPS) -> DataFrame:
+def estimates(rows: DataFrame, lang: str = "lang", source: str = "source", steps: int = STEPS, least: Mapping[str, float] = LEAST) -> DataFrame:
     """Robust centre and factor of every group of ``rows`` (FEATURES and the two keys) with documents enough."""
     spread = rows.select(*NAMES, F.explode(_group_keys(lang, source)).alias("_")).select(*NAMES, *[F.col(f"_.{c}").alias(c) for c in KEY])
     first = spread.groupBy(*KEY).agg(F.count("*").alias("n"), *[F.percentile_approx(c, [0.25, 0.5, 0.75], 2_000).alias(f"q{i}") for i, c in enumerate(NAMES)], *_moments())
@@ -142,7 +144,7 @@ def estimates(rows: DataFrame, lang: str = "lang", source: str = "source", steps
         *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(len(NAMES))],
         *[(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2.0) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS],
     )
-    groups = written(_factor(plain.unionByName(middle)), "quality")
+    groups = written(_factor(plain.unionByName(middle), least), "quality")
     by = [*KEY, "start"]
     for step in range(steps + 1):
         far = _distance(spread.join(_joinable(groups), list(KEY)).select(*by, *NAMES, *[f"m{i}" for i in range(len(NAMES))], *[f"l{i}{j}" for i, j in PAIRS]))
@@ -152,14 +154,17 @@ def estimates(rows: DataFrame, lang: str = "lang", source: str = "source", steps
             edge = written(far.groupBy(*by).agg((F.percentile_approx("d2", SHARE, 2_000) / CHI_SHARE * CHI_REWEIGHT).alias("edge")), "quality")
             edge = edge.withColumn("edge", F.greatest("edge", F.lit(CHI_REWEIGHT)))
         near = far.join(_joinable(edge), by).where(F.col("d2") <= F.col("edge"))
-        groups = written(_factor(near.groupBy(*by).agg(*_moments())), "quality")
+        groups = written(_factor(near.groupBy(*by).agg(*_moments()), least), "quality")
     best = groups.groupBy(*KEY).agg(F.min_by(F.struct(*[f"m{i}" for i in range(len(NAMES))], *[f"l{i}{j}" for i, j in PAIRS]), F.struct("volume", "start")).alias("_"))
     return best.select(*KEY, "_.*")
 
 
-def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:
+def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF, least: Mapping[str, float] = LEAST) -> DataFrame:
     """``docs`` without the text, with the five counts, base_failed, distance and kept.
 
+    ``least``: for each statistic, the least deviation that a group is taken to
+    have; set it from documents known to be good, as at FEATURES.
+
     A document that fails a plain rule is not kept and has no distance. Rows
     with a null language or source form groups of their own. Repeated rows all
     count and all stay. An empty table gives none.
@@ -167,7 +172,7 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     features = [F.expr(sql).alias(name) for name, (sql, _) in FEATURES.items()]
     stats = written(counts(docs, text).withColumn("base_failed", base_failed()), "quality")
     sound = stats.where(~F.col("base_failed"))
-    groups = estimates(sound.select(lang, source, *features), lang, source)
+    groups = estimates(sound.select(lang, source, *features), lang, source, least=least)
     known = written(groups, "quality")
     keyed = sound.select("*", *features).withColumn("_keys", _group_keys(lang, source))
     few = known.count() <= MOST_BROADCAST

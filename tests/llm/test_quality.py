@@ -65,12 +65,20 @@ def test_estimates_ignore_outliers(spark):
     factor = np.zeros((4, 4))
     for i, j in quality.PAIRS:
         factor[i, j] = fit[2][f"l{i}{j}"]
-    least = np.diag([quality.FEATURES[n][1] ** 2 for n in quality.NAMES])
-    assert np.abs(factor @ factor.T - least - np.diag([0.25] * 4)).max() < 0.1
+    least = np.diag([max(0.25, quality.LEAST[n] ** 2) for n in quality.NAMES])
+    assert np.abs(factor @ factor.T - least).max() < 0.1
     far = [float(((np.linalg.solve(factor, x - centre)) ** 2).sum()) for x in (good[0], bad[0])]
     assert far[0] < quality.CUTOFF < far[1]
 
 
+def test_least_deviations_are_the_callers(spark):
+    rng = np.random.default_rng(7)
+    rows = [(*map(float, x), "en", "s") for x in rng.normal(1.0, 0.5, (200, 4))]
+    table = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in quality.NAMES) + ", lang string, source string")
+    fit = {r.level: r for r in quality.estimates(table, least=dict.fromkeys(quality.NAMES, 3.0)).collect()}
+    assert all(fit[2][f"l{i}{i}"] == 3.0 for i in range(4))
+
+
 def test_moderate_outliers_of_each_statistic_alone_are_rejected(spark):
     chance = random.Random(6)
 
