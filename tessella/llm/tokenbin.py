@@ -33,6 +33,10 @@ END = 0
 LENGTH = 2_048
 #: Sequences of a record batch.
 BATCH = 512
+#: Documents after which a batch of the index is written.
+INDEX_BATCH = 65_536
+#: Bytes of text that go into a shard.
+SHARD_BYTES = 1 << 30
 #: Bytes of pieces and their ids that a worker remembers.
 MEMORY_BYTES = 24 << 20
 #: Bytes of text that are encoded at once.
@@ -206,11 +210,16 @@ class ShardWriter:
         self.rest: list[np.ndarray] = []
         self.pending = 0
         self.docs: list[tuple[pa.Array, np.ndarray]] = []
+        self.listed, self.before = 0, 0
+        self.index = self.index_sink = None
         self.done = 0
 
     def add(self, ids: np.ndarray, sizes: np.ndarray, docs: pa.Array) -> None:
         """``ids`` of several documents in a row, ``sizes`` of each."""
         self.docs.append((docs, sizes))
+        self.listed += len(sizes)
+        if self.listed >= INDEX_BATCH:
+            self._list()
         self.rest.append(ids)
         self.pending += len(ids)
         if self.pending >= self.length * BATCH:
@@ -232,15 +241,25 @@ class ShardWriter:
         self.rest, self.pending = ([], 0) if last else ([ids[self.done :].copy()], len(ids) - self.done)
         self.done = 0
 
+    def _list(self) -> None:
+        """Writes the index of the documents added since the last call."""
+        sizes = np.concatenate([n for _, n in self.docs]) if self.docs else np.zeros(0, np.int64)
+        names = pa.concat_arrays([d for d, _ in self.docs]) if self.docs else pa.array([], pa.int64())
+        part = pa.table({"doc_id": names, "start": pa.array(np.cumsum(sizes) - sizes + self.before), "n_tokens": pa.array(sizes)})
+        if self.index is None:
+            self.index_sink = self.fs.open_output_stream(f"{self.temporary}.index")
+            self.index = pa.ipc.new_file(self.index_sink, part.schema)
+        self.index.write_table(part)
+        self.before += int(sizes.sum())
+        self.docs, self.listed = [], 0
+
     def close(self) -> None:
         self._flush(True)
         self.out.close()
         self.sink.close()
-        sizes = np.concatenate([n for _, n in self.docs]) if self.docs else np.zeros(0, np.int64)
-        names = pa.concat_arrays([d for d, _ in self.docs]) if self.docs else pa.array([], pa.int64())
-        index = pa.table({"doc_id": names, "start": pa.array(np.cumsum(sizes) - sizes), "n_tokens": pa.array(sizes)})
-        with self.fs.open_output_stream(f"{self.temporary}.index") as f, pa.ipc.new_file(f, index.schema) as out:
-            out.write_table(index, 65_536)
+        self._list()
+        self.index.close()
+        self.index_sink.close()
         self.fs.move(f"{self.temporary}.index", f"{self.final}.index")
         self.fs.move(f"{self.temporary}.arrow", f"{self.final}.arrow")
 
@@ -283,11 +302,13 @@ def write(docs: DataFrame, folder: str, path: str, text: str = "text", length: i
 
     A null text is an empty one. Rows without doc_id come first; repeated rows
     are all written, equal ids in the order of a hash of their texts. An empty
-    table writes no shard. The write happens when the result is first used.
+    table writes no shard. A shard holds about SHARD_BYTES of text at most, but
+    for single longer ones. The write happens when the result is first used.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     narrow = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    size = narrow.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     dealt = narrow.repartitionByRange(parts, "doc_id", F.xxhash64("_text")).sortWithinPartitions("doc_id", F.xxhash64("_text")).withColumn("_shard", F.spark_partition_id())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

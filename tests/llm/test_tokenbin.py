@@ -81,3 +81,28 @@ def test_sequences_have_equal_length_and_masks(tmp_path):
     ids, mask = reader.sequence(last)
     assert mask.sum() == len(stream) - last * 16
     assert reader.index.read_all().to_pydict() == {"doc_id": [4, 9], "start": [0, 1000], "n_tokens": [1000, len(stream) - 1000]}
+
+
+def test_shards_are_cut_by_bytes_and_the_index_by_documents(spark, plain, monkeypatch):
+    monkeypatch.setattr(tokenbin, "SHARD_BYTES", 500)
+    rows = [(i, f"text {i} of " + "some words " * (i % 9)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = tokenbin.encoded(docs).orderBy("doc_id").collect()
+    assert [tuple(r)[:4] for r in got] == list(want(rows, plain))
+    assert len({r.shard for r in got}) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_index_is_written_in_batches(tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenbin, "INDEX_BATCH", 10)
+    out = tokenbin.ShardWriter(tmp_path.as_uri(), 0, np.dtype(np.uint16), 8)
+    for k in range(7):
+        sizes = np.arange(k, k + 4)
+        out.add(np.full(sizes.sum(), k, np.uint16), sizes, pa.array(range(4 * k, 4 * k + 4)))
+    assert out.listed == 4
+    out.close()
+    reader = tokenbin.ShardReader(tmp_path.as_uri(), 0)
+    index = reader.index.read_all()
+    sizes = np.concatenate([np.arange(k, k + 4) for k in range(7)])
+    assert index["doc_id"].to_pylist() == list(range(28))
+    assert index["start"].to_pylist() == (np.cumsum(sizes) - sizes).tolist() and index["n_tokens"].to_pylist() == sizes.tolist()
+    assert reader.index.num_record_batches == 3
