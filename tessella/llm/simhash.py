@@ -280,14 +280,16 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     narrow = held.select(F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text"), "_id", "_hash")
     rows = written(fingerprints(narrow, keep=("doc_id", "_id", "_hash")), "fingerprints")
     # The first row of each fingerprint is all that the components need.
-    own = written(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "_id", "_hash")).alias("first")), "distinct")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "_id", "_hash")).alias("first")
+    own = written(rows.groupBy("fp").agg(first, F.count("*").alias("members")), "distinct")
     roots = components(own.select("fp"), radius)
     of = own.join(roots, "fp", "left").withColumn("_component", F.coalesce("root", "fp"))
-    first = of.groupBy("_component").agg(F.min("first").alias("first"))
-    winners = first.select(F.col("first._id").alias("_win_id"), F.col("first._hash").alias("_win_hash")).distinct()
-    held = held.join(winners, (F.col("_id") == F.col("_win_id")) & (F.col("_hash") == F.col("_win_hash")))
-    one = Window.partitionBy("_id", "_hash").orderBy("_win_id")
-    return held.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select("_row.*")
+    first = of.groupBy("_component").agg(F.min(F.struct("first", "members")).alias("_"))
+    winners = first.groupBy(F.col("_.first._id").alias("_id"), F.col("_.first._hash").alias("_hash")).agg(F.max("_.members").alias("members"))
+    held = join_hot(held, written(winners, "winners"), ["_id", "_hash"], "members", rows.count())
+    # Partial aggregation leaves one row a task of those that agree in doc_id and text.
+    order = [f"_row.`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    return held.groupBy("_id", "_hash").agg(F.min_by("_row", F.xxhash64(*order)).alias("_row")).select("_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

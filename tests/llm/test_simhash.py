@@ -62,6 +62,14 @@ def test_keep_one_keeps_one_of_each_component_and_all_columns(spark):
     assert sorted((str(r.doc_id), r.text) for r in got) == [("1", "a b c d"), ("3", ""), ("None", "u v w x y")]
 
 
+def test_keep_one_of_many_equal_rows(spark):
+    many = [(None, "a b c d e", n % 3, {"k": n}) for n in range(4000)] + [(5, "other words stand in here", 0, None)] * 3
+    docs = spark.createDataFrame(many, "doc_id long, text string, n long, m map<string,long>").repartition(16)
+    got = sorted((str(r.doc_id), r.text) for r in simhash.keep_one(docs).collect())
+    assert got == [("5", "other words stand in here"), ("None", "a b c d e")]
+    assert {r.n for _ in range(2) for r in simhash.keep_one(docs.repartition(5)).where("doc_id IS NULL").collect()} == {r.n for r in simhash.keep_one(docs).where("doc_id IS NULL").collect()}
+
+
 def test_large_nodes_are_cut_without_losing_links(spark):
     rng = np.random.default_rng(1)
     near = np.full(300, rng.integers(0, 2**63), np.uint64)
