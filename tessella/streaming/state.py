@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import epoch, ratio, whole_days
 from tessella.functions.names import known
 from tessella.functions.ranges import cumulative, preceding
 
+#: Events of one customer that a task orders.
+ONE_TASK = 1_000_000
 WINDOWS = {"minute": "1 minute", "hour": "1 hour", "day": "1 day", "week": "7 days"}
 
 
@@ -91,14 +93,25 @@ def smoothed(current: Column, new: Column, alpha: float) -> Column:
 def updates(events: DataFrame, as_of: str) -> DataFrame:
     """For each event in order of seq: the customer's label before and after it.
 
-    No task orders all events of a customer; counts and sums run by ranges. A
-    null value adds nothing. A customer's seq are unique.
+    Where no customer has more than ONE_TASK events, one shuffle deals them by
+    customer. Otherwise no task orders all events of a customer; counts and
+    sums run by ranges. A null value adds nothing. A customer's seq are unique.
     """
     now = F.lit(as_of).cast("timestamp").cast("bigint")
     rows = events.select("customer_id", "seq", "ts", F.coalesce("value", F.lit(0.0)).alias("_value"), F.lit(1).alias("_one"))
-    rows = cumulative(rows, ["customer_id"], [F.col("seq").asc()], {"_n": "_one", "_total": "_value"})
+    most = events.groupBy("customer_id").count().agg(F.max("count")).first()[0] or 0
+    each = Window.partitionBy("customer_id").orderBy("seq")
+    if most <= ONE_TASK:
+        upto = each.rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumns({"_n": F.sum("_one").over(upto), "_total": F.sum("_value").over(upto)})
+    else:
+        rows = cumulative(rows, ["customer_id"], [F.col("seq").asc()], {"_n": "_one", "_total": "_value"})
     s = scores(whole_days(now - epoch(F.col("ts"))), F.col("_n"), F.col("_total"))
-    out = preceding(rows.select("customer_id", "seq", segment5(*s).alias("new_segment")), ["customer_id"], "seq", {"previous_segment": "new_segment"})
+    out = rows.select("customer_id", "seq", segment5(*s).alias("new_segment"))
+    if most <= ONE_TASK:
+        out = out.withColumn("previous_segment", F.lag("new_segment").over(each))
+    else:
+        out = preceding(out, ["customer_id"], "seq", {"previous_segment": "new_segment"})
     changed = F.coalesce(F.col("previous_segment") != F.col("new_segment"), F.lit(True))
     return out.select("customer_id", "seq", "previous_segment", "new_segment", changed.alias("changed"), F.lit(0.85).alias("confidence"))
 

@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions.draws import uniform
@@ -42,7 +43,9 @@ def test_row_before_across_ranges(spark):
     assert got == want
 
 
-def test_updates_of_one_customer_with_most_events(spark):
+@pytest.mark.parametrize("most", [0, state.ONE_TASK])
+def test_updates_of_one_customer_with_most_events(spark, monkeypatch, most):
+    monkeypatch.setattr(state, "ONE_TASK", most)
     """Labels before and after each event, step by step; a null value adds nothing."""
     rows = [(1, i, "2024-01-01 00:00:00", None if i % 7 == 0 else 900.0 * (i % 3)) for i in range(150)] + [(2, 5, "2024-01-05 00:00:00", 3.0)]
     frame = spark.createDataFrame(rows, "customer_id int, seq int, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp")).repartition(6)
