@@ -1,9 +1,14 @@
 """Main text of web pages by wrapper induction.
 
 Pages are parsed into trees of block elements. For every host a wrapper is
-induced: the trees of a bounded sample of its pages are aligned by simple tree
-matching (most matched nodes, order kept, runs of like siblings as one
-repeating node), nodes that match are merged and the others added. Then every
+induced from all its pages: their trees are aligned by simple tree matching
+(most matched nodes, order kept, runs of like siblings as one repeating node),
+nodes that match are merged and the others added. Trees that are equal count
+once; the different ones are merged some at a time, then what they gave, until
+each host has one. Where a wrapper grows beyond its bounds nothing is left
+out: siblings of one label and about one size, then of one label, then of one
+tag, become one node, in any order, from the deepest up, or what is below a
+node belongs to it. Then every
 page is aligned with its host's wrapper, and what each of the wrapper's slots
 holds is counted over all pages: text, links, and in how many pages a slot has
 the same text. From these counts the wrapper is read from the root down: as
@@ -12,7 +17,7 @@ where the content is, and what stands beside it is template, but for headings,
 paragraphs and what says the page's title. Within the content, lists of nothing but links are template as well, and so is,
 before its first and after its last text that varies and is no heading, what a slot has in nearly all pages; headings stay, as
 articles may share them. All other slots vary and are content. A page that is alone on its host, or whose text mostly stands
-where the wrapper has nothing, is read by a wrapper of its own.
+where the alignment finds no place for it, is read by a wrapper of its own.
 
 Elements that are what the result must not have by their kind (nav, aside,
 form, script, footer and so on, and containers whose class is one of a few
@@ -25,21 +30,24 @@ from __future__ import annotations
 import html as html_module
 import json
 import re
-from collections.abc import Iterable, Iterator
+import zlib
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import slices
+from tessella.llm.common import join_hot, slices
 from tessella.llm.urlfilter import host
-from tessella.sources.scratch import written
+from tessella.sources.scratch import forget, written
 from tessella.sources.tables import table
 
-#: Pages of a host that its wrapper's shape is induced from; by a hash of the page, so any input order gives the same.
-SAMPLE = 12
+#: Trees of a host that one step merges, about; dealt by a hash of the tree, so any input order gives the same.
+MERGED_AT_ONCE = 32
 #: A text is template if a slot has it in this share of the different pages that have the slot, and in so many of them.
 CONSTANT, LEAST_PAGES = 0.9, 3
 #: If such texts were a larger share of a host's content, its pages are copies of each other, not a template.
@@ -52,13 +60,22 @@ REPEATS = 1.2
 LINKED, IN_MOST = 0.8, 0.8
 #: How much more text in a marked main part counts.
 MAIN_COUNTS = 3
-#: A page has a wrapper of its own if more of its text than this stands where its host's wrapper has nothing.
+#: A page has a wrapper of its own if more of its text than this finds no place in its host's wrapper.
 UNKNOWN = 0.5
 #: Elements further down belong to their ancestor at this depth; siblings of more kinds than this are taken by coarser
 #: kinds; and trees have so many nodes at most, in page order. So alignment is bounded however a page is made.
 DEEPEST, WIDEST, MOST_NODES = 64, 64, 3_000
 #: Steps of alignment from which siblings are matched in order without trying all ways.
 MOST_STEPS = 1_000_000
+#: Labels longer than this are hashed.
+LONGEST_LABEL = 100
+#: How a wrapper's node has its kids: in order, or in any order some of each label, one for about each size, or one of each label, or
+#: of each tag, or none, all below being its own.
+ORDERED, BY_SIZE, BY_LABEL, BY_TAG, CLOSED = range(5)
+#: So many kids of a wrapper's node say that its pages have no one order.
+IN_NO_ORDER = 32
+#: Nodes of wrappers that a task remembers.
+REMEMBERED = 100_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -204,6 +221,8 @@ class Page:
         node, depth = up.node, up.depth
         if depth < DEEPEST and not gone:
             label = ".".join([name, *sorted({w for w in words if not any(c.isdigit() for c in w)})])
+            if len(label) > LONGEST_LABEL:
+                label = f"{name}.{xxhash.xxh64_hexdigest(label)}"
             node, depth = Node(name, label, main), depth + 1
             up.node.kids.append(node)
         self._push(Open(name, node, depth, gone, linked, up.inside or main))
@@ -274,6 +293,7 @@ class Runs:
     """
 
     __slots__ = ("inner", "kids", "label", "linked", "main", "mass", "nodes", "own", "slot", "tag", "titled", "total")
+    loose = ORDERED
 
     def __init__(self, nodes: list[Node], page: Page, left: list[int]):
         first = nodes[0]
@@ -298,6 +318,10 @@ class Runs:
             self.linked += kid.linked
         self.mass = self.inner * (MAIN_COUNTS if self.main else 1)
 
+    def folded(self, how: int) -> list[Runs]:
+        """The kids, each for itself also where a wrapper's node has one of each label or tag."""
+        return [] if how == CLOSED else self.kids
+
 
 def _take(node: Node, into: Node) -> None:
     below = [node]
@@ -334,35 +358,48 @@ def _grouped(nodes: list[Node]) -> list[list[Node]]:
 class Wrapper:
     """A node of a host's wrapper."""
 
-    __slots__ = ("kids", "label", "main", "slot", "tag")
+    __slots__ = ("folds", "kids", "label", "loose", "main", "slot", "tag")
 
-    def __init__(self, label: str, main: bool):
-        self.label, self.tag, self.main, self.slot = label, label.partition(".")[0], main, -1
+    def __init__(self, label: str, main: bool, loose: int = ORDERED):
+        self.label, self.tag, self.main, self.loose, self.slot = label, label.partition(".")[0], main, loose, -1
         self.kids: list[Wrapper] = []
+        self.folds: dict[int, list[Wrapper]] = {}
+
+    @classmethod
+    def of(cls, tree: Wrapper | Runs, label: str | None = None) -> Wrapper:
+        """A copy of the tree, its root with this label."""
+        out = cls(tree.label if label is None else label, tree.main, tree.loose)
+        out.kids = [cls.of(k) for k in tree.kids]
+        return out
+
+    def packed(self) -> bytes:
+        return zlib.compress(json.dumps(self._packed(), separators=(",", ":")).encode(), 1)
 
-    def packed(self) -> list:
-        return [self.label, int(self.main), [k.packed() for k in self.kids]]
+    def _packed(self) -> list:
+        return [self.label, int(self.main), self.loose, [k._packed() for k in self.kids]]
 
     @classmethod
-    def unpacked(cls, made: list) -> Wrapper:
-        root = cls._unpacked(made)
+    def unpacked(cls, made: bytes) -> Wrapper:
+        root = cls._unpacked(json.loads(zlib.decompress(made)))
         root.numbered()
         return root
 
     @classmethod
     def _unpacked(cls, made: list) -> Wrapper:
-        out = cls(made[0], bool(made[1]))
-        out.kids = [cls._unpacked(k) for k in made[2]]
+        out = cls(made[0], bool(made[1]), made[2])
+        out.kids = [cls._unpacked(k) for k in made[3]]
         return out
 
+    def levels(self) -> list[list[Wrapper]]:
+        """The nodes by depth."""
+        found = [[self]]
+        while found[-1]:
+            found.append([k for node in found[-1] for k in node.kids])
+        return found[:-1]
+
     def tags(self) -> dict[int, str]:
         """The tag of each slot."""
-        found, below = {}, [self]
-        while below:
-            node = below.pop()
-            found[node.slot] = node.tag
-            below += node.kids
-        return found
+        return {node.slot: node.tag for level in self.levels() for node in level}
 
     def numbered(self, at: int = 0) -> int:
         """Numbers the slots in order."""
@@ -371,30 +408,95 @@ class Wrapper:
             at = k.numbered(at)
         return at
 
+    def folded(self, how: int) -> list[Wrapper]:
+        """The kids as a node that is no less loose has its own: those that are then one are merged."""
+        if how == self.loose or how == CLOSED:
+            return self.kids if how == self.loose else []
+        if how not in self.folds:
+            self.folds[how] = self._folded(how)
+        return self.folds[how]
+
+    def _folded(self, how: int) -> list[Wrapper]:
+        by: dict[tuple, Wrapper] = {}
+        for k in self.kids:
+            one = Wrapper.of(k, k.tag if how == BY_TAG else k.label)
+            kind = one.label, _size(one).bit_length() if how == BY_SIZE else 0
+            if kind in by:
+                merge(by[kind], one)
+            else:
+                by[kind] = one
+        return list(by.values())
+
+    def loosen(self, how: int) -> None:
+        if self.loose < how:
+            self.kids, self.loose = self.folded(how), how
+            self.folds = {}
+
+    def bound(self) -> None:
+        """Makes nodes with too many kids looser, and of too large a tree the deepest first; no place of any page is lost."""
+        self._narrow()
+        levels = self.levels()
+        if sum(map(len, levels)) > MOST_NODES:
+            for how, depth in [(how, depth) for how in (BY_SIZE, BY_LABEL, BY_TAG, CLOSED) for depth in reversed(range(len(levels)))]:
+                if sum(map(len, levels)) <= MOST_NODES // 2:
+                    break
+                for node in levels[depth] if depth < len(levels) else []:
+                    if len(node.folded(how)) < len(node.kids):
+                        node.loosen(how)
+                    node.folds = {}
+                levels = self.levels()
+            self._narrow()
+
+    def _narrow(self) -> None:
+        below = [self]
+        while below:
+            node = below.pop()
+            if len(node.kids) > IN_NO_ORDER:
+                node.loosen(BY_SIZE)
+            if len(node.kids) > 2 * WIDEST and node.loose == BY_SIZE:
+                node.kids, node.folds = node._folded(BY_SIZE), {}  # some have grown to one size
+            for how in (BY_LABEL, BY_TAG):
+                if len(node.kids) > 2 * WIDEST:
+                    node.loosen(how)
+            below += node.kids
 
-def matching(a: Wrapper, b: Runs, memo: dict) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching: the most nodes that two trees can have matched, and which children match."""
+
+def _size(tree: Wrapper | Runs) -> int:
+    return 1 + sum(map(_size, tree.kids))
+
+
+def matching(a: Wrapper, b: Wrapper | Runs, memo: dict) -> tuple:
+    """Simple tree matching: the most nodes that two trees can have matched, and which children match, both folded as the looser has them."""
     at = id(a), id(b)
-    if at in memo:
-        return memo[at]
-    if a.label != b.label:
-        memo[at] = (0, [])
-        return memo[at]
-    m, n = len(a.kids), len(b.kids)
-    memo["steps"] = memo.get("steps", 0) + m * n
+    if at not in memo:
+        memo[at] = (*_matching(a, b, memo), a, b)  # with the nodes, so that none else gets their places in memory
+    return memo[at]
+
+
+def _matching(a: Wrapper, b: Wrapper | Runs, memo: dict) -> tuple[int, list[tuple[int, int]]]:
+    how = max(a.loose, b.loose)
+    ours, theirs = a.folded(how), b.folded(how)
+    m, n = len(ours), len(theirs)
+    memo["steps"] = memo.get("steps", 0) + (m * n if how <= BY_SIZE else n)
+    if how == BY_SIZE:
+        return _fitting(ours, theirs, memo)
+    if how != ORDERED:
+        places = {k.label: i for i, k in enumerate(ours)}
+        names = [k.tag if how == BY_TAG else k.label for k in theirs]
+        pairs = [(places[name], j) for j, name in enumerate(names) if name in places]
+        return 1 + sum(matching(ours[i], theirs[j], memo)[0] for i, j in pairs), pairs
     if memo["steps"] > MOST_STEPS:
         pairs, i = [], 0
         for j in range(n):
-            found = next((k for k in range(i, m) if a.kids[k].label == b.kids[j].label), None)
+            found = next((k for k in range(i, m) if ours[k].label == theirs[j].label), None)
             if found is not None:
                 pairs.append((found, j))
                 i = found + 1
-        memo[at] = (1 + len(pairs), pairs)
-        return memo[at]
+        return 1 + len(pairs), pairs
     score = [[0] * (n + 1) for _ in range(m + 1)]
     for i in range(m):
         for j in range(n):
-            gain = matching(a.kids[i], b.kids[j], memo)[0] if a.kids[i].label == b.kids[j].label else 0
+            gain = matching(ours[i], theirs[j], memo)[0] if ours[i].label == theirs[j].label else 0
             score[i + 1][j + 1] = max(score[i][j] + gain, score[i][j + 1], score[i + 1][j])
     pairs, i, j = [], m, n
     while i and j:
@@ -405,26 +507,55 @@ def matching(a: Wrapper, b: Runs, memo: dict) -> tuple[int, list[tuple[int, int]
         else:
             i, j = i - 1, j - 1
             pairs.append((i, j))
-    memo[at] = (1 + score[m][n], pairs[::-1])
-    return memo[at]
+    return 1 + score[m][n], pairs[::-1]
+
+
+def _fitting(ours: list[Wrapper], theirs: list, memo: dict) -> tuple[int, list[tuple[int, int]]]:
+    """Each of theirs goes to the smallest of ours that has all its nodes, or else most of them."""
+    by: dict[str, list[int]] = {}
+    for i in sorted(range(len(ours)), key=lambda i: _size(ours[i])):
+        by.setdefault(ours[i].label, []).append(i)
+    total, pairs = 1, []
+    for j, kid in enumerate(theirs):
+        most, best, whole = 0, -1, _size(kid)
+        for i in by.get(kid.label, ()):
+            score = matching(ours[i], kid, memo)[0]
+            if score > most:
+                most, best = score, i
+            if score == whole:
+                break
+        if best >= 0:
+            total += most
+            pairs.append((best, j))
+    return total, pairs
 
 
-def _merge(wrapper: Wrapper, runs: Runs, memo: dict, left: list[int]) -> None:
-    pairs = {j: i for i, j in matching(wrapper, runs, memo)[1]}
-    kids, before, old = list(wrapper.kids), 0, list(wrapper.kids)
-    for j, kid in enumerate(runs.kids):
-        if j in pairs:
-            own = old[pairs[j]]
-            before = kids.index(own) + 1
-        elif left[0] > 0 and len(kids) < 2 * WIDEST:
-            left[0] -= 1
-            own = Wrapper(kid.label, kid.main)
-            kids.insert(before, own)
-            before += 1
-        else:
-            continue
-        _merge(own, kid, memo, left)
-    wrapper.kids = kids
+def merge(wrapper: Wrapper, tree: Wrapper) -> None:
+    """Adds to the wrapper the nodes of the tree that match none of its own."""
+    memo: dict = {}
+    below = [(wrapper, tree)]
+    while below:
+        w, t = below.pop()
+        pairs = {j: i for i, j in matching(w, t, memo)[1]}
+        how = max(w.loose, t.loose)
+        old, w.loose = w.folded(how), how
+        kids, before = list(old), 0
+        for j, kid in enumerate(t.folded(how)):
+            if how == BY_SIZE:
+                if j not in pairs or matching(old[pairs[j]], kid, memo)[0] < _size(kid):
+                    own = next((k for k in kids if k.label == kid.label and _size(k).bit_length() == _size(kid).bit_length()), None)
+                    if own is None:
+                        kids.append(Wrapper.of(kid))
+                    else:
+                        merge(own, kid)
+            elif j in pairs:
+                own = old[pairs[j]]
+                before = kids.index(own) + 1
+                below.append((own, kid))
+            else:
+                kids.insert(before, Wrapper.of(kid))
+                before += 1
+        w.kids, w.folds = kids, {}
 
 
 def _key(text: str) -> int:
@@ -437,13 +568,15 @@ def _runs(page: Page) -> Runs:
     return Runs([page.root], page, [MOST_NODES])
 
 
-def induced(pages: list[str]) -> Wrapper:
-    """The wrapper of a host's sampled pages."""
-    wrapper, left = Wrapper("", False), [MOST_NODES]
-    for source in sorted(set(pages), key=lambda p: (_key(p), p))[:SAMPLE]:
-        _merge(wrapper, _runs(Page(source)), {}, left)
-    wrapper.numbered()
-    return wrapper
+def induced(made: Sequence[bytes]) -> bytes:
+    """The packed wrapper of packed trees or wrappers of a host's pages."""
+    if len(made) == 1:
+        return made[0]
+    wrapper = Wrapper.unpacked(made[0])
+    for packed in made[1:]:
+        merge(wrapper, Wrapper.unpacked(packed))
+        wrapper.bound()
+    return wrapper.packed()
 
 
 @dataclass
@@ -467,6 +600,9 @@ def _aligned(wrapper: Wrapper, runs: Runs) -> int:
     while below:
         w, r = below.pop()
         r.slot = w.slot
+        if w.loose == CLOSED:
+            r.own = r.total
+            continue
         pairs = {j: i for i, j in matching(w, r, memo)[1]}
         for j, kid in enumerate(r.kids):
             if j in pairs:
@@ -494,7 +630,8 @@ def _placed(runs: Runs) -> tuple[list[tuple[int, int]], list[tuple]]:
             s.linked += r.linked
             s.titled |= r.titled
         blocks += [(i, slot) for n in r.nodes for i in n.blocks]
-        below += [(k, slot, r.inner) for k in r.kids]
+        first = {k.slot: k for k in reversed(r.kids)}
+        below += [(k, slot, r.inner if first[k.slot] is k else 0) for k in r.kids]
     return sorted(blocks), [(k, s.count, s.mass, s.around, s.own, s.total, s.linked, int(s.titled)) for k, s in held.items()]
 
 
@@ -533,8 +670,8 @@ def content(wrapper: Wrapper, slots: dict[int, Slot]) -> set[int]:
 
 def read_alone(page: Page) -> list[str]:
     """The content blocks of a page by a wrapper of its own."""
-    runs, wrapper = _runs(page), Wrapper("", False)
-    _merge(wrapper, runs, {}, [MOST_NODES])
+    runs = _runs(page)
+    wrapper = Wrapper.of(runs)
     wrapper.numbered()
     _aligned(wrapper, runs)
     return _alone(page, runs, wrapper)
@@ -569,36 +706,60 @@ def read_page(source: str | None, wrapper: Wrapper | None) -> tuple[int, list[di
     return 0, [{"slot": OWN, "text": t, "h": 0} for t in read_alone(page)], []
 
 
-def _unpacked(made: str | None, cache: dict[str, Wrapper]) -> Wrapper | None:
-    """The wrapper from its text; a task remembers some."""
+def _unpacked(made: bytes | None, cache: dict[bytes, tuple[Wrapper, int]]) -> Wrapper | None:
+    """The wrapper from its packed form; a task remembers some."""
     if not made:
         return None
     if made not in cache:
-        if len(cache) > 500:
+        if sum(n for _, n in cache.values()) > REMEMBERED:
             cache.clear()
-        cache[made] = Wrapper.unpacked(json.loads(made))
-    return cache[made]
+        wrapper = Wrapper.unpacked(made)
+        cache[made] = wrapper, len(wrapper.tags())
+    return cache[made][0]
+
+
+def shapes(pages: DataFrame) -> DataFrame:
+    """_host, _made, _n: the different trees of each host's pages, packed, and how many pages have them."""
+    rows = pages.where("html IS NOT NULL").select(host(F.col("url")).alias("_host"), "html")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "html"):
+            found = Counter((at, Wrapper.of(_runs(Page(source))).packed()) for at, source in zip(batch.column("_host").to_pylist(), batch.column("html").to_pylist(), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([m for _, m in found], pa.binary()), pa.array(list(found.values()), pa.int64())], names=["_host", "_made", "_n"])
+
+    return rows.mapInArrow(run, "_host string, _made binary, _n bigint").groupBy("_host", "_made").agg(F.sum("_n").alias("_n"))
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """_host, _wrapper for the hosts with several pages, induced from about SAMPLE pages each.
+    """_host, _wrapper for the hosts with several pages, induced from all of them.
 
-    A host's pages are picked by a hash of their html below a share that the
-    host's count gives, so a host with a third of all pages sends no more of
-    them to one task than any other.
+    The different trees of a host are dealt into parts of about MERGED_AT_ONCE,
+    each part is merged into one wrapper, the trees of most pages first, and so
+    are the wrappers of MERGED_AT_ONCE parts, until each host has one. A task
+    holds one part at a time: some packed trees and a wrapper, all bounded, however
+    many pages a host has.
     """
-    of = pages.select(host(F.col("url")).alias("_host"), "html").where("html IS NOT NULL")
-    sizes = written(of.groupBy("_host").agg(F.count("*").alias("_n")).where("_n > 1"), "hosts")
-    share = F.pmod(F.xxhash64("html"), F.lit(1 << 30)) / float(1 << 30)
-    some = of.join(sizes, "_host").where(share * F.col("_n") < 2.0 * SAMPLE).groupBy("_host").agg(F.collect_set("html").alias("_pages"))
+    trees = written(shapes(pages), "shapes")
+    sizes = trees.groupBy("_host").agg(F.count("*").alias("_trees"), F.sum("_n").alias("_pages")).where("_pages > 1")
+    sizes = written(sizes.select("_host", "_trees", F.ceil(F.col("_trees") / MERGED_AT_ONCE).alias("_parts")), "hosts")
+    rows = join_hot(trees, sizes, ["_host"], "_trees", trees.count()).withColumn("_part", F.pmod(F.xxhash64("_made"), "_parts"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                made = json.dumps(induced(batch.column("_pages")[k].as_py()).packed(), separators=(",", ":"))
-                yield pa.RecordBatch.from_pydict({"_host": [batch.column("_host")[k].as_py()], "_wrapper": [made]})
-
-    return some.mapInArrow(run, "_host string, _wrapper string")
+        sorted_rows = (row for batch in batches for row in zip(*[batch.column(c).to_pylist() for c in ("_host", "_part", "_parts", "_n", "_made")], strict=True))
+        for (at, part, parts), group in groupby(sorted_rows, lambda row: row[:3]):
+            *_, counts, made = zip(*group, strict=True)
+            yield pa.RecordBatch.from_pydict({"_host": [at], "_part": [part], "_parts": [parts], "_n": [sum(counts)], "_made": [induced(made)]})
+
+    before = None
+    while True:
+        dealt = rows.repartition("_host", "_part").sortWithinPartitions("_host", "_part", F.desc("_n"), "_made")
+        merged = written(dealt.mapInArrow(run, "_host string, _part bigint, _parts bigint, _n bigint, _made binary"), "wrappers")
+        if before is not None:
+            forget(before)
+        if (merged.agg(F.max("_parts")).first()[0] or 1) == 1:
+            return merged.select("_host", F.col("_made").alias("_wrapper"))
+        before = merged
+        rows = merged.withColumns({"_part": F.floor(F.col("_part") / MERGED_AT_ONCE), "_parts": F.ceil(F.col("_parts") / MERGED_AT_ONCE)})
 
 
 def parsed(pages: DataFrame, known: DataFrame) -> DataFrame:
@@ -608,7 +769,7 @@ def parsed(pages: DataFrame, known: DataFrame) -> DataFrame:
     counts = pa.list_(pa.struct([("slot", pa.int32()), *[(c, pa.int64()) for c in ("count", "mass", "around", "own", "total", "linked", "titled")]]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, Wrapper] = {}
+        cache: dict[bytes, tuple[Wrapper, int]] = {}
         for batch in slices(batches, "html"):
             found = [read_page(source, _unpacked(made, cache)) for source, made in zip(batch.column("html").to_pylist(), batch.column("_wrapper").to_pylist(), strict=True)]
             content_, blocks, slots = zip(*found, strict=True)
@@ -639,7 +800,7 @@ def judged(read: DataFrame, known: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 slots = {x.pop("slot"): Slot(**x) for x in row["_slots"]}
-                made = Wrapper.unpacked(json.loads(row["_wrapper"]))
+                made = Wrapper.unpacked(row["_wrapper"])
                 kept = content(made, slots)
                 heads = sorted(k for k, tag in made.tags().items() if tag in HEADINGS)
                 gone = [x for x in row["_same"] or [] if x["slot"] in kept and x["slot"] not in heads]
@@ -657,7 +818,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     A null or empty html gives an empty text. Pages without a host are one
     host. Repeated rows each get theirs; an empty table gives none.
     """
-    known = written(wrappers(pages), "wrappers")
+    known = wrappers(pages)
     read = written(parsed(pages, known), "parsed")
     rules = written(judged(read, known), "layouts")
     rows = read.drop("_content", "_slots").join(rules, "_host", "left")

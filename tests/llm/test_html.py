@@ -189,3 +189,79 @@ def test_headings_that_all_articles_share_stay(spark, count):
 def test_adverts_and_notices_of_any_element_go_and_an_articles_own_parts_stay():
     page = "<article><p>One.</p><p class=advert>Buy</p><p>Two <span class=ad>now</span> three.</p><p class='notice'>Note</p><section class=menu><p>Soup, bread</p></section><table class=widget><tr><td>c</table></article>"
     assert html.main_text(page).split("\n\n") == ["One.", "Two three.", "Soup, bread", "c"]
+
+
+def layout(chance, n, cells):
+    """A page without names whose article is short now and then, so that only other pages of its layout tell where it is."""
+    body = [words(chance, 3 if n % 4 == 0 else 60) for _ in range(1 if n % 4 == 0 else 4)]
+    parts = [f"<ul><li>{words(chance, 8)}</li></ul>", *[f"<div>{x}</div>" for x in body], f"<h4>{words(chance, 4)}</h4><div>{words(chance, 12)}</div>"]
+    if cells:
+        return "<body><table><tr><td>" + "</td></tr><tr><td>".join([parts[0], f"<section>{''.join(parts[1:-1])}</section>", parts[-1]]) + "</td></tr></table></body>", "\n\n".join(body)
+    menu = "".join(f'<div><a href="/{k}">{words(chance, 2)}</a></div>' for k in range(6))
+    return f"<body><div><div>{menu}</div></div><div>{words(chance, 8)}</div><div>{''.join(parts[1:-1])}</div><div>{words(chance, 12)}</div></body>", "\n\n".join(body)
+
+
+def test_a_layout_of_few_of_a_hosts_pages_is_in_its_wrapper(spark):
+    chance = random.Random(12)
+    made = [layout(chance, n, n >= 400) for n in range(416)]
+    got = texts(spark, [p for p, _ in made])
+    assert got[:400] == [w for _, w in made[:400]] and got[400:] == [w for _, w in made[400:]]
+    assert sum(html.main_text(p) != w for p, w in made[400:]) >= 3  # pages that the wrapper changes
+
+
+def tree(source):
+    return html.Wrapper.of(html._runs(html.Page(source))).packed()
+
+
+def mixed(chance, kinds, deep=2):
+    """Elements of so many kinds in any order and depth."""
+    out = ""
+    for _ in range(chance.randrange(1, 7)):
+        inner = mixed(chance, kinds, deep - 1) if deep and chance.random() < 0.6 else words(chance, 2)
+        out += f"<div class=k{''.join(chr(97 + int(d)) for d in str(chance.randrange(kinds)))}>{inner}</div>"
+    return out
+
+
+@pytest.mark.parametrize("kinds", [1, 3, 30, 4_000])
+def test_every_node_of_every_page_has_a_place_in_a_bounded_wrapper(kinds):
+    chance = random.Random(kinds)
+    pages = [f"<body>{mixed(chance, kinds)}<p>end</p></body>" for _ in range(300)] + ["<body>" + "".join(f"<{t} class=w>x</{t}><p>y" for t in sorted(html.BLOCK - html.NO_CONTENT)) + "</body>"]
+    trees = [tree(p) for p in pages]
+    halves = [html.induced(trees[:150]), html.induced(trees[150:])]
+    wrapper = html.Wrapper.unpacked(html.induced(halves))
+    assert sum(map(len, wrapper.levels())) <= html.MOST_NODES and all(len(n.kids) <= 2 * html.WIDEST for level in wrapper.levels() for n in level)
+    assert html.Wrapper.unpacked(wrapper.packed()).packed() == wrapper.packed()
+    for p in pages:
+        page = html.Page(p)
+        runs = html._runs(page)
+        assert html._aligned(wrapper, runs) == 0
+        assert [i for i, _ in html._placed(runs)[0]] == list(range(len(page.blocks)))
+
+
+def test_wrappers_of_many_trees_are_merged_in_steps_and_any_order_of_rows_gives_the_same(spark, monkeypatch):
+    monkeypatch.setattr(html, "MERGED_AT_ONCE", 4)
+    chance = random.Random(3)
+    rows = [(i, f"https://{'big' if i % 4 else f'h{i % 20}'}.org/{i}", f"<body>{mixed(chance, 5, 1)}<p>story {i}</p></body>") for i in range(200)] + [(200, "https://alone.org/", page(1)), (201, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    first = {r._host: html.Wrapper.unpacked(r._wrapper) for r in html.wrappers(df).collect()}
+    again = {r._host: html.Wrapper.unpacked(r._wrapper) for r in html.wrappers(df.repartition(7, "url")).collect()}
+    assert set(first) == {"big.org", *(f"h{i}.org" for i in range(0, 20, 4))}
+    assert {k: w.packed() for k, w in first.items()} == {k: w.packed() for k, w in again.items()}
+    for _, url, source in rows[:200]:
+        assert html._aligned(first[url.split("/")[2]], html._runs(html.Page(source))) == 0
+
+
+def test_pages_without_names_or_one_order_around_the_article(spark):
+    chance = random.Random(2)
+
+    def around(n):
+        kinds = ["<div><p>{}</p></div>", "<div>{}</div>", "<ul><li><a href=x>{}</a></li></ul>", "<table><tr><td><a href=x>{}</a></table>", "<section>{}</section>", "<center>{}</center>"]
+        return "".join(chance.choice(kinds).format(words(chance, 3)) for _ in range(n))
+
+    pages, want = [], []
+    for _ in range(400):
+        body = [(chance.choice(["p", "p", "h2", "pre", "blockquote"]), words(chance, 12)) for _ in range(chance.randrange(6, 25))]
+        pages.append(f"<body>{around(chance.randrange(3, 12))}<div><h1>{words(chance, 4)}</h1>{''.join(f'<{k}>{x}</{k}>' for k, x in body)}</div>{around(chance.randrange(3, 9))}</body>")
+        want.append([x for _, x in body])
+    got = texts(spark, pages)
+    assert [g.split("\n\n")[1:] for g in got] == want
