@@ -9,7 +9,7 @@ from tessella.functions.ranges import totals
 LARGER = "/root/testdata/sf0.1"
 
 
-@pytest.mark.parametrize("name", ["account_opportunities"])
+@pytest.mark.parametrize("name", ["account_opportunities", "account_score"])
 def test_figures_on_a_half_equal_the_sql(spark, name):
     duck = duckdb.connect()
     duck.execute("SET threads=1")
