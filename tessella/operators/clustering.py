@@ -28,6 +28,8 @@ COMPARED, MOST_HALVED = 10_000, 30
 SPELLED = 16
 #: Axes up to which cells meet by neighbouring blocks; with more, by a tree of boxes whose leaves hold about LEAF cells and that is read LEVELS at a time.
 BLOCK_AXES, LEAF, LEVELS = 3, 64, 3
+#: Points a cell, on average, under which points of many axes are compared without cells, leaf by leaf; most points and numbers of a leaf, and points that are laid against a leaf at once.
+FEW_A_CELL, LEAF_POINTS, LEAF_NUMBERS, AT_ONCE = 2, 8_192, 1 << 20, 256
 
 
 def _width(points: DataFrame) -> int:
@@ -312,7 +314,14 @@ def _by_blocks(boxes: DataFrame, width: int, eps: float) -> DataFrame:
 
 
 def _by_tree(boxes: DataFrame, width: int, eps: float) -> DataFrame:
-    """Cells meet by a tree of boxes that is descended against itself.
+    """Cells meet where their leaves of a tree of boxes do."""
+    marked, pairs = _tree(boxes, width, eps, boxes.count(), LEAF, "lo", "hi")
+    both = pairs.unionByName(pairs.where("a < b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return both.join(marked.withColumnRenamed("_code", "a"), "a").join(_renamed(marked).withColumnRenamed("_code2", "b"), "b").drop("a", "b")
+
+
+def _tree(boxes: DataFrame, width: int, eps: float, n: int, leaf: int, lo: str, hi: str) -> tuple[DataFrame, DataFrame]:
+    """The ``n`` boxes with ``_code``, their leaf, and pairs a <= b of leaves, by a tree of boxes that is descended against itself.
 
     A level of the tree halves by one axis, at quantiles, the widest axes
     first; a node's box is what its cells fill. Only pairs of nodes whose
@@ -320,18 +329,18 @@ def _by_tree(boxes: DataFrame, width: int, eps: float) -> DataFrame:
     that touch, whatever the number of axes. Where the points fill many axes
     evenly, all boxes touch, and then all cells meet, leaf by leaf.
     """
-    levels = max(0, math.ceil(math.log2(max(boxes.count(), 1) / LEAF)))
+    levels = max(0, math.ceil(math.log2(max(n, 1) / leaf)))
     if not levels:
         marked = boxes.withColumn("_code", F.lit(0).cast("bigint"))
     else:
         most = -(-levels // width)
-        starts = boxes.select(*[F.col("lo")[i].alias(f"x{i}") for i in range(width)])
+        starts = boxes.select(*[F.col(lo)[i].alias(f"x{i}") for i in range(width)])
         cuts = starts.approxQuantile(starts.columns, [j / (1 << most) for j in range((1 << most) + 1)], 0.002)
         axes = sorted(range(width), key=lambda i: (cuts[i][0] - cuts[i][-1], i))
         place = [F.lit(0)] * width
         for i in range(width):
             inner = cuts[i][1:-1]
-            place[i] = sum((F.when(F.col("lo")[i] >= c, 1).otherwise(0) for c in inner[1:]), F.when(F.col("lo")[i] >= inner[0], 1).otherwise(0))
+            place[i] = sum((F.when(F.col(lo)[i] >= c, 1).otherwise(0) for c in inner[1:]), F.when(F.col(lo)[i] >= inner[0], 1).otherwise(0))
         code = F.lit(0).cast("bigint")
         for t in range(levels):
             bit = F.shiftright(place[axes[t % width]], most - 1 - t // width).bitwiseAND(F.lit(1))
@@ -342,13 +351,12 @@ def _by_tree(boxes: DataFrame, width: int, eps: float) -> DataFrame:
     while at < levels:
         below = min(at + LEVELS, levels)
         node = F.shiftright("_code", levels - below)
-        sides = [F.array(*[f(F.col(c)[i]) for i in range(width)]).alias(c) for c, f in (("lo", F.min), ("hi", F.max))]
+        sides = [F.array(*[f(F.col(c)[i]) for i in range(width)]).alias(side) for side, c, f in (("lo", lo, F.min), ("hi", hi, F.max))]
         nodes = written(marked.groupBy(node.alias("node")).agg(*sides).withColumn("_in", F.shiftright("node", below - at)), "nodes")
         met = pairs.join(nodes.withColumnRenamed("_in", "a"), "a").join(_renamed(nodes).withColumnRenamed("_in2", "b"), "b")
         pairs = written(met.where("node <= node2").where(_nearest_gap(width) <= eps).select(F.col("node").alias("a"), F.col("node2").alias("b")), "pairs")
         at = below
-    both = pairs.unionByName(pairs.where("a < b").select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return both.join(marked.withColumnRenamed("_code", "a"), "a").join(_renamed(marked).withColumnRenamed("_code2", "b"), "b").drop("a", "b")
+    return marked, pairs
 
 
 @dataclass
@@ -361,7 +369,21 @@ class _Density:
     side: float
 
 
-def _density(points: DataFrame, eps: float, least: int) -> _Density:
+def _in_cells(points: DataFrame, eps: float) -> tuple[DataFrame, int, float]:
+    """The points with their cells, the number of axes and a cell's side: so small that all points of a cell are within eps."""
+    if not eps > 0:
+        raise ValueError("eps must be positive")
+    width = _width(points)
+    side = eps / math.sqrt(width) * (1 - 1e-12)
+    return written(points.select("id", finite(F.col("features")).alias("features"), F.array(*[F.floor(c / side).cast("bigint") for c in _cells(width)]).alias("cell")), "points"), width, side
+
+
+def _scattered(rows: DataFrame, width: int) -> bool:
+    """Whether cells are of no help: there are many axes, and hardly two points in a cell."""
+    return width > BLOCK_AXES and rows.select("cell").distinct().count() * FEW_A_CELL > rows.count()
+
+
+def _density(rows: DataFrame, width: int, side: float, eps: float, least: int) -> _Density:
     """Core points by a grid whose cells are so small that all points of one are within eps.
 
     Where a cell and the cells that lie within eps as a whole hold ``least``
@@ -369,11 +391,6 @@ def _density(points: DataFrame, eps: float, least: int) -> _Density:
     other cells, under ``least`` a cell, are compared with points around them,
     so the comparisons grow with the points and not with a cell's square.
     """
-    if not eps > 0:
-        raise ValueError("eps must be positive")
-    width = _width(points)
-    side = eps / math.sqrt(width) * (1 - 1e-12)
-    rows = written(points.select("id", finite(F.col("features")).alias("features"), F.array(*[F.floor(c / side).cast("bigint") for c in _cells(width)]).alias("cell")), "points")
     boxes = written(_boxes(rows, ["cell"], width), "cells")
     touching = written(_touching(boxes, width, eps), "touching")
     whole = touching.groupBy("cell").agg(F.sum(F.when(F.col("far"), F.col("n2")).otherwise(0)).alias("_whole"))
@@ -393,7 +410,10 @@ def _met(rare: DataFrame, touching: DataFrame, others: DataFrame, width: int, ep
 
 def core_points(points: DataFrame, eps: float, least: int) -> DataFrame:
     """``id`` of points with ``least`` points within eps, themselves included. Ids are unique."""
-    return _density(points, eps, least).core.select("id")
+    rows, width, side = _in_cells(points, eps)
+    if _scattered(rows, width):
+        return _counted_core(*_leaves(rows, width, eps), eps, least).where("core").select("id")
+    return _density(rows, width, side, eps, least).core.select("id")
 
 
 def _cell_links(core: DataFrame, width: int, side: float, eps: float) -> DataFrame:
@@ -437,11 +457,15 @@ def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
 
     A border point goes to the cluster with the lowest number among its core
     neighbours. Core points of one cell are one node of the graph, so that a
-    dense cell costs its points and not their pairs. Ids are unique.
+    dense cell costs its points and not their pairs. Points of many axes that
+    hardly share cells are compared leaf by leaf. Ids are unique.
     """
     from tessella.operators.rfm import positions
 
-    made = _density(points, eps, least)
+    rows, width, side = _in_cells(points, eps)
+    if _scattered(rows, width):
+        return _scattered_dbscan(rows, width, eps, least)
+    made = _density(rows, width, side, eps, least)
     cells = made.core.groupBy("cell").agg(F.min("id").alias("node"))
     roots = connected_components(_cell_links(made.core, made.width, made.side, eps))
     rooted = written(cells.join(roots, "node", "left").select("cell", F.coalesce("root", "node").alias("root")), "rooted")
@@ -457,6 +481,161 @@ def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
     return made.points.select("id").join(found, "id", "left")
 
 
+# Points of many axes without cells: leaves of the tree meet in pairs, of which a task holds one.
+
+
+def _leaves(rows: DataFrame, width: int, eps: float) -> tuple[DataFrame, DataFrame]:
+    """id, features and leaf of all points, and pairs a <= b of leaves that may have points within eps.
+
+    A leaf of equal or like points that would be too large is several.
+    """
+    n, most = rows.count(), max(1, min(LEAF_POINTS, LEAF_NUMBERS // width))
+    marked, pairs = _tree(rows.select("id", "features"), width, eps, n, max(LEAF, min(n // 8, most)), "features", "features")
+    sizes = marked.groupBy("_code").agg(F.ceil(F.count("*") / most).alias("_parts"))
+    parts = sizes.agg(F.max("_parts")).first()[0]
+    dealt = written(marked.join(sizes, "_code").select("id", "features", (F.col("_code") * parts + F.pmod(F.xxhash64("id"), F.col("_parts"))).alias("leaf")), "leaves")
+    leaf = dealt.select("leaf").distinct().withColumn("_code", F.floor(F.col("leaf") / parts))
+    found = pairs.join(leaf.select(F.col("_code").alias("a"), F.col("leaf").alias("_a")), "a").join(leaf.select(F.col("_code").alias("b"), F.col("leaf").alias("_b")), "b")
+    return dealt, written(found.where("a < b OR _a <= _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")), "pairs")
+
+
+def _matched(left: DataFrame, right: DataFrame, pairs: DataFrame, run, schema: str) -> DataFrame:
+    """What ``run`` makes of each pair of leaves: of ``left``'s rows of the one and ``right``'s of the other."""
+    side = lambda rows, c: rows.join(pairs, F.col("leaf") == F.col(c)).select("a", "b", *[x for x in rows.columns if x != "leaf"])
+    other = side(right, "b")
+    sides = [side(left, "a").groupBy("a", "b"), other.select(*[F.col(c).alias(c) for c in other.columns]).groupBy("a", "b")]  # columns of its own
+    return sides[0].cogroup(sides[1]).applyInArrow(run, schema)
+
+
+def _near(x, y, eps: float):
+    """Which rows of ``y`` are within eps of those of ``x``, AT_ONCE of these at a time, after the place of the first.
+
+    Products decide most pairs; those that rounding could decide are summed axis by axis.
+    """
+    import numpy as np
+
+    with np.errstate(over="ignore", invalid="ignore"):
+        centre = y.mean(0)
+        x0, y0 = x - centre, y - centre
+        xx, yy = (x0 * x0).sum(1), (y0 * y0).sum(1)
+        slack = (x.shape[1] + 8) * 2.0**-50 * (math.sqrt(xx.max()) + math.sqrt(yy.max())) ** 2
+        for low in range(0, len(x), AT_ONCE):
+            some = slice(low, low + AT_ONCE)
+            square = x0[some] @ y0.T
+            square *= -2.0
+            square += xx[some, None]
+            square += yy
+            found = square <= eps * eps - slack
+            i, j = np.nonzero(~found & ~(square > eps * eps + slack))
+            for at in range(0, len(i), 1 << 18):
+                p, q = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
+                total = np.zeros(len(p))
+                for axis in range(x.shape[1]):
+                    gap = x[low + p, axis] - y[q, axis]
+                    total += gap * gap
+                found[p, q] = np.sqrt(total) <= eps
+            yield low, found
+
+
+def _points_of(rows):
+    """Ids and features of an Arrow table."""
+    import numpy as np
+
+    x = rows.column("features").combine_chunks()
+    return rows.column("id").combine_chunks(), x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) if len(x) else np.zeros((0, 1))
+
+
+def _counted_core(dealt: DataFrame, pairs: DataFrame, eps: float, least: int) -> DataFrame:
+    """The points with ``core``: whether ``least`` points are within eps, themselves included."""
+
+    def run(key, left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        (ids, x), (others, y) = _points_of(left), _points_of(right)
+        n, m = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+        for low, found in _near(x, y, eps):
+            n[low : low + len(found)] = found.sum(1)
+            m += found.sum(0)
+        if key[0] == key[1]:
+            return pa.table({"id": ids, "n": n})
+        return pa.table({"id": pa.concat_arrays([ids, others]), "n": np.concatenate([n, m])})
+
+    kind = dealt.schema["id"].dataType.simpleString()
+    near = _matched(dealt, dealt, pairs, run, f"id {kind}, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return written(dealt.join(near, "id").select("id", "features", "leaf", (F.col("n") >= least).alias("core")), "core")
+
+
+def _forest_links(core: DataFrame, pairs: DataFrame, eps: float) -> DataFrame:
+    """Links (a, b) of points that join all that are within eps: of each pair of leaves fewer than it has points."""
+
+    def run(key, left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        (ids, x), (others, y) = _points_of(left), _points_of(right)
+        if not len(x) or not len(y):
+            return pa.table({"a": ids[:0], "b": ids[:0]})
+        same = key[0] == key[1]
+        all_ids = ids if same else pa.concat_arrays([ids, others])
+        root = np.arange(len(all_ids))  # of every point, kept flat
+        for low, found in _near(x, y, eps):
+            i, j = np.nonzero(found)
+            i, j = root[low + i], root[j if same else len(x) + j]
+            apart = i != j
+            links = np.unique(np.stack([i[apart], j[apart]], axis=1), axis=0)
+            while len(links):  # the larger root of a link goes to the smallest that it knows
+                up = np.arange(len(root))
+                np.minimum.at(up, links.max(1), links.min(1))
+                while (up[up] != up).any():
+                    up = up[up]
+                root = up[root]
+                links = up[links]
+                links = links[links[:, 0] != links[:, 1]]
+        member = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"a": all_ids.take(pa.array(root[member])), "b": all_ids.take(pa.array(member))})
+
+    kind = core.schema["id"].dataType.simpleString()
+    return written(_matched(core, core, pairs, run, f"a {kind}, b {kind}"), "links")
+
+
+def _lowest(border: DataFrame, inner: DataFrame, pairs: DataFrame, eps: float) -> DataFrame:
+    """id and the lowest cluster of ``inner`` within eps of each point of ``border``."""
+
+    def run(left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        (ids, x), (_, y) = _points_of(left), _points_of(right)
+        if not len(x) or not len(y):
+            return pa.table({"id": ids[:0], "cluster": pa.array([], pa.int32())})
+        none = np.iinfo(np.int32).max
+        cluster = right.column("cluster").to_numpy()
+        best = np.concatenate([np.where(found, cluster, none).min(1) for _, found in _near(x, y, eps)])
+        return pa.table({"id": ids, "cluster": best.astype(np.int32)}).filter(pa.array(best < none))
+
+    both = pairs.unionByName(pairs.where("a < b").selectExpr("b AS a", "a AS b")).join(border.select(F.col("leaf").alias("a")).distinct(), "a", "left_semi")
+    kind = border.schema["id"].dataType.simpleString()
+    return _matched(border, inner, both, run, f"id {kind}, cluster int").groupBy("id").agg(F.min("cluster").alias("cluster"))
+
+
+def _scattered_dbscan(rows: DataFrame, width: int, eps: float, least: int) -> DataFrame:
+    """``dbscan`` leaf by leaf: once for the counts, once for the links of core points, once for border points, if there are any."""
+    from tessella.operators.rfm import positions
+
+    dealt, pairs = _leaves(rows, width, eps)
+    counted = _counted_core(dealt, pairs, eps, least)
+    core = counted.where("core").drop("core")
+    roots = connected_components(_forest_links(core, pairs, eps))
+    rooted = written(core.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "features", "leaf", F.coalesce("root", "id").alias("root")), "rooted")
+    numbers = positions(rooted.select("root").distinct(), [F.col("root").asc()], "_i").select("root", (F.col("_i") + 1).cast("int").alias("cluster"))
+    inner = rooted.join(numbers, "root").select("id", "features", "leaf", "cluster")
+    found, border = inner.select("id", "cluster"), counted.where("NOT core").drop("core")
+    if not border.isEmpty():
+        found = found.unionByName(_lowest(border, inner, pairs, eps))
+    return counted.select("id").join(found, "id", "left")
+
+
 def agglomerated(points: DataFrame, by: list[str], k: int) -> DataFrame:
     """Clusters of each group by merging the two nearest weighted centroids until k are left.
 

@@ -127,3 +127,26 @@ def test_report_by_sums_or_by_all_pairs(spark):
     fast, exact = (clustering.quality_report(rows, centres, exact=e).first() for e in (False, True))
     assert fast.silhouette > exact.silhouette == pytest.approx(clustering.silhouette(rows).first().silhouette)
     assert (fast.inertia, fast.n_clusters, fast.davies_bouldin) == (exact.inertia, exact.n_clusters, exact.davies_bouldin)
+
+
+@pytest.mark.parametrize(("most", "at_once"), [(8_192, 256), (9, 5)])
+def test_scattered_points_are_compared_leaf_by_leaf(spark, monkeypatch, most, at_once):
+    """Without a row for each pair of cells; far from the origin, at eps exactly, copies and border points too."""
+
+    def no_cells(*_):
+        raise AssertionError("cells meet in rows")
+
+    monkeypatch.setattr(clustering, "_touching", no_cells)
+    monkeypatch.setattr(clustering, "LEAF", 8)
+    monkeypatch.setattr(clustering, "LEAF_POINTS", most)
+    monkeypatch.setattr(clustering, "AT_ONCE", at_once)
+    chance = random.Random(5)
+    near = [[chance.gauss(3 * (i % 2), 0.6) for _ in range(5)] for i in range(60)]
+    steps = [[1e8 + 0.5 * chance.randrange(4) for _ in range(5)] for _ in range(40)]
+    rows = list(enumerate(near + steps + [near[0]] * 3 + [[chance.uniform(-9, 9) for _ in range(5)] for _ in range(15)]))
+    frame = spark.createDataFrame(rows, SCHEMA)
+    want = plain_dbscan(rows, 1.0, 4)
+    core = {a for a, x in rows if sum(math.dist(x, y) <= 1.0 for _, y in rows) >= 4}
+    assert {1, 2, None} <= set(want.values()) and any(c and a not in core for a, c in want.items())
+    assert {r.id: r.cluster for r in clustering.dbscan(frame, 1.0, 4).collect()} == want
+    assert {r.id for r in clustering.core_points(frame, 1.0, 4).collect()} == core
