@@ -61,3 +61,22 @@ def test_baskets_equal_all_pairs(spark, threshold):
     assert {(r.a, r.b, r.together) for r in baskets.alike(df, threshold).collect()} == want
     assert baskets.alike(df.limit(0), threshold).count() == 0
     assert baskets.alike(df.withColumn("extra", F.lit(1)), threshold).columns == ["a", "b", "together", "n_a", "n_b", "similarity"]
+
+
+def test_pairs_that_cannot_reach_the_threshold_are_not_counted_in_full(spark, monkeypatch):
+    """At a low threshold nearly every pair shares a basket of both prefixes; how many they share there rules out most."""
+    held, plain = {}, baskets.written
+
+    def spy(df, tag):
+        out = plain(df, tag)
+        held[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(baskets, "written", spy)
+    chance = random.Random(8)
+    rows = {(chance.randrange(1_500), item) for item in range(200) for _ in range(30)}
+    of = {i: {b for b, x in rows if x == i} for i in range(200)}
+    want = {(a, b) for a in of for b in of if a < b and len(of[a] & of[b]) >= 0.04 * len(of[a] | of[b])}
+    got = baskets.alike(spark.createDataFrame(sorted(rows), "basket long, item long"), 0.04)
+    assert {(r.a, r.b) for r in got.collect()} == want
+    assert len(want) <= held["pairs"] < sum(1 for a in of for b in of if a < b and of[a] & of[b]) / 4
