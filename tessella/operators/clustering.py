@@ -21,7 +21,9 @@ from tessella.operators.graph import connected_components
 from tessella.sources.scratch import written
 
 #: Numbers that a block of the exact silhouette, which compares all pairs, holds, and pairs of blocks that a task takes.
-PAIRED_NUMBERS, PAIRED_A_TASK = 8_000, 200
+PAIRED_NUMBERS, PAIRED_A_TASK = 65_536, 200
+#: Distances that are laid out at once for it.
+LAID_OUT = 400_000
 #: Pairs of points of two boxes that are compared one by one, and how often larger boxes are halved before.
 COMPARED, MOST_HALVED = 10_000, 30
 #: Axes up to which distances are spelled out as one generated sum.
@@ -744,7 +746,8 @@ def silhouette(points: DataFrame, alone: float | None = None) -> DataFrame:
     tasks = min(blocks * blocks, max(4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks * blocks // PAIRED_A_TASK))
     packed = written(rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block").agg(F.collect_list(F.struct("id", "features", "cluster")).alias("own")), "blocks")
     asked = packed.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("with").cast("bigint").alias("block"), F.col("own").alias("asked"))
-    met = packed.join(asked, "block").select("asked", "own").repartition(tasks)
+    # Each block as often as there are blocks is no side to broadcast, however small the written table looks.
+    met = packed.join(asked.hint("merge"), "block").select("asked", "own").repartition(tasks)
     kind = rows.schema["id"].dataType.simpleString()
     sums = met.mapInArrow(_block_sums, f"id {kind}, cluster bigint, oc bigint, n bigint, d double")
     pairs = sums.groupBy("id", "cluster", "oc").agg((F.sum("d") / F.sum("n")).alias("d"))
@@ -765,7 +768,7 @@ def _block_sums(batches):
     def parts(column, i):
         s = column[i].values
         ids, clusters = s.field("id"), s.field("cluster").to_numpy(zero_copy_only=False)
-        return ids, np.array(s.field("features").to_pylist(), float).reshape(len(s), -1), clusters
+        return ids, s.field("features").flatten().to_numpy(zero_copy_only=False).reshape(len(s), -1), clusters
 
     for batch in batches:
         for i in range(batch.num_rows):
@@ -775,8 +778,9 @@ def _block_sums(batches):
             order = np.argsort(code, kind="stable")
             starts = np.searchsorted(code[order], np.arange(len(labels)))
             at, there = ids.to_numpy(zero_copy_only=False), others.to_numpy(zero_copy_only=False)[order]
-            for low in range(0, len(x), 256):  # so many points at once bound the matrix
-                some = slice(low, low + 256)
+            step = max(1, LAID_OUT // len(y))
+            for low in range(0, len(x), step):
+                some = slice(low, low + step)
                 gaps = np.sqrt(sum((x[some, j, None] - y[order, j]) ** 2 for j in range(x.shape[1])))
                 counted = (at[some, None] != there).astype(np.int64)
                 d, n = np.add.reduceat(gaps * counted, starts, axis=1), np.add.reduceat(counted, starts, axis=1)

@@ -150,3 +150,10 @@ def test_scattered_points_are_compared_leaf_by_leaf(spark, monkeypatch, most, at
     assert {1, 2, None} <= set(want.values()) and any(c and a not in core for a, c in want.items())
     assert {r.id: r.cluster for r in clustering.dbscan(frame, 1.0, 4).collect()} == want
     assert {r.id for r in clustering.core_points(frame, 1.0, 4).collect()} == core
+
+
+def test_silhouette_broadcasts_no_blocks(spark):
+    """Each block meets each, so a side of that join has the points as often as there are blocks; a broadcast would bring it to the driver."""
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0], i % 3) for i in range(60)], "id int, features array<double>, cluster int")
+    plan = clustering.silhouette(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [block" in plan and "BroadcastHashJoin [block" not in plan
