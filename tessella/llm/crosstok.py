@@ -44,6 +44,8 @@ from tessella.sources.tables import table
 MEMORY_PIECES, MEMORY_CHARS = 300_000, 8 << 20
 #: Bytes of texts in a chunk, and documents.
 CHUNK_BYTES, CHUNK_ROWS = 3 << 20, 4_000
+#: Chunks in a file: a writer holds its rows until a hundred are there, and a reader all that a file has of a column.
+CHUNKS_A_FILE = 4
 #: Links of a group that are laid out at once; the ids of larger groups are counted first.
 LAID_OUT = 256
 
@@ -326,28 +328,24 @@ def _one(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            cell = lambda c: batch.column(c)[i].values  # noqa: B023, E731
-            doc = cell("doc_id")
-            upto = np.concatenate([[0], cell("upto").to_numpy()])
-            found = cell("found")
-            counts, best = np.zeros(len(cell("keys")), np.int64), np.zeros(len(cell("keys")), np.int64)
-            if found is not None and len(found):
-                place = found.field("place").to_numpy()
-                counts[place] = found.field("n").to_numpy()
-                best[place] = found.field("best").to_numpy(zero_copy_only=False)
-            at, links = cell("at").to_numpy(), cell("links").to_numpy()
-            total = np.concatenate([[0], np.cumsum(links * counts[at])])
-            most = np.concatenate([[0], np.cumsum(links * best[at])])
-            yield pa.RecordBatch.from_arrays([doc, *[cell(c) for c in ("n_a", "n_b", "n_groups", "n_links")], pa.array(most[upto[1:]] - most[upto[:-1]]), pa.array(total[upto[1:]] - total[upto[:-1]]), cell("sha")], names=[c.split()[0] for c in _RESULT.split(", ")])
+def _finish(chunk: pa.Table, found: pa.Table) -> pa.Table:
+    """The documents of one chunk, whose id pairs' counts are the rows of ``found``."""
+    cell = lambda c: chunk.column(c).combine_chunks()[0].values
+    upto = np.concatenate([[0], cell("upto").to_numpy()])
+    counts, best = np.zeros(len(cell("keys")), np.int64), np.zeros(len(cell("keys")), np.int64)
+    place = found.column("place").to_numpy()
+    counts[place], best[place] = found.column("n").to_numpy(), found.column("best").to_numpy()
+    at, links = cell("at").to_numpy(), cell("links").to_numpy()
+    total = np.concatenate([[0], np.cumsum(links * counts[at])])
+    most = np.concatenate([[0], np.cumsum(links * best[at])])
+    columns = [*[cell(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")], pa.array(most[upto[1:]] - most[upto[:-1]]), pa.array(total[upto[1:]] - total[upto[:-1]]), cell("sha")]
+    return pa.Table.from_arrays(columns, names=[c.split()[0] for c in _RESULT.split(", ")])
 
 
 def chunked(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
     """The written table of chunks."""
     of = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(of.mapInArrow(_chunks(paths or vocabulary_paths()), _CHUNK), "tokens")
+    return written(of.mapInArrow(_chunks(paths or vocabulary_paths()), _CHUNK), "tokens", maxRecordsPerFile=CHUNKS_A_FILE)
 
 
 def pair_counts(chunks: DataFrame) -> DataFrame:
@@ -367,8 +365,9 @@ def aligned(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
     """
     chunks = chunked(docs, paths)
     places = chunks.select("chunk", F.posexplode("keys").alias("place", "key"))
-    found = places.join(pair_counts(chunks), "key").groupBy("chunk").agg(F.collect_list(F.struct("place", "n", "best")).alias("found"))
-    return chunks.join(found, "chunk", "left").drop("held").mapInArrow(_finish, _RESULT)
+    found = places.join(pair_counts(chunks), "key").select(F.col("chunk").alias("_chunk"), "place", "n", "best")
+    # One chunk at a time: batches of joined rows would have as many as a task gets.
+    return chunks.drop("held").groupBy("chunk").cogroup(found.groupBy("_chunk")).applyInArrow(_finish, _RESULT)
 
 
 def groups(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:

@@ -117,3 +117,16 @@ def test_groups_have_ids_and_spans(spark, made):
             assert row.groups[0].start == 0 and row.groups[-1].end == len((" " + texts[row.doc_id]).encode())
             assert all(x.end == y.start for x, y in zip(row.groups, row.groups[1:]))
     assert crosstok.groups(docs).where(F.size("groups") == 0).count() == 2
+
+
+def test_chunks_are_held_few_at_a_time(spark, made, monkeypatch):
+    """However many chunks a task has: few in a file, and one at a time where counts come back."""
+    monkeypatch.setattr(crosstok, "CHUNK_ROWS", 3)
+    rows = [(i, f"word{i % 5} and {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    files = crosstok.chunked(docs).groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in files) == 20 and max(r["count"] for r in files) <= 4
+    frame = crosstok.aligned(docs)
+    assert sorted(got(frame)) == sorted(plain(made, rows))
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "MapInArrow" not in plan
